@@ -31,6 +31,9 @@ SHAPES = 1 << 10
 GRADES = 3
 KEEP = 0.5
 STEPS = 250
+L2 = 2e-4
+#: Standard errors by which the grade must differ where a feature is present, for it to be used.
+SIGMAS = 4.0
 
 # classes: lower, upper, digit, other letters' bytes, and 28 kinds of ASCII punctuation
 _CLASS = np.zeros(256, np.uint32)
@@ -104,11 +107,13 @@ class Ordinal:
         return Ordinal(got["w"], got["a"], got["r"])
 
 
-def fit(doc: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, l2: float = 2e-4) -> Ordinal:
-    """Adam on the cumulative-link likelihood; columns seen in fewer than 3 rows stay at 0."""
+def fit(doc: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, l2: float = L2, sigmas: float = SIGMAS) -> Ordinal:
+    """Adam on the cumulative-link likelihood. Only columns whose rows' mean grade lies at least `sigmas`
+    standard errors from the overall mean take part; the rest stay at 0."""
     n, width = len(grade), BUCKETS + SHAPES
     seen = np.bincount(col, minlength=width)
-    ok = seen[col] >= 3
+    apart = np.abs(np.bincount(col, (grade - grade.mean())[doc], minlength=width))
+    ok = apart[col] >= sigmas * max(grade.std(), 1e-9) * np.sqrt(seen[col])
     doc, val = doc[ok], val[ok]
     names, col = np.unique(col[ok], return_inverse=True)
     # common words say little: weigh columns by their rarity, so that steps are alike
