@@ -242,8 +242,8 @@ def complete_case(spark, sf):
 
 # -- manifest -------------------------------------------------------------------------------------
 
-_STRICT = """t AS (SELECT assay, mutant, ord, unnest(parts) AS part FROM variants WHERE ord >= 2), one AS (SELECT assay, mutant AS part FROM variants WHERE ord = 1),
-strict AS (SELECT t.assay, t.mutant, t.ord FROM t LEFT JOIN one USING (assay, part) GROUP BY 1, 2, 3 HAVING bool_and(one.assay IS NOT NULL))"""
+_STRICT = """t AS (SELECT assay, mutant, ord, unnest(parts) AS part FROM variants WHERE ord >= 2), single AS (SELECT assay, mutant AS part FROM variants WHERE ord = 1),
+strict AS (SELECT t.assay, t.mutant, t.ord FROM t LEFT JOIN single USING (assay, part) GROUP BY 1, 2, 3 HAVING bool_and(single.assay IS NOT NULL))"""
 
 
 def strict(v):

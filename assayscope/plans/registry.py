@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("ingest", "ranking", "sampling", "epistasis")
+MODULES = ("ingest", "ranking", "sampling", "epistasis", "calibration", "acquisition", "statistics", "decision", "structure")
 
 
 def add(sql: str | None = None, name: str | None = None):
