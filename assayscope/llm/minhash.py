@@ -8,7 +8,7 @@ P(s >= threshold) falls below MISS. Survivors are confirmed on the full sets.
 
 Members of a bucket are not paired with each other but with a few pivots of the bucket; members that a
 verified link has joined to all others need no further pair. A pivot that has met all members of a
-bucket leaves it, and the number of pivots doubles each round, until each bucket holds one component.
+bucket leaves it, and the number of pivots grows each round, until each bucket holds one component.
 So every candidate pair is either tested or already joined, and a tight group of m copies costs about m
 pairs. The rounds stop when no bucket has two components.
 
@@ -36,6 +36,8 @@ BATCH = 25
 #: Chance, under the posterior, at which a pair that could still reach the threshold is dropped.
 MISS = 1e-5
 SHINGLE = 4
+#: Pivots of a bucket in the first round; their number grows by this factor each round.
+PIVOTS = 4
 THRESHOLD = 80
 
 _rng = np.random.default_rng(0x5EED)
@@ -203,7 +205,7 @@ def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, k: int, percent:
     sets = _distinct_sets(docs, nodes, wanted, scratch, k)
     sigs = scratch.save(nodes.select("node", "sig").join(wanted, "node"), "signatures")
 
-    links, roots, pivots = None, None, 1
+    links, roots, pivots = None, None, PIVOTS
     while True:
         m = members
         if roots is not None:
@@ -230,7 +232,7 @@ def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, k: int, percent:
         # the pivots have met every member of their buckets
         members = m.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
         members = scratch.save(members, "members")
-        pivots *= 2
+        pivots *= PIVOTS
     return roots
 
 
