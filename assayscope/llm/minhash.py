@@ -66,7 +66,8 @@ def _sets(block: W.Words, k: int):
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[new], doc[new]
     at = np.searchsorted(doc, np.arange(len(at)))
-    run = np.concatenate([[0], np.cumsum(W.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)]).astype(np.uint64)
+    run = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(W.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64, out=run[1:])
     node = W.mix(run[at[1:]] - run[at[:-1]] + np.diff(at).astype(np.uint64))
     return h, at, node
 

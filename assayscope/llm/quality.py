@@ -108,12 +108,15 @@ class Ordinal:
 
 
 def fit(doc: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, l2: float = L2, sigmas: float = SIGMAS) -> Ordinal:
-    """Adam on the cumulative-link likelihood. Only columns whose rows' mean grade lies at least `sigmas`
-    standard errors from the overall mean take part; the rest stay at 0."""
+    """Adam on the cumulative-link likelihood. Only columns whose rows' share of some grades `<= k` lies at
+    least `sigmas` standard errors from the overall share take part; the rest stay at 0."""
     n, width = len(grade), BUCKETS + SHAPES
     seen = np.bincount(col, minlength=width)
-    apart = np.abs(np.bincount(col, (grade - grade.mean())[doc], minlength=width))
-    ok = apart[col] >= sigmas * max(grade.std(), 1e-9) * np.sqrt(seen[col])
+    ok = np.zeros(len(col), bool)
+    for k in range(GRADES - 1):
+        below = (grade <= k) - np.mean(grade <= k)
+        apart = np.abs(np.bincount(col, below[doc], minlength=width))
+        ok |= apart[col] >= sigmas * max(below.std(), 1e-9) * np.sqrt(seen[col])
     doc, val = doc[ok], val[ok]
     names, col = np.unique(col[ok], return_inverse=True)
     # common words say little: weigh columns by their rarity, so that steps are alike
