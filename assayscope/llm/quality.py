@@ -173,9 +173,10 @@ def _featurise(batches):
 
 
 def _fit_sample(frames):
-    t = pd.concat(list(frames), ignore_index=True)
-    if not len(t):
+    parts = [f for f in frames if len(f)]
+    if not parts:
         return
+    t = pd.concat(parts, ignore_index=True)
     t["key"] = [int(np.sum(c)) for c in t["cols"]]
     t = t.sort_values(["h", "grade", "key"], kind="stable").reset_index(drop=True)
     size = np.array([len(c) for c in t["cols"]])
