@@ -13,15 +13,14 @@ from assayscope.operators.additive import additive_scores
 from assayscope.plans.epistasis import ADD_SPLIT, heldout
 from assayscope.plans.ranking import midrank, r, rounded, corr, top_sql
 from assayscope.plans.registry import add
-from assayscope.plans.sampling import SPLITS, ordered
+from assayscope.plans.sampling import SPLITS
 from assayscope.sources import fixtures as X
 
 KEYS = ["assay", "seed", "budget", "regime"]
 _K = "assay, seed, budget, regime"
 _MET = ["m_qty", "m_tax"]
 B = f"WITH {X.VARIANTS}, {SPLITS}, {ADD_SPLIT}"
-#: the models with a score: additive, linear_1 on each method, linear_2 with the additive prediction
-_Z = "UNNEST([{'method': 'm_qty', 'z': m_qty}, {'method': 'm_tax', 'z': m_tax}])"
+#: training rows by method, and the closed-form fits of linear_1 and linear_2
 FITS = f"""trz AS (SELECT {_K}, mutant, u.method, u.z, dms_score AS y FROM (SELECT {_K}, s.mutant, dms_score, unnest([{{'method': 'm_qty', 'z': m_qty}}, {{'method': 'm_tax', 'z': m_tax}}]) AS u FROM splits s JOIN variants USING (assay, mutant))),
 m1 AS (SELECT {_K}, method, avg(z) AS mz, avg(y) AS my, count(*) AS n_train FROM trz GROUP BY {_K}, method),
 f1 AS (SELECT {_K}, method, n_train, my, mz, sum((z - mz) * (y - my)) / (sum((z - mz) * (z - mz)) + 1e-8) AS slope FROM trz JOIN m1 USING ({_K}, method) GROUP BY {_K}, method, n_train, my, mz),
@@ -130,7 +129,7 @@ _PAIRED = f"pj AS (SELECT a.assay, a.seed, a.budget, a.model, a.method, abs(b.sp
 def paired(spark, sf):
     d = low_n(spark, sf)
     key = ["assay", "seed", "budget", "model", "method"]
-    p = d.groupBy(*key).pivot("regime", ["single_only", "single_plus_double"]).agg(F.first(F.abs("spearman_all")).alias("s"), F.first("recall").alias("r"), F.count("*").alias("n"))
+    p = d.groupBy(*key).pivot("regime", ["single_only", "single_plus_double"]).agg(F.first(F.abs("spearman_all")).alias("s"), F.first("recall").alias("r"), F.count(F.lit(1)).alias("n"))
     p = p.where("single_only_n is not null and single_plus_double_n is not null")
     return p.select(*key, (F.col("single_plus_double_s") - F.col("single_only_s")).alias("d_spearman"), (F.col("single_plus_double_r") - F.col("single_only_r")).alias("d_recall"))
 
