@@ -24,7 +24,7 @@ def strict_double_residuals(v: DataFrame, least: int = 100) -> DataFrame:
     d = d.withColumn("additive_prediction", additive).withColumn("epistasis_residual", F.round(z - F.col("additive_prediction"), 9))
     d = d.withColumns({
         "abs_epistasis_residual": F.abs("epistasis_residual"),
-        "sign_epistasis": (((x - w) * (y * 0 + z - y) < 0) | ((y - w) * (z - x) < 0)).cast("int"),
+        "sign_epistasis": (((x - w) * (z - y) < 0) | ((y - w) * (z - x) < 0)).cast("int"),
         "reciprocal": (((x - w) * (z - w) < 0) & ((y - w) * (z - w) < 0)).cast("int"),
         "n": F.count("*").over(Window.partitionBy("assay")),
     })
@@ -36,12 +36,6 @@ def with_scores(residuals: DataFrame, scores: DataFrame) -> DataFrame:
     return residuals.join(scores.select("assay", "mutant", "method", "score"), ["assay", "mutant"])
 
 
-def at_share(value: str, index: Column, by: list[str]) -> Column:
-    """Value at a 0-based index of the ascending order, as a window column; index may use the column n."""
-    w = Window.partitionBy(*by)
-    return F.element_at(F.array_sort(F.collect_list(value).over(w)), (index + 1).cast("int"))
-
-
 def pair_residuals(residuals: DataFrame) -> DataFrame:
     """assay, pair, mean residual of the doubles of that pair."""
     d = residuals.withColumn("pair", pair_key(F.col("single_a"), F.col("single_b")))
@@ -57,7 +51,8 @@ def pairwise_scores(higher: DataFrame, pairs: DataFrame) -> DataFrame:
     out = higher.join(known, ["assay", "mutant"], "left")
     mean = F.coalesce(F.col("s").cast("double") / F.col("known"), F.lit(0.0))
     total = F.col("ord") * (F.col("ord") - 1) / 2
-    return out.withColumns({"pairwise_score": F.round(F.col("score") + mean, 9), "pair_coverage": F.coalesce(F.col("known"), F.lit(0)) / total}).drop("s", "known")
+    coverage = F.try_divide(F.coalesce(F.col("known"), F.lit(0)), total)
+    return out.withColumns({"pairwise_score": F.round(F.col("score") + mean, 9), "pair_coverage": coverage}).drop("s", "known")
 
 
 def enrichment(df: DataFrame, by: list[str], score: str, hit: str, item: str, ks: list[int]) -> DataFrame:

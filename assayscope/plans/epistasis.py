@@ -79,9 +79,9 @@ def epistasis_metrics(spark, sf):
     v = X.variants(spark, sf)
     by = ["assay", "method"]
     d = E.with_scores(residuals(spark, sf, v), X.scores_long(v))
-    d = d.withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    at = E.at_share("abs_epistasis_residual", F.greatest(F.ceil(F.col("n") * F.lit(0.75)) - 1, F.lit(0)), by)
-    d = d.withColumns({"strong": (F.col("abs_epistasis_residual") >= at).cast("int"), "o": K.ordinal("score", by, "mutant", descending=True)})
+    cut = K.at_index(d.drop("n"), by, "abs_epistasis_residual", F.greatest(F.ceil(F.col("n") * F.lit(0.75)) - 1, F.lit(0)), "cut")
+    d = d.join(cut, by)
+    d = d.withColumns({"strong": (F.col("abs_epistasis_residual") >= F.col("cut")).cast("int"), "o": K.ordinal("score", by, "mutant", descending=True)})
     ranks = {"rp": "score", "r1": "score_double", "r2": "epistasis_residual", "r3": "abs_epistasis_residual", "r4": "additive_prediction"}
     d = d.withColumns({k: K.midrank(c, by) for k, c in ranks.items()})
     recall = lambda c: F.try_divide(F.count_if((F.col(c) == 1) & (F.col("o") <= 100)), F.sum(c))
@@ -190,10 +190,8 @@ w AS (SELECT assay, kind, k, avg(hit) AS base_rate, avg(CASE WHEN o <= k THEN hi
 @add(f"{_UE} SELECT assay, kind, k, {r('base_rate')} AS base_rate, {r('hit_rate')} AS hit_rate, {r('hit_rate / nullif(base_rate, 0)')} AS enrichment FROM w")
 def uncertainty_enrichment(spark, sf):
     u = uncertainty(spark, sf)
-    n = F.count("*").over(Window.partitionBy("assay"))
-    u = u.withColumn("n", n)
-    at = E.at_share("abs_epistasis_residual", F.floor(F.lit(0.75) * (F.col("n") - 1)), ["assay"])
-    u = u.withColumn("hit", (F.col("abs_epistasis_residual") >= at).cast("int"))
+    cut = K.at_index(u, ["assay"], "abs_epistasis_residual", F.floor(F.lit(0.75) * (F.col("n") - 1)), "cut")
+    u = u.join(cut, "assay").withColumn("hit", (F.col("abs_epistasis_residual") >= F.col("cut")).cast("int"))
     kinds = ["mean", "std", "split", "disagreement"]
     u = u.select("assay", "mutant", "hit", *kinds).unpivot(["assay", "mutant", "hit"], kinds, "kind", "score")
     return rounded(E.enrichment(u, ["assay", "kind"], "score", "hit", "mutant", [10, 50, 100]))
@@ -267,6 +265,29 @@ def pairwise_summary(spark, sf):
     return rounded(pairwise_residual(spark, sf).agg(F.count("*").alias("n_assays"), F.avg(F.abs("spearman")).alias("mean_abs_spearman"), F.avg("pair_coverage").alias("mean_coverage")))
 
 
+# pairwise base and one score, fitted on singles and doubles, judged on higher orders
+_PC = _PAIRS.replace("FROM variants WHERE ord > 2)", "FROM variants WHERE ord >= 2)").replace("LEFT JOIN ks USING (assay, mutant) WHERE ord > 2)", "LEFT JOIN ks USING (assay, mutant))").replace("coalesce(known, 0) / (ord * (ord - 1) / 2.0) AS coverage", "a.ord")
+_PCM = f"""{VLR}, {ADDITIVE}, {_PC}, pz AS (SELECT pw.assay, pw.mutant, pw.ord, pw.dms_score, pw.score AS a, m_qty AS z FROM pw JOIN variants USING (assay, mutant)),
+pm AS (SELECT assay, avg(a) AS ma, avg(z) AS mz, avg(dms_score) AS my FROM pz WHERE ord BETWEEN 1 AND 2 GROUP BY 1),
+ps AS (SELECT assay, ma, mz, my, sum((a - ma) * (a - ma)) + 1e-8 AS aa, sum((z - mz) * (z - mz)) + 1e-8 AS zz, sum((a - ma) * (z - mz)) AS az, sum((a - ma) * (dms_score - my)) AS ay, sum((z - mz) * (dms_score - my)) AS zy FROM pz JOIN pm USING (assay) WHERE ord BETWEEN 1 AND 2 GROUP BY 1, 2, 3, 4),
+pf AS (SELECT *, (ay * zz - az * zy) / (aa * zz - az * az) AS sa, (aa * zy - az * ay) / (aa * zz - az * az) AS sz FROM ps),
+pq AS (SELECT pz.assay, pz.mutant, dms_score, round(my - sa * ma - sz * mz + sa * a + sz * z, 6) AS score FROM pz JOIN pf USING (assay) WHERE ord > 2), m AS {spearman_sql('pq', 'assay')}"""
+
+
+@add(f"{_PCM} SELECT assay, n, {r('spearman')} AS spearman FROM m")
+def pairwise_calibrated(spark, sf):
+    from assayscope.operators.calibration import linear_2
+
+    v = ordered(X.variants(spark, sf))
+    res = E.strict_double_residuals(v, LEAST).drop("n")
+    chosen = res.withColumn("o", F.row_number().over(Window.partitionBy("assay").orderBy(hash_order("assay", "mutant"), "mutant"))).where("o <= 50")
+    d = E.pairwise_scores(additive_scores(v, v.where("ord = 1")), E.pair_residuals(chosen))
+    fit = linear_2(d.where("ord between 1 and 2"), ["assay"], "pairwise_score", "m_qty", "dms_score")
+    p = d.where("ord > 2").drop("score").join(fit, "assay")
+    p = p.withColumn("score", F.round(F.col("intercept") + F.col("slope_a") * F.col("pairwise_score") + F.col("slope_z") * F.col("m_qty"), 6))
+    return rounded(M.spearman(p, ["assay"], "dms_score", "score").drop("abs_spearman"))
+
+
 @add(f"""{VR}, hp AS (SELECT assay, mutant, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM variants WHERE ord > 2),
 f AS (SELECT x.assay, least(x.part, y.part) || ':' || greatest(x.part, y.part) AS pair, count(*) AS freq FROM hp x JOIN hp y ON x.assay = y.assay AND x.mutant = y.mutant AND x.i < y.i GROUP BY 1, 2),
 o AS (SELECT res.assay, mutant, coalesce(freq, 0) AS freq, row_number() OVER (PARTITION BY res.assay ORDER BY coalesce(freq, 0) DESC, mutant) AS rank FROM res LEFT JOIN f ON f.assay = res.assay AND f.pair = least(single_a, single_b) || ':' || greatest(single_a, single_b)) SELECT * FROM o""")

@@ -296,3 +296,30 @@ def alignment_depth(spark, sf):
     a = X.alignments(spark, sf).select("protein", F.length(F.replace("sequence", F.lit("-"), F.lit(""))).alias("len"))
     mid = at_index(a, ["protein"], "len", F.floor(F.col("n") / 2), "median_len")
     return a.groupBy("protein").agg(F.count("*").alias("n_sequences"), F.min("len").alias("min_len"), F.max("len").alias("max_len")).join(mid, "protein")
+
+
+# -- files ----------------------------------------------------------------------------------------
+
+
+@add(f"{V} SELECT assay, mutant, m_qty FROM variants")
+def sink_table(spark, sf):
+    path = I.shared_path(spark, "sink")
+    I.sink_table(X.variants(spark, sf), path, ["assay", "mutant", "m_qty"])
+    return spark.read.parquet(path)
+
+
+@add("SELECT CAST(doc_id AS VARCHAR) AS header, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS len FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL")
+def read_alignment_records(spark, sf):
+    d = X.table(spark, sf, "documents").where("doc_id is not null and text is not null")
+    path = I.shared_path(spark, "alignments")
+    d.select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), F.regexp_replace("text", "[^A-Za-z]", "")).alias("value")).write.text(path)
+    return I.read_alignment_records(spark, path).select("header", F.length("sequence").alias("len"))
+
+
+@add(f"WITH {X.COORDS} SELECT structure, residue, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z FROM coords")
+def read_ca_coords(spark, sf):
+    c = X.coords(spark, sf)
+    line = F.format_string("ATOM  %5d  CA  ALA A%4d    %8.3f%8.3f%8.3f", "residue", "residue", "x", "y", "z")
+    lines = c.select(F.col("structure"), F.col("residue").alias("line_no"), line.alias("value"))
+    out = I.read_ca_coords(lines)
+    return out.select("structure", "residue", *[(F.round(k, 3) + F.lit(0.0)).alias(k) for k in "xyz"])

@@ -48,7 +48,7 @@ def rounded(df, *keep):
 # -- ranks ----------------------------------------------------------------------------------------
 
 
-@add(f"{VL} SELECT assay, method, mutant, {midrank('score', 'assay, method')} AS midrank FROM long")
+@add(f"{VL} SELECT assay, method, mutant, {midrank('score', 'assay, method')} AS midrank FROM long", name="midrank")
 def midrank_scores(spark, sf):
     return long(spark, sf).withColumn("midrank", K.midrank("score", AM).cast("double")).select(*AM, "mutant", "midrank")
 

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; a local one only where none is set (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayscope-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def scan_assays(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All CSV files of a folder as text cells, with the assay's name from the file name."""
     schema = ", ".join(f"`{c}` string" for c in columns)
