@@ -87,7 +87,7 @@ def sasa_summary(spark, sf):
 @add(f"""{C}, {SITES}, po AS (SELECT DISTINCT structure, unnest(positions) + 8 AS position FROM sites), o AS (SELECT structure, count_if(position IN (SELECT residue FROM coords c WHERE c.structure = po.structure)) AS plain,
 count_if(position - 8 IN (SELECT residue FROM coords c WHERE c.structure = po.structure)) AS moved FROM po GROUP BY 1) SELECT structure, plain, moved, CASE WHEN moved > plain THEN 8 ELSE 0 END AS "offset" FROM o""")
 def align_offset(spark, sf):
-    p = sites(spark, sf).select("structure", (F.explode("positions") + 8).alias("position")).distinct()
+    p = sites(spark, sf).select("structure", F.explode(F.transform("positions", lambda x: x + 8)).alias("position")).distinct()
     return T.align_offset(p, X.coords(spark, sf), 9)
 
 
