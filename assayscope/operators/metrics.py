@@ -12,7 +12,7 @@ def pearson(x: str | Column, y: str | Column, least: int = 3) -> Column:
     """Correlation of the rows where both are present; null below `least` rows or without variance."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
     both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
+    x, y = (F.when(both, c).cast("double") for c in (x, y))  # sums of squared whole ranks overflow
     n = F.count(x)
     cov = n * F.sum(x * y) - F.sum(x) * F.sum(y)
     var = (n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y))
