@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayscope.llm import words as W
-from assayscope.llm.common import Scratch, components
+from assayscope.llm.common import Scratch, components, row_key
 
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
@@ -99,11 +99,12 @@ def _sign(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("row_key"),
                         pa.array(n.astype(np.int64)),
                         pa.array(node.view(np.int64), mask=n == 0),
                         pa.array([s.tobytes() if c else None for s, c in zip(sig, n)], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "node", "sig"],
+                    names=["doc_id", "row_key", "n_shingles", "node", "sig"],
                 )
 
     return run
@@ -244,10 +245,10 @@ def _by_bucket():
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, k: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, node, component_id, kept for every row of docs(doc_id, text, ...)."""
+    """doc_id, row_key, n_shingles, node, component_id, kept for every row of docs(doc_id, text, ...)."""
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.save(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, node long, sig binary"), "signed")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("row_key"), "text")
+    signed = scratch.save(docs.mapInArrow(_sign(k), "doc_id long, row_key long, n_shingles long, node long, sig binary"), "signed")
     filled = signed.where("node is not null and doc_id is not null")
     nodes = scratch.save(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "nodes")
     roots = _links(docs, nodes, scratch, k, percent)
@@ -260,12 +261,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, k: int = SH
         owner = named.join(least, "root").select("node", "component_id")
     out = signed.drop("sig").join(owner, "node", "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "node", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "row_key", "n_shingles", "node", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def near_dedup_stage(docs: DataFrame, k: int = 5, percent: int = THRESHOLD) -> DataFrame:
     """The rows of docs that represent their component, with all their columns. Of rows that share
     both id and text, all stay or none."""
     judged = near_duplicates(docs, k=k, percent=percent)
-    lost = judged.where("not kept").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == lost["__lost"], "left_anti")
+    lost = judged.where("not kept").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
+    return docs.join(lost, (docs["doc_id"] == lost["__id"]) & (row_key(docs["text"]) == lost["__key"]), "left_anti")
