@@ -53,6 +53,17 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+#: Rows of a small table (one short row per group) up to which it is broadcast: some ten MB.
+BROADCAST_ROWS = 100_000
+
+
+def small(scratch: Scratch, df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df as a written table, marked for broadcast if it has at most `most` rows; beyond that its joins
+    run by shuffle."""
+    saved = scratch.save(df, name)
+    return F.broadcast(saved) if saved.count() <= most else saved
+
+
 #: Edges (16 bytes each) that one task unites by itself; beyond it the edges stay distributed.
 LOCAL_EDGES = 1_000_000
 
