@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayscope.llm.common import Scratch, small
+
 WEIGHTS = (1, 2, 3)
 BINS = 4096
 
@@ -68,8 +70,9 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, most: int = 3) -> DataFrame:
     own = docs.columns
     d = docs.withColumn("__size", word_count(F.col("text")))
     targets = source_targets(d.select(F.col("source"), F.col("__size").alias("size")), weights, most)
-    # one row per source: small next to the rows, but not bounded, so the planner picks the join by size
-    targets = targets.withColumnsRenamed({"source": "__source", "source_size": "__source_size", "target": "__target"})
+    scratch = Scratch(docs.sparkSession, "mix")
+    # one row per source; documents stay where they are, so a source with a third of them is no hot spot
+    targets = small(scratch, targets.withColumnsRenamed({"source": "__source", "source_size": "__source_size", "target": "__target"}), "targets")
     d = d.join(targets, d["source"].eqNullSafe(targets["__source"])).drop("__source")
     rate = F.coalesce(F.try_divide(F.col("__target"), F.col("__source_size")), F.lit(0.0))
     d = d.withColumn("__whole", F.floor(rate).cast("long")).withColumn("__p", rate - F.floor(rate))
@@ -86,6 +89,7 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, most: int = 3) -> DataFrame:
     running = Window.partitionBy("source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     in_bins = in_bins.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
     cut = in_bins.where("before <= lack and before + words > lack").select(F.col("source").alias("__cs"), F.col("__bin").alias("__cut"), F.col("before").alias("__before"))
+    cut = small(scratch, cut, "cuts")
     d = d.join(cut, d["source"].eqNullSafe(cut["__cs"]), "left").drop("__cs")
     on = (F.col("__p") > 0) & (F.col("__bin") == F.col("__cut"))
     ranked = Window.partitionBy("source").orderBy("__q", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, 0)
