@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters learned per language, from whole documents in the order of their id's hash.
+from assayscope.llm.common import Scratch, small
+
+#: Characters learned per language, from the starts of documents in the order of their hash.
 SAMPLE_CHARS = 40_000
 #: Characters of one document that are learned at most, so that one long text can't be the whole sample.
 SAMPLE_PER_DOC = 2_000
@@ -127,7 +129,8 @@ def learn(docs: DataFrame) -> Model:
     """A model from docs(doc_id, text, lang): a bounded number of characters per language, drawn by the
     hash of the id so that a rerun draws the same."""
     d = docs.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, SAMPLE_PER_DOC).alias("text"))
-    sizes = d.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
+    # one row per language; broadcast, so that rows that aren't drawn are dropped before the shuffle
+    sizes = small(Scratch(docs.sparkSession, "langid"), d.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")), "sizes")
     # twice the wanted number is drawn, then cut in the order of the hash
     rate = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_CHARS) / F.col("chars"))
     drawn = d.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.greatest(rate * (1 << 20), F.lit(1 << 12) * rate))
