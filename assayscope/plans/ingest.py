@@ -316,10 +316,17 @@ def read_alignment_records(spark, sf):
     return I.read_alignment_records(spark, path).select("header", F.length("sequence").alias("len"))
 
 
+PART_RESIDUES = 9_999  # as many as four columns can number
+
+
 @add(f"WITH {X.COORDS} SELECT structure, residue, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z FROM coords")
 def read_ca_coords(spark, sf):
     c = X.coords(spark, sf)
-    line = F.format_string("ATOM  %5d  CA  ALA A%4d    %8.3f%8.3f%8.3f", "residue", "residue", "x", "y", "z")
-    lines = c.select(F.col("structure"), F.col("residue").alias("line_no"), line.alias("value"))
+    # the residue field has four columns: a long structure is written in parts, each numbered from 1
+    nth = F.col("residue") - 1
+    c = c.withColumns({"part": F.floor(nth / PART_RESIDUES), "in_part": (nth % PART_RESIDUES + 1).cast("int")})
+    line = F.format_string("ATOM  %5d  CA  ALA A%4d    %8.3f%8.3f%8.3f", "in_part", "in_part", "x", "y", "z")
+    lines = c.select(F.struct("structure", "part").alias("structure"), F.col("in_part").alias("line_no"), line.alias("value"))
     out = I.read_ca_coords(lines)
-    return out.select("structure", "residue", *[(F.round(k, 3) + F.lit(0.0)).alias(k) for k in "xyz"])
+    residue = (F.col("structure.part") * PART_RESIDUES + F.col("residue")).alias("residue")
+    return out.select("structure.structure", residue, *[(F.round(k, 3) + F.lit(0.0)).alias(k) for k in "xyz"])

@@ -39,6 +39,17 @@ def test_query_equals_sql(spark, db, name):
     assert table(registry.queries()[name](spark, SF).toPandas()) == table(db.execute(registry.oracle_sql()[name]).df())
 
 
+def test_coordinates_of_long_structures_survive(spark, tmp_path):
+    # beyond 9,999 and 99,999 residues the numbers don't fit the format's columns
+    n = 100_050
+    rows = spark.range(n).selectExpr("id AS vec_id", "CASE WHEN id < 50 THEN 'b' ELSE 'a' END AS label", "array(id % 997 / 997d, id % 991 / 991d, -(id % 983) / 983d) AS embedding")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = table(registry.queries()["read_ca_coords"](spark, str(tmp_path)).toPandas())
+    assert len(got[1]) == n and got == table(c.execute(registry.oracle_sql()["read_ca_coords"]).df())
+
+
 def test_partition_count_changes_nothing(spark):
     found = []
     for n in ("1", "13"):
