@@ -1,13 +1,16 @@
 """HTML main-text extraction by union-free wrapper inference.
 
-For each host, a bounded sample of its pages (PAGES_PER_HOST, in the order of a hash) is reduced to token
-streams of tags and text slots. The first stream is the wrapper; every further one is aligned with it:
-equal tags match; of what doesn't match, a run of blocks that repeats the block before it becomes a
-repeated group, other runs become optional groups, and text against other text becomes a slot. The
-wrapper never branches (union-free). The inferred wrapper tells where the article is: the container whose
-slots vary between pages and hold most text outside of boilerplate containers. Every page is then read
-against its host's wrapper: text in that container, without boilerplate, in page order. A page that lacks
-the container, or whose host has none, is read whole, without boilerplate.
+Every page is read once, in tasks, into nodes: the path of block elements down to each text, how often
+it occurs, and the length and hash of the text there. Pages of a host with the same set of containers
+(boilerplate left out) share a template, and each template has a wrapper, inferred from all of its pages:
+nodes are aligned by their path; one that occurs several times below its parent is a repeated group, one
+that some pages lack is optional, and text that differs between pages is a slot. The wrapper never branches
+(union-free). All of this is sums, minima and maxima, so Spark aggregates it and no page is left out.
+
+The wrapper tells where the article is: the container that holds most text of slots outside of boilerplate
+containers. A page's text is what stands in that container, without boilerplate, in page order; text that
+is the same on all pages stays, if it stands there. A page of a template without a container, or alone in
+its template with no container that stands out, is read whole, without boilerplate.
 
 Blocks are cut at block-level tags; `br` is white space. Null or blank html gives an empty text. Broken
 markup: unclosed elements end with their parent. Rows that share an id are read separately.
@@ -15,21 +18,20 @@ markup: unclosed elements end with their parent. Rows that share an id are read
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayscope.llm.common import Scratch, small
 from assayscope.llm.urlfilter import host_of
 
-PAGES_PER_HOST = 6
-#: Tokens of a sampled page that take part in the alignment; extraction reads whole pages.
-WRAPPER_TOKENS = 3_000
+#: Pages whose results a task holds at once.
+ROWS = 500
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +40,8 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot"
     " th thead title tr ul".split()
 )
+#: Elements that can hold an article; in a path they stand with id and class, other blocks by name only.
+CONTAINERS = frozenset("html body main article section div td".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select button xmp noframes".split())
 BOILERPLATE = frozenset("head nav header footer aside form menu dialog".split()) | RAW
 #: An open element of the first kind is closed by a start tag of the second.
@@ -107,15 +111,19 @@ def is_boilerplate(name: str, attrs: str) -> bool:
 
 
 def walk(page: str):
-    """(kind, name, text or attributes, path of open elements' signatures, inside boilerplate)."""
-    stack: list[tuple[str, str, bool]] = []
+    """(kind, name, text or attributes, open elements, inside boilerplate); an open element is its name,
+    signature, whether it is boilerplate, and its path (of block elements, one a line)."""
+    stack: list[tuple[str, str, bool, str]] = []
     for kind, name, rest in tokens(page):
         if kind == "<":
             while stack and name in CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
             bad = bool(stack) and stack[-1][2] or is_boilerplate(name, rest)
             if name not in VOID and not rest.endswith("/"):
-                stack.append((name, signature(name, rest), bad))
+                seen, path = signature(name, rest), stack[-1][3] if stack else ""
+                if name in BLOCK:
+                    path = f"{path}\n{seen if name in CONTAINERS else name}".lstrip("\n")
+                stack.append((name, seen, bad, path))
             yield kind, name, rest, stack, bad
         elif kind == ">":
             if any(s[0] == name for s in stack):
@@ -126,190 +134,215 @@ def walk(page: str):
             yield kind, name, rest, stack, bool(stack) and stack[-1][2]
 
 
-# -- inference ------------------------------------------------------------------------------------
+# -- reading --------------------------------------------------------------------------------------
 
 
-def stream(page: str) -> list[tuple[str, str, int]]:
-    """Structure tokens of a page: (tag, its container path, characters of text that follow outside
-    boilerplate). Inline elements are left out."""
-    out: list[list] = []
+def read(page: str) -> tuple[dict[str, list], list[list]]:
+    """Nodes of a page outside boilerplate, {path: [times, characters, texts]}, and all its text outside
+    boilerplate, [[block, path, text]] in page order."""
+    nodes: dict[str, list] = {}
+    parts: list[list] = []
+    block = 0
     for kind, name, rest, stack, bad in walk(page):
-        if kind == "t":
-            if out and not bad and not rest.isspace():
-                out[-1][2] += len(rest)
-        elif name in BLOCK or name in ("article", "main", "section"):
-            path = "/".join(s[1] for s in stack)
-            out.append([("" if kind == "<" else "/") + (signature(name, rest) if kind == "<" else name), path, 0])
-            if len(out) >= WRAPPER_TOKENS:
-                break
-    return [tuple(x) for x in out]
+        path = stack[-1][3] if stack else ""
+        if kind != "t" and name in BLOCK:
+            block += 1
+            if kind == "<" and not bad and name not in VOID:
+                nodes.setdefault(path, [0, 0, []])[0] += 1
+        elif kind == "t" and not bad or name == "br":
+            if kind != "t":
+                rest = "\n"
+            elif not rest.isspace():
+                node = nodes.setdefault(path, [0, 0, []])
+                node[1] += len(rest)
+                node[2].append(rest)
+            if parts and parts[-1][0] == block and parts[-1][1] == path:
+                parts[-1][2] += rest
+            else:
+                parts.append([block, path, rest])
+    return nodes, parts
+
+
+def stream(page: str) -> list[tuple[str, int, int, int]]:
+    """(path, times, characters, hash of the text) of each node of a page."""
+    return [(path, n, chars, _hash(" ".join(" ".join(texts).split()))) for path, (n, chars, texts) in read(page)[0].items()]
+
+
+def template(paths) -> int:
+    """The set of a page's containers, as a hash."""
+    return _hash("\n\n".join(sorted(p for p in paths if _tag(p) in CONTAINERS)))
+
+
+def _tag(path: str) -> str:
+    return re.match(r"[^#.]*", path.rsplit("\n", 1)[-1])[0]
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+# -- inference ------------------------------------------------------------------------------------
 
 
 class Wrapper:
-    """A union-free expression: a list of nodes (tag, path, kind) with kind "" (once), "?" (optional) or
-    "+" (repeated), and for each container path the text seen below it and on how many pages."""
+    """A union-free expression: for each path [pages that hold it, most times on a page, characters of
+    text right there, least and greatest hash of that text]."""
 
-    def __init__(self, first: list[tuple[str, str, int]]):
-        self.nodes: list[list] = []
+    def __init__(self, first=None):
         self.pages = 0
-        self.text: Counter = Counter()
-        self.held: Counter = Counter()
-        for tag, path, _ in first:
-            self.nodes.append([tag, path, ""])
-        self._fold()
-        self._count(first)
-
-    def _count(self, s):
+        self.at: dict[str, list] = {}
+        if first is not None:
+            self.align(first)
+
+    def align(self, s) -> None:
+        """Generalise the wrapper so that it fits a further page, given as its stream."""
         self.pages += 1
-        here: Counter = Counter()
-        for _, path, n in s:
-            parts = path.split("/")
-            for i in range(1, len(parts) + 1):
-                here["/".join(parts[:i])] += n
-        for p, n in here.items():
-            self.text[p] += n
-            self.held[p] += 1
-
-    def _fold(self):
-        """A run of tags that repeats the run before it makes that one a repeated group."""
-        out: list[list] = []
-        for node in self.nodes:
-            out.append(node)
-            for k in (2, 1, 3, 4):
-                a, b = out[-2 * k : -k], out[-k:]
-                if len(a) == k and [x[:2] for x in a] == [x[:2] for x in b] and b[0][0][:1] != "/":
-                    del out[-k:]
-                    for x in out[-k:]:
-                        x[2] = "+"
-                    break
-        self.nodes = out
-
-    def align(self, s: list[tuple[str, str, int]]) -> None:
-        """Generalise the wrapper so that it fits a further page."""
-        self._count(s)
-        other = Wrapper.__new__(Wrapper)
-        other.nodes = [[tag, path, ""] for tag, path, _ in s]
-        other._fold()
-        a, b = self.nodes, other.nodes
-        places: dict[tuple, list[int]] = {}
-        for j, node in enumerate(b):
-            places.setdefault((node[0], node[1]), []).append(j)
-        out: list[list] = []
-        j = 0
-        for node in a:
-            later = next((k for k in places.get((node[0], node[1]), ()) if k >= j), None)
-            if later is None or later - j > 200:
-                node[2] = node[2] or "?"  # only in the wrapper so far
-            else:
-                out += [[t, p, k or "?"] for t, p, k in b[j:later]]  # only in the page
-                node[2] = "+" if "+" in (node[2], b[later][2]) else node[2]
-                j = later + 1
-            out.append(node)
-        out += [[t, p, k or "?"] for t, p, k in b[j:]]
-        self.nodes = out
-        self._fold()
-
-    def article(self) -> str | None:
-        """The container of the article: the deepest one that most pages hold and that has nearly all of
-        the text of the best candidates."""
-        in_wrapper = {p for _, path, _ in self.nodes for p in _prefixes(path)}
-        total = max(self.text.values(), default=0)
+        for path, times, chars, h in s:
+            held, most, all_chars, lo, hi = self.at.get(path, (0, 0, 0, h, h))
+            self.at[path] = [held + 1, max(most, times), all_chars + chars, min(lo, h), max(hi, h)]
+
+    def slot(self, path: str) -> bool:
+        """Whether the text right there differs between pages; one page alone is all slots."""
+        held, _, _, lo, hi = self.at[path]
+        return self.pages == 1 or lo != hi or held < self.pages
+
+    @property
+    def nodes(self) -> list[tuple[str, str, str]]:
+        """(tag, path, kind) with kind "" (once), "?" (optional) or "+" (repeated)."""
+        out = []
+        for path, (held, most, *_) in self.at.items():
+            above = self.at.get(path.rpartition("\n")[0])
+            kind = "+" if most > (max(above[1], 1) if above else 1) else "?" if held < self.pages else ""
+            out.append((_tag(path), path, kind))
+        return out
+
+    def article(self) -> list[str]:
+        """Paths of the article's container: the deepest one that has nearly all of the slots' text of the
+        best candidates. Several if containers alike share the article; none if no container stands out."""
+        slots = {p: x[2] for p, x in self.at.items()}
+        text: Counter = Counter()
+        for path, n in slots.items():
+            for p in _prefixes(path):
+                text[p] += n
+        total = max(text.values(), default=0)
         named, plain = [], []
-        for p, n in self.text.items():
-            if p not in in_wrapper or 2 * self.held[p] < self.pages or not n:
+        for p, n in text.items():
+            if p not in self.at or 2 * self.at[p][0] < self.pages or not n:
                 continue
-            last = p.rsplit("/", 1)[-1]
-            tag = re.match(r"[^#.]+", last)[0]
+            last, tag = p.rsplit("\n", 1)[-1], _tag(p)
             if tag in ("article", "main") or tag in ("div", "section", "td") and ARTICLE.search(last[len(tag) + 1 :]):
-                named.append((tag == "article", n, p.count("/"), p))
+                named.append((tag == "article", n, p.count("\n"), p))
             elif tag in ("div", "section", "td", "body") and n >= 0.7 * total:
-                plain.append((p.count("/"), n, p))
+                plain.append((p.count("\n"), n, p))
         good = [x for x in named if x[1] >= 0.3 * total]
         if good:
-            return max(good)[3].rsplit("/", 1)[-1]
-        return max(plain)[2].rsplit("/", 1)[-1] if plain else None
+            last = max(good)[3].rsplit("\n", 1)[-1]
+            return sorted(x[3] for x in good if x[3].rsplit("\n", 1)[-1] == last)
+        return [max(plain)[2]] if plain else []
 
 
 def _prefixes(path: str):
-    parts = path.split("/")
-    return ["/".join(parts[:i]) for i in range(1, len(parts) + 1)]
-
-
-def infer(pages: list[str]) -> str | None:
-    """Signature of the article's container, from sample pages of one host."""
-    streams = [s for s in map(stream, pages) if s]
-    if not streams:
-        return None
-    w = Wrapper(streams[0])
-    for s in streams[1:]:
-        w.align(s)
-    return w.article()
+    parts = path.split("\n")
+    return ["\n".join(parts[:i]) for i in range(1, len(parts) + 1)]
 
 
 # -- extraction ---------------------------------------------------------------------------------------
 
 
-def extract(page: str | None, container: str | None) -> str:
-    """The blocks of text in the container (in the whole page if there is none), without boilerplate."""
-    if not page:
-        return ""
-    if container:
-        inside, text = _blocks(page, container)
-        if inside:
-            return text
-    return _blocks(page, None)[1]
-
-
-def _blocks(page: str, container: str | None) -> tuple[bool, str]:
+def render(parts, containers: list[str]) -> str:
+    """The blocks of text in the containers (all text if there is none); parts as of read."""
+    heads = tuple(c + "\n" for c in containers)
     out: list[str] = []
     now: list[str] = []
-    met = False
+    at = None
+    for block, path, text in [*parts, (None, "", "")]:
+        if block != at:
+            done = _SPACE.sub(" ", entities.unescape("".join(now))).strip()
+            if done:
+                out.append(done)
+            now, at = [], block
+        if not containers or (path + "\n").startswith(heads):
+            now.append(text)
+    return "\n\n".join(out)
 
-    def close():
-        text = _SPACE.sub(" ", entities.unescape("".join(now))).strip()
-        if text:
-            out.append(text)
-        now.clear()
 
-    for kind, name, rest, stack, bad in walk(page):
-        if kind == "t":
-            inside = container is None or any(s[1] == container for s in stack)
-            if inside and not bad:
-                now.append(rest)
-        else:
-            if name in BLOCK:
-                close()
-            elif name == "br":
-                now.append("\n")
-            met = met or container is not None and kind == "<" and signature(name, rest) == container and not bad
-    close()
-    return met, "\n\n".join(out)
-
-
-def _infer_hosts(t: pa.Table) -> pa.Table:
-    rows = sorted(zip(t.column("rank").to_pylist(), t.column("html").to_pylist()))
-    return pa.table({"host": pa.array([t.column("host")[0].as_py()], pa.string()), "container": pa.array([infer([h for _, h in rows if h])], pa.string())})
-
-
-def _extract(frames):
-    for f in frames:
-        texts = [extract(h if isinstance(h, str) else None, c if isinstance(c, str) else None) for h, c in zip(f["html"], f["container"])]
-        yield pd.DataFrame({"page_id": f["page_id"].astype("Int64"), "url": f["url"], "text": texts, "n_chars": [len(x) for x in texts]})
+def extract(page: str | None, container: str | None) -> str:
+    """The text of a page in the elements that have the container's signature (in the whole page if there
+    is none), without boilerplate."""
+    if not page:
+        return ""
+    nodes, parts = read(page)
+    return render(parts, [p for p in nodes if p.rsplit("\n", 1)[-1] == container])
+
+
+PAGES = "page_id long, url string, host string, template long, paths array<string>, times array<int>, chars array<long>, hashes array<long>, blocks array<int>, places array<int>, texts array<string>"
+
+
+def _read(batches):
+    for whole in batches:
+        for lo in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(lo, ROWS)
+            out: list[list] = [[] for _ in range(8)]
+            for page in batch.column("html"):
+                nodes, parts = read(page.as_py() or "")
+                for _, path, _ in parts:
+                    nodes.setdefault(path, [0, 0, []])
+                index = {p: i for i, p in enumerate(nodes)}
+                row = (
+                    template(nodes), list(nodes), [x[0] for x in nodes.values()], [x[1] for x in nodes.values()],
+                    [_hash(" ".join(" ".join(x[2]).split())) for x in nodes.values()],
+                    [x[0] for x in parts], [index[x[1]] for x in parts], [x[2] for x in parts],
+                )
+                for column, value in zip(out, row):
+                    column.append(value)
+            ints, longs, strings = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
+            kinds = (pa.int64(), strings, ints, longs, longs, ints, ints, strings)
+            columns = [batch.column(c) for c in ("page_id", "url", "host")] + [pa.array(v, k) for v, k in zip(out, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PAGES.split(", ")])
+
+
+def _infer(batches):
+    for batch in batches:
+        found = []
+        for pages, nodes in zip(batch.column("pages").to_pylist(), batch.column("nodes").to_pylist()):
+            w = Wrapper()
+            w.pages = pages
+            w.at = {x["path"]: [x["held"], x["most"], x["chars"], x["lo"], x["hi"]] for x in nodes}
+            found.append(w.article())
+        yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("template"), pa.array(found, pa.list_(pa.string()))], names=["site", "template", "containers"])
+
+
+def _render(batches):
+    for whole in batches:
+        for lo in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(lo, ROWS)
+            texts = []
+            for paths, blocks, places, parts, containers in zip(*(batch.column(c) for c in ("paths", "blocks", "places", "texts", "containers"))):
+                paths = paths.as_py()
+                texts.append(render([(b, paths[i], t) for b, i, t in zip(blocks.as_py(), places.as_py(), parts.as_py())], containers.as_py() or []))
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, container: the inferred article container of each host."""
-    h = F.xxhash64("page_id", "url")
-    p = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html", h.alias("h"), F.length("html").alias("n"))
-    # the sample is drawn on hashes; the planner limits each task's rows per host before the shuffle
-    by = Window.partitionBy("host").orderBy("h", "n")
-    drawn = p.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= PAGES_PER_HOST)
-    return drawn.select("host", "rank", "html").groupBy("host").applyInArrow(_infer_hosts, "host string, container string")
+    """site, template, containers: the article's containers by the wrapper of each template of a host."""
+    site = F.coalesce("host", F.lit("")).alias("site")
+    node = F.explode(F.arrays_zip("paths", "times", "chars", "hashes")).alias("x")
+    nodes = pages.select(site, "template", node).groupBy("site", "template", F.col("x.paths").alias("path")).agg(
+        F.count("*").alias("held"), F.max("x.times").alias("most"), F.sum("x.chars").alias("chars"), F.min("x.hashes").alias("lo"), F.max("x.hashes").alias("hi"),
+    )
+    # a template has few paths: its containers are the same on all of its pages
+    nodes = nodes.groupBy("site", "template").agg(F.collect_list(F.struct("path", "held", "most", "chars", "lo", "hi")).alias("nodes"))
+    count = pages.groupBy(site, "template").agg(F.count("*").alias("pages"))
+    return count.join(nodes, ["site", "template"]).mapInArrow(_infer, "site string, template long, containers array<string>")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages(page_id, url, html, ...)."""
+    scratch = Scratch(pages.sparkSession, "wrappers")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    # one short row per host; pages stay where they are, so a host with a third of them is no hot spot
-    joined = p.join(small(Scratch(pages.sparkSession, "wrappers"), wrappers(pages), "hosts"), "host", "left").select("page_id", "url", "html", "container")
-    return joined.mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    done = scratch.save(p.mapInArrow(_read, PAGES), "pages")
+    # one short row per template; pages stay where they are, so a host with a third of them is no hot spot
+    found = small(scratch, wrappers(done), "templates")
+    joined = done.withColumn("site", F.coalesce("host", F.lit(""))).join(found, ["site", "template"], "left")
+    return joined.select("page_id", "url", "paths", "blocks", "places", "texts", "containers").mapInArrow(_render, "page_id long, url string, text string, n_chars long")

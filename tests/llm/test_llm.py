@@ -396,6 +396,18 @@ def test_wrapper_groups():
     assert ("p", "+") in kinds and ("h2", "?") in kinds
 
 
+def test_every_template_of_a_host_has_a_wrapper(spark):
+    # 60 pages hold div.content as the article; three of another template hold it as a teaser
+    usual = "<body><div class='content'><p>Usual article number {}, long enough.</p></div></body>"
+    rare = "<body><div class='content'><p>Teaser {0}</p></div><div class='story'><p>" + "Rare article {0}. " * 9 + "</p></div></body>"
+    long = "<body>" + "<p></p>" * 4000 + "<div class='content'><p>Teaser {0}</p></div><article><p>" + "Late article {0}. " * 9 + "</p></article></body>"
+    rows = [(i, f"http://h.org/{i}", (usual if i < 60 else rare if i < 63 else long).format(i)) for i in range(66)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wrapper.main_texts(d).collect()}
+    want = lambda i: f"Usual article number {i}, long enough." if i < 60 else (f"{'Rare' if i < 63 else 'Late'} article {i}. " * 9).strip()
+    assert got == {i: want(i) for i in range(66)}
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------
 
 
