@@ -219,7 +219,9 @@ class Wrapper:
     def article(self) -> list[str]:
         """Paths of the article's container: the deepest one that has nearly all of the slots' text of the
         best candidates. Several if containers alike share the article; none if no container stands out."""
-        slots = {p: x[2] for p, x in self.at.items()}
+        slots = {p: self.at[p][2] for p in self.at if self.slot(p)}
+        if not any(slots.values()):  # all pages are equal
+            slots = {p: x[2] for p, x in self.at.items()}
         text: Counter = Counter()
         for path, n in slots.items():
             for p in _prefixes(path):

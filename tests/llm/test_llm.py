@@ -396,6 +396,14 @@ def test_wrapper_groups():
     assert ("p", "+") in kinds and ("h2", "?") in kinds
 
 
+def test_wrapper_slots_choose_the_container():
+    # the longer text is the same on all pages, so it is the template's, not an article
+    page = "<body><div class='content'><p>{}</p></div><div class='story'><p>News {}</p></div></body>"
+    w = wrapper.Wrapper(wrapper.stream(page.format("About us. " * 20, 1)))
+    w.align(wrapper.stream(page.format("About us. " * 20, "2, and more")))
+    assert w.article() == ["body\ndiv.story"]
+
+
 def test_every_template_of_a_host_has_a_wrapper(spark):
     # 60 pages hold div.content as the article; three of another template hold it as a teaser
     usual = "<body><div class='content'><p>Usual article number {}, long enough.</p></div></body>"
