@@ -6,8 +6,10 @@ cut into shards of bounded size; each shard gets an HNSW graph; every shard is q
 every shard of its label (each unordered pair of shards once, so that a link is counted alike for both
 ends). A query descends to the base layer with a beam, then floods along the graph through all vectors
 above the threshold, so that a large group of near copies is found whole whatever the beam. The beam is
-widened until an audit against brute force, on a fixed sample of the shard's own vectors, reaches
-AUDIT_RECALL. A task returns counts of links and the edges of a spanning forest, never all pairs.
+widened until an audit against brute force, on fixed vectors of both shards of the pair, finds AUDIT_RECALL
+of the links of each of them, so that vectors with few links count as much as those of a large group. If
+WIDEST isn't enough, the pair of shards is compared by brute force. A task returns counts of links and the
+edges of a spanning forest, never all pairs.
 
 Null, zero or non-finite vectors, vectors of a minority length within their shard pair, and null labels
 link with nothing and are kept. Rows that share an id are separate vectors.
@@ -26,7 +28,10 @@ THRESHOLD = 0.93
 SHARD = 2_048
 DEGREE = 12
 BEAM = 16
-AUDIT = 48
+#: The widest beam tried; beyond it all pairs of two bounded shards cost less than the search.
+WIDEST = 256
+#: Vectors of each shard that are audited.
+AUDIT = 256
 AUDIT_RECALL = 0.98
 
 
@@ -147,10 +152,16 @@ class HNSW:
         return out
 
     def within(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) of all pairs found with a similarity of at least the threshold."""
+        """(query, vector) of all pairs found with a similarity of at least the threshold; a beam as wide
+        as the graph is brute force."""
         out_q, out_v = [], []
         for lo in range(0, len(q), 256):
             part = q[lo : lo + 256]
+            if beam >= len(self.x):
+                a, v = np.nonzero(part @ self.x.T >= threshold)
+                out_q.append(a + lo)
+                out_v.append(v)
+                continue
             start = np.full((len(part), 1), self.entry, np.int64)
             for layer in reversed(range(1, len(self.links))):
                 start, _ = self._beam(layer, part, start, min(beam, 8))
@@ -186,21 +197,31 @@ class HNSW:
             hits_v.append(front_v)
         return np.concatenate(hits_q), np.concatenate(hits_v)
 
-    def audited_beam(self, threshold: float, beam: int = BEAM) -> int:
-        """The first beam, doubling, whose recall on a fixed sample of the graph's vectors is enough."""
+    def audited_beam(self, threshold: float, beam: int = BEAM, others: np.ndarray | None = None) -> int:
+        """The first beam, doubling, that finds enough of the links of each audited vector: fixed ones of
+        the graph, self matches left out, and of the other vectors that will be queried. The graph's size
+        (brute force) if none does."""
         n = len(self.x)
-        pick = np.unique(np.linspace(0, n - 1, min(AUDIT, n)).astype(int))
-        truth = (self.x[pick] @ self.x.T) >= threshold
-        while beam < n:
-            a, v = self.within(self.x[pick], threshold, beam)
+        pick = _spread(n)
+        q = self.x[pick] if others is None else np.concatenate([self.x[pick], others[_spread(len(others))]])
+        truth = (q @ self.x.T) >= threshold
+        truth[np.arange(len(pick)), pick] = False
+        linked = np.flatnonzero(truth.any(axis=1))
+        q, truth = q[linked], truth[linked]
+        while beam < min(n, WIDEST + 1):
+            a, v = self.within(q, threshold, beam)
             got = np.zeros_like(truth)
             got[a, v] = True
-            if (got & truth).sum() >= AUDIT_RECALL * truth.sum():
+            if ((got & truth).sum(axis=1) >= AUDIT_RECALL * truth.sum(axis=1)).all():
                 return beam
             beam *= 2
         return n
 
 
+def _spread(n: int) -> np.ndarray:
+    return np.unique(np.linspace(0, n - 1, min(AUDIT, n)).astype(int))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.stack([np.asarray(x.values, np.float64) for x in column])
@@ -243,8 +264,9 @@ def _search_pair(threshold: float):
                 same = left.column("a")[0].as_py() == left.column("b")[0].as_py()
                 slack = threshold - 1e-5
                 graph = HNSW(y.astype(np.float32))
-                beam = graph.audited_beam(slack)
-                q, v = graph.within(x.astype(np.float32), slack, beam)
+                queries = x.astype(np.float32)
+                beam = graph.audited_beam(slack, others=None if same else queries)
+                q, v = graph.within(queries, slack, beam)
                 na, nb = np.asarray(left.column("node")), np.asarray(right.column("node"))
                 ca, cb = np.asarray(left.column("count")), np.asarray(right.column("count"))
                 if same:  # a pair found from either end is one link

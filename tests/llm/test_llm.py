@@ -238,6 +238,26 @@ def test_vectors_equal_brute_force(spark, shard):
     assert hnsw.near_vectors(d.limit(0)).count() == 0
 
 
+def test_audit_sees_sparse_links_and_queries_from_outside():
+    g = np.random.default_rng(5)
+    unit = lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    pairs = np.repeat(g.normal(size=(150, 32)), 2, axis=0) + 0.02 * g.normal(size=(300, 32))
+    x = unit(np.concatenate([g.normal(size=(1, 32)) + 0.02 * g.normal(size=(700, 32)), pairs]))
+    cut = hnsw.HNSW(x)
+    for links in cut.links:  # nothing leads to the pairs any more
+        links[links >= 700] = -1
+    cut.entry = 0
+    beam = cut.audited_beam(0.93)
+    found = set(zip(*map(np.ndarray.tolist, cut.within(x[700:], 0.93, beam))))
+    assert all((i, 700 + (i ^ 1)) in found for i in range(300))
+    # vectors of the graph have no links among each other, those of the other shard do
+    lone = hnsw.HNSW(x[700::2])
+    for links in lone.links:
+        links[:] = -1
+    a, v = lone.within(x[701::2], 0.93, lone.audited_beam(0.93, others=x[701::2]))
+    assert set(zip(a.tolist(), v.tolist())) >= {(i, i) for i in range(150)}
+
+
 # -- 6 mix --------------------------------------------------------------------------------------------
 
 
