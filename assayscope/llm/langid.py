@@ -2,9 +2,9 @@
 
 For each language a suffix automaton of a bounded sample of its labelled text is built. A text is parsed
 greedily into the longest phrases that occur in the sample; the language that needs the fewest phrases
-for its letters wins. Automata are turned into dense tables over the commonest characters, in which a
-missing transition starts a new phrase, so parsing is one table look-up per character; a batch of texts
-is cut into lanes of LANE characters that advance together (a phrase never crosses a lane's end, for any
+for its letters wins. Each code point of the samples is a symbol of its own. Automata are turned into dense
+tables over the commonest characters, in which a missing transition starts a new phrase, and a sorted list
+of the transitions over all others, so parsing is one look-up per character; a batch of texts is cut into lanes of LANE characters that advance together (a phrase never crosses a lane's end, for any
 language alike). Whole texts are parsed; the sample limits only what is learned.
 
 `und` where the text is null or has no letter, or nothing could be learned. Ties go to the language that
@@ -20,42 +20,59 @@ from pyspark.sql import functions as F
 
 from assayscope.llm.common import Scratch, small
 
-#: Characters learned per language, from the starts of documents in the order of their hash.
+#: Characters learned per language, from spans of documents in the order of their hash.
 SAMPLE_CHARS = 40_000
-#: Characters of one document that are learned at most, so that one long text can't be the whole sample.
+#: Characters of one document that are learned at most, so that one long text can't be the whole sample;
+#: the hash says where in the text they start.
 SAMPLE_PER_DOC = 2_000
+#: Characters, commonest first, that have a column in the dense table.
 SYMBOLS = 63
 LANE = 1024
 
 
-def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Dense transitions [state, symbol] of the suffix automaton of a sequence; -1 where there is none."""
-    n = len(text)
-    move = np.full((2 * n + 2, symbols), -1, np.int32)
-    link, length, last, size = [-1] * (2 * n + 2), [0] * (2 * n + 2), 0, 1
+def transitions(text: np.ndarray) -> list[dict[int, int]]:
+    """Transitions {symbol: state} of each state of the suffix automaton of a sequence; state 0 is the root."""
+    move: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
     for c in text.tolist():
-        new, size = size, size + 1
-        length[new] = length[last] + 1
+        new = len(move)
+        move.append({})
+        length.append(length[last] + 1)
+        link.append(0)
         p = last
-        while p != -1 and move[p, c] < 0:
-            move[p, c] = new
+        while p != -1 and c not in move[p]:
+            move[p][c] = new
             p = link[p]
-        if p == -1:
-            link[new] = 0
-        else:
-            q = int(move[p, c])
+        if p != -1:
+            q = move[p][c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                copy, size = size, size + 1
-                length[copy], link[copy] = length[p] + 1, link[q]
-                move[copy] = move[q]
-                while p != -1 and move[p, c] == q:
-                    move[p, c] = copy
+                copy = len(move)
+                move.append(dict(move[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p != -1 and move[p].get(c) == q:
+                    move[p][c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return move[:size]
+    return move
+
+
+def dense(move: list[dict[int, int]], symbols: int) -> np.ndarray:
+    """The transitions [state, symbol] over the first symbols; -1 where there is none."""
+    out = np.full((len(move), symbols), -1, np.int32)
+    for state, to in enumerate(move):
+        for c, q in to.items():
+            if c < symbols:
+                out[state, c] = q
+    return out
+
+
+def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
+    """Dense transitions [state, symbol] of the suffix automaton of a sequence; -1 where there is none."""
+    return dense(transitions(text), symbols)
 
 
 def parser(move: np.ndarray) -> np.ndarray:
@@ -72,25 +89,44 @@ class Model:
         self.langs = sorted(samples)
         every = codes("".join(samples[x] for x in self.langs))
         values, counts = np.unique(every, return_counts=True)
-        common = values[np.lexsort((values, -counts))][:SYMBOLS]
-        self.symbol = np.full(1 << 16, SYMBOLS, np.uint8)
-        self.symbol[common] = np.arange(len(common))
-        tables, base, at = [], [], 0
+        # one symbol for all code points that no sample holds; no automaton has a transition over it
+        self.symbols = len(values)
+        self.symbol = np.full(len(_LETTER), self.symbols, np.int32)
+        self.symbol[values[np.lexsort((values, -counts))]] = np.arange(self.symbols)
+        tables, base, at, rare = [], [], 0, {}
         for x in self.langs:
-            t = parser(automaton(self.symbol[codes(samples[x])], SYMBOLS + 1))
+            move = transitions(self.symbol[codes(samples[x])])
+            # the last column stays empty: a symbol without a column of its own
+            t = parser(np.pad(dense(move, SYMBOLS), ((0, 0), (0, 1)), constant_values=-1))
+            rare |= {(at + state) * self.symbols + c: at + q for state, to in enumerate(move) for c, q in to.items() if c >= SYMBOLS}
             tables.append(t + 2 * at)
             base.append(at)
             at += len(t)
+        #: state * symbols + symbol of the transitions that the table lacks, sorted, and where they lead.
+        self.keys = np.array(sorted(rare), np.int64)
+        self.to = np.array([rare[k] for k in self.keys.tolist()], np.int64)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.base = np.array(base, np.int64)
 
+    def _rare(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """As the table's entries, for symbols that have no column in it."""
+
+        def look(at):
+            key = at * self.symbols + c[:, None]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return np.where(self.keys[k] == key, self.to[k], -1)
+
+        root = look(np.broadcast_to(self.base, state.shape))
+        to = look(state)
+        return np.where(to >= 0, to * 2, np.where(root >= 0, root, self.base) * 2 + 1)
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Number of phrases of each text, by language."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         data = [self.symbol[codes(t)] for t in texts]
         size = np.array([len(d) for d in data], np.int64)
         lanes = -(-size // LANE)
-        whole = np.concatenate(data) if data else np.zeros(0, np.uint8)
+        whole = np.concatenate(data) if data else np.zeros(0, np.int32)
         owner = np.repeat(np.arange(len(texts)), lanes)
         first = np.repeat(np.cumsum(lanes) - lanes, lanes)
         start = np.repeat(np.cumsum(size) - size, lanes) + (np.arange(len(owner)) - first) * LANE
@@ -104,7 +140,10 @@ class Model:
         for i in range(int(length[0]) if len(length) else 0):
             live = ends[i]
             c = whole[start[:live] + i].astype(np.int64)
-            got = self.table[state[:live] * width + c[:, None]]
+            got = self.table[state[:live] * width + np.minimum(c, SYMBOLS)[:, None]]
+            rare = np.flatnonzero((c >= SYMBOLS) & (c < self.symbols))
+            if len(rare):
+                got[rare] = self._rare(state[rare], c[rare])
             count[:live] += got & 1
             state[:live] = got >> 1
         np.add.at(out, owner, count)
@@ -114,21 +153,21 @@ class Model:
 def codes(text: str) -> np.ndarray:
     """Code points of the lower-cased text with runs of anything but letters as one space."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where(c < 1 << 16, c, 1)
     c = np.where(_LETTER[c], c, 32)
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
     return c[keep]
 
 
-_LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
-_LETTER[1] = True  # stands for letters beyond the first plane
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def learn(docs: DataFrame) -> Model:
     """A model from docs(doc_id, text, lang): a bounded number of characters per language, drawn by the
     hash of the id so that a rerun draws the same."""
-    d = docs.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, SAMPLE_PER_DOC).alias("text"))
+    d = docs.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_PER_DOC, F.lit(0)) + 1) + 1
+    d = d.withColumn("text", F.substring("text", start.cast("int"), F.lit(SAMPLE_PER_DOC)))
     # one row per language; broadcast, so that rows that aren't drawn are dropped before the shuffle
     sizes = small(Scratch(docs.sparkSession, "langid"), d.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")), "sizes")
     # twice the wanted number is drawn, then cut in the order of the hash

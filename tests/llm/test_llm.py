@@ -208,6 +208,25 @@ def test_language(spark, none):
     assert langid.language_ids(none).count() == 0
 
 
+def test_languages_of_many_letters():
+    # 200 letters each, all rarer than the 70 syllables of "ko"; the last language lies beyond U+FFFF
+    pick = random.Random(3)
+    text = lambda first, n: " ".join("".join(chr(first + pick.randrange(200)) for _ in range(4)) for _ in range(n))
+    starts = {"aa": 0x4E00, "bb": 0x5E00, "cc": 0x20000}
+    ko = "".join(chr(0xAC00 + i) for i in range(70))
+    m = langid.Model({"ko": ko * 600, **{k: text(v, 2000) for k, v in starts.items()}})
+    n = m.phrases([text(v, 60) for v in starts.values()] + [ko])
+    assert [m.langs[k] for k in n.argmin(axis=1)] == ["aa", "bb", "cc", "ko"]
+
+
+def test_language_is_not_learned_from_openings_alone(spark):
+    opening = ("kalo mire vuto sane " * 125)[:2500]
+    parts = {"xx": "bada gobu dibo", "yy": "retel sinat lomer"}
+    rows = [(i, opening + " ".join(rnd.choice(parts[x].split()) for _ in range(500)), x, None, 0, None) for i in range(80) for x in [("xx", "yy")[i % 2]]]
+    out = langid.language_ids(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.lang_pred == ("xx", "yy")[r.doc_id % 2] for r in out)
+
+
 # -- 5 vectors ----------------------------------------------------------------------------------------
 
 
