@@ -48,6 +48,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names that no column of `taken` has, in whatever case."""
+    low, prefix = {c.lower() for c in taken}, "_"
+    while any((prefix + n).lower() in low for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def row_key(text: Column) -> Column:
     """Tells apart rows that share an id."""
     return F.xxhash64(text)
@@ -70,7 +78,7 @@ LOCAL_EDGES = 1_000_000
 
 def _unite(batches):
     """(u, v) of all edges of one task to (node, root)."""
-    root: dict[int, int] = {}
+    root: dict = {}
 
     def find(i):
         while (p := root.setdefault(i, i)) != i:
@@ -84,7 +92,8 @@ def _unite(batches):
             if u != v:
                 root[max(u, v)] = min(u, v)
     nodes = list(root)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(i) for i in nodes], pa.int64())], names=["node", "root"])
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([find(i) for i in nodes])], names=["node", "root"])
 
 
 def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", local: int = LOCAL_EDGES) -> DataFrame:
@@ -103,7 +112,8 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", l
 
     seen = signature(now)
     if seen[0] <= local:
-        return now.repartition(1).mapInArrow(_unite, "node long, root long")
+        kind = now.schema["u"].dataType.simpleString()
+        return now.repartition(1).mapInArrow(_unite, f"node {kind}, root {kind}")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

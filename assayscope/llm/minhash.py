@@ -1,19 +1,25 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 A document's set holds its distinct 4-word shingles (A-Z lower-cased; with fewer words the whole
-sequence). Documents with equal sets are one *node*. Nodes that share a band of their signature are
-candidates. A candidate pair is first compared on signature batches: with m of n values equal and a
-uniform prior, the similarity s has the posterior Beta(m + 1, n - m + 1), and the pair goes as soon as
-P(s >= threshold) falls below MISS. Survivors are confirmed on the full sets.
-
-Members of a bucket are not paired with each other but with a few pivots of the bucket; members that a
-verified link has joined to all others need no further pair. A pivot that has met all members of a
-bucket leaves it, and the number of pivots grows each round, until each bucket holds one component.
-So every candidate pair is either tested or already joined, and a tight group of m copies costs about m
-pairs. The rounds stop when no bucket has two components.
+sequence). Documents with equal sets, told by a 128-bit digest of the set, are one *node*. Nodes that
+share a band of their signature are candidates. A candidate pair is first compared on signature batches:
+with m of n values equal and a uniform prior, the similarity s has the posterior Beta(m + 1, n - m + 1),
+and the pair goes as soon as P(s >= threshold) falls below MISS. Survivors are confirmed on the full sets.
+
+Members of a bucket are not paired with each other but with a few pivots of the bucket, the members that
+share most buckets with others: an original shares more than its edited copies do, so that one pivot links
+a group of copies. Members that a verified link has joined to all others need no further pair. A pivot
+that has met all members of a bucket leaves it, and the number of pivots grows each round, until each
+bucket holds one component. So every candidate pair is either tested, already joined, or ruled out.
+
+Pairs are ruled out exactly: x and y can only reach a similarity of t if they share t / (1 + t) * (|x| + |y|)
+shingles, and x shares no more than those that any other member of a crowded bucket holds; and of its
+rarest shingles they share one at least. After the first round the holders of each shingle are counted, so
+that edited copies below the threshold, which would meet each other in vain, leave a crowded bucket after
+one aggregation, and others meet only those with which they share more than the original's words.
 
 Null text or no word: empty set, linked with nothing. Null doc_id: judged, linked with nothing, kept.
-Rows that share an id are separate documents.
+Rows that share an id are separate documents. Further columns, whatever their names, pass unread.
 """
 
 from __future__ import annotations
@@ -23,12 +29,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayscope.llm import words as W
-from assayscope.llm.common import Scratch, components, row_key
+from assayscope.llm.common import Scratch, components, fresh, row_key
 
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
@@ -36,8 +43,12 @@ BATCH = 25
 #: Chance, under the posterior, at which a pair that could still reach the threshold is dropped.
 MISS = 1e-5
 SHINGLE = 4
-#: Pivots of a bucket in the first round; their number grows by this factor each round.
-PIVOTS = 4
+#: Factor by which the number of a bucket's pivots grows each round, from one.
+MORE_PIVOTS = 16
+#: Members up to which all of a bucket are pivots at once.
+SMALL = 8
+#: Members from which on the shared shingles of a bucket are counted.
+CROWD = 32
 THRESHOLD = 80
 
 _rng = np.random.default_rng(0x5EED)
@@ -66,12 +77,23 @@ def _sets(block: W.Words, k: int):
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[new], doc[new]
     at = np.searchsorted(doc, np.arange(len(at)))
-    run = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(W.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64, out=run[1:])
-    node = W.mix(run[at[1:]] - run[at[:-1]] + np.diff(at).astype(np.uint64))
+    node = np.empty((len(at) - 1, 2), np.uint64)
+    for half, salt in enumerate((0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B)):
+        run = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(W.mix(h ^ np.uint64(salt)), dtype=np.uint64, out=run[1:])
+        node[:, half] = W.mix(run[at[1:]] - run[at[:-1]] + np.diff(at).astype(np.uint64))
     return h, at, node
 
 
+def _binary(rows: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """Each row's bytes as a binary value."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.itemsize * rows.shape[1]
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)
+    whole = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+    return whole if null is None else pa.compute.if_else(pa.array(~null), whole, pa.scalar(None, pa.binary()))
+
+
 def _signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One row of HASHES minima per document; documents without a shingle get ones."""
     filled = np.flatnonzero(np.diff(at))
@@ -101,8 +123,8 @@ def _sign(k: int):
                         part.column("doc_id"),
                         part.column("row_key"),
                         pa.array(n.astype(np.int64)),
-                        pa.array(node.view(np.int64), mask=n == 0),
-                        pa.array([s.tobytes() if c else None for s, c in zip(sig, n)], pa.binary()),
+                        _binary(node, n == 0),
+                        _binary(sig, n == 0),
                     ],
                     names=["doc_id", "row_key", "n_shingles", "node", "sig"],
                 )
@@ -114,12 +136,12 @@ def _bands(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        node = np.asarray(batch.column("node"))
+        node = np.frombuffer(b"".join(batch.column("node").to_pylist()), np.uint64).reshape(-1, 2)
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(node), BANDS, ROWS)
         h = np.full((len(node), BANDS), 0, np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for r in range(ROWS):
             h = W.mix(h ^ sig[:, :, r].astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS))], names=["bucket", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), _binary(np.repeat(node, BANDS, axis=0))], names=["bucket", "node"])
 
 
 def _sequential(threshold: float):
@@ -150,7 +172,7 @@ def _pack_nodes(k: int):
                 n = np.diff(at)
                 has = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(has + row)), pa.array(node[has].view(np.int64)), pa.array([z.compress(blobs[int(i)].as_buffer()) for i in has + row], pa.binary())],
+                    [batch.column("doc_id").take(pa.array(has + row)), _binary(node[has]), pa.array([z.compress(blobs[int(i)].as_buffer()) for i in has + row], pa.binary())],
                     names=["doc_id", "node", "packed"],
                 )
 
@@ -191,66 +213,127 @@ def _verify(percent: int):
 def _distinct_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     """node, items: the full set of each wanted node, from the text of its first document."""
     first = nodes.join(wanted, "node").select("node", F.col("rep").alias("doc_id"))
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_pack_nodes(k), "doc_id long, node long, packed binary")
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_pack_nodes(k), "doc_id long, node binary, packed binary")
     texts = texts.join(first, ["doc_id", "node"], "left_semi").select("node", "packed")
-    return scratch.save(texts.mapInArrow(_unpack_sets(k), "node long, items binary"), "sets")
+    return scratch.save(texts.mapInArrow(_unpack_sets(k), "node binary, items binary"), "sets")
+
+
+def _items(batches):
+    """One row per shingle of each node's set."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            items = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("items")]
+            if items:
+                again = np.repeat(np.arange(len(items)), [len(x) for x in items])
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(again)), pa.array(np.concatenate(items))], names=["node", "item"])
+
+
+def _partner_bound(shared: Column, size: Column, percent: int) -> Column:
+    """The size of the largest set that can reach the threshold with a set of `size` items, if these two have
+    no more than `shared` items in common."""
+    return F.floor(shared * (100 + percent) / F.lit(percent)).cast("long") - size
+
+
+def _rule_out(m: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members without those of crowded buckets that no other member of a crowded bucket can link to;
+    `bound` lowered to what the rest can link to; `rare`: as many of a set's rarest shingles, those of fewer than
+    CROWD holders, as may matter (31 bits of each: they only rule out)."""
+    crowded = F.col("n") >= CROWD
+    items = sets.join(m.where(crowded).select("node").distinct(), "node").select("node", "items").mapInArrow(_items, "node binary, item long")
+    few = items.groupBy("item").agg(F.count("*").alias("holders")).where(F.col("holders") < CROWD)
+    each = items.join(few, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "item"))).alias("few"))
+    each = each.select(
+        "node", F.size(F.filter("few", lambda x: x["holders"] == 1)).alias("alone"),
+        F.transform("few", lambda x: x["item"].bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")).alias("few"),
+    )
+    most = F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1
+    m = m.drop("rare").join(each, "node", "left")
+    m = m.withColumns({
+        "bound": F.when(crowded, F.least("bound", _partner_bound(F.col("size") - F.coalesce("alone", F.lit(0)), F.col("size"), percent))).otherwise(F.col("bound")),
+        "rare": F.when(crowded, F.slice(F.coalesce("few", F.array().cast("array<int>")), F.lit(1), most.cast("int"))),
+    })
+    # of two sets that link, the smaller one's bound is not below its own size
+    full = m.where("bound >= size").groupBy("bucket").agg(F.min("size").alias("least_full"))
+    m = m.join(full, "bucket", "left").where("bound >= size or bound >= least_full")
+    return m.select("bucket", "node", "root", "size", "popular", "bound", "rare")
+
+
+def _may_link(percent: int) -> Column:
+    """Whether member and pivot, by their sizes and shared shingles, may reach the threshold: they need
+    `both` shingles in common, so one of the size - both + 1 rarest of either."""
+    both = F.ceil((F.col("size") + F.col("pivot_size")) * percent / F.lit(100 + percent))
+    need, pivot_need = ((F.col(c) - both + 1).cast("int") for c in ("size", "pivot_size"))
+    meet = (
+        F.when(need <= F.size("rare"), F.arrays_overlap(F.slice("rare", F.lit(1), F.greatest(need, F.lit(0))), F.col("pivot_rare")))
+        .when(pivot_need <= F.size("pivot_rare"), F.arrays_overlap(F.slice("pivot_rare", F.lit(1), F.greatest(pivot_need, F.lit(0))), F.col("rare")))
+        .otherwise(True)
+    )
+    met = F.col("rare").isNull() | F.col("pivot_rare").isNull() | meet
+    return (F.col("size") <= F.col("pivot_bound")) & (F.col("pivot_size") <= F.col("bound")) & met
+
+
+def _open(m: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, and the number n of members."""
+    stats = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
+    return m.drop("n").join(stats, "bucket")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame | None:
     """node, root of all nodes that a verified link joins to another; None if there are none."""
-    buckets = nodes.select("node", "sig").mapInArrow(_bands, "bucket long, node long")
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    buckets = nodes.select("node", "sig").mapInArrow(_bands, "bucket long, node binary")
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
     members = scratch.save(buckets.join(shared, "bucket"), "members")
     if members.isEmpty():
         return None
-    wanted = members.select("node").distinct()
-    sets = _distinct_sets(docs, nodes, wanted, scratch, k)
-    sigs = scratch.save(nodes.select("node", "sig").join(wanted, "node"), "signatures")
+    wanted = scratch.save(members.groupBy("node").agg(F.sum("n").alias("popular")).join(nodes.select("node", "size"), "node"), "wanted")
+    sets = _distinct_sets(docs, nodes, wanted.select("node"), scratch, k)
+    sigs = scratch.save(nodes.select("node", "sig").join(wanted.select("node"), "node"), "signatures")
+    members = members.drop("n").join(wanted, "node").withColumn("bound", _partner_bound(F.col("size"), F.col("size"), percent)).withColumn("rare", F.lit(None).cast("array<int>"))
 
-    links, roots, pivots = None, None, PIVOTS
+    links, roots, pivots = None, None, 1
     while True:
-        m = members
-        if roots is not None:
-            m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            m = m.withColumn("root", F.col("node"))
-        # buckets that hold more than one component
-        open_ = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        m = scratch.save(m.join(open_, "bucket"), "open")
+        m = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        m = scratch.save(_open(m), "open")
+        if pivots == MORE_PIVOTS and not m.where(F.col("n") >= CROWD).isEmpty():
+            m = scratch.save(_open(_rule_out(m, sets, percent)), "left")
         if m.isEmpty():
             break
-        rank = F.row_number().over(_by_bucket())
-        chosen = m.withColumn("rank", rank).where(F.col("rank") <= pivots).select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-        met = m.join(chosen, "bucket").where((F.col("root") != F.col("pivot_root")) & (F.col("node") != F.col("pivot")))
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("popular"), "node"))
+        many = F.when(F.col("n") <= SMALL, SMALL).otherwise(pivots)
+        chosen = m.withColumn("rank", rank).where((F.col("rank") <= max(pivots, SMALL)) & (F.col("rank") <= many))
+        chosen = chosen.select("bucket", *[F.col(c).alias(f"pivot_{c}") for c in ("node", "root", "size", "bound", "rare")])
+        apart = (F.col("root") != F.col("pivot_root")) & _may_link(percent)
+        if pivots == 1:
+            met = m.join(chosen, "bucket").where(apart)
+        else:  # a pair meets in the least of its buckets only
+            own = m.groupBy("node").agg(F.collect_list("bucket").alias("own"))
+            theirs = chosen.groupBy("pivot_node").agg(F.collect_list("bucket").alias("theirs"))
+            least = F.array_min(F.array_intersect("own", "theirs")) == F.col("bucket")
+            met = m.join(own, "node").join(chosen.join(theirs, "pivot_node"), "bucket").where(apart & least)
+        pairs = met.select(F.least("node", "pivot_node").alias("a"), F.greatest("node", "pivot_node").alias("b")).distinct()
         signed = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        left = signed.mapInArrow(_sequential(percent / 100), "a long, b long")
+        left = signed.mapInArrow(_sequential(percent / 100), "a binary, b binary")
         full = left.join(sets.select(F.col("node").alias("a"), F.col("items").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("set_b")), "b")
-        found = full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
+        found = full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a binary, b binary")
         found = scratch.save(found, "links")
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             roots = scratch.save(components(scratch, links), "roots")
         # the pivots have met every member of their buckets
-        members = m.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-        members = scratch.save(members, "members")
-        pivots *= PIVOTS
+        met = chosen.select("bucket", F.col("pivot_node").alias("node"))
+        members = scratch.save(m.join(met, ["bucket", "node"], "left_anti").select("bucket", "node", "size", "popular", "bound", "rare"), "members")
+        pivots *= MORE_PIVOTS
     return roots
 
 
-def _by_bucket():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bucket").orderBy("node")
-
-
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, k: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
     """doc_id, row_key, n_shingles, node, component_id, kept for every row of docs(doc_id, text, ...)."""
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("row_key"), "text")
-    signed = scratch.save(docs.mapInArrow(_sign(k), "doc_id long, row_key long, n_shingles long, node long, sig binary"), "signed")
+    signed = scratch.save(docs.mapInArrow(_sign(k), "doc_id long, row_key long, n_shingles long, node binary, sig binary"), "signed")
     filled = signed.where("node is not null and doc_id is not null")
-    nodes = scratch.save(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "nodes")
+    nodes = scratch.save(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").alias("size")), "nodes")
     roots = _links(docs, nodes, scratch, k, percent)
     reps = nodes.select("node", "rep")
     if roots is None:
@@ -268,5 +351,6 @@ def near_dedup_stage(docs: DataFrame, k: int = 5, percent: int = THRESHOLD) -> D
     """The rows of docs that represent their component, with all their columns. Of rows that share
     both id and text, all stay or none."""
     judged = near_duplicates(docs, k=k, percent=percent)
-    lost = judged.where("not kept").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
-    return docs.join(lost, (docs["doc_id"] == lost["__id"]) & (row_key(docs["text"]) == lost["__key"]), "left_anti")
+    id_, key = fresh(docs.columns, "id", "key")
+    lost = judged.where("not kept").select(F.col("doc_id").alias(id_), F.col("row_key").alias(key)).distinct()
+    return docs.join(lost, (docs["doc_id"] == lost[id_]) & (row_key(docs["text"]) == lost[key]), "left_anti")
