@@ -4,7 +4,8 @@ Plan (all shuffles carry fixed-size rows, but for two that carry zstd-packed tex
 
 1. every document is cut at its minimisers: the 20-word run of least hash in each 50-word window. All
    windows with one minimiser make a *piece* (about 65 words, overlapping its neighbours), so equal
-   windows of different documents always lie in pieces with the same anchor hash;
+   windows of different documents always lie in pieces with the same anchor hash. A piece that a document
+   repeats is one row with all its places;
 2. anchors that lie in one document only are dropped (partial min/max of the id before the shuffle);
 3. equal pieces are folded into one with the smallest id, and its words are fetched;
 4. pieces are dealt to shards by anchor. Each shard builds an FM-index of its pieces (suffix order,
@@ -14,6 +15,9 @@ Plan (all shuffles carry fixed-size rows, but for two that carry zstd-packed tex
    indexed in several shards, and its pieces are streamed against each of them;
 5. the reported intervals are joined back to every document that holds the piece, united and cut out.
 
+Pieces count as equal by their anchor and 128 bits of their words' hashes; inside a shard words are compared
+as they are.
+
 Rows with null id keep all words and remove none; null or blank text has no words; rows that share an
 id never remove each other's words; a table without rows gives a table without rows.
 """
@@ -31,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayscope.llm import words as W
-from assayscope.llm.common import Scratch, row_key
+from assayscope.llm.common import Scratch, fresh, row_key
 
 WINDOW = 50
 ANCHOR = 20
+#: What tells pieces apart: the anchor's hash and 128 bits of the words.
+PIECE = ["anchor", "content", "check"]
 #: Pieces of one index; memory of a shard is about 65 words x 100 bytes x this.
-SHARD_PIECES = 12_000
+SHARD_PIECES = 8_000
 
 
 # -- FM-index ---------------------------------------------------------------------------------------
@@ -172,37 +178,41 @@ def _pieces_of(block: W.Words):
     if not len(start):
         return None
     value = least[start]
-    # the leftmost place that holds the least hash: the next place of equal hash at or after the start
-    place = start.copy()
-    todo = np.flatnonzero(k[place] != value)
-    while len(todo):
-        place[todo] += 1
-        todo = todo[k[place[todo]] != value[todo]]
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (doc[start[1:]] != doc[start[:-1]])])
-    first = np.flatnonzero(new)
+    # a run of windows with one anchor hash makes a piece; in text that repeats itself, where the hash stays
+    # on, the run is cut once its first occurrence has left the window
+    last = np.concatenate([[True], (value[1:] != value[:-1]) | (start[1:] != start[:-1] + 1) | (doc[start[1:]] != doc[start[:-1]])])
+    run = np.flatnonzero(last)
+    into = np.arange(len(start)) - np.repeat(run, np.diff(np.append(run, len(start))))
+    first = np.flatnonzero(into % span == 0)
     count = np.diff(np.append(first, len(start)))
     begin = start[first]
     content = W.spans(h, begin, begin + count + WINDOW - 1)
+    check = W.spans(W.mix(h ^ np.uint64(0xD1B54A32D192ED03)), begin, begin + count + WINDOW - 1)
     d = doc[begin]
-    return d, value[first], content, begin - at[d], count
+    return d, value[first], content, check, begin - at[d], count
 
 
 def _emit_pieces(batches):
+    """One row per document and piece, with all places where it begins."""
     for batch in batches:
         ids, keys = batch.column("doc_id"), batch.column("row_key")
         for row, block, _ in W.blocks(batch.column("text")):
             got = _pieces_of(block)
             if got is None:
                 continue
-            d, anchor, content, begin, count = got
-            take = pa.array(d + row)
+            order = np.lexsort((got[4], got[3], got[2], got[0]))
+            d, anchor, content, check, begin, count = (x[order] for x in got)
+            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (content[1:] != content[:-1]) | (check[1:] != check[:-1])]))
+            begins = pa.ListArray.from_arrays(pa.array(np.append(new, len(d)).astype(np.int32)), pa.array(begin.astype(np.int32)))
+            take = pa.array(d[new] + row)
+            longs = [pa.array(x[new].view(np.int64)) for x in (anchor, content, check)]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(take), keys.take(take), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))],
-                names=["doc_id", "row_key", "anchor", "content", "begin", "windows"],
+                [ids.take(take), keys.take(take), *longs, begins, pa.array(count[new].astype(np.int32))],
+                names=["doc_id", "row_key", "anchor", "content", "check", "begins", "windows"],
             )
 
 
-_PIECES = "doc_id long, row_key long, anchor long, content long, begin int, windows int"
+_PIECES = "doc_id long, row_key long, anchor long, content long, check long, begins array<int>, windows int"
 
 
 def _pack(batches):
@@ -233,7 +243,7 @@ def _cut_pieces(batches):
         out = []
         for blob, wanted in zip(batch.column("packed").to_pylist(), batch.column("pieces").to_pylist()):
             w = unpack(z, blob).split()
-            out += [(p["anchor"], p["content"], p["doc_id"], b" ".join(w[p["begin"] : p["begin"] + p["windows"] + WINDOW - 1])) for p in wanted]
+            out += [(p["anchor"], p["content"], p["check"], p["doc_id"], b" ".join(w[p["begin"] : p["begin"] + p["windows"] + WINDOW - 1])) for p in wanted]
             if len(out) >= 20_000:
                 yield _piece_batch(out)
                 out = []
@@ -241,31 +251,46 @@ def _cut_pieces(batches):
             yield _piece_batch(out)
 
 
+_CUT = "anchor long, content long, check long, doc_id long, words binary"
+
+
 def _piece_batch(rows):
-    a, c, d, t = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(t, pa.binary())], names=["anchor", "content", "doc_id", "words"])
+    a, c, k, d, t = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(x, pa.int64()) for x in (a, c, k, d)), pa.array(t, pa.binary())], names=["anchor", "content", "check", "doc_id", "words"]
+    )
 
 
 def _search(batches):
-    """One shard: index its pieces, stream its pieces against the index, report runs of windows with
-    the smallest id that holds them."""
-    parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not parts:
-        return
-    t = pa.concat_tables(parts).combine_chunks()
-    for shard in np.unique(np.asarray(t.column("shard"))):
-        part = t.filter(pa.compute.equal(t.column("shard"), int(shard)))
-        yield from _search_shard(part)
+    """Each shard, one after the other: index its pieces, stream its pieces against the index, report runs of
+    windows with the smallest id that holds them. Rows are sorted by shard."""
+    held, now = [], None
+    for batch in batches:
+        shard = np.asarray(batch.column("shard"))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if held and shard[lo] != now:
+                yield from _search_shard(pa.Table.from_batches(held))
+                held = []
+            now = shard[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from _search_shard(pa.Table.from_batches(held))
+
+
+def _number(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each word as a number from 1 on, equal for equal words, and the bounds of the pieces."""
+    data = np.frombuffer(b" ".join(pieces) + b" ", np.uint8)
+    offsets = np.concatenate([[0], np.flatnonzero(data == 32) + 1]).astype(np.int64)
+    each = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    number = np.asarray(each.dictionary_encode().indices).astype(np.int64) + 1
+    return number, np.cumsum([0] + [p.count(b" ") + 1 for p in pieces])
 
 
 def _search_shard(t):
-    words, hashes, at = t.column("words").combine_chunks(), [], [0]
-    for _, block, _ in W.blocks(words.cast(pa.large_binary()).view(pa.large_string())):
-        hashes.append(block.hashes())
-        at.append(block.at[1:] + at[-1][-1] if len(at) > 1 else block.at[1:])
-    hashes, at = np.concatenate(hashes), np.concatenate([np.zeros(1, np.int64), *at[1:]])
-    _, number = np.unique(hashes, return_inverse=True)
-    number = number + 1
+    number, at = _number(t.column("words").to_pylist())
     indexed = np.asarray(t.column("indexed"))
     inside = np.repeat(indexed, np.diff(at))
     ids = np.asarray(t.column("doc_id"))
@@ -283,8 +308,8 @@ def _search_shard(t):
     h = hit[first]
     out = pd.DataFrame({"row": doc[h], "off": offset[h].astype(np.int32), "len": size.astype(np.int32), "least": found[h]})
     yield pa.RecordBatch.from_arrays(
-        [t.column("anchor").combine_chunks().take(pa.array(out.row)), t.column("content").combine_chunks().take(pa.array(out.row)), pa.array(out.off), pa.array(out.len), pa.array(out.least)],
-        names=["anchor", "content", "off", "len", "least"],
+        [*(t.column(c).combine_chunks().take(pa.array(out.row)) for c in PIECE), pa.array(out.off), pa.array(out.len), pa.array(out.least)],
+        names=[*PIECE, "off", "len", "least"],
     )
 
 
@@ -322,12 +347,12 @@ def removals(docs: DataFrame, scratch: Scratch, shard_pieces: int = SHARD_PIECES
     held = scratch.save(pieces.join(shared, "anchor"), "pieces")
 
     wanted = (
-        held.groupBy("anchor", "content")
-        .agg(F.min(F.struct("doc_id", "row_key", "begin", "windows")).alias("at"))
-        .select("anchor", "content", "at.*")
+        held.groupBy(*PIECE)
+        .agg(F.min(F.struct("doc_id", "row_key", F.get("begins", F.lit(0)).alias("begin"), "windows")).alias("at"))
+        .select(*PIECE, "at.*")
     )
-    lists = wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("anchor", "content", "doc_id", "begin", "windows")).alias("pieces"))
-    cut = packed(docs.where(F.col("doc_id").isNotNull())).join(lists, ["doc_id", "row_key"]).select("packed", "pieces").mapInArrow(_cut_pieces, "anchor long, content long, doc_id long, words binary")
+    lists = wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct(*PIECE, "doc_id", "begin", "windows")).alias("pieces"))
+    cut = packed(docs.where(F.col("doc_id").isNotNull())).join(lists, ["doc_id", "row_key"]).select("packed", "pieces").mapInArrow(_cut_pieces, _CUT)
     cut = scratch.save(cut, "words")
     n = cut.count()
     shards = max(1, -(-n // shard_pieces))
@@ -335,17 +360,19 @@ def removals(docs: DataFrame, scratch: Scratch, shard_pieces: int = SHARD_PIECES
     split = cut.join(crowded, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     split = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     split = split.select(
-        "anchor", "content", "doc_id", "words",
+        *PIECE, "doc_id", "words",
         F.pmod(F.xxhash64("anchor", "part"), F.lit(shards)).cast("int").alias("shard"),
         (F.pmod(F.col("content"), F.col("parts")) == F.col("part")).alias("indexed"),
     )
-    runs = split.repartition(shards, "shard").mapInArrow(_search, "anchor long, content long, off int, len int, least long")
-    runs = runs.groupBy("anchor", "content").agg(F.collect_list(F.struct("off", "len", "least")).alias("runs"))
+    runs = split.repartition(shards, "shard").sortWithinPartitions("shard")
+    runs = runs.mapInArrow(_search, "anchor long, content long, check long, off int, len int, least long")
+    runs = runs.groupBy(*PIECE).agg(F.collect_list(F.struct("off", "len", "least")).alias("runs"))
     runs = scratch.save(runs, "runs")
 
     mine = F.filter("runs", lambda r: r["least"] < F.col("doc_id"))
-    cuts = F.transform(mine, lambda r: F.struct((F.col("begin") + r["off"]).alias("s"), (F.col("begin") + r["off"] + r["len"] + F.lit(WINDOW - 1)).alias("e")))
-    hits = held.join(runs, ["anchor", "content"]).select("doc_id", "row_key", cuts.alias("cuts")).where(F.size("cuts") > 0)
+    at = lambda begin, r: F.struct((begin + r["off"]).alias("s"), (begin + r["off"] + r["len"] + F.lit(WINDOW - 1)).alias("e"))
+    cuts = F.flatten(F.transform("begins", lambda begin: F.transform(mine, lambda r: at(begin, r))))
+    hits = held.join(runs, PIECE).select("doc_id", "row_key", cuts.alias("cuts")).where(F.size("cuts") > 0)
     return hits.groupBy("doc_id", "row_key").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("cuts"))
 
 
@@ -363,8 +390,12 @@ def substring_dedup_stage(docs: DataFrame) -> DataFrame:
     """The columns of docs with the text cut to its kept words; a document left without a word goes,
     one that had none stays as it is."""
     kept = substring_dedup(docs).where("n_removed > 0").select("doc_id", "row_key", "kept_text", (F.col("n_removed") == F.col("n_words")).alias("gone")).dropDuplicates(["doc_id", "row_key"])
-    kept = kept.withColumnsRenamed({c: f"__{c}" for c in kept.columns})
-    joined = docs.join(kept, (F.col("doc_id") == F.col("__doc_id")) & (row_key(F.col("text")) == F.col("__row_key")), "left")
-    joined = joined.where(~F.coalesce("__gone", F.lit(False)))
-    text = F.coalesce("__kept_text", "text")
-    return joined.select(*[{"text": text.alias("text"), "n_chars": F.when(F.col("__kept_text").isNull(), F.col("n_chars")).otherwise(F.length("__kept_text")).cast("long").alias("n_chars")}.get(c, F.col(c)) for c in docs.columns])
+    id_, key, text, gone = fresh(docs.columns, "id", "key", "text", "gone")
+    kept = kept.withColumnsRenamed({"doc_id": id_, "row_key": key, "kept_text": text, "gone": gone})
+    joined = docs.join(kept, (docs["doc_id"] == kept[id_]) & (row_key(docs["text"]) == kept[key]), "left")
+    joined = joined.where(~F.coalesce(gone, F.lit(False)))
+    own = {
+        "text": F.coalesce(text, "text").alias("text"),
+        "n_chars": F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars") if "n_chars" in docs.columns else None,
+    }
+    return joined.select(*[own.get(c, F.col(c)) for c in docs.columns])

@@ -8,6 +8,8 @@ the number of words. Sequences of words are hashed the same way from the running
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -18,6 +20,8 @@ _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INV = U(pow(int(_BASE), -1, 1 << 64))
 #: Bytes of text that are hashed at once; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 21
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -76,7 +80,12 @@ class Words:
         self.at = np.searchsorted(self.starts, bounds)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        return _spans((_BYTE_LOWER if lower else _BYTE)[self.data], self.starts, self.ends)
+        h = _spans((_BYTE_LOWER if lower else _BYTE)[self.data], self.starts, self.ends)
+        # equal polynomial hashes modulo 2**64 can be constructed for long strings
+        for i in np.flatnonzero(self.ends - self.starts > LONG_WORD):
+            word = self.data[self.starts[i] : self.ends[i]].tobytes()
+            h[i] = int.from_bytes(hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest(), "little")
+        return h
 
 
 def spans(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
