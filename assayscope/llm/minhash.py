@@ -276,25 +276,25 @@ def _may_link(percent: int) -> Column:
 def _open(m: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one component, and the number n of members."""
     stats = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
-    return m.drop("n").join(stats, "bucket")
+    return m.join(stats, "bucket")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame | None:
     """node, root of all nodes that a verified link joins to another; None if there are none."""
     buckets = nodes.select("node", "sig").mapInArrow(_bands, "bucket long, node binary")
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")  # a node has one row a bucket
     members = scratch.save(buckets.join(shared, "bucket"), "members")
     if members.isEmpty():
         return None
     wanted = scratch.save(members.groupBy("node").agg(F.sum("n").alias("popular")).join(nodes.select("node", "size"), "node"), "wanted")
     sets = _distinct_sets(docs, nodes, wanted.select("node"), scratch, k)
     sigs = scratch.save(nodes.select("node", "sig").join(wanted.select("node"), "node"), "signatures")
-    members = members.drop("n").join(wanted, "node").withColumn("bound", _partner_bound(F.col("size"), F.col("size"), percent)).withColumn("rare", F.lit(None).cast("array<int>"))
+    members = members.join(wanted, "node").withColumn("bound", _partner_bound(F.col("size"), F.col("size"), percent)).withColumn("rare", F.lit(None).cast("array<int>"))
 
     links, roots, pivots = None, None, 1
     while True:
         m = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        m = scratch.save(_open(m), "open")
+        m = scratch.save(m if pivots == 1 else _open(m), "open")
         if pivots == MORE_PIVOTS and not m.where(F.col("n") >= CROWD).isEmpty():
             m = scratch.save(_open(_rule_out(m, sets, percent)), "left")
         if m.isEmpty():
