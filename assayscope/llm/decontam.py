@@ -8,27 +8,32 @@ lower-cased, so that case and punctuation don't hide a leak; a text of fewer tha
    shingle is an item shingle, aligned to the shingle's place in that item. Documents stay where they
    are: shingles are exploded and looked up inside the scan's stage;
 2. equal windows are folded into one, whatever the number of documents that hold them;
-3. each distinct window and item gets a 64-bit SimHash of its words. With radius R, the 64 bits are cut
-   into R + 1 blocks: two fingerprints within R agree on a whole block, so an equi-join on (length,
-   block number, block value) yields all pairs within the radius, and bit_count(xor) drops the others;
+3. each distinct window and item gets a 64-bit SimHash of its words, cut into BLOCKS blocks of 16 bits. Two
+   fingerprints within RADIUS differ in RADIUS // BLOCKS bits at most in some block. The items, the small side,
+   list every value that near in each block, so an equi-join on (length, block number, block value) yields
+   all pairs within the radius and few others, which bit_count(xor) drops. Which item a window was laid for
+   is not carried along: the fingerprints alone find the item;
 4. candidates are verified on their full weighted shingles, and leaks are joined back to the documents.
 
 Null or blank texts leak nothing; blank items match nothing; null ids are judged like others; items of
-equal words are all reported; rows that share an id are reported once per place.
+equal words are all reported; rows that share an id are reported once per place. Further columns, whatever
+their names, pass unread.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayscope.llm.common import Scratch
+from assayscope.llm.common import Scratch, fresh
 
 SHINGLE = 5
 PERCENT = 80
-RADIUS = 20
+RADIUS = 15
+BLOCKS = 4
 #: Item shingles up to this number are broadcast (24 bytes each); beyond it the lookup is a shuffle join.
 BROADCAST_ROWS = 200_000
 
@@ -66,15 +71,20 @@ def simhash(w: Column) -> Column:
     return F.aggregate(powers, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
 
-def blocks(fingerprint: Column, radius: int) -> Column:
-    """radius + 1 (number, value) structs that together hold all 64 bits."""
-    n = radius + 1
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    cut = [
-        F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(fingerprint, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("value"))
-        for i, (lo, hi) in enumerate(zip(edges, edges[1:]))
-    ]
-    return F.array(*cut)
+def blocks(fingerprint: Column) -> Column:
+    """BLOCKS (number, value) structs that together hold all 64 bits."""
+    bits = 64 // BLOCKS
+    mask = F.lit((1 << bits) - 1).cast("long")
+    return F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(fingerprint, i * bits).bitwiseAND(mask).alias("value")) for i in range(BLOCKS)])
+
+
+def near_blocks(fingerprint: Column, radius: int) -> Column:
+    """Every (number, value) that a block of a fingerprint within `radius` may have where it differs least:
+    in radius // BLOCKS bits or fewer."""
+    bits, most = 64 // BLOCKS, radius // BLOCKS
+    flips = [sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(bits), n)]
+    flips = F.array(*[F.lit(f).cast("long") for f in flips])
+    return F.flatten(F.transform(blocks(fingerprint), lambda x: F.transform(flips, lambda f: F.struct(x["no"].alias("no"), x["value"].bitwiseXOR(f).alias("value")))))
 
 
 def _items(benchmark: DataFrame, k: int) -> DataFrame:
@@ -109,9 +119,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int
         hits.append(s.select("doc_id", "text_hash", start.alias("start"), "length"))
     found = scratch.save(reduce(DataFrame.unionByName, hits).distinct(), "hits")
     per = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("at"))
-    per = per.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    per = per.withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
     per = F.broadcast(per) if found.count() <= BROADCAST_ROWS else per
-    held = d.join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    # only texts with a hit are cut into words again
+    held = docs.select("doc_id", "text").join(per, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash")))
+    held = held.select("doc_id", F.col("hit_hash").alias("text_hash"), "at", words(F.col("text")).alias("w"))
     cut = F.transform("at", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), F.slice(F.col("w"), x["start"] + 1, x["length"]).alias("w")))
     held = held.select("doc_id", "text_hash", cut.alias("cut")).select("doc_id", "text_hash", F.inline_outer("cut"))
     held = held.withColumn("window", F.xxhash64("w", "length")).dropDuplicates(["doc_id", "text_hash", "start", "length"])
@@ -120,8 +132,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int
     distinct = scratch.save(held.groupBy("window", "length").agg(F.first("w").alias("w")), "distinct")
     prints = distinct.withColumn("print", simhash(F.col("w")))
     item_prints = items.withColumn("print", simhash(F.col("w")))
-    left = prints.select("window", "length", "print", F.explode(blocks(F.col("print"), radius)).alias("block"))
-    right = item_prints.select("item", "length", F.col("print").alias("item_print"), F.explode(blocks(F.col("print"), radius)).alias("block"))
+    left = prints.select("window", "length", "print", F.explode(blocks(F.col("print"))).alias("block"))
+    right = item_prints.select("item", "length", F.col("print").alias("item_print"), F.explode(near_blocks(F.col("print"), radius)).alias("block"))
     pairs = left.join(right, ["length", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     pairs = scratch.save(pairs.select("window", "item", "length").distinct(), "pairs")
 
@@ -141,5 +153,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int
 
 def decontaminate_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a leak, with all their columns."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__hash"]), "left_anti")
+    id_, hash_ = fresh(docs.columns, "id", "hash")
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[id_]) & (F.xxhash64(docs["text"]) == bad[hash_]), "left_anti")
