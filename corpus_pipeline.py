@@ -32,7 +32,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per copy that the mix takes, numbered by copy_no."""
     mixed = mixing.pareto_mix(docs).where("mix_copies > 0")
-    return mixed.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    copy = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy_no")
+    return mixed.select(*[c for c in mixed.columns if c.lower() != "copy_no"], copy)
 
 
 STAGES = [
