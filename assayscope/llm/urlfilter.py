@@ -8,7 +8,8 @@ keys. The Bloom filter has one 64-bit block per key hash, four bits a key, built
 keys whose bits are all set are possible hits, and the hash join with the list removes false positives.
 
 Null urls, and urls without `://`, have empty host and path: no rule fits them. Repeated rows are judged
-alike; an empty table gives an empty table; an empty list allows all.
+alike; an empty table gives an empty table; an empty list allows all. Further columns pass, but for those
+named like an output, which is put in their place.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ RULES = [
 ]
 #: Verdict where no listed URL fits.
 DEFAULT = "allow"
+OUTPUTS = ("host", "path", "rule", "verdict")
 KEYS_PER_BLOCK = 4
 #: Blocks up to this number are broadcast (16 bytes each); beyond it the filter is joined by shuffle.
 BROADCAST_BLOCKS = 500_000
@@ -65,13 +67,14 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
     blocks = max(1, counted["n"] // KEYS_PER_BLOCK + 1)
     cuts = F.array(*[F.lit(c) for c in sorted(counted["cuts"])]).cast("array<int>")
 
-    judged = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    urls = judged.select("host", "path").where(F.col("host") != "").distinct()
+    own = [F.col("row").getField(c).alias(c) for c in pages.columns if c.lower() not in OUTPUTS]
+    judged = pages.select(F.struct(*[F.col(c) for c in pages.columns]).alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fitting = F.filter(cuts, lambda c: c <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda c: F.concat_ws("\n", s, F.substr(F.col("path"), F.lit(1), c)))))
-    keys = urls.select("host", "path", F.explode(keys).alias("key"))
+    # the filter meets the keys in the scan's stage: only possible hits go on
+    keys = judged.where("host <> ''").select("host", "path", F.explode(keys).alias("key"))
     filter_ = bloom(listed, blocks)
     filter_ = F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_
     possible = keys.withColumn("block", _block(F.col("key"), blocks)).join(filter_, "block")
@@ -79,8 +82,11 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
     exact = possible.join(listed, "key")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "rule_verdict")).alias("best"))
     best = best.select("host", "path", "best.rule", "best.rule_verdict")
-    out = judged.join(best, ["host", "path"], "left")
-    return out.withColumn("verdict", F.coalesce("rule_verdict", F.lit(default))).drop("rule_verdict")
+    # urls without a host would all meet in one task
+    out = judged.where("host <> ''").join(best, ["host", "path"], "left")
+    hostless = judged.where("host = ''").select("host", "path", "row", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("rule_verdict"))
+    out = out.unionByName(hostless)
+    return out.select(*own, "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
 
 
 ORACLE = """
