@@ -8,7 +8,8 @@ a word). The model is fitted on a bounded sample of labelled rows, drawn by the
 
 Output: expected grade, P(grade >= 1), P(grade >= 2), and `kept` where the latter is at least KEEP. A
 null, empty or wordless text has no feature: it gets the grades' base rates, and is kept. Without labels
-everything is kept. Rows that share an id are scored separately.
+everything is kept. Rows that share an id are scored separately. Further columns pass, but for those named
+like an output, which is put in their place; the stage returns the input's columns as they were.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayscope.llm import words as W
+from assayscope.llm.common import fresh
 
 #: Labelled rows that the model is fitted on.
 SAMPLE_ROWS = 12_000
@@ -196,23 +198,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     n = rated.count()
     rate = min(1.0, sample_rows / max(n, 1))
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30))
-    drawn = rated.select(F.col("doc_id").alias("__id"), grade_of().alias("grade"), h.alias("h")).where(F.col("h") < int(rate * (1 << 30)))
+    drawn = rated.select(F.col("doc_id").alias("of"), grade_of().alias("grade"), h.alias("h")).where(F.col("h") < int(rate * (1 << 30)))
     # at most about sample_rows rows of 20 bytes
-    sample = docs.where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("h", "grade", "text")
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("of")).select("h", "grade", "text")
     features_ = sample.mapInArrow(_featurise, "h long, grade int, cols array<long>, vals array<double>")
     got = features_.repartition(1).mapInPandas(_fit_sample, "model binary").collect()
     return Ordinal.load(bytes(got[0]["model"])) if got else None
 
 
-def score(docs: DataFrame, model: Ordinal | None, keep: float = KEEP) -> DataFrame:
-    """All columns of docs with expected_grade, p_at_least_1, p_at_least_2 and kept."""
-    new = ["expected_grade", "p_at_least_1", "p_at_least_2"]
+OUTPUTS = ("expected_grade", "p_at_least_1", "p_at_least_2", "kept")
+
+
+def score(docs: DataFrame, model: Ordinal | None, keep: float = KEEP, outputs: tuple = OUTPUTS) -> DataFrame:
+    """All columns of docs with expected_grade, p_at_least_1, p_at_least_2 and kept, under the names of outputs."""
+    own = [c for c in docs.columns if c.lower() not in outputs]
+    docs = docs.select(*own)
     schema = T.StructType(list(docs.schema.fields))
-    for c in new:
-        schema = schema.add(c, "double")
-    schema = schema.add("kept", "boolean")
+    for c, kind in zip(outputs, ("double", "double", "double", "boolean")):
+        schema = schema.add(c, kind)
     if model is None:
-        return docs.withColumns({c: F.lit(None).cast("double") for c in new} | {"kept": F.lit(True)})
+        return docs.select("*", *[F.lit(None).cast("double").alias(c) for c in outputs[:3]], F.lit(True).alias(outputs[3]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -228,7 +233,7 @@ def score(docs: DataFrame, model: Ordinal | None, keep: float = KEEP) -> DataFra
                 part = batch.slice(row, k)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array((tails[:, 1] >= keep) | blank)],
-                    names=[*part.schema.names, *new, "kept"],
+                    names=[*part.schema.names, *outputs],
                 )
 
     return docs.mapInArrow(run, schema)
@@ -241,4 +246,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def quality_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
-    return score(docs, learn(docs, labels)).where("kept").select(*docs.columns)
+    names = tuple(fresh(docs.columns, *OUTPUTS))
+    return score(docs, learn(docs, labels), outputs=names).where(names[3]).select(*docs.columns)
