@@ -3,7 +3,7 @@
 Every page is read once, in tasks, into nodes: the path of block elements down to each text, how often
 it occurs, and the length and hash of the text there. Pages of a host with the same set of containers
 (boilerplate left out) share a template, and each template has a wrapper, inferred from all of its pages:
-nodes are aligned by their path; one that occurs several times below its parent is a repeated group, one
+nodes are aligned by their path (of block elements, as a 64-bit id); one that occurs several times below its parent is a repeated group, one
 that some pages lack is optional, and text that differs between pages is a slot. The wrapper never branches
 (union-free). All of this is sums, minima and maxima, so Spark aggregates it and no page is left out.
 
@@ -12,8 +12,12 @@ containers. A page's text is what stands in that container, without boilerplate,
 is the same on all pages stays, if it stands there. A page of a template without a container, or alone in
 its template with no container that stands out, is read whole, without boilerplate.
 
+Classes and ids that name page furniture as a whole (`ad-slot`, but neither `article-header` nor
+`has-sidebar`) mark boilerplate, as tags like nav do; names of articles only decide between containers.
+
 Blocks are cut at block-level tags; `br` is white space. Null or blank html gives an empty text. Broken
-markup: unclosed elements end with their parent. Rows that share an id are read separately.
+markup: unclosed elements end with their parent. Rows that share an id are read separately. Further columns,
+whatever their names, pass unread.
 """
 
 from __future__ import annotations
@@ -46,16 +50,17 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 BOILERPLATE = frozenset("head nav header footer aside form menu dialog".split()) | RAW
 #: An open element of the first kind is closed by a start tag of the second.
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-MARKS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus|replies|respond|sidebar|side|nav\w*|menu\w*|"
-    r"breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|related|recommend\w*|"
-    r"share|sharing|social|widget|login|search|toolbar|pagination|pager|skip|legal|copyright|hidden)(?:$|[-_\s\d])",
-    re.I,
+# Words that name page furniture, words that name an article, and words that only qualify.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion comment comments commentlist disqus replies"
+    " respond sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup"
+    " modal newsletter subscribe signup share sharing social widget login search toolbar pagination pager skip hidden".split()
 )
-ARTICLE = re.compile(r"(?:^|[-_\s])(?:article\w*|post|entry|content|story|main|body|text)(?:$|[-_\s\d])", re.I)
+ARTICLE = frozenset("article post entry content story main body text".split())
+QUALIFY = frozenset("has no with without not".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
 _ATTR = re.compile(r"(?:^|\s)(id|class|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
@@ -103,78 +108,109 @@ def is_boilerplate(name: str, attrs: str) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         k, v = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if k in ("id", "class") and MARKS.search(v) or k == "role" and v.lower() in ROLES:
+        if k in ("id", "class") and any(map(is_mark, v.split())) or k == "role" and v.lower() in ROLES:
             return True
         if k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and re.search(r"display\s*:\s*none", v, re.I):
             return True
     return False
 
 
+def is_mark(name: str) -> bool:
+    """Whether one class or id names page furniture: `ad-slot`, `site-footer`, but neither `article-header` nor
+    `has-sidebar`."""
+    parts = [x for x in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if x]
+    parts = [x.lower().rstrip("0123456789") for x in parts]
+    return any(x in MARKS for x in parts) and not any(x in ARTICLE or x in QUALIFY for x in parts)
+
+
+class Node:
+    """An open element: name, whether it is boilerplate, and the block it stands in, as a 64-bit id of the path
+    of blocks down to it."""
+
+    __slots__ = ("name", "bad", "id", "parent", "last", "depth")
+
+    def __init__(self, name: str, bad: bool, above: Node | None, last: str | None):
+        self.name, self.bad = name, bad
+        at = above or ROOT
+        if last is None:
+            self.id, self.parent, self.last, self.depth = (at.id, at.parent, at.last, at.depth) if at else (0, 0, "", 0)
+        else:
+            self.id, self.parent, self.last, self.depth = _hash(f"{at.id} {last}"), at.id, last, at.depth + 1
+
+
+ROOT = None
+ROOT = Node("", False, None, None)
+
+
 def walk(page: str):
-    """(kind, name, text or attributes, open elements, inside boilerplate); an open element is its name,
-    signature, whether it is boilerplate, and its path (of block elements, one a line)."""
-    stack: list[tuple[str, str, bool, str]] = []
+    """(kind, name, text or attributes, innermost open element)."""
+    stack: list[Node] = [ROOT]
+    open_: Counter = Counter()
     for kind, name, rest in tokens(page):
         if kind == "<":
-            while stack and name in CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
-            bad = bool(stack) and stack[-1][2] or is_boilerplate(name, rest)
+            while stack and name in CLOSED_BY.get(stack[-1].name, ()):
+                open_[stack.pop().name] -= 1
+            top = stack[-1]
+            bad = top.bad or is_boilerplate(name, rest)
             if name not in VOID and not rest.endswith("/"):
-                seen, path = signature(name, rest), stack[-1][3] if stack else ""
-                if name in BLOCK:
-                    path = f"{path}\n{seen if name in CONTAINERS else name}".lstrip("\n")
-                stack.append((name, seen, bad, path))
-            yield kind, name, rest, stack, bad
+                last = (signature(name, rest) if name in CONTAINERS else name) if name in BLOCK else None
+                stack.append(Node(name, bad, top, last))
+                open_[name] += 1
+                yield kind, name, rest, stack[-1]
+            else:
+                yield kind, name, rest, top
         elif kind == ">":
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
-            yield kind, name, "", stack, bool(stack) and stack[-1][2]
+            if open_[name]:
+                while True:
+                    gone = stack.pop().name
+                    open_[gone] -= 1
+                    if gone == name:
+                        break
+            yield kind, name, "", stack[-1]
         else:
-            yield kind, name, rest, stack, bool(stack) and stack[-1][2]
+            yield kind, name, rest, stack[-1]
 
 
 # -- reading --------------------------------------------------------------------------------------
 
 
-def read(page: str) -> tuple[dict[str, list], list[list]]:
-    """Nodes of a page outside boilerplate, {path: [times, characters, texts]}, and all its text outside
-    boilerplate, [[block, path, text]] in page order."""
-    nodes: dict[str, list] = {}
+def read(page: str) -> tuple[dict[int, list], list[list]]:
+    """Nodes of a page outside boilerplate, {id: [times, characters, texts, parent, last, depth]}, parents first,
+    and all its text outside boilerplate, [[block, id, text]] in page order."""
+    nodes: dict[int, list] = {0: [0, 0, [], 0, "", 0]}
     parts: list[list] = []
     block = 0
-    for kind, name, rest, stack, bad in walk(page):
-        path = stack[-1][3] if stack else ""
+    for kind, name, rest, at in walk(page):
         if kind != "t" and name in BLOCK:
             block += 1
-            if kind == "<" and not bad and name not in VOID:
-                nodes.setdefault(path, [0, 0, []])[0] += 1
-        elif kind == "t" and not bad or name == "br":
+            if kind == "<" and not at.bad and name not in VOID:
+                nodes.setdefault(at.id, [0, 0, [], at.parent, at.last, at.depth])[0] += 1
+        elif (kind == "t" or name == "br") and not at.bad:
             if kind != "t":
                 rest = "\n"
             elif not rest.isspace():
-                node = nodes.setdefault(path, [0, 0, []])
+                node = nodes[at.id]
                 node[1] += len(rest)
                 node[2].append(rest)
-            if parts and parts[-1][0] == block and parts[-1][1] == path:
-                parts[-1][2] += rest
+            if parts and parts[-1][0] == block and parts[-1][1] == at.id:
+                parts[-1][2].append(rest)
             else:
-                parts.append([block, path, rest])
-    return nodes, parts
+                parts.append([block, at.id, [rest]])
+    return nodes, [[b, i, "".join(t)] for b, i, t in parts]
 
 
-def stream(page: str) -> list[tuple[str, int, int, int]]:
-    """(path, times, characters, hash of the text) of each node of a page."""
-    return [(path, n, chars, _hash(" ".join(" ".join(texts).split()))) for path, (n, chars, texts) in read(page)[0].items()]
+def stream(page: str) -> list[tuple]:
+    """(id, times, characters, hash of the text, parent, last, depth) of each node of a page."""
+    return [(i, n, chars, _hash(" ".join(" ".join(texts).split())), *rest) for i, (n, chars, texts, *rest) in read(page)[0].items()]
 
 
-def template(paths) -> int:
+def template(nodes: dict[int, list]) -> int:
     """The set of a page's containers, as a hash."""
-    return _hash("\n\n".join(sorted(p for p in paths if _tag(p) in CONTAINERS)))
+    return _hash(" ".join(map(str, sorted(i for i, x in nodes.items() if _tag(x[4]) in CONTAINERS))))
 
 
-def _tag(path: str) -> str:
-    return re.match(r"[^#.]*", path.rsplit("\n", 1)[-1])[0]
+def _tag(last: str) -> str:
+    return re.match(r"[^#.]*", last)[0]
 
 
 def _hash(text: str) -> int:
@@ -185,120 +221,131 @@ def _hash(text: str) -> int:
 
 
 class Wrapper:
-    """A union-free expression: for each path [pages that hold it, most times on a page, characters of
-    text right there, least and greatest hash of that text]."""
+    """A union-free expression: for each node [pages that hold it, most times on a page, characters of text right
+    there, least and greatest hash of that text, parent, last, depth]."""
 
     def __init__(self, first=None):
         self.pages = 0
-        self.at: dict[str, list] = {}
+        self.at: dict[int, list] = {}
         if first is not None:
             self.align(first)
 
     def align(self, s) -> None:
         """Generalise the wrapper so that it fits a further page, given as its stream."""
         self.pages += 1
-        for path, times, chars, h in s:
-            held, most, all_chars, lo, hi = self.at.get(path, (0, 0, 0, h, h))
-            self.at[path] = [held + 1, max(most, times), all_chars + chars, min(lo, h), max(hi, h)]
+        for i, times, chars, h, *rest in s:
+            held, most, all_chars, lo, hi, *_ = self.at.get(i, (0, 0, 0, h, h))
+            self.at[i] = [held + 1, max(most, times), all_chars + chars, min(lo, h), max(hi, h), *rest]
 
-    def slot(self, path: str) -> bool:
+    def slot(self, i: int) -> bool:
         """Whether the text right there differs between pages; one page alone is all slots."""
-        held, _, _, lo, hi = self.at[path]
+        held, _, _, lo, hi, *_ = self.at[i]
         return self.pages == 1 or lo != hi or held < self.pages
 
     @property
-    def nodes(self) -> list[tuple[str, str, str]]:
-        """(tag, path, kind) with kind "" (once), "?" (optional) or "+" (repeated)."""
+    def nodes(self) -> list[tuple[str, int, str]]:
+        """(tag, id, kind) with kind "" (once), "?" (optional) or "+" (repeated)."""
         out = []
-        for path, (held, most, *_) in self.at.items():
-            above = self.at.get(path.rpartition("\n")[0])
+        for i, (held, most, _, _, _, parent, last, _) in self.at.items():
+            above = self.at.get(parent)
             kind = "+" if most > (max(above[1], 1) if above else 1) else "?" if held < self.pages else ""
-            out.append((_tag(path), path, kind))
+            out.append((_tag(last), i, kind))
         return out
 
-    def article(self) -> list[str]:
-        """Paths of the article's container: the deepest one that has nearly all of the slots' text of the
-        best candidates. Several if containers alike share the article; none if no container stands out."""
-        slots = {p: self.at[p][2] for p in self.at if self.slot(p)}
+    def article(self) -> list[int]:
+        """Ids of the article's container: the deepest one that has nearly all of the slots' text of the best
+        candidates. Several if containers alike share the article; none if no container stands out. Ties: the
+        deepest, then the greatest id."""
+        slots = {i: self.at[i][2] for i in self.at if self.slot(i)}
         if not any(slots.values()):  # all pages are equal
-            slots = {p: x[2] for p, x in self.at.items()}
-        text: Counter = Counter()
-        for path, n in slots.items():
-            for p in _prefixes(path):
-                text[p] += n
+            slots = {i: x[2] for i, x in self.at.items()}
+        text: Counter = Counter(slots)
+        for i in sorted(self.at, key=lambda i: -self.at[i][7]):  # children before parents
+            if i and self.at[i][5] in self.at:
+                text[self.at[i][5]] += text[i]
         total = max(text.values(), default=0)
         named, plain = [], []
-        for p, n in text.items():
-            if p not in self.at or 2 * self.at[p][0] < self.pages or not n:
+        for i, n in text.items():
+            held, *_, last, depth = self.at[i]
+            if not i or 2 * held < self.pages or not n:
                 continue
-            last, tag = p.rsplit("\n", 1)[-1], _tag(p)
-            if tag in ("article", "main") or tag in ("div", "section", "td") and ARTICLE.search(last[len(tag) + 1 :]):
-                named.append((tag == "article", n, p.count("\n"), p))
+            tag = _tag(last)
+            if tag in ("article", "main") or tag in ("div", "section", "td") and is_article(last[len(tag) :]):
+                named.append((tag == "article", n, depth, i))
             elif tag in ("div", "section", "td", "body") and n >= 0.7 * total:
-                plain.append((p.count("\n"), n, p))
+                plain.append((depth, n, i))
         good = [x for x in named if x[1] >= 0.3 * total]
         if good:
-            last = max(good)[3].rsplit("\n", 1)[-1]
-            return sorted(x[3] for x in good if x[3].rsplit("\n", 1)[-1] == last)
+            last = self.at[max(good)[3]][6]
+            return sorted(x[3] for x in good if self.at[x[3]][6] == last)
         return [max(plain)[2]] if plain else []
 
 
-def _prefixes(path: str):
-    parts = path.split("\n")
-    return ["\n".join(parts[:i]) for i in range(1, len(parts) + 1)]
+def is_article(marks: str) -> bool:
+    """Whether the id and classes of a container name an article; this only decides between containers that
+    hold enough of the slots' text."""
+    return any(x in ARTICLE for x in re.split(r"[-_\s#.]+", marks.lower()))
 
 
 # -- extraction ---------------------------------------------------------------------------------------
 
 
-def render(parts, containers: list[str]) -> str:
-    """The blocks of text in the containers (all text if there is none); parts as of read."""
-    heads = tuple(c + "\n" for c in containers)
+def render(parts, inside: set[int] | None) -> str:
+    """The blocks of text that stand in the nodes of `inside` (all text if it is None); parts as of read."""
     out: list[str] = []
     now: list[str] = []
     at = None
-    for block, path, text in [*parts, (None, "", "")]:
+    for block, i, text in [*parts, (None, 0, "")]:
         if block != at:
             done = _SPACE.sub(" ", entities.unescape("".join(now))).strip()
             if done:
                 out.append(done)
             now, at = [], block
-        if not containers or (path + "\n").startswith(heads):
+        if inside is None or i in inside:
             now.append(text)
     return "\n\n".join(out)
 
 
+def within(ids, parents, containers) -> set[int] | None:
+    """The nodes (parents first) in the containers; None if there are no containers."""
+    if not containers:
+        return None
+    found = set(containers)
+    for i, parent in zip(ids, parents):
+        if parent in found and i:
+            found.add(i)
+    return found
+
+
 def extract(page: str | None, container: str | None) -> str:
     """The text of a page in the elements that have the container's signature (in the whole page if there
     is none), without boilerplate."""
     if not page:
         return ""
     nodes, parts = read(page)
-    return render(parts, [p for p in nodes if p.rsplit("\n", 1)[-1] == container])
+    return render(parts, within(nodes, [x[3] for x in nodes.values()], [i for i, x in nodes.items() if x[4] == container]))
 
 
-PAGES = "page_id long, url string, host string, template long, paths array<string>, times array<int>, chars array<long>, hashes array<long>, blocks array<int>, places array<int>, texts array<string>"
+PAGES = (
+    "page_id long, url string, host string, template long, ids array<long>, times array<int>, chars array<long>, hashes array<long>, parents array<long>, "
+    "lasts array<string>, depths array<int>, blocks array<int>, places array<long>, texts array<string>"
+)
 
 
 def _read(batches):
     for whole in batches:
         for lo in range(0, whole.num_rows, ROWS):
             batch = whole.slice(lo, ROWS)
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(11)]
             for page in batch.column("html"):
                 nodes, parts = read(page.as_py() or "")
-                for _, path, _ in parts:
-                    nodes.setdefault(path, [0, 0, []])
-                index = {p: i for i, p in enumerate(nodes)}
-                row = (
-                    template(nodes), list(nodes), [x[0] for x in nodes.values()], [x[1] for x in nodes.values()],
-                    [_hash(" ".join(" ".join(x[2]).split())) for x in nodes.values()],
-                    [x[0] for x in parts], [index[x[1]] for x in parts], [x[2] for x in parts],
-                )
-                for column, value in zip(out, row):
+                x = list(nodes.values())
+                hashes = [_hash(" ".join(" ".join(n[2]).split())) for n in x]
+                columns = [list(nodes), [n[0] for n in x], [n[1] for n in x], hashes, *([n[k] for n in x] for k in (3, 4, 5)), *([p[k] for p in parts] for k in range(3))]
+                for column, value in zip(out, [template(nodes), *columns]):
                     column.append(value)
             ints, longs, strings = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
-            kinds = (pa.int64(), strings, ints, longs, longs, ints, ints, strings)
+            kinds = (pa.int64(), longs, ints, longs, longs, longs, strings, ints, ints, longs, strings)
             columns = [batch.column(c) for c in ("page_id", "url", "host")] + [pa.array(v, k) for v, k in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PAGES.split(", ")])
 
@@ -309,9 +356,9 @@ def _infer(batches):
         for pages, nodes in zip(batch.column("pages").to_pylist(), batch.column("nodes").to_pylist()):
             w = Wrapper()
             w.pages = pages
-            w.at = {x["path"]: [x["held"], x["most"], x["chars"], x["lo"], x["hi"]] for x in nodes}
+            w.at = {x["id"]: [x[c] for c in ("held", "most", "chars", "lo", "hi", "parent", "last", "depth")] for x in nodes}
             found.append(w.article())
-        yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("template"), pa.array(found, pa.list_(pa.string()))], names=["site", "template", "containers"])
+        yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("template"), pa.array(found, pa.list_(pa.int64()))], names=["site", "template", "containers"])
 
 
 def _render(batches):
@@ -319,9 +366,9 @@ def _render(batches):
         for lo in range(0, whole.num_rows, ROWS):
             batch = whole.slice(lo, ROWS)
             texts = []
-            for paths, blocks, places, parts, containers in zip(*(batch.column(c) for c in ("paths", "blocks", "places", "texts", "containers"))):
-                paths = paths.as_py()
-                texts.append(render([(b, paths[i], t) for b, i, t in zip(blocks.as_py(), places.as_py(), parts.as_py())], containers.as_py() or []))
+            for row in zip(*(batch.column(c) for c in ("ids", "parents", "containers", "blocks", "places", "texts"))):
+                ids, parents, containers, *parts = (x.as_py() for x in row)
+                texts.append(render(list(zip(*parts)), within(ids, parents, containers)))
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
@@ -329,14 +376,15 @@ def _render(batches):
 def wrappers(pages: DataFrame) -> DataFrame:
     """site, template, containers: the article's containers by the wrapper of each template of a host."""
     site = F.coalesce("host", F.lit("")).alias("site")
-    node = F.explode(F.arrays_zip("paths", "times", "chars", "hashes")).alias("x")
-    nodes = pages.select(site, "template", node).groupBy("site", "template", F.col("x.paths").alias("path")).agg(
+    node = F.explode(F.arrays_zip("ids", "times", "chars", "hashes", "parents", "lasts", "depths")).alias("x")
+    nodes = pages.select(site, "template", node).groupBy("site", "template", F.col("x.ids").alias("id")).agg(
         F.count("*").alias("held"), F.max("x.times").alias("most"), F.sum("x.chars").alias("chars"), F.min("x.hashes").alias("lo"), F.max("x.hashes").alias("hi"),
+        F.first("x.parents").alias("parent"), F.first("x.lasts").alias("last"), F.first("x.depths").alias("depth"),
     )
-    # a template has few paths: its containers are the same on all of its pages
-    nodes = nodes.groupBy("site", "template").agg(F.collect_list(F.struct("path", "held", "most", "chars", "lo", "hi")).alias("nodes"))
+    # a template has few nodes: its containers are the same on all of its pages
+    nodes = nodes.groupBy("site", "template").agg(F.collect_list(F.struct("id", "held", "most", "chars", "lo", "hi", "parent", "last", "depth")).alias("nodes"))
     count = pages.groupBy(site, "template").agg(F.count("*").alias("pages"))
-    return count.join(nodes, ["site", "template"]).mapInArrow(_infer, "site string, template long, containers array<string>")
+    return count.join(nodes, ["site", "template"]).mapInArrow(_infer, "site string, template long, containers array<long>")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -347,4 +395,4 @@ def main_texts(pages: DataFrame) -> DataFrame:
     # one short row per template; pages stay where they are, so a host with a third of them is no hot spot
     found = small(scratch, wrappers(done), "templates")
     joined = done.withColumn("site", F.coalesce("host", F.lit(""))).join(found, ["site", "template"], "left")
-    return joined.select("page_id", "url", "paths", "blocks", "places", "texts", "containers").mapInArrow(_render, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "ids", "parents", "blocks", "places", "texts", "containers").mapInArrow(_render, "page_id long, url string, text string, n_chars long")
