@@ -66,7 +66,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix": mixing.ORACLE, "op8_urls": urlfilter.ORACLE, "op2_substring": SUBSTRING_SQL}
+    return {"op3_warc": warc.ORACLE, "op6_mix": mixing.ORACLE, "op8_urls": urlfilter.ORACLE, "op2_substring": SUBSTRING_SQL}
 
 
 #: Only sound on unique ids, which the driver's tables have.

@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 from assayscope.llm.common import Scratch
 
 MIN_REVISIT = 100
-#: Records per archive file; with pages of a few kB that is some ten MB.
+#: Records per archive file, at most; fewer where the largest payload is long, so that a file, which is read as
+#: one value, stays below FILE_BYTES (or holds one record).
 RECORDS_PER_FILE = 2_000
+FILE_BYTES = 1 << 28
+#: Captures that one merge task handles on average, at most.
+MERGE_ROWS = 250_000
 #: First capture time; a page is captured page_id seconds later.
 EPOCH = 1_577_836_800
 
@@ -74,7 +78,9 @@ def records(roles: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    writer = records(payload_roles(pages)).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    a_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // (largest + 1_000)))
+    writer = records(payload_roles(pages)).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", a_file)
     writer.text(path)
 
 
@@ -199,7 +205,7 @@ def read_archives(scratch: Scratch, path: str) -> DataFrame:
 def capture_index(scratch: Scratch, runs: DataFrame, partitions: int | None = None) -> DataFrame:
     """runs in global order: index_position counts from 0 over all captures."""
     spark = scratch.spark
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // MERGE_ROWS))
     dealt = runs.repartitionByRange(n, "url_key", "captured", F.coalesce("page_id", F.lit(-1)), "archive", "offset")
     merged = dealt.mapInPandas(_merge, _PARSED + ", position long").withColumn("slice", F.spark_partition_id())
     merged = scratch.save(merged, "index")
@@ -218,13 +224,18 @@ def archive_pages(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     path = scratch.path("archives")
     write_archives(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), path)
-    return capture_index(scratch, read_archives(scratch, path))
+    runs = scratch.save(read_archives(scratch, path), "runs")
+    return capture_index(scratch, runs)
 
 
 ORACLE = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d,
+    regexp_extract(coalesce(url, ''), '://(.*)$', 1, 's') AS rest FROM pages),
+k AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS host FROM p),
+i AS (SELECT page_id, n, d, CASE WHEN rest = '' THEN '' ELSE array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || substr(rest, length(host) + 1) END AS url_key FROM k),
 f AS (SELECT d, min(page_id) AS first_page FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
     CASE WHEN page_id > first_page THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN page_id > first_page THEN first_page END AS refers_to FROM p LEFT JOIN f USING (d)
+    CASE WHEN page_id > first_page THEN first_page END AS refers_to,
+    row_number() OVER (ORDER BY url_key, page_id) - 1 AS index_position, true AS intact FROM i LEFT JOIN f USING (d)
 """
