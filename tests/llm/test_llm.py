@@ -339,14 +339,58 @@ def test_leaks_equal_brute_force(spark, none):
     assert left == {r[0] for r in rows} - {i for i, _ in want} | {203}
 
 
-def test_simhash_blocks_hold_all_bits(spark):
-    d = spark.createDataFrame([(["a", "b", "c"],)], "w array<string>").withColumn("f", decontam.simhash(F.col("w")))
-    r = d.select("f", decontam.blocks(F.col("f"), 20).alias("b")).first()
-    bits, at = 0, 0
-    edges = [round(64 * i / 21) for i in range(22)]
-    for lo, b in zip(edges, r.b):
-        bits |= b.value << lo
-    assert bits == r.f % (1 << 64) and at == 0
+def test_blocks_meet_within_the_radius(spark):
+    rows = []
+    for i in range(400):
+        x, n = rnd.getrandbits(64), rnd.randint(0, decontam.RADIUS)
+        y = x
+        for b in rnd.sample(range(64), n):
+            y ^= 1 << b
+        rows.append((i, x - (1 << 64) if x >> 63 else x, y - (1 << 64) if y >> 63 else y))
+    d = spark.createDataFrame(rows, "i int, x long, y long")
+    meet = F.arrays_overlap(decontam.blocks(F.col("x")), decontam.near_blocks(F.col("y"), decontam.RADIUS))
+    assert d.where(meet).count() == 400
+    r = d.select("x", decontam.blocks(F.col("x")).alias("b")).first()
+    assert sum(b.value << 16 * b.no for b in r.b) == r.x % (1 << 64)
+
+
+def test_near_leaks_by_place_and_similarity(spark):
+    """Start, length and similarity of every leak against brute force, over items edited in one to three words."""
+    pick = random.Random(5)
+    items = [(i, " ".join(pick.choice(VOCAB) for _ in range(pick.randint(14, 59)))) for i in range(60)]
+    rows = []
+    for i, t in items * 4:
+        w = t.split()
+        for _ in range(len(rows) % 3):
+            at = pick.choice([0, 1, len(w) - 1, pick.randrange(len(w))])
+            w[at : at + 1] = pick.choice([["changed"], ["changed", w[at]], []])
+        rows.append((len(rows), " ".join(pick.choice(VOCAB) for _ in range(12)) + " " + " ".join(w) + " " + " ".join(pick.choice(VOCAB) for _ in range(12))))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start): (r.length, r.similarity) for r in decontam.leaks(d, b).collect()}
+
+    def counted(w):
+        from collections import Counter
+
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    norm = lambda t: [x for x in re.split(r"[^\w]+", t.lower()) if x]
+    want, near = {}, 0
+    for i, t in rows:
+        w = norm(t)
+        for j, u in items:
+            v = norm(u)
+            for p in range(len(w) - len(v) + 1):
+                if w[p + 5 : p + 8] != v[5:8] and w[p : p + 3] != v[:3] and w[p + len(v) - 3 : p + len(v)] != v[-3:]:
+                    continue
+                a, c = counted(w[p : p + len(v)]), counted(v)
+                s = sum((a & c).values()) / sum((a | c).values())
+                if s >= 0.8:
+                    want[i, j, p] = (len(v), s)
+    near = [k for k, (_, s) in want.items() if s < 1]
+    assert {k: v for k, v in got.items() if k in want} == {k: pytest.approx(v) for k, v in want.items() if k in got}
+    # windows are laid where a shingle stands as in the item: every other place of a leak overlaps one of these
+    assert {k[:2] for k in want} == {k[:2] for k in got} and len(near) > 60
+    assert sum(k in got for k in near) >= 0.95 * len(near)
 
 
 # -- 8 URLs ---------------------------------------------------------------------------------------------
@@ -396,6 +440,73 @@ def test_minhash_equals_brute_force(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def edited(base, n, most, pick):
+    out = []
+    for _ in range(n):
+        w = base.split()
+        for _ in range(pick.randint(1, most)):
+            w[pick.randrange(len(w))] = f"new{pick.randrange(40)}"
+        out.append(" ".join(w))
+    return out
+
+
+def components_by_hand(rows, k=4):
+    low = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    number, sets = {}, []
+    for _, t in rows:
+        w = words((t or "").translate(low))
+        sets.append({number.setdefault(tuple(w[i : i + k]), len(number)) for i in range(max(len(w) - k + 1, min(len(w), 1)))})
+    comp = list(range(len(rows)))
+
+    def find(i):
+        while comp[i] != i:
+            comp[i] = comp[comp[i]]
+            i = comp[i]
+        return i
+
+    by = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(i)
+    links = 0
+    for i, s in enumerate(sets):
+        met = {}
+        for x in s:
+            for j in by[x]:
+                if j < i:
+                    met[j] = met.get(j, 0) + 1
+        for j, both in met.items():
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                links += 1
+                a, b = sorted((find(i), find(j)))
+                comp[b] = a
+    return [find(i) for i in range(len(rows))], links
+
+
+@pytest.mark.parametrize("original", [True, False])
+def test_a_crowd_of_edited_copies(spark, original):
+    """Copies on both sides of the threshold, with edits that recur, with and without the original."""
+    pick = random.Random(17)
+    base = " ".join(pick.choice(VOCAB) for _ in range(130))
+    texts = [base] * original + edited(base, 260, 9, pick)
+    rows = list(enumerate(texts))
+    comp, links = components_by_hand(rows)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert links > 1000 and len(set(comp)) > 30
+    assert sorted((r.doc_id, r.component_id) for r in out) == list(enumerate(comp))
+
+
+def test_recall_on_the_given_documents(spark):
+    """At MISS, and with the bands' own chance to meet, at least 0.95 of the documents keep their component."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in d.select("doc_id", "text").collect())
+    comp, _ = components_by_hand(rows)
+    want = {r[0]: rows[c][0] for r, c in zip(rows, comp)}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(d).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+    assert all(want[i] == want[c] for i, c in got.items())  # no link below the threshold
+
+
 def test_posterior_bound_keeps_sure_pairs():
     for n in (25, 50, 125):
         m = minhash.least_matches(0.8, n, 1e-5)
@@ -440,7 +551,7 @@ def test_wrapper_slots_choose_the_container():
     page = "<body><div class='content'><p>{}</p></div><div class='story'><p>News {}</p></div></body>"
     w = wrapper.Wrapper(wrapper.stream(page.format("About us. " * 20, 1)))
     w.align(wrapper.stream(page.format("About us. " * 20, "2, and more")))
-    assert w.article() == ["body\ndiv.story"]
+    assert [w.at[i][6] for i in w.article()] == ["div.story"]
 
 
 def test_every_template_of_a_host_has_a_wrapper(spark):
@@ -455,6 +566,81 @@ def test_every_template_of_a_host_has_a_wrapper(spark):
     assert got == {i: want(i) for i in range(66)}
 
 
+@pytest.mark.parametrize("body, text", [
+    ('<div class="content has-sidebar"><p>Text</p></div>', "Text"),
+    ('<div class="post-content no-sidebar"><p>Text</p></div>', "Text"),
+    ('<div class="article-header"><h1>Title</h1></div>', "Title"),
+    ('<p class="legal">Text', "Text"),
+    ('<section class="legal">Text</section>', "Text"),
+    ('<div class="related-story">Text</div>', "Text"),
+    ('<div class="ad-slot">Buy</div><div id="comments">Ha</div><p>Text', "Text"),
+])
+def test_marks_are_whole_names(body, text):
+    assert wrapper.extract(body, None) == text
+
+
+def test_deep_and_broken_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    w = wrapper.Wrapper(wrapper.stream("<div>" * 5000 + "<p>text</p>" + "</div>" * 5000))
+    w.article()
+    wrapper.read("<a b " * 50_000)
+    assert time.time() - began < 5
+
+
+# -- odd columns, long texts, empty tables ------------------------------------------------------------------
+
+
+ODD = "kept boolean, rule string, verdict string, host string, mix_copies long, mix_size long, copy_no int, _id long, __id long, _hash long, _key string, __gone boolean, expected_grade double, size long, u double, row string, level int"
+
+
+def odd(spark, rows):
+    names = ODD.split(", ")
+    values = {"boolean": "true", "string": "'x'", "long": "7L", "double": "0.5D", "int": "3"}
+    extra = [F.expr(values[n.split()[1]]).alias(n.split()[0]) for n in names]
+    return spark.createDataFrame(rows, DOCS).select("*", *extra)
+
+
+def test_clashing_columns(spark, docs):
+    import corpus_pipeline as C
+
+    d, (rated_docs, labels) = odd(spark, ROWS), rated(spark, 60)
+    plain = lambda f: sorted(map(repr, f.select("doc_id", "text").collect()))
+    benchmark = spark.createDataFrame([(1, ROWS[0][1])], "item_id long, text string")
+    for stage in (lambda x: quality.quality_stage(x, labels), minhash.near_dedup_stage, substring.substring_dedup_stage, lambda x: decontam.decontaminate_stage(x, benchmark)):
+        out = stage(d)
+        assert out.columns == d.columns and plain(out) == plain(stage(docs))
+        assert {(r.kept, r.rule, r._id, r["__gone"]) for r in out.select("kept", "rule", "_id", "__gone").collect()} == {(True, "x", 7, True)}
+    mixed = C.source_mix(spark, d, "")
+    assert len({c.lower() for c in mixed.columns}) == len(mixed.columns) and mixed.where("copy_no < 1 or copy_no > 3 or size <> 7").count() == 0
+    pages = spark.createDataFrame([(1, "http://net/fr/", "<p>a")], "page_id long, url string, html string").select("*", *[F.lit("x").alias(c) for c in ("host", "Rule", "block", "mask", "rule_verdict", "row", "path")])
+    r = urlfilter.judge(pages).first()
+    assert (r.host, r.path, r.rule, r.verdict, r.block, r.rule_verdict) == ("net", "/fr/", "net/fr/", "block", "x", "x")
+    assert wrapper.main_texts(pages).first().text == "a" and warc.archive_pages(pages).first().intact
+
+
+def test_stages_of_empty_tables(spark, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    for out in (quality.quality_stage(none, labels), minhash.near_dedup_stage(none), substring.substring_dedup_stage(none), decontam.decontaminate_stage(none, benchmark), mixing.pareto_mix(none)):
+        assert out.count() == 0
+
+
+def test_a_text_of_five_megabytes(spark):
+    pick = random.Random(8)
+    long = " ".join(pick.choice(VOCAB) for _ in range(1_100_000))
+    assert len(long) > 5_000_000 * 0.9
+    d = spark.createDataFrame([(1, long, "xx", "a", None, None), (2, long, "yy", "a", None, None), (3, prose(60), "xx", "b", None, None)], DOCS)
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(d).collect()} == {(1, 1), (2, 1), (3, 3)}
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substring.substring_dedup(d).collect()}
+    assert cut == {1: (1_100_000, 0), 2: (1_100_000, 1_100_000), 3: (60, 0)}
+    assert mixing.pareto_mix(d).where("mix_size = 1100000").count() == 2
+    assert langid.language_ids(d).count() == 3
+    html = spark.createDataFrame([(1, "http://a.org/", f"<article><p>{long}</p></article>")], "page_id long, url string, html string")
+    assert wrapper.main_texts(html).first().n_chars == len(long)
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------
 
 
