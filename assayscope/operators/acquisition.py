@@ -53,6 +53,9 @@ def acquire_diverse(pool: DataFrame, by: list[str], item: str, score: str, batch
     })
     d = d.withColumn("edge", F.min(F.when(F.col("o") <= batch, F.col(score))).over(w))
     d = d.where(F.col(score) >= F.col("edge") - F.lit(weight) * F.col("range") * F.col("most"))
+    # of rows with the same sites, the penalty is the same: only the `batch` best can be chosen
+    same = Window.partitionBy(*by, F.array_sort("sites")).orderBy(F.col(score).desc(), item)
+    d = d.withColumn("o", F.row_number().over(same)).where(F.col("o") <= batch)
     types = dict(pool.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [*by, item]) + ", rank int"
 

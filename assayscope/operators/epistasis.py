@@ -55,11 +55,18 @@ def pairwise_scores(higher: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.withColumns({"pairwise_score": F.round(F.col("score") + mean, 9), "pair_coverage": coverage}).drop("s", "known")
 
 
-def enrichment(df: DataFrame, by: list[str], score: str, hit: str, item: str, ks: list[int]) -> DataFrame:
-    """Hit rate of the top k by score against the base rate, for each k; ties go to the larger item."""
+def enrichment(df: DataFrame, by: list[str], score: str, hit: str, item: str, ks: list[int], size: str | None = None, hits: str | None = None) -> DataFrame:
+    """Hit rate of the top k by score against the base rate, for each k; ties go to the larger item. The base
+    rate is that of the group's rows, or hits / size where these columns tell it for the group. Enrichment is
+    one division of whole numbers; null without a hit."""
     order = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(item).desc())
     d = df.withColumn("o", F.row_number().over(order))
-    base = F.avg(F.col(hit).cast("double"))
-    out = d.groupBy(*by).agg(base.alias("base_rate"), *[F.avg(F.when(F.col("o") <= k, F.col(hit).cast("double"))).alias(f"k{k}") for k in ks])
-    out = out.unpivot([*by, "base_rate"], [f"k{k}" for k in ks], "k", "hit_rate")
-    return out.withColumns({"k": F.substring("k", 2, 9).cast("int"), "enrichment": F.try_divide("hit_rate", "base_rate")})
+    n = F.max(size) if size else F.count("*")
+    total = F.max(hits) if hits else F.sum(hit)
+    out = d.groupBy(*by).agg(F.count("*").alias("rows"), n.alias("size"), total.alias("total"), *[F.sum(F.when(F.col("o") <= k, F.col(hit))).alias(f"k{k}") for k in ks])
+    out = out.unpivot([*by, "rows", "size", "total"], [f"k{k}" for k in ks], "k", "found").withColumn("k", F.substring("k", 2, 9).cast("int"))
+    taken = F.least("k", "rows")
+    return out.select(
+        *by, "k", (F.col("total") / F.col("size")).alias("base_rate"), (F.col("found") / taken).alias("hit_rate"),
+        F.try_divide((F.col("found") * F.col("size")).cast("double"), (taken * F.col("total")).cast("double")).alias("enrichment"),
+    )

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def midrank(value: str, by: list[str]) -> Column:
-    """Rank from 1, ties averaged."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
+def midrank(value: str, by: list[str], descending: bool = False) -> Column:
+    """Rank from 1, ties averaged; one sort, as ties are the row's peers in the same order."""
+    order = Window.partitionBy(*by).orderBy(F.col(value).desc() if descending else F.col(value).asc())
+    peers = F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.rank().over(order) + (peers - 1) / F.lit(2.0)
 
 
 def distributed_midrank(df: DataFrame, by: list[str], value: str, name: str, parts: int = 64) -> DataFrame:

@@ -14,12 +14,12 @@ from assayscope.plans.registry import add
 from assayscope.sources import fixtures as X
 
 _K = "assay, seed, budget, regime"
-BP = f"{B}, {FITS}, {PRED}, ap AS (SELECT * FROM pred WHERE budget = 20 AND regime = 'single_only')"
+BP = f"{B}, {FITS}, {PRED}, ap AS (SELECT * FROM pred)"
 BATCH = 20
 
 
 def pool(spark, sf):
-    return predictions(spark, sf).where("budget = 20 and regime = 'single_only'")
+    return predictions(spark, sf)
 
 
 def _best_sql(source: str, score: str) -> str:

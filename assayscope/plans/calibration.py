@@ -19,6 +19,9 @@ from assayscope.sources import fixtures as X
 KEYS = ["assay", "seed", "budget", "regime"]
 _K = "assay, seed, budget, regime"
 _MET = ["m_qty", "m_tax"]
+_TRUTH = ["n", "rank_true", "rt"]
+#: Candidates that are judged in a large group.
+SAMPLED = 20_000
 B = f"WITH {X.VARIANTS}, {SPLITS}, {ADD_SPLIT}"
 #: training rows by method, and the closed-form fits of linear_1 and linear_2
 FITS = f"""trz AS (SELECT {_K}, mutant, u.method, u.z, dms_score AS y FROM (SELECT {_K}, s.mutant, dms_score, unnest([{{'method': 'm_qty', 'z': m_qty}}, {{'method': 'm_tax', 'z': m_tax}}]) AS u FROM splits s JOIN variants USING (assay, mutant))),
@@ -35,8 +38,10 @@ def train_long(spark, sf):
     train, test = heldout(spark, sf)
     scored = additive_scores(train, train, KEYS).withColumnRenamed("score", "a")
     held = additive_scores(test, train, KEYS).withColumnRenamed("score", "a")
-    long = lambda d: d.select(*KEYS, "mutant", "ord", "dms_score", "a", *_MET).unpivot([*KEYS, "mutant", "ord", "dms_score", "a"], _MET, "method", "z")
-    return long(scored), long(held)
+    # truth is ranked once per split, not for each method and model
+    held = held.withColumns({"n": F.count("*").over(Window.partitionBy(*KEYS)), "rank_true": K.ordinal("dms_score", KEYS, "mutant", descending=True), "rt": K.midrank("dms_score", KEYS)})
+    long = lambda d, *more: d.select(*KEYS, "mutant", "ord", "dms_score", "a", *more, *_MET).unpivot([*KEYS, "mutant", "ord", "dms_score", "a", *more], _MET, "method", "z")
+    return long(scored), long(held, *_TRUTH)
 
 
 @add(f"{B}, {FITS} SELECT {_K}, method, n_train, {r('slope')} AS slope, {r('my - slope * mz')} AS intercept FROM f1")
@@ -66,8 +71,8 @@ def predictions(spark, sf):
     # a handful of coefficients per split
     p = held.join(one, by).join(two, by)
     p = p.withColumns({"linear_1": F.round(F.col("i1") + F.col("s1") * F.col("z"), 6), "linear_2": F.round(F.col("i2") + F.col("slope_a") * F.col("a") + F.col("slope_z") * F.col("z"), 6)})
-    p = p.select(*by, "mutant", "dms_score", "linear_1", "linear_2").unpivot([*by, "mutant", "dms_score"], ["linear_1", "linear_2"], "model", "score")
-    add_ = held.where(F.col("method") == _MET[0]).select(*KEYS, F.lit("none").alias("method"), "mutant", "dms_score", F.lit("additive").alias("model"), F.col("a").alias("score"))
+    p = p.select(*by, "mutant", "dms_score", *_TRUTH, "linear_1", "linear_2").unpivot([*by, "mutant", "dms_score", *_TRUTH], ["linear_1", "linear_2"], "model", "score")
+    add_ = held.where(F.col("method") == _MET[0]).select(*KEYS, F.lit("none").alias("method"), "mutant", "dms_score", *_TRUTH, F.lit("additive").alias("model"), F.col("a").alias("score"))
     return p.unionByName(add_)
 
 
@@ -80,9 +85,13 @@ BL = f"{B}, {FITS}, {LOWN}"
 
 def low_n(spark, sf):
     by = [*KEYS, "method", "model"]
-    k = M.ranked(predictions(spark, sf), by, "dms_score", "score", "mutant").withColumns({"__rt": K.midrank("dms_score", by), "__rp": K.midrank("score", by)})
-    top = M.top_metrics(100, "dms_score")
-    return k.groupBy(*by).agg(F.count("*").alias("n_test"), M.pearson("__rt", "__rp").alias("spearman_all"), top["top1pct_recall_at_k"].alias("recall"), top["best_true_in_pred_top_k"].alias("best"))
+    # one order serves both ranks: of equal scores the row number goes by the mutant
+    k = predictions(spark, sf).withColumn("rank_pred", K.ordinal("score", by, "mutant", descending=True)).withColumn("down", K.midrank("score", by, descending=True))
+    top = F.col("rank_true") <= M.top_size(F.col("n"), 0.01)
+    inside = F.col("rank_pred") <= 100
+    return k.withColumn("rp", F.col("n") + 1 - F.col("down")).groupBy(*by).agg(
+        F.count("*").alias("n_test"), M.pearson("rt", "rp").alias("spearman_all"), (F.count_if(inside & top) / F.count_if(top)).alias("recall"), F.max(F.when(inside, F.col("dms_score"))).alias("best"),
+    )
 
 
 @add(f"{BL} SELECT {_PK}, n_test, {r('spearman_all')} AS spearman_all, {r('recall')} AS recall, {r('best')} AS best FROM lown")
@@ -144,24 +153,24 @@ def data_value_summary(spark, sf):
     return rounded(paired(spark, sf).groupBy("budget", "model", "method").agg(F.count("d_spearman").alias("n_spearman"), F.count("d_recall").alias("n_recall"), F.avg("d_spearman").alias("mean_d_spearman"), F.avg("d_recall").alias("mean_d_recall")))
 
 
-@add(f"""{BL}, sa AS (SELECT *, row_number() OVER (PARTITION BY {_PK} ORDER BY md5(concat_ws('|', {_PK}, mutant)), mutant) AS h, count(*) OVER (PARTITION BY {_PK}) AS nn FROM pred), sb AS (SELECT *, row_number() OVER (PARTITION BY {_PK} ORDER BY score DESC, mutant) AS o FROM sa WHERE h <= 1000)
-SELECT {_PK}, count(*) AS n_candidates, CAST(max(nn) > 1000 AS INT) AS sampled, {r('max(CASE WHEN o <= 100 THEN dms_score END)')} AS best FROM sb GROUP BY {_PK}""")
+@add(f"""{BL}, sa AS (SELECT *, row_number() OVER (PARTITION BY {_PK} ORDER BY md5(concat_ws('|', {_PK}, mutant)), mutant) AS h, count(*) OVER (PARTITION BY {_PK}) AS nn FROM pred), sb AS (SELECT *, row_number() OVER (PARTITION BY {_PK} ORDER BY score DESC, mutant) AS o FROM sa WHERE h <= {SAMPLED})
+SELECT {_PK}, count(*) AS n_candidates, CAST(max(nn) > {SAMPLED} AS INT) AS sampled, {r('max(CASE WHEN o <= 100 THEN dms_score END)')} AS best FROM sb GROUP BY {_PK}""")
 def low_n_calibration_sampled(spark, sf):
     from assayscope.operators.sampling import hash_order
 
     by = [*KEYS, "method", "model"]
     w = Window.partitionBy(*by)
-    p = predictions(spark, sf).withColumns({"h": F.row_number().over(w.orderBy(hash_order(*by, "mutant"), "mutant")), "nn": F.count("*").over(w)}).where("h <= 1000")
+    p = predictions(spark, sf).withColumns({"h": F.row_number().over(w.orderBy(hash_order(*by, "mutant"), "mutant")), "nn": F.count("*").over(w)}).where(F.col("h") <= SAMPLED)
     p = p.withColumn("o", K.ordinal("score", by, "mutant", descending=True))
-    return rounded(p.groupBy(*by).agg(F.count("*").alias("n_candidates"), (F.max("nn") > 1000).cast("int").alias("sampled"), F.max(F.when(F.col("o") <= 100, F.col("dms_score"))).alias("best")))
+    return rounded(p.groupBy(*by).agg(F.count("*").alias("n_candidates"), (F.max("nn") > SAMPLED).cast("int").alias("sampled"), F.max(F.when(F.col("o") <= 100, F.col("dms_score"))).alias("best")))
 
 
-@add(f"{B}, om AS (SELECT {_K}, ord, avg(dms_score) AS m FROM tr GROUP BY {_K}, ord), gm AS (SELECT {_K}, avg(dms_score) AS g FROM tr GROUP BY {_K}) SELECT {_K}, mutant, {r('g')} AS global_mean, {r('coalesce(m, g)')} AS order_mean FROM held JOIN gm USING ({_K}) LEFT JOIN om USING ({_K}, ord) WHERE budget = 20 AND seed = 0")
+@add(f"{B}, om AS (SELECT {_K}, ord, avg(dms_score) AS m FROM tr GROUP BY {_K}, ord), gm AS (SELECT {_K}, avg(dms_score) AS g FROM tr GROUP BY {_K}) SELECT {_K}, mutant, {r('g')} AS global_mean, {r('coalesce(m, g)')} AS order_mean FROM held JOIN gm USING ({_K}) LEFT JOIN om USING ({_K}, ord)")
 def mean_baselines(spark, sf):
     train, test = heldout(spark, sf)
     g = train.groupBy(*KEYS).agg(F.avg("dms_score").alias("global_mean"))
     o = train.groupBy(*KEYS, "ord").agg(F.avg("dms_score").alias("m"))
-    p = test.where("budget = 20 and seed = 0").join(g, KEYS).join(o, [*KEYS, "ord"], "left")
+    p = test.join(g, KEYS).join(o, [*KEYS, "ord"], "left")
     return rounded(p.select(*KEYS, "mutant", "global_mean", F.coalesce("m", "global_mean").alias("order_mean")))
 
 

@@ -142,21 +142,41 @@ def residual_subset_summary(spark, sf):
 
 
 KS = [10, 20, 50, 100]
-_HD = f"""{VLR}, j AS (SELECT assay, method, mutant, score, sign, row_number() OVER (PARTITION BY assay, method ORDER BY abs_residual DESC, mutant DESC) <= greatest(1, ceil(0.25::DOUBLE * count(*) OVER (PARTITION BY assay, method))) AS strong,
-row_number() OVER (PARTITION BY assay, method ORDER BY residual DESC, mutant DESC) <= greatest(1, ceil(0.1::DOUBLE * count(*) OVER (PARTITION BY assay, method))) AS pos, row_number() OVER (PARTITION BY assay, method ORDER BY score DESC, mutant DESC) AS o FROM res JOIN long USING (assay, mutant)),
-hd AS (SELECT assay, method, kind, k, avg(hit) AS base_rate, avg(CASE WHEN o <= k THEN hit END) AS hit_rate FROM (SELECT *, unnest(['strong', 'positive', 'sign']) AS kind, unnest([CAST(strong AS INT), CAST(pos AS INT), sign]) AS hit FROM j), (VALUES (10), (20), (50), (100)) ks(k) GROUP BY 1, 2, 3, 4)"""
+#: Fewer doubles of an assay, or fewer scored ones of a method, tell nothing.
+LEAST_RANKED = 50
+_HD = f"""{VLR}, hh AS (SELECT assay, mutant, additive_prediction, n, CAST(row_number() OVER (PARTITION BY assay ORDER BY abs_residual DESC, mutant DESC) <= greatest(1, ceil(0.25::DOUBLE * n)) AS INT) AS strong,
+CAST(residual > 0 AND row_number() OVER (PARTITION BY assay ORDER BY residual DESC, mutant DESC) <= greatest(1, ceil(0.1::DOUBLE * n)) AS INT) AS positive, sign, sum(sign) OVER (PARTITION BY assay) AS signs FROM res WHERE n >= {LEAST_RANKED}),
+hk AS (SELECT assay, mutant, additive_prediction, n, unnest(['strong', 'positive', 'sign']) AS kind, unnest([strong, positive, CASE WHEN signs > 0 THEN sign ELSE strong END]) AS hit FROM hh),
+ht AS (SELECT *, sum(hit) OVER (PARTITION BY assay, kind) AS total FROM hk),
+hs AS (SELECT assay, mutant, method, score FROM hh JOIN long USING (assay, mutant) UNION ALL SELECT assay, mutant, 'additive_prediction', additive_prediction FROM hh),
+ho AS (SELECT *, row_number() OVER (PARTITION BY assay, method ORDER BY score DESC, mutant DESC) AS o, count(*) OVER (PARTITION BY assay, method) AS m FROM hs),
+hd AS (SELECT assay, method, kind, k, CAST(max(total) AS DOUBLE) / max(n) AS base_rate, CAST(sum(CASE WHEN o <= k THEN hit END) AS DOUBLE) / least(k, max(m)) AS hit_rate,
+CAST(sum(CASE WHEN o <= k THEN hit END) * max(n) AS DOUBLE) / nullif(CAST(least(k, max(m)) * max(total) AS DOUBLE), 0) AS enrichment FROM ho JOIN ht USING (assay, mutant), (VALUES (10), (20), (50), (100)) ks(k) WHERE m >= {LEAST_RANKED} GROUP BY 1, 2, 3, 4)"""
+
+
+def hit_discovery(spark, sf):
+    """Strong, positive and sign hits of every assay among the doubles that a method, or the additive prediction,
+    ranks first. Without a sign hit the strong ones stand in."""
+    v = X.variants(spark, sf)
+    res = residuals(spark, sf, v).where(F.col("n") >= LEAST_RANKED)
+    top = lambda c, share: K.ordinal(c, ["assay"], "mutant", True, True) <= M.top_size(F.col("n"), share)
+    d = res.withColumns({"strong": top("abs_epistasis_residual", 0.25).cast("int"), "positive": (top("epistasis_residual", 0.1) & (F.col("epistasis_residual") > 0)).cast("int")})
+    d = d.withColumn("sign", F.when(F.sum("sign_epistasis").over(Window.partitionBy("assay")) > 0, F.col("sign_epistasis")).otherwise(F.col("strong")))
+    kinds = ["strong", "positive", "sign"]
+    d = d.select("assay", "mutant", "n", *kinds).unpivot(["assay", "mutant", "n"], kinds, "kind", "hit").withColumn("total", F.sum("hit").over(Window.partitionBy("assay", "kind")))
+    scores = E.with_scores(res.select("assay", "mutant"), X.scores_long(v)).unionByName(res.select("assay", "mutant", F.lit("additive_prediction").alias("method"), F.col("additive_prediction").alias("score")))
+    scores = scores.withColumn("m", F.count("*").over(Window.partitionBy("assay", "method"))).where(F.col("m") >= LEAST_RANKED)
+    return E.enrichment(scores.join(d, ["assay", "mutant"]), ["assay", "method", "kind"], "score", "hit", "mutant", KS, "n", "total")
+
+
+@add(f"{_HD} SELECT assay, method, kind, k, {r('base_rate')} AS base_rate, {r('hit_rate')} AS hit_rate, {r('enrichment')} AS enrichment FROM hd")
+def epistatic_hit_discovery(spark, sf):
+    return rounded(hit_discovery(spark, sf))
 
 
-@add(f"{_HD} SELECT assay, method, kind, k, {r('base_rate')} AS base_rate, {r('hit_rate')} AS hit_rate, {r('hit_rate / nullif(base_rate, 0)')} AS enrichment FROM hd")
-def epistatic_hit_discovery(spark, sf):
-    v = X.variants(spark, sf)
-    by = ["assay", "method"]
-    d = E.with_scores(residuals(spark, sf, v), X.scores_long(v)).drop("n")
-    n = F.count("*").over(Window.partitionBy(*by))
-    top = lambda c, share: (K.ordinal(c, by, "mutant", True, True) <= M.top_size(n, share)).cast("int")
-    d = d.withColumns({"strong": top("abs_epistasis_residual", 0.25), "positive": top("epistasis_residual", 0.1), "sign": F.col("sign_epistasis")})
-    d = d.select(*by, "mutant", "score", "strong", "positive", "sign").unpivot([*by, "mutant", "score"], ["strong", "positive", "sign"], "kind", "hit")
-    return rounded(E.enrichment(d, [*by, "kind"], "score", "hit", "mutant", KS))
+@add(f"{_HD} SELECT method, kind, k, count(*) AS n_assays, {r('avg(hit_rate)')} AS mean_hit_rate, {r('avg(enrichment)')} AS mean_enrichment FROM hd GROUP BY 1, 2, 3")
+def epistatic_hit_summary(spark, sf):
+    return rounded(hit_discovery(spark, sf).groupBy("method", "kind", "k").agg(F.count("*").alias("n_assays"), F.avg("hit_rate").alias("mean_hit_rate"), F.avg("enrichment").alias("mean_enrichment")))
 
 
 _EU = f"""{VLR}, s AS (SELECT assay, mutant, method, (row_number() OVER (PARTITION BY assay, method ORDER BY score, mutant) - 1)::DOUBLE / greatest(1, count(*) OVER (PARTITION BY assay, method) - 1) AS s FROM (SELECT assay, mutant, method, score FROM res JOIN long USING (assay, mutant))),
@@ -184,10 +204,10 @@ _UE = f"""{_EU}, c AS (SELECT assay, list_sort(list(abs_residual))[floor(0.75::D
 x AS (SELECT assay, mutant, CAST(abs_residual >= cut AS INT) AS hit, mean, std, split, disagreement FROM res JOIN c USING (assay) JOIN eu USING (assay, mutant)),
 y AS (SELECT assay, mutant, hit, kind, score FROM x UNPIVOT (score FOR kind IN (mean, std, split, disagreement))),
 z AS (SELECT *, row_number() OVER (PARTITION BY assay, kind ORDER BY score DESC, mutant DESC) AS o FROM y),
-w AS (SELECT assay, kind, k, avg(hit) AS base_rate, avg(CASE WHEN o <= k THEN hit END) AS hit_rate FROM z, (VALUES (10), (50), (100)) ks(k) GROUP BY 1, 2, 3)"""
+w AS (SELECT assay, kind, k, avg(hit) AS base_rate, avg(CASE WHEN o <= k THEN hit END) AS hit_rate, CAST(sum(CASE WHEN o <= k THEN hit END) * count(*) AS DOUBLE) / nullif(CAST(least(k, count(*)) * sum(hit) AS DOUBLE), 0) AS enrichment FROM z, (VALUES (10), (50), (100)) ks(k) GROUP BY 1, 2, 3)"""
 
 
-@add(f"{_UE} SELECT assay, kind, k, {r('base_rate')} AS base_rate, {r('hit_rate')} AS hit_rate, {r('hit_rate / nullif(base_rate, 0)')} AS enrichment FROM w")
+@add(f"{_UE} SELECT assay, kind, k, {r('base_rate')} AS base_rate, {r('hit_rate')} AS hit_rate, {r('enrichment')} AS enrichment FROM w")
 def uncertainty_enrichment(spark, sf):
     u = uncertainty(spark, sf)
     cut = K.at_index(u, ["assay"], "abs_epistasis_residual", F.floor(F.lit(0.75) * (F.col("n") - 1)), "cut")
@@ -300,43 +320,65 @@ def informative_doubles(spark, sf):
     return d.select("assay", "mutant", "freq", K.ordinal("freq", ["assay"], "mutant", descending=True).alias("rank"))
 
 
-_POL = {"random": "md5(concat_ws('|', 'random', assay, mutant))", "extreme": "-abs(additive_prediction - wt)", "coverage": "md5(concat_ws('|', 'coverage', assay, mutant))", "oracle": "-abs_residual"}
-_POLS = " UNION ALL ".join(f"SELECT assay, mutant, '{p}' AS policy, row_number() OVER (PARTITION BY assay ORDER BY {o}, mutant) AS o FROM res" for p, o in _POL.items())
-_DS = f"""{VR}, po AS ({_POLS}), ch AS (SELECT assay, mutant, policy, budget FROM po, (VALUES (10), (50)) b(budget) WHERE o <= budget),
-rs AS (SELECT res.*, array_to_string(list_sort([single_a[2:-2], single_b[2:-2]]), ':') AS site FROM res),
-cs AS (SELECT assay, policy, budget, site, CAST(sum(CAST(residual AS DECIMAL(28,10))) AS DOUBLE) / count(*) AS v FROM ch JOIN rs USING (assay, mutant) GROUP BY 1, 2, 3, 4),
-ca AS (SELECT assay, policy, budget, CAST(sum(CAST(residual AS DECIMAL(28,10))) AS DOUBLE) / count(*) AS fallback FROM ch JOIN rs USING (assay, mutant) GROUP BY 1, 2, 3),
-he AS (SELECT rs.assay, rs.mutant, rs.site, rs.ab AS dms_score, rs.additive_prediction, ca.policy, ca.budget, fallback FROM rs JOIN ca ON ca.assay = rs.assay ANTI JOIN ch ON ch.assay = rs.assay AND ch.policy = ca.policy AND ch.budget = ca.budget AND ch.mutant = rs.mutant),
-hs AS (SELECT he.*, round(additive_prediction + coalesce(v, fallback), 9) AS score FROM he LEFT JOIN cs USING (assay, policy, budget, site)),
-ma AS {spearman_sql('hs', 'assay, policy, budget', pred='additive_prediction')}, mc AS {spearman_sql('hs', 'assay, policy, budget')}, ds AS (SELECT mc.assay, mc.policy, mc.budget, mc.n, mc.spearman, mc.spearman - ma.spearman AS delta FROM mc JOIN ma USING (assay, policy, budget))"""
+SELECT_SEEDS, SELECT_BUDGETS = [0, 1, 2, 3, 4], [20, 50, 100]
+#: Mean |residual| from which an assay counts as strongly epistatic, and the doubles that must be left to judge by.
+STRONG_MEAN, LEFT = 1.0, 50
+_SK = "assay, policy, seed, budget"
+_POL = {"random": "md5(concat_ws('|', 'random', assay, seed, budget, mutant))", "extreme": "-round(abs(additive_prediction - add_mean), 9)", "coverage": "md5(concat_ws('|', 'coverage', assay, seed, budget, mutant))", "oracle": "-abs_residual"}
+_POLS = " UNION ALL ".join(f"SELECT assay, mutant, '{p}' AS policy, seed, budget, row_number() OVER (PARTITION BY assay, seed, budget ORDER BY {o}, mutant) AS o FROM rg" for p, o in _POL.items())
+_MEAN = "CAST(sum(CAST({} AS DECIMAL(28,10))) AS DOUBLE) / count(*)"
+_DS = f"""{VR}, rm AS (SELECT assay, {_MEAN.format('additive_prediction')} AS add_mean, {_MEAN.format('abs_residual')} AS abs_mean FROM res GROUP BY 1),
+rs AS (SELECT res.*, add_mean, CASE WHEN abs_mean >= {STRONG_MEAN} THEN 'high_epistasis' ELSE 'low_mid_epistasis' END AS epistasis_bin, array_to_string(list_sort([single_a[2:-2], single_b[2:-2]]), ':') AS site FROM res JOIN rm USING (assay)),
+rg AS (SELECT rs.*, seed, budget FROM rs, (VALUES {', '.join(f'({x})' for x in SELECT_SEEDS)}) s(seed), (VALUES {', '.join(f'({x})' for x in SELECT_BUDGETS)}) b(budget) WHERE n >= budget + {LEFT}),
+po AS ({_POLS}), ch AS (SELECT * FROM po WHERE o <= budget),
+cs AS (SELECT {_SK}, site, {_MEAN.format('residual')} AS v FROM ch JOIN rs USING (assay, mutant) GROUP BY {_SK}, site),
+ca AS (SELECT {_SK}, {_MEAN.format('residual')} AS fallback FROM ch JOIN rs USING (assay, mutant) GROUP BY {_SK}),
+he AS (SELECT rs.assay, rs.mutant, rs.site, rs.epistasis_bin, rs.ab AS dms_score, rs.additive_prediction, ca.policy, ca.seed, ca.budget, fallback FROM rs JOIN ca ON ca.assay = rs.assay ANTI JOIN ch ON ch.assay = rs.assay AND ch.policy = ca.policy AND ch.seed = ca.seed AND ch.budget = ca.budget AND ch.mutant = rs.mutant),
+hs AS (SELECT he.*, round(additive_prediction + coalesce(v, fallback), 9) AS score FROM he LEFT JOIN cs USING ({_SK}, site)),
+ma AS {spearman_sql('hs', _SK, pred='additive_prediction')}, mc AS {spearman_sql('hs', _SK)},
+ho AS (SELECT *, row_number() OVER (PARTITION BY {_SK} ORDER BY score DESC, mutant) <= 100 AS by_score, row_number() OVER (PARTITION BY {_SK} ORDER BY additive_prediction DESC, mutant) <= 100 AS by_add,
+row_number() OVER (PARTITION BY {_SK} ORDER BY dms_score DESC, mutant) <= greatest(1, ceil(count(*) OVER (PARTITION BY {_SK}) * 0.01::DOUBLE)) AS top FROM hs),
+hr AS (SELECT {_SK}, epistasis_bin, count_if(top AND by_score)::DOUBLE / count_if(top) AS recall, count_if(top AND by_add)::DOUBLE / count_if(top) AS recall_add FROM ho GROUP BY {_SK}, epistasis_bin),
+ds AS (SELECT {_SK}, epistasis_bin, mc.n, mc.spearman, mc.spearman - ma.spearman AS delta, recall, recall - recall_add AS delta_recall FROM mc JOIN ma USING ({_SK}) JOIN hr USING ({_SK}))"""
 
 
 def selection(spark, sf):
-    res = E.strict_double_residuals(ordered(X.variants(spark, sf)), LEAST).drop("n").withColumn("site", site_pair_key(F.array("single_a", "single_b")))
-    orders = {
-        "random": F.md5(F.concat_ws("|", F.lit("random"), "assay", "mutant")), "extreme": -F.abs(F.col("additive_prediction") - F.col("wt_proxy")),
-        "coverage": F.md5(F.concat_ws("|", F.lit("coverage"), "assay", "mutant")), "oracle": -F.col("abs_epistasis_residual"),
-    }
+    """Held-out quality of the pair correction learned from doubles that each policy picks, against the additive
+    prediction alone."""
+    mean = lambda c: F.sum(F.col(c).cast("decimal(28,10)")).cast("double") / F.count("*")
+    res = E.strict_double_residuals(ordered(X.variants(spark, sf)), LEAST).withColumn("site", site_pair_key(F.array("single_a", "single_b")))
+    means = res.groupBy("assay").agg(mean("additive_prediction").alias("add_mean"), F.when(mean("abs_epistasis_residual") >= STRONG_MEAN, "high_epistasis").otherwise("low_mid_epistasis").alias("epistasis_bin"))
+    res = res.join(means, "assay")
+    runs = spark.createDataFrame([(s, b) for s in SELECT_SEEDS for b in SELECT_BUDGETS], "seed int, budget int")
+    grid = res.join(F.broadcast(runs), F.col("n") >= F.col("budget") + LEFT)
+    drawn = lambda p: F.md5(F.concat_ws("|", F.lit(p), "assay", "seed", "budget", "mutant"))
+    orders = {"random": drawn("random"), "extreme": -F.round(F.abs(F.col("additive_prediction") - F.col("add_mean")), 9), "coverage": drawn("coverage"), "oracle": -F.col("abs_epistasis_residual")}
     picked = None
     for p, o in orders.items():
-        one = res.select("assay", "mutant", "site", "epistasis_residual", F.lit(p).alias("policy"), F.row_number().over(Window.partitionBy("assay").orderBy(o, "mutant")).alias("o"))
+        one = grid.select("assay", "seed", "budget", "mutant", "site", "epistasis_residual", F.lit(p).alias("policy"), F.row_number().over(Window.partitionBy("assay", "seed", "budget").orderBy(o, "mutant")).alias("o"))
         picked = one if picked is None else picked.unionByName(one)
-    budgets = spark.createDataFrame([(10,), (50,)], "budget int")
-    ch = picked.join(F.broadcast(budgets), F.col("o") <= F.col("budget"))
-    key = ["assay", "policy", "budget"]
-    mean = F.sum(F.col("epistasis_residual").cast("decimal(28,10)")).cast("double") / F.count("*")
-    held = res.join(ch.groupBy(*key).agg(mean.alias("fallback")), "assay").join(ch.select(*key, "mutant"), [*key, "mutant"], "left_anti")
-    held = held.join(ch.groupBy(*key, "site").agg(mean.alias("v")), [*key, "site"], "left")
+    ch = picked.where("o <= budget")
+    key = ["assay", "policy", "seed", "budget"]
+    held = res.drop("n").join(ch.groupBy(*key).agg(mean("epistasis_residual").alias("fallback")), "assay").join(ch.select(*key, "mutant"), [*key, "mutant"], "left_anti")
+    held = held.join(ch.groupBy(*key, "site").agg(mean("epistasis_residual").alias("v")), [*key, "site"], "left")
     held = held.withColumn("score", F.round(F.col("additive_prediction") + F.coalesce("v", "fallback"), 9))
-    a = M.spearman(held, key, "score_double", "additive_prediction").select(*key, F.col("spearman").alias("base"))
-    return M.spearman(held, key, "score_double", "score").join(a, key).select(*key, "n", "spearman", (F.col("spearman") - F.col("base")).alias("delta"))
+    first = lambda c: K.ordinal(c, key, "mutant", descending=True)
+    d = held.withColumns({"m": F.count("*").over(Window.partitionBy(*key)), "o_score": first("score"), "o_add": first("additive_prediction"), "o_true": first("score_double")})
+    d = d.withColumns({"r_score": K.midrank("score", key), "r_add": K.midrank("additive_prediction", key), "r_true": K.midrank("score_double", key)})
+    top = F.col("o_true") <= M.top_size(F.col("m"), 0.01)
+    recall = lambda o: F.count_if(top & (F.col(o) <= 100)) / F.count_if(top)
+    return d.groupBy(*key, "epistasis_bin").agg(
+        F.count("*").alias("n"), M.pearson("r_true", "r_score").alias("spearman"), (M.pearson("r_true", "r_score") - M.pearson("r_true", "r_add")).alias("delta"),
+        recall("o_score").alias("recall"), (recall("o_score") - recall("o_add")).alias("delta_recall"),
+    )
 
 
-@add(f"{_DS} SELECT assay, policy, budget, n, {r('spearman')} AS spearman, {r('delta')} AS delta FROM ds")
+@add(f"{_DS} SELECT {_SK}, epistasis_bin, n, {r('spearman')} AS spearman, {r('delta')} AS delta, {r('recall')} AS recall, {r('delta_recall')} AS delta_recall FROM ds")
 def double_selection(spark, sf):
     return rounded(selection(spark, sf))
 
 
-@add(f"{_DS} SELECT policy, budget, count(*) AS n_assays, {r('avg(delta)')} AS mean_delta FROM ds GROUP BY 1, 2")
+@add(f"{_DS} SELECT policy, budget, epistasis_bin, count(*) AS n_runs, {r('avg(delta)')} AS mean_delta, {r('avg(delta_recall)')} AS mean_delta_recall, {r('avg(spearman)')} AS mean_spearman FROM ds GROUP BY 1, 2, 3")
 def double_selection_summary(spark, sf):
-    return rounded(selection(spark, sf).groupBy("policy", "budget").agg(F.count("*").alias("n_assays"), F.avg("delta").alias("mean_delta")))
+    g = selection(spark, sf).groupBy("policy", "budget", "epistasis_bin")
+    return rounded(g.agg(F.count("*").alias("n_runs"), F.avg("delta").alias("mean_delta"), F.avg("delta_recall").alias("mean_delta_recall"), F.avg("spearman").alias("mean_spearman")))

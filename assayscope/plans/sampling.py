@@ -46,10 +46,10 @@ def sample_k_per_group(spark, sf):
     return P.sample_k(X.variants(spark, sf).select("assay", "mutant"), ["assay"], "mutant", 20)
 
 
-@add(f"{V}, r AS (SELECT assay, mutant, row_number() OVER (PARTITION BY assay ORDER BY md5(concat_ws('|', 'large', assay, mutant)), mutant) AS rank, count(*) OVER (PARTITION BY assay) AS n FROM variants) SELECT assay, mutant, CAST(n > 2600 AS INT) AS sampled FROM r WHERE rank <= 2600")
+@add(f"{V}, r AS (SELECT assay, mutant, row_number() OVER (PARTITION BY assay ORDER BY md5(concat_ws('|', 'large', assay, mutant)), mutant) AS rank, count(*) OVER (PARTITION BY assay) AS n FROM variants) SELECT assay, mutant, CAST(n > 20000 AS INT) AS sampled FROM r WHERE rank <= 20000")
 def sample_large_groups(spark, sf):
     v = X.variants(spark, sf).select("assay", "mutant").withColumn("n", F.count("*").over(Window.partitionBy("assay")))
-    return P.sample_k(v, ["assay"], "mutant", 2600, "large").select("assay", "mutant", (F.col("n") > 2600).cast("int").alias("sampled"))
+    return P.sample_k(v, ["assay"], "mutant", 20_000, "large").select("assay", "mutant", (F.col("n") > 20_000).cast("int").alias("sampled"))
 
 
 @add(f"""{V}, t AS (SELECT assay, mutant, row_number() OVER (PARTITION BY assay ORDER BY dms_score DESC, mutant) <= 100 AS top FROM variants),
@@ -117,16 +117,21 @@ _PREFIX = "n AS (SELECT DISTINCT p_name AS protein FROM part), a AS (SELECT DIST
 def prefix_match_join(spark, sf):
     n = X.table(spark, sf, "part").select(F.col("p_name").alias("protein")).distinct()
     a = X.table(spark, sf, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("key")).distinct()
-    # distinct names on both sides: small next to the rows
-    m = n.join(a, F.startswith("key", F.col("protein")) | F.startswith("protein", F.col("key")))
+    # equi-joins on all prefixes of either side
+    m = prefixes(n, "protein", "key").join(a, "key").select("protein", "key").unionByName(prefixes(a, "key", "protein").join(n, "protein").select("protein", "key"))
     return m.groupBy("protein").agg(F.min_by("key", F.struct(F.length("key"), "key")).alias("alignment"))
 
 
+def prefixes(df, column: str, name: str):
+    """df with a row for each prefix of a column, the empty one and the whole included."""
+    return df.withColumn(name, F.explode(F.transform(F.sequence(F.lit(0), F.length(column)), lambda i: F.substr(F.col(column), F.lit(1), i))))
+
+
 @add("WITH n AS (SELECT DISTINCT p_name AS protein FROM part), a AS (SELECT DISTINCT p_type AS key FROM part UNION SELECT 'red') SELECT protein FROM n WHERE EXISTS (SELECT 1 FROM a WHERE starts_with(protein, key))")
 def prefix_exists(spark, sf):
     n = X.table(spark, sf, "part").select(F.col("p_name").alias("protein")).distinct()
     a = X.table(spark, sf, "part").select(F.col("p_type").alias("key")).distinct().unionByName(spark.createDataFrame([("red",)], "key string"))
-    return n.join(a, F.startswith("protein", F.col("key")), "left_semi")
+    return prefixes(n, "protein", "key").join(a, "key", "left_semi").select("protein").distinct()
 
 
 @add("SELECT n_name AS assay, coalesce(nullif(r_name, 'ASIA'), 'Unknown') AS type, count(s_suppkey) AS n FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")

@@ -14,7 +14,7 @@ from assayscope.plans.ranking import ZS25, corr, long25, r, rounded, zero_shot
 from assayscope.plans.registry import add
 from assayscope.sources import fixtures as X
 
-DRAWS = 200
+DRAWS = 1000
 
 
 def _hash(*key: str) -> str:
@@ -67,15 +67,15 @@ SELECT {by}, CAST(coalesce(n, 0) AS BIGINT) AS n, {r('mean_difference')} AS mean
 _PTY = "pty AS (SELECT assay_type, assay, d FROM pm JOIN types USING (assay) UNION ALL SELECT 'ALL', assay, d FROM pm)"
 
 
-@add(f"{ZS25.replace('WITH ', f'WITH {X.TYPES}, ', 1)}, {_ABS}, {_PM}, {_PTY}, {permutation_sql('pty', 'assay_type', 'assay', 10, 2000)}")
+@add(f"{ZS25.replace('WITH ', f'WITH {X.TYPES}, ', 1)}, {_ABS}, {_PM}, {_PTY}, {permutation_sql('pty', 'assay_type', 'assay', 20, 50000)}")
 def paired_permutation(spark, sf):
     d = paired(spark, sf).join(X.assay_types(spark, sf), "assay").select("assay_type", "assay", "d")
     d = d.unionByName(d.withColumn("assay_type", F.lit("ALL")))
-    return rounded(S.paired_permutation(d, ["assay_type"], "assay", "d", 10, 2000).withColumn("n", F.col("n").cast("long")))
+    return rounded(S.paired_permutation(d, ["assay_type"], "assay", "d", 20, 50_000).withColumn("n", F.col("n").cast("long")))
 
 
 @add(f"""{VLR}, k AS (SELECT assay, method, row_number() OVER (PARTITION BY assay, method ORDER BY score, mutant) AS x, row_number() OVER (PARTITION BY assay, method ORDER BY ab, mutant) AS y FROM res JOIN long USING (assay, mutant)),
-rho AS (SELECT assay, method, round(abs({corr('x', 'y')}), 9) AS v FROM k GROUP BY 1, 2), rd AS (SELECT 'all' AS grp, a.assay, a.v - b.v AS d FROM rho a JOIN rho b ON a.assay = b.assay WHERE a.method = 'm_qty' AND b.method = 'm_retail'), {permutation_sql('rd', 'grp', 'assay', 10, 2000)}""")
+rho AS (SELECT assay, method, round(abs({corr('x', 'y')}), 9) AS v FROM k GROUP BY 1, 2), rd AS (SELECT 'all' AS grp, a.assay, a.v - b.v AS d FROM rho a JOIN rho b ON a.assay = b.assay WHERE a.method = 'm_qty' AND b.method = 'm_retail'), {permutation_sql('rd', 'grp', 'assay', 20, 50000)}""")
 def reciprocal_paired_test(spark, sf):
     v = X.variants(spark, sf)
     d = with_scores(residuals(spark, sf, v), X.scores_long(v))
@@ -84,7 +84,7 @@ def reciprocal_paired_test(spark, sf):
     rho = d.groupBy(*by).agg(F.round(F.abs(M.pearson("x", "y")), 9).alias("v"))
     p = rho.groupBy("assay").pivot("method", ["m_qty", "m_retail"]).agg(F.first("v"))
     p = p.select(F.lit("all").alias("grp"), "assay", (F.col("m_qty") - F.col("m_retail")).alias("d"))
-    return rounded(S.paired_permutation(p, ["grp"], "assay", "d", 10, 2000).withColumn("n", F.col("n").cast("long")))
+    return rounded(S.paired_permutation(p, ["grp"], "assay", "d", 20, 50_000).withColumn("n", F.col("n").cast("long")))
 
 
 # -- quality checks ----------------------------------------------------------------------------------
