@@ -13,6 +13,7 @@ from assayscope.plans.ingest import _MANIFEST, _STRICT, manifest
 from assayscope.plans.ranking import ZS25, r, rounded, zero_shot
 from assayscope.plans.registry import add
 from assayscope.sources import fixtures as X
+from assayscope.sources.ingest import written
 
 #: one row per assay: counts, epistasis, predictor quality, alignment depth stand-in, type
 FEATURES = f"""{ZS25.replace('WITH ', f'WITH {X.TYPES}, ', 1)}, {_STRICT}, {_MANIFEST}, {RES}, epi AS ({EPI_SUMMARY}),
@@ -23,7 +24,7 @@ FROM manifest m LEFT JOIN types USING (assay) LEFT JOIN epi USING (assay) LEFT J
 
 
 def features(spark, sf):
-    v = X.variants25(spark, sf)
+    v = written(X.variants25(spark, sf), "variants")
     e = epi_summary(strict_double_residuals(v.withColumn("ord", mutation_order(F.col("mutant"))), LEAST))
     of = lambda m: F.max(F.when(F.col("method") == m, F.col("abs_spearman")))
     z = zero_shot(X.scores_long(v)).groupBy("assay").agg(of("m_qty").alias("zs_qty"), of("m_tax").alias("zs_tax"), F.max("abs_spearman").alias("zs_best"))
@@ -34,7 +35,7 @@ def features(spark, sf):
     # one row per assay on every side
     for side in (X.assay_types(spark, sf), e.select("assay", F.round("mean_abs", 6).alias("epi_mean_abs"), F.round("sign_fraction", 6).alias("epi_sign")), z.select("assay", *[F.round(c, 6).alias(c) for c in ("zs_qty", "zs_tax", "zs_best")]), cu, su):
         f = f.join(side, "assay", "left")
-    return f
+    return written(f, "features")  # a small table that every cut reads again
 
 
 _FCOLS = "assay, assay_type, n_variants, n_doubles, n_higher_order, epi_mean_abs, epi_sign, zs_qty, zs_tax, zs_best, depth, support"

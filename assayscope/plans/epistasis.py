@@ -15,6 +15,7 @@ from assayscope.plans.ranking import ADDITIVE, VL, corr, midrank, r, ranked_sql,
 from assayscope.plans.registry import add
 from assayscope.plans.sampling import SPLITS, ordered, splits
 from assayscope.sources import fixtures as X
+from assayscope.sources.ingest import written
 
 #: Assays with fewer strict doubles are left out; low enough for the smallest tables.
 LEAST = 2
@@ -76,7 +77,7 @@ _EZ = ["spearman_score", "spearman_residual", "spearman_abs_residual", "spearman
 
 
 def epistasis_metrics(spark, sf):
-    v = X.variants(spark, sf)
+    v = written(X.variants(spark, sf), "variants")
     by = ["assay", "method"]
     d = E.with_scores(residuals(spark, sf, v), X.scores_long(v))
     cut = K.at_index(d.drop("n"), by, "abs_epistasis_residual", F.greatest(F.ceil(F.col("n") * F.lit(0.75)) - 1, F.lit(0)), "cut")
@@ -157,7 +158,7 @@ CAST(sum(CASE WHEN o <= k THEN hit END) * max(n) AS DOUBLE) / nullif(CAST(least(
 def hit_discovery(spark, sf):
     """Strong, positive and sign hits of every assay among the doubles that a method, or the additive prediction,
     ranks first. Without a sign hit the strong ones stand in."""
-    v = X.variants(spark, sf)
+    v = written(X.variants(spark, sf), "variants")
     res = residuals(spark, sf, v).where(F.col("n") >= LEAST_RANKED)
     top = lambda c, share: K.ordinal(c, ["assay"], "mutant", True, True) <= M.top_size(F.col("n"), share)
     d = res.withColumns({"strong": top("abs_epistasis_residual", 0.25).cast("int"), "positive": (top("epistasis_residual", 0.1) & (F.col("epistasis_residual") > 0)).cast("int")})
@@ -231,8 +232,8 @@ _KEYS = ["assay", "seed", "budget", "regime"]
 
 def heldout(spark, sf):
     """(training rows, held-out rows) of every split, with scores of the variants."""
-    v = ordered(X.variants(spark, sf))
-    s = splits(spark, sf, v.drop("ord"))
+    v = written(ordered(X.variants(spark, sf)), "variants")
+    s = written(splits(spark, sf, v.drop("ord")), "splits")
     train = s.join(v, ["assay", "mutant"])
     test = s.select(*_KEYS).distinct().join(v, "assay").join(s.select(*_KEYS, "mutant"), [*_KEYS, "mutant"], "left_anti")
     return train, test
@@ -263,7 +264,7 @@ pw AS (SELECT a.assay, a.mutant, a.dms_score, round(a.score + coalesce(m, 0), 9)
 
 
 def pairwise(spark, sf):
-    v = ordered(X.variants(spark, sf))
+    v = written(ordered(X.variants(spark, sf)), "variants")
     res = E.strict_double_residuals(v, LEAST).drop("n")
     chosen = res.withColumn("o", F.row_number().over(Window.partitionBy("assay").orderBy(hash_order("assay", "mutant"), "mutant"))).where("o <= 50")
     higher = additive_scores(v.where("ord > 2"), v.where("ord = 1"))
@@ -298,7 +299,7 @@ pq AS (SELECT pz.assay, pz.mutant, dms_score, round(my - sa * ma - sz * mz + sa
 def pairwise_calibrated(spark, sf):
     from assayscope.operators.calibration import linear_2
 
-    v = ordered(X.variants(spark, sf))
+    v = written(ordered(X.variants(spark, sf)), "variants")
     res = E.strict_double_residuals(v, LEAST).drop("n")
     chosen = res.withColumn("o", F.row_number().over(Window.partitionBy("assay").orderBy(hash_order("assay", "mutant"), "mutant"))).where("o <= 50")
     d = E.pairwise_scores(additive_scores(v, v.where("ord = 1")), E.pair_residuals(chosen))
@@ -346,7 +347,7 @@ def selection(spark, sf):
     """Held-out quality of the pair correction learned from doubles that each policy picks, against the additive
     prediction alone."""
     mean = lambda c: F.sum(F.col(c).cast("decimal(28,10)")).cast("double") / F.count("*")
-    res = E.strict_double_residuals(ordered(X.variants(spark, sf)), LEAST).withColumn("site", site_pair_key(F.array("single_a", "single_b")))
+    res = written(E.strict_double_residuals(ordered(X.variants(spark, sf)), LEAST), "residuals").withColumn("site", site_pair_key(F.array("single_a", "single_b")))
     means = res.groupBy("assay").agg(mean("additive_prediction").alias("add_mean"), F.when(mean("abs_epistasis_residual") >= STRONG_MEAN, "high_epistasis").otherwise("low_mid_epistasis").alias("epistasis_bin"))
     res = res.join(means, "assay")
     runs = spark.createDataFrame([(s, b) for s in SELECT_SEEDS for b in SELECT_BUDGETS], "seed int, budget int")
