@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset (local tests)."""
+    """spark.checkpoint.dir of the session; a folder of our own only where it is unset on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="assayscope-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
