@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayscope.llm.common import Scratch
+from assayscope.llm.common import Scratch, small
 
 MIN_REVISIT = 100
 #: Records per archive file, at most; fewer where the largest payload is long, so that a file, which is read as
@@ -40,15 +40,16 @@ EPOCH = 1_577_836_800
 _RECORD = re.compile(rb"WARC/1\.1\r\n(.*?)\r\n\r\n", re.S)
 
 
-def payload_roles(pages: DataFrame) -> DataFrame:
-    """pages with payload, payload_bytes, payload_digest, record_type and refers_to."""
+def payload_roles(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """pages with payload, payload_bytes, payload_digest, record_type and refers_to. Payloads are only shuffled
+    where the digests that recur are too many to be broadcast."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     p = pages.withColumn("payload", payload)
     p = p.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     first = p.where((F.col("payload_bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull())
     # only digests that occur again matter
     first = first.groupBy("payload_digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).where("n > 1").drop("n")
-    p = p.join(first, "payload_digest", "left")
+    p = p.join(small(scratch, first, "repeated"), "payload_digest", "left")
     revisit = F.coalesce(F.col("page_id") > F.col("first_page"), F.lit(False))
     return p.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first_page"))}).drop("first_page")
 
@@ -77,10 +78,10 @@ def records(roles: DataFrame) -> DataFrame:
     return roles.select(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), stored).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
+def write_archives(pages: DataFrame, path: str, scratch: Scratch) -> None:
     largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
     a_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // (largest + 1_000)))
-    writer = records(payload_roles(pages)).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", a_file)
+    writer = records(payload_roles(pages, scratch)).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", a_file)
     writer.text(path)
 
 
@@ -205,7 +206,7 @@ def read_archives(scratch: Scratch, path: str) -> DataFrame:
 def capture_index(scratch: Scratch, runs: DataFrame, partitions: int | None = None) -> DataFrame:
     """runs in global order: index_position counts from 0 over all captures."""
     spark = scratch.spark
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // MERGE_ROWS))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = runs.repartitionByRange(n, "url_key", "captured", F.coalesce("page_id", F.lit(-1)), "archive", "offset")
     merged = dealt.mapInPandas(_merge, _PARSED + ", position long").withColumn("slice", F.spark_partition_id())
     merged = scratch.save(merged, "index")
@@ -223,9 +224,9 @@ def archive_pages(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame
     """Write the archives, read them back, and merge their index: one row per page."""
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     path = scratch.path("archives")
-    write_archives(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), path)
-    runs = scratch.save(read_archives(scratch, path), "runs")
-    return capture_index(scratch, runs)
+    write_archives(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), path, scratch)
+    tasks = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // MERGE_ROWS))
+    return capture_index(scratch, read_archives(scratch, path), tasks)
 
 
 ORACLE = """
