@@ -7,10 +7,21 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The spellings of an unmutated variant, texts that stand for no number, and the ordered
-# prefix rules for kinds of predictors.
+# The spellings of an unmutated variant, texts that stand for no number, and the kinds of
+# predictors with the names or prefixes that tell them, the first that fits counts.
 WILDTYPE = ("", "WT", "wildtype", "_wt")
 NO_NUMBER = ("", "nan", "none", "na")
+PREDICTOR_NAMES = {
+    "additive_or_site_independent": ("Site_Independent",),
+    "other_variant_effect": ("VESPA", "VESPAl", "VespaG", "ESCOTT", "VenusREM", "SiteRM"),
+}
+PREDICTOR_PREFIXES = [
+    ("evolution_or_msa", ("EVmutation", "DeepSequence", "EVE", "MSA_Transformer", "GEMME", "RSALOR")),
+    ("sequence_plm", ("ESM1", "ESM2", "ESM3", "ESMC", "Unirep", "CARP")),
+    ("generative_plm", ("RITA", "Progen", "ProtGPT2", "Wavenet", "xTrimoPGLM")),
+    ("retrieval_or_hybrid", ("Tranception", "TranceptEVE", "PoET", "MULAN")),
+    ("structure_aware", ("MIF", "ESM-IF1", "ProteinMPNN", "SaProt", "ProSST", "ProtSSN", "S2F", "S3F")),
+]
 
 
 def finite(x: Column) -> Column:
@@ -92,3 +103,13 @@ def keyword_category(name: Column, rules: list[tuple[list[str], str]], default:
 def r6(x: Column) -> Column:
     """x to six places, without -0.0."""
     return F.round(x, 6) + F.lit(0.0)
+
+
+def predictor_category(name: Column) -> Column:
+    """Kind of a predictor by its whole name, then by its prefix; 'other' where nothing fits."""
+    out = F.lit("other")
+    for kind, prefixes in reversed(PREDICTOR_PREFIXES):
+        out = F.when(reduce(lambda a, b: a | b, [name.startswith(p) for p in prefixes]), kind).otherwise(out)
+    for kind, names in PREDICTOR_NAMES.items():
+        out = F.when(name.isin(*names), kind).otherwise(out)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RIDGE = 1e-8
@@ -65,3 +65,15 @@ def ridge_grouped(train: DataFrame, test: DataFrame, by: list[str], item: str, y
     dot = test.join(weights, [*by, "feature"]).groupBy(*by, item).agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
     items = test.select(*by, item).distinct().join(base, by)
     return items.join(dot, [*by, item], "left").select(*by, item, (F.col("base") + F.coalesce("dot", F.lit(0.0))).alias("score"))
+
+
+def best_gain(df: DataFrame, group: str, method: str, value: str, base: Column, mode: str) -> DataFrame:
+    """group, mode, gain: the best method's mean value less the base rows' mean; null without either.
+    A group that was judged in several modes is an error, as its values can't be compared."""
+    m = df.groupBy(group, method, base.alias("__base")).agg(F.avg(value).alias("__mean"), F.min(mode).alias("__lo"), F.max(mode).alias("__hi"))
+    lo, hi = F.min("__lo"), F.max("__hi")
+    g = m.groupBy(group).agg(
+        F.when(lo == hi, lo).when(hi.isNotNull(), F.raise_error(F.lit("a group is judged in several modes"))).alias(mode),
+        (F.max(F.when(~F.col("__base"), F.col("__mean"))) - F.max(F.when(F.col("__base"), F.col("__mean")))).alias("gain"),
+    )
+    return g.select(group, mode, "gain")

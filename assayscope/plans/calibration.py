@@ -15,6 +15,7 @@ from assayscope.plans.ranking import midrank, r, rounded, corr, top_sql
 from assayscope.plans.registry import add
 from assayscope.plans.sampling import SPLITS
 from assayscope.sources import fixtures as X
+from assayscope.sources.ingest import written
 
 KEYS = ["assay", "seed", "budget", "regime"]
 _K = "assay, seed, budget, regime"
@@ -33,9 +34,9 @@ s2 AS (SELECT {_K}, method, ma, mz, my, sum((a - ma) * (a - ma)) + 1e-8 AS aa, s
 f2 AS (SELECT {_K}, method, ma, mz, my, (ay * zz - az * zy) / (aa * zz - az * az) AS sa, (aa * zy - az * ay) / (aa * zz - az * az) AS sz FROM s2)"""
 
 
-def train_long(spark, sf):
+def train_long(spark, sf, v=None):
     """Training rows with the additive prediction a and one row per method, and the held-out rows alike."""
-    train, test = heldout(spark, sf)
+    train, test = heldout(spark, sf, v)
     scored = additive_scores(train, train, KEYS).withColumnRenamed("score", "a")
     held = additive_scores(test, train, KEYS).withColumnRenamed("score", "a")
     # truth is ranked once per split, not for each method and model
@@ -62,10 +63,10 @@ pred AS (SELECT {_K}, mutant, dms_score, method, u.model, u.score FROM (SELECT h
 UNION ALL SELECT {_K}, mutant, dms_score, 'none', 'additive', score FROM adds)"""
 
 
-def predictions(spark, sf):
+def predictions(spark, sf, v=None):
     """Held-out scores of the additive model, linear_1 and linear_2."""
     by = [*KEYS, "method"]
-    train, held = train_long(spark, sf)
+    train, held = train_long(spark, sf, v)
     one = C.linear_1(train, by, "z", "dms_score").select(*by, F.col("slope").alias("s1"), F.col("intercept").alias("i1"))
     two = C.linear_2(train, by, "a", "z", "dms_score").select(*by, "slope_a", "slope_z", F.col("intercept").alias("i2"))
     # a handful of coefficients per split
@@ -83,10 +84,10 @@ lown AS (SELECT {_PK}, count(*) AS n_test, {corr('rt', 'rp')} AS spearman_all, {
 BL = f"{B}, {FITS}, {LOWN}"
 
 
-def low_n(spark, sf):
+def low_n(spark, sf, v=None):
     by = [*KEYS, "method", "model"]
     # one order serves both ranks: of equal scores the row number goes by the mutant
-    k = predictions(spark, sf).withColumn("rank_pred", K.ordinal("score", by, "mutant", descending=True)).withColumn("down", K.midrank("score", by, descending=True))
+    k = predictions(spark, sf, v).withColumn("rank_pred", K.ordinal("score", by, "mutant", descending=True)).withColumn("down", K.midrank("score", by, descending=True))
     top = F.col("rank_true") <= M.top_size(F.col("n"), 0.01)
     inside = F.col("rank_pred") <= 100
     return k.withColumn("rp", F.col("n") + 1 - F.col("down")).groupBy(*by).agg(
@@ -114,11 +115,12 @@ def low_n_wins(spark, sf):
 _PCT = "pc AS (SELECT l.*, (SELECT count_if(v.dms_score <= l.best)::DOUBLE / count(*) FROM variants v WHERE v.assay = l.assay) AS percentile FROM lown l)"
 
 
-def percentiles(spark, sf):
-    v = X.variants(spark, sf)
+def percentiles(spark, sf, v=None):
+    low = low_n(spark, sf, v)
+    v = v or X.variants(spark, sf)
     # the best value is one of the assay's own scores
     share = v.select("assay", F.col("dms_score").alias("best"), F.cume_dist().over(Window.partitionBy("assay").orderBy("dms_score")).alias("percentile")).distinct()
-    return low_n(spark, sf).join(share, ["assay", "best"])
+    return low.join(share, ["assay", "best"])
 
 
 @add(f"{BL}, {_PCT} SELECT budget, regime, model, coalesce(nullif(method, ''), 'none') AS method, {r('avg(percentile)')} AS mean_percentile, {r('avg(recall)')} AS mean_recall FROM pc GROUP BY 1, 2, 3, 4")
@@ -126,10 +128,21 @@ def low_n_percentile_summary(spark, sf):
     return rounded(percentiles(spark, sf).groupBy("budget", "regime", "model", F.coalesce(F.nullif("method", F.lit("")), F.lit("none")).alias("method")).agg(F.avg("percentile").alias("mean_percentile"), F.avg("recall").alias("mean_recall")))
 
 
-@add(f"{BL}, {_PCT}, gg AS (SELECT assay, model, method, avg(percentile) AS p FROM pc GROUP BY 1, 2, 3) SELECT assay, {r('''max(p) - max(CASE WHEN model = 'additive' THEN p END)''')} AS gain FROM gg GROUP BY 1")
+# the decision table takes one budget and regime, the additive model and one score at a time
+_MIXED20 = "budget = 20 AND regime = 'mixed_random'"
+_GAIN = "max(CASE WHEN model = 'linear_1' THEN p END) - max(CASE WHEN model = 'additive' THEN p END)"
+
+
+@add(f"{BL}, {_PCT}, gg AS (SELECT assay, model, method, avg(percentile) AS p FROM pc WHERE {_MIXED20} GROUP BY 1, 2, 3) SELECT assay, 'full candidate pool' AS mode, {r(_GAIN)} AS gain FROM gg GROUP BY 1")
 def low_n_gain(spark, sf):
-    g = percentiles(spark, sf).groupBy("assay", "model", "method").agg(F.avg("percentile").alias("p"))
-    return rounded(g.groupBy("assay").agg((F.max("p") - F.max(F.when(F.col("model") == "additive", F.col("p")))).alias("gain")))
+    p = percentiles(spark, sf).where(_MIXED20).where("model in ('linear_1', 'additive')").withColumn("mode", F.lit("full candidate pool"))
+    return rounded(C.best_gain(p, "assay", "method", "percentile", F.col("model") == "additive", "mode"))
+
+
+@add(f"{BL.replace(X.VARIANTS, f'{X.TYPES}, {X.VARIANTS25}', 1)}, {_PCT} SELECT assay_type, method, count(*) AS n_rows, {r('avg(percentile)')} AS mean_percentile FROM pc JOIN types USING (assay) WHERE {_MIXED20} AND model = 'linear_1' GROUP BY 1, 2")
+def low_n_by_assay_type(spark, sf):
+    p = percentiles(spark, sf, X.variants25(spark, sf)).where(_MIXED20).where("model = 'linear_1'").join(X.assay_types(spark, sf), "assay")
+    return rounded(p.groupBy("assay_type", "method").agg(F.count("*").alias("n_rows"), F.avg("percentile").alias("mean_percentile")))
 
 
 _PAIRED = f"pj AS (SELECT a.assay, a.seed, a.budget, a.model, a.method, abs(b.spearman_all) - abs(a.spearman_all) AS d_spearman, b.recall - a.recall AS d_recall FROM lown a JOIN lown b ON a.assay = b.assay AND a.seed = b.seed AND a.budget = b.budget AND a.model = b.model AND a.method = b.method WHERE a.regime = 'single_only' AND b.regime = 'single_plus_double')"
@@ -214,16 +227,36 @@ def ridge_grouped(spark, sf):
     return _ridge(spark, sf, _score_features)
 
 
+def _and_additive(features):
+    """The features and the additive prediction learned from the same training rows."""
+
+    def more(d, train):
+        a = additive_scores(d, train, KEYS).select(*KEYS, "mutant", F.lit("additive").alias("feature"), F.col("score").alias("value"))
+        return features(d, train).select(*KEYS, "mutant", "feature", "value").unionByName(a)
+
+    return more
+
+
 @add()
 def site_ridge(spark, sf):
     return _ridge(spark, sf, _site_features)
 
 
+@add()
+def additive_site_ridge(spark, sf):
+    return _ridge(spark, sf, _and_additive(_site_features))
+
+
 @add()
 def score_ridge(spark, sf):
     return _ridge(spark, sf, lambda d, t: _score_features(d, t, ["m_qty", "m_retail"]))
 
 
+@add()
+def additive_score_ridge(spark, sf):
+    return _ridge(spark, sf, _and_additive(_score_features))
+
+
 @add()
 def pooled_ml_regressors(spark, sf):
     """One fit of each regressor over all splits' training rows, on scores standardised per split."""
@@ -239,12 +272,13 @@ def pooled_ml_regressors(spark, sf):
         d = d.withColumns(z | {"label": F.col("dms_score") - F.col("y_a"), "order": F.col("ord").cast("double")})
         return VectorAssembler(inputCols=[*z, "order"], outputCol="features").transform(d)
 
-    fit = ready(train).select("features", "label")
-    held = ready(test.where("budget = 20 and seed = 0")).select(*KEYS, "mutant", "y_a", "features")
+    # every round of the fits reads these rows
+    fit = written(ready(train).select("features", "label"), "pooled")
+    held = ready(test).select(*KEYS, "mutant", "y_a", "features")
     out = None
     for name, est in (
-        ("ridge", LinearRegression(regParam=1.0, elasticNetParam=0.0)), ("elastic_net", LinearRegression(regParam=1.0, elasticNetParam=0.5)),
-        ("forest", RandomForestRegressor(numTrees=10, maxDepth=4, seed=7)), ("boosting", GBTRegressor(maxIter=5, maxDepth=3, seed=7)),
+        ("ridge", LinearRegression(regParam=1.0, elasticNetParam=0.0)), ("lasso", LinearRegression(regParam=0.001, elasticNetParam=1.0)), ("elastic_net", LinearRegression(regParam=0.001, elasticNetParam=0.5)),
+        ("forest", RandomForestRegressor(numTrees=24, maxDepth=5, minInstancesPerNode=2, seed=7)), ("boosting", GBTRegressor(maxIter=30, maxDepth=4, stepSize=0.05, seed=7)),
     ):
         p = est.fit(fit).transform(held).select(*KEYS, "mutant", F.lit(name).alias("model"), F.round(F.col("prediction") + F.col("y_a"), 4).alias("score"))
         out = p if out is None else out.unionByName(p)

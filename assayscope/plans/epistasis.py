@@ -115,31 +115,48 @@ def epistasis_assay_summary(spark, sf):
     return rounded(epi_summary(residuals(spark, sf)))
 
 
-# metrics inside a subset of the doubles
+# metrics inside a subset of the doubles; the additive prediction is one more method
+_SUBSETS = {"high": "abs_residual >= cut", "sign": "sign = 1"}
+
+
 def _subset_sql(where: str) -> str:
-    return f"{VLR}, q AS (SELECT *, row_number() OVER (PARTITION BY assay ORDER BY abs_residual) - 1 AS i FROM res), cut AS (SELECT assay, max(CASE WHEN i = least(n - 1, floor(n * 0.75::DOUBLE)) THEN abs_residual END) AS cut FROM q GROUP BY 1), sub AS (SELECT assay, mutant, method, score, ab AS dms_score FROM res JOIN cut USING (assay) JOIN long USING (assay, mutant) WHERE {where}), m AS {spearman_sql('sub', _AM)}"
+    return f"""q AS (SELECT *, row_number() OVER (PARTITION BY assay ORDER BY abs_residual) - 1 AS i FROM res), cut AS (SELECT assay, max(CASE WHEN i = least(n - 1, floor(n * 0.75::DOUBLE)) THEN abs_residual END) AS cut FROM q GROUP BY 1),
+chosen AS (SELECT assay, mutant, ab, residual, additive_prediction FROM res JOIN cut USING (assay) WHERE {where}),
+sub AS (SELECT assay, mutant, method, score, ab, residual FROM chosen JOIN long USING (assay, mutant) UNION ALL SELECT assay, mutant, 'additive_prediction', additive_prediction, ab, residual FROM chosen),
+so AS (SELECT assay, method, {midrank('score', _AM)} AS rp, {midrank('ab', _AM)} AS rt, {midrank('residual', _AM)} AS rr, row_number() OVER (PARTITION BY {_AM} ORDER BY score DESC, mutant) AS o,
+row_number() OVER (PARTITION BY {_AM} ORDER BY ab DESC, mutant) <= greatest(1, ceil(count(*) OVER (PARTITION BY {_AM}) * 0.01::DOUBLE)) AS top FROM sub),
+m AS (SELECT assay, method, count(*) AS n, {corr('rp', 'rt')} AS spearman, {corr('rp', 'rr')} AS spearman_residual, count_if(top AND o <= 100)::DOUBLE / count_if(top) AS recall FROM so GROUP BY 1, 2)"""
 
 
 def _subset(spark, sf, which):
-    v = X.variants(spark, sf)
+    v = written(X.variants(spark, sf), "variants")
     d = residuals(spark, sf, v)
     if which == "high":
         cut = K.at_index(d.drop("n"), ["assay"], "abs_epistasis_residual", F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(0.75))), "cut")
         d = d.join(cut, "assay").where("abs_epistasis_residual >= cut")
     else:
         d = d.where("sign_epistasis = 1")
-    return M.spearman(E.with_scores(d, X.scores_long(v)), ["assay", "method"], "score_double", "score")
-
-
-for _name, _which, _where in (("high_residual_metrics", "high", "abs_residual >= cut"), ("sign_subset_metrics", "sign", "sign = 1")):
-    add(f"{_subset_sql(_where)} SELECT assay, method, n, {r('spearman')} AS spearman, {r('abs(spearman)')} AS abs_spearman FROM m", name=_name)(
+    by = ["assay", "method"]
+    keep = [*by, "mutant", "score", "score_double", "epistasis_residual"]
+    s = E.with_scores(d, X.scores_long(v)).select(*keep).unionByName(d.withColumns({"method": F.lit("additive_prediction"), "score": F.col("additive_prediction")}).select(*keep))
+    s = s.withColumns({"rp": K.midrank("score", by), "rt": K.midrank("score_double", by), "rr": K.midrank("epistasis_residual", by), "n": F.count("*").over(Window.partitionBy(*by))})
+    s = s.withColumns({"o": K.ordinal("score", by, "mutant", descending=True), "top": K.ordinal("score_double", by, "mutant", descending=True) <= M.top_size(F.col("n"), 0.01)})
+    return s.groupBy(*by).agg(
+        F.count("*").alias("n"), M.pearson("rp", "rt").alias("spearman"), M.pearson("rp", "rr").alias("spearman_residual"),
+        (F.count_if(F.col("top") & (F.col("o") <= 100)) / F.count_if("top")).alias("recall"),
+    ).withColumn("abs_spearman", F.abs("spearman"))
+
+
+for _name, _which in (("high_residual_metrics", "high"), ("sign_subset_metrics", "sign")):
+    add(f"{VLR}, {_subset_sql(_SUBSETS[_which])} SELECT assay, method, n, {r('spearman')} AS spearman, {r('abs(spearman)')} AS abs_spearman, {r('spearman_residual')} AS spearman_residual, {r('recall')} AS recall FROM m", name=_name)(
         lambda spark, sf, which=_which: rounded(_subset(spark, sf, which))
     )
 
 
-@add(f"{_subset_sql('abs_residual >= cut')} SELECT method, count(*) AS n_assays, {r('avg(abs(spearman))')} AS mean_abs_spearman FROM m GROUP BY 1")
+@add(f"{VLR} " + " UNION ALL ".join(f"(WITH {_subset_sql(w)} SELECT '{k}' AS subset, method, count(*) AS n_assays, {r('avg(abs(spearman))')} AS mean_abs_spearman, {r('avg(spearman_residual)')} AS mean_spearman_residual, {r('avg(recall)')} AS mean_recall FROM m WHERE spearman IS NOT NULL GROUP BY 2)" for k, w in _SUBSETS.items()))
 def residual_subset_summary(spark, sf):
-    return rounded(_subset(spark, sf, "high").groupBy("method").agg(F.count("*").alias("n_assays"), F.avg("abs_spearman").alias("mean_abs_spearman")))
+    both = [_subset(spark, sf, k).where("spearman is not null").groupBy(F.lit(k).alias("subset"), "method").agg(F.count("*").alias("n_assays"), F.avg("abs_spearman").alias("mean_abs_spearman"), F.avg("spearman_residual").alias("mean_spearman_residual"), F.avg("recall").alias("mean_recall")) for k in _SUBSETS]
+    return rounded(both[0].unionByName(both[1]))
 
 
 KS = [10, 20, 50, 100]
@@ -230,9 +247,9 @@ adds AS (SELECT h.*, round(b + coalesce(s, 0), 9) AS score FROM held h LEFT JOIN
 _KEYS = ["assay", "seed", "budget", "regime"]
 
 
-def heldout(spark, sf):
+def heldout(spark, sf, v=None):
     """(training rows, held-out rows) of every split, with scores of the variants."""
-    v = written(ordered(X.variants(spark, sf)), "variants")
+    v = written(ordered(v or X.variants(spark, sf)), "variants")
     s = written(splits(spark, sf, v.drop("ord")), "splits")
     train = s.join(v, ["assay", "mutant"])
     test = s.select(*_KEYS).distinct().join(v, "assay").join(s.select(*_KEYS, "mutant"), [*_KEYS, "mutant"], "left_anti")
@@ -299,16 +316,37 @@ pq AS (SELECT pz.assay, pz.mutant, dms_score, round(my - sa * ma - sz * mz + sa
 def pairwise_calibrated(spark, sf):
     from assayscope.operators.calibration import linear_2
 
-    v = written(ordered(X.variants(spark, sf)), "variants")
-    res = E.strict_double_residuals(v, LEAST).drop("n")
-    chosen = res.withColumn("o", F.row_number().over(Window.partitionBy("assay").orderBy(hash_order("assay", "mutant"), "mutant"))).where("o <= 50")
-    d = E.pairwise_scores(additive_scores(v, v.where("ord = 1")), E.pair_residuals(chosen))
+    d = pairwise_base(spark, sf)
     fit = linear_2(d.where("ord between 1 and 2"), ["assay"], "pairwise_score", "m_qty", "dms_score")
     p = d.where("ord > 2").drop("score").join(fit, "assay")
     p = p.withColumn("score", F.round(F.col("intercept") + F.col("slope_a") * F.col("pairwise_score") + F.col("slope_z") * F.col("m_qty"), 6))
     return rounded(M.spearman(p, ["assay"], "dms_score", "score").drop("abs_spearman"))
 
 
+def pairwise_base(spark, sf):
+    """All variants with the additive prediction corrected by the pairs of 50 doubles an assay."""
+    v = written(ordered(X.variants(spark, sf)), "variants")
+    res = E.strict_double_residuals(v, LEAST).drop("n")
+    chosen = res.withColumn("o", F.row_number().over(Window.partitionBy("assay").orderBy(hash_order("assay", "mutant"), "mutant"))).where("o <= 50")
+    return E.pairwise_scores(additive_scores(v, v.where("ord = 1")), E.pair_residuals(chosen))
+
+
+@add()
+def pairwise_ensemble(spark, sf):
+    """The pairwise base and all scores, fitted on singles and doubles, as predictions of the higher orders."""
+    from assayscope.operators.calibration import RIDGE, ridge_grouped
+
+    names = ["pairwise_score", *X.METHODS]
+    d = written(pairwise_base(spark, sf).select("assay", "mutant", "ord", "dms_score", *names), "pairwise").dropna(subset=names)
+    train = d.where("ord between 1 and 2")
+    # standardised on the training rows: the fit is the same, its equations are better conditioned
+    stats = train.groupBy("assay").agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (("a", F.avg), ("s", F.stddev_pop))])
+    z = d.join(stats, "assay").withColumns({c: (F.col(c) - F.col(f"{c}_a")) / F.when(F.col(f"{c}_s") == 0, 1.0).otherwise(F.col(f"{c}_s")) for c in names})
+    long = z.unpivot(["assay", "mutant", "ord", "dms_score"], names, "feature", "value")
+    p = ridge_grouped(long.where("ord between 1 and 2").drop("ord"), long.where("ord > 2").drop("ord", "dms_score"), ["assay"], "mutant", "dms_score", RIDGE)
+    return p.select("assay", "mutant", F.round("score", 4).alias("score"))
+
+
 @add(f"""{VR}, hp AS (SELECT assay, mutant, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM variants WHERE ord > 2),
 f AS (SELECT x.assay, least(x.part, y.part) || ':' || greatest(x.part, y.part) AS pair, count(*) AS freq FROM hp x JOIN hp y ON x.assay = y.assay AND x.mutant = y.mutant AND x.i < y.i GROUP BY 1, 2),
 o AS (SELECT res.assay, mutant, coalesce(freq, 0) AS freq, row_number() OVER (PARTITION BY res.assay ORDER BY coalesce(freq, 0) DESC, mutant) AS rank FROM res LEFT JOIN f ON f.assay = res.assay AND f.pair = least(single_a, single_b) || ':' || greatest(single_a, single_b)) SELECT * FROM o""")

@@ -34,10 +34,10 @@ METHOD_RULES = [("m_q", "volume"), ("m_d", "price"), ("m_r", "price"), ("m_t", "
 _METHOD = "CASE WHEN starts_with(method, 'm_q') THEN 'volume' WHEN starts_with(method, 'm_d') THEN 'price' WHEN starts_with(method, 'm_r') THEN 'price' WHEN starts_with(method, 'm_t') THEN 'tax' ELSE 'other' END"
 
 
-@add(f"{VL} SELECT method, {_METHOD} AS category, count(*) AS n FROM long GROUP BY method")
+@add(f"{V}, m AS (UNPIVOT (SELECT {', '.join(f'count({m}) AS {m}' for m in X.METHODS)} FROM variants) ON {', '.join(X.METHODS)} INTO NAME method VALUE n) SELECT method, {_METHOD} AS category, n FROM m")
 def method_inventory(spark, sf):
-    long = X.scores_long(X.variants(spark, sf))
-    return long.groupBy("method").agg(F.count("*").alias("n")).withColumn("category", S.prefix_category(F.col("method"), METHOD_RULES, "other"))
+    n = I.method_counts(X.variants(spark, sf), X.BASE_COLUMNS)
+    return n.withColumn("category", S.prefix_category(F.col("method"), METHOD_RULES, "other"))
 
 
 @add(f"SELECT p_type, {_METHOD.replace('method', 'lower(p_type)').replace('m_', '')} AS category, count(*) AS n FROM part GROUP BY 1, 2")
@@ -69,6 +69,12 @@ def export_minmax_labels(spark, sf):
     return out.select("assay", "mutant", S.r6(F.col("scaled")).alias("scaled"), "binary")
 
 
+@add(f"{V} SELECT assay, mutant, {', '.join(X.METHODS)} FROM variants WHERE dms_score IS NOT NULL AND {' AND '.join(f'{m} IS NOT NULL' for m in X.METHODS)}")
+def export_minmax_features(spark, sf):
+    """The vectors that go with export_minmax_labels, for the rows that have every feature."""
+    return X.variants(spark, sf).dropna(subset=["dms_score", *X.METHODS]).select("assay", "mutant", *X.METHODS)
+
+
 @add("SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def dedupe_last_wins(spark, sf):
     return I.last_wins(X.table(spark, sf, "events").select("user_id", "event_type", "value", "event_id"), ["user_id", "event_type"], "event_id").drop("event_id")

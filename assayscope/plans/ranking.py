@@ -218,14 +218,17 @@ def zero_shot_metrics(spark, sf):
     return rounded(zero_shot(long(spark, sf)))
 
 
-@add(f"""{VL}, r0 AS (SELECT *, row_number() OVER w1 AS rank_pred, row_number() OVER w2 AS rank_true, count(*) OVER g AS n,
+_EXT = f"""{VL}, r0 AS (SELECT *, row_number() OVER w1 AS rank_pred, row_number() OVER w2 AS rank_true, count(*) OVER g AS n,
 (dms_score - avg(dms_score) OVER g) / coalesce(nullif(stddev_pop(dms_score) OVER g, 0), 1) AS zt, (score - avg(score) OVER g) / coalesce(nullif(stddev_pop(score) OVER g, 0), 1) AS zp
 FROM long WINDOW g AS (PARTITION BY assay, method), w1 AS (PARTITION BY assay, method ORDER BY score DESC, mutant), w2 AS (PARTITION BY assay, method ORDER BY dms_score DESC, mutant)),
 q AS (SELECT assay, method, count(*) AS n, {corr('dms_score', 'score')} AS pearson, sqrt(avg((zt - zp) * (zt - zp))) AS rmse_z, avg(abs(zt - zp)) AS mae_z,
 count_if(rank_true <= greatest(1, ceil(n * 0.01::DOUBLE)) AND rank_pred <= 10)::DOUBLE / least(10, count(*)) AS h10, count_if(rank_true <= greatest(1, ceil(n * 0.01::DOUBLE)) AND rank_pred <= 20)::DOUBLE / least(20, count(*)) AS h20,
 count_if(rank_true <= greatest(1, ceil(n * 0.01::DOUBLE)))::DOUBLE / count(*) AS base,
-count_if(rank_true <= greatest(1, ceil(n * 0.1::DOUBLE)) AND rank_pred <= greatest(1, ceil(n * 0.1::DOUBLE)))::DOUBLE / count_if(rank_true <= greatest(1, ceil(n * 0.1::DOUBLE))) AS rec FROM r0 WHERE n >= 20 GROUP BY 1, 2)
-SELECT assay, method, n, {r('pearson')} AS pearson, {r('rmse_z')} AS rmse_z, {r('mae_z')} AS mae_z, {r('h10')} AS hit_rate_at_10, {r('h20')} AS hit_rate_at_20, {r('h10 / base')} AS enrichment_at_10, {r('h20 / base')} AS enrichment_at_20, {r('rec')} AS top10pct_recall FROM q""")
+count_if(rank_true <= greatest(1, ceil(n * 0.1::DOUBLE)) AND rank_pred <= greatest(1, ceil(n * 0.1::DOUBLE)))::DOUBLE / count_if(rank_true <= greatest(1, ceil(n * 0.1::DOUBLE))) AS rec FROM r0 WHERE n >= 20 GROUP BY 1, 2)"""
+_EXT_COLS = {"pearson": "pearson", "rmse_z": "rmse_z", "mae_z": "mae_z", "hit_rate_at_10": "h10", "hit_rate_at_20": "h20", "enrichment_at_10": "h10 / base", "enrichment_at_20": "h20 / base", "top10pct_recall": "rec"}
+
+
+@add(f"{_EXT} SELECT assay, method, n, {', '.join(f'{r(e)} AS {c}' for c, e in _EXT_COLS.items())} FROM q")
 def extended_metrics(spark, sf):
     return rounded(M.extended_metrics(long(spark, sf), AM, "dms_score", "score", "mutant"))
 
@@ -271,10 +274,10 @@ additive AS (SELECT v.assay, v.mutant, v.dms_score, v.dms_score_bin, v.ord, 'add
 longa AS (SELECT assay, mutant, dms_score, dms_score_bin, ord, method, score FROM long UNION ALL SELECT * FROM additive)"""
 
 
-def with_additive(spark, sf):
+def with_additive(spark, sf, v=None):
     from assayscope.operators.additive import additive_scores
 
-    v = X.variants(spark, sf)
+    v = v or X.variants(spark, sf)
     o = v.withColumn("ord", S.mutation_order(F.col("mutant")))
     a = additive_scores(o, o.where("ord = 1")).withColumn("method", F.lit("additive_all_singles"))
     cols = ["assay", "mutant", "dms_score", "dms_score_bin", "ord", "method", "score"]
@@ -284,8 +287,8 @@ def with_additive(spark, sf):
 _S2M = f"{VL}, {ADDITIVE}, {_BUCKET}, {ranked_sql('bk', 'assay, method, bucket')}, sm AS (SELECT assay, method, bucket, count(*) AS n, {corr('rt', 'rp')} AS spearman, {top_sql()['top1pct_recall_at_k']} AS top1pct_recall_at_k FROM rk GROUP BY 1, 2, 3)"
 
 
-def s2m(spark, sf):
-    d = with_additive(spark, sf).withColumn("bucket", S.order_bucket(F.col("ord")))
+def s2m(spark, sf, v=None):
+    d = with_additive(spark, sf, v).withColumn("bucket", S.order_bucket(F.col("ord")))
     by = [*AM, "bucket"]
     k = M.ranked(d, by, "dms_score", "score", "mutant").withColumns({"__rt": K.midrank("dms_score", by), "__rp": K.midrank("score", by)})
     return k.groupBy(*by).agg(F.count("*").alias("n"), M.pearson("__rt", "__rp").alias("spearman"), M.top_metrics(100, "dms_score")["top1pct_recall_at_k"].alias("top1pct_recall_at_k"))
@@ -344,11 +347,10 @@ def zero_shot_category_summary(spark, sf):
     return rounded(c.groupBy("category").agg(F.count("*").alias("n_methods"), F.avg("mean_abs_spearman").alias("mean_abs_spearman"), F.max_by("method", "mean_abs_spearman").alias("best_method"), F.sum("wins").alias("wins")))
 
 
-@add(f"""{VL}, r0 AS (SELECT *, (dms_score - avg(dms_score) OVER g) / coalesce(nullif(stddev_pop(dms_score) OVER g, 0), 1) AS zt, (score - avg(score) OVER g) / coalesce(nullif(stddev_pop(score) OVER g, 0), 1) AS zp FROM long WINDOW g AS (PARTITION BY assay, method)),
-q AS (SELECT assay, method, {corr('dms_score', 'score')} AS pearson, avg(abs(zt - zp)) AS mae_z FROM r0 GROUP BY 1, 2 HAVING count(*) >= 20) SELECT method, {r('avg(pearson)')} AS pearson, {r('avg(mae_z)')} AS mae_z FROM q GROUP BY 1""")
+@add(f"{_EXT} SELECT method, count(*) AS n_assays, {', '.join(f'{r(f"avg({e})")} AS {c}' for c, e in _EXT_COLS.items())} FROM q GROUP BY 1")
 def extended_summary(spark, sf):
     e = M.extended_metrics(long(spark, sf), AM, "dms_score", "score", "mutant")
-    return e.groupBy("method").agg(r6(F.avg("pearson")).alias("pearson"), r6(F.avg("mae_z")).alias("mae_z"))
+    return rounded(e.groupBy("method").agg(F.count("*").alias("n_assays"), *[F.avg(c).alias(c) for c in _EXT_COLS]))
 
 
 @add(f"{ZS25.replace('WITH ', f'WITH {X.TYPES}, ', 1)} SELECT assay_type, method, count(*) AS n_assays, {r('avg(abs(spearman))')} AS mean_abs_spearman FROM zs JOIN types USING (assay) GROUP BY 1, 2")
@@ -357,6 +359,12 @@ def by_assay_type(spark, sf):
     return rounded(z.groupBy("assay_type", "method").agg(F.count("*").alias("n_assays"), F.avg("abs_spearman").alias("mean_abs_spearman")))
 
 
+@add(f"{_S2M.replace(VL, f'WITH {X.TYPES}, {X.VARIANTS25}, {X.LONG}', 1)} SELECT assay_type, bucket, method, count(*) AS n_assays, {r('avg(abs(spearman))')} AS mean_abs_spearman FROM sm JOIN types USING (assay) WHERE spearman IS NOT NULL GROUP BY 1, 2, 3")
+def single_to_multi_by_assay_type(spark, sf):
+    d = s2m(spark, sf, X.variants25(spark, sf)).where("spearman is not null").join(X.assay_types(spark, sf), "assay")
+    return rounded(d.groupBy("assay_type", "bucket", "method").agg(F.count("*").alias("n_assays"), F.avg(F.abs("spearman")).alias("mean_abs_spearman")))
+
+
 @add(f"""{ZS25.replace('WITH ', f'WITH {X.TYPES}, ', 1)}, st AS (SELECT *, CASE WHEN n > 250 THEN 'large' ELSE 'small' END AS size_class, CASE WHEN n_doubles > 30 THEN 'dense' ELSE 'sparse' END AS density FROM zs JOIN types USING (assay)),
 g AS (SELECT method, 'assay_type' AS stratum, assay_type AS level, spearman FROM st UNION ALL SELECT method, 'size_class', size_class, spearman FROM st UNION ALL SELECT method, 'density', density, spearman FROM st)
 SELECT stratum, level, method, count(*) AS n_assays, {r('avg(abs(spearman))')} AS mean_abs_spearman FROM g GROUP BY 1, 2, 3""")
@@ -375,11 +383,17 @@ def zero_shot_pivot(spark, sf):
     return rounded(p.join(b, "assay"))
 
 
-@add(f"{ZS25} SELECT assay, {r('''max(CASE WHEN method IN ('m_qty', 'm_tax') THEN abs(spearman) END) - max(CASE WHEN method IN ('m_disc', 'm_retail') THEN abs(spearman) END)''')} AS gain FROM zs GROUP BY 1")
-def structure_gain(spark, sf):
-    z = zero_shot(long25(spark, sf))
+GAINS = "gains AS (SELECT assay, max(CASE WHEN method IN ('m_qty', 'm_tax') THEN abs(spearman) END) - max(CASE WHEN method IN ('m_disc', 'm_retail') THEN abs(spearman) END) AS gain FROM zs GROUP BY 1)"
+
+
+def gains(zs):
     best = lambda *m: F.max(F.when(F.col("method").isin(*m), F.col("abs_spearman")))
-    return rounded(z.groupBy("assay").agg((best("m_qty", "m_tax") - best("m_disc", "m_retail")).alias("gain")))
+    return zs.groupBy("assay").agg((best("m_qty", "m_tax") - best("m_disc", "m_retail")).alias("gain"))
+
+
+@add(f"{ZS25}, {GAINS} SELECT assay, {r('gain')} AS gain FROM gains")
+def structure_gain(spark, sf):
+    return rounded(gains(zero_shot(long25(spark, sf))))
 
 
 @add(f"WITH {X.TRAJECTORIES} SELECT policy, round, count(*) AS n, {r('avg(n_observed)')} AS n_observed, {r('avg(best)')} AS best, {r('avg(hit)')} AS hit FROM traj GROUP BY 1, 2")

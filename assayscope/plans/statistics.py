@@ -89,15 +89,15 @@ def reciprocal_paired_test(spark, sf):
 
 # -- quality checks ----------------------------------------------------------------------------------
 
-_QC = ["ndcg_at_k", "spearman", "top1pct_recall_at_k"]
+_QC = ["abs_spearman", "best_true_in_pred_top_k", "mean_true_in_pred_top_k", "ndcg_at_k", "n_singles", "spearman", "top1pct_recall_at_k", "top5pct_recall_at_k"]
 
 
-@add(f"{ZS25}, q AS (SELECT row_number() OVER (ORDER BY assay, method) AS row_no, assay, method, {', '.join(_QC)} FROM zs), u AS (SELECT * FROM q UNPIVOT (value FOR field IN ({', '.join(_QC)}))) SELECT row_no, assay, method, field, {r('value')} AS value FROM u WHERE value < 0 OR value > 1")
+@add(f"{ZS25}, q AS (SELECT row_number() OVER (ORDER BY assay, method) AS row_no, assay, method, {', '.join('abs(spearman)::DOUBLE AS abs_spearman' if c == 'abs_spearman' else f'{c}::DOUBLE AS {c}' for c in _QC)} FROM zs), u AS (SELECT * FROM q UNPIVOT (value FOR field IN ({', '.join(_QC)}))) SELECT row_no, assay, method, field, {r('value')} AS value FROM u WHERE value < 0 OR value > 1")
 def qc_range_check(spark, sf):
     z = zero_shot(long25(spark, sf))
     # numbering one small row per assay and method
     z = z.withColumn("row_no", F.row_number().over(Window.orderBy("assay", "method")))
-    u = z.select("row_no", "assay", "method", *_QC).unpivot(["row_no", "assay", "method"], _QC, "field", "value")
+    u = z.select("row_no", "assay", "method", *[F.col(c).cast("double").alias(c) for c in _QC]).unpivot(["row_no", "assay", "method"], _QC, "field", "value")
     return rounded(u.where("value < 0 or value > 1"))
 
 

@@ -6,23 +6,24 @@ import math
 
 from pyspark.sql import functions as F
 
+from assayscope.operators import ranking as K
 from assayscope.operators import structure as T
-from assayscope.plans.ranking import r, rounded
+from assayscope.plans.ranking import GAINS, ZS25, gains, long25, r, rounded, zero_shot
 from assayscope.plans.registry import add
 from assayscope.sources import fixtures as X
 
 C = f"WITH {X.COORDS}"
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 NB = f"nb AS (SELECT a.structure, a.residue, count(b.residue) AS neighbours FROM coords a LEFT JOIN coords b ON a.structure = b.structure AND a.residue <> b.residue AND {_D2} <= 100.0 GROUP BY 1, 2)"
-#: Variants of structures: the customer's number gives two or three residues.
-SITES = "sites AS (SELECT c_nationkey % 10 AS structure, c_custkey AS variant, CASE WHEN c_custkey % 3 = 0 THEN [c_custkey % 40 + 1, c_custkey % 17 + 1, c_custkey % 70 + 1] ELSE [c_custkey % 40 + 1, c_custkey % 23 + 2] END AS positions FROM customer)"
+#: Variants of structures: the customer's number gives one, two or three residues.
+SITES = "sites AS (SELECT c_nationkey % 10 AS structure, c_custkey AS variant, CASE WHEN c_custkey % 4 = 0 THEN [c_custkey % 40 + 1] WHEN c_custkey % 3 = 0 THEN [c_custkey % 40 + 1, c_custkey % 17 + 1, c_custkey % 70 + 1] ELSE [c_custkey % 40 + 1, c_custkey % 23 + 2] END AS positions FROM customer)"
 
 
 def sites(spark, sf):
     k = F.col("c_custkey")
     three = F.array(k % 40 + 1, k % 17 + 1, k % 70 + 1)
     two = F.array(k % 40 + 1, k % 23 + 2)
-    return X.table(spark, sf, "customer").select((F.col("c_nationkey") % 10).alias("structure"), k.alias("variant"), F.when(k % 3 == 0, three).otherwise(two).alias("positions"))
+    return X.table(spark, sf, "customer").select((F.col("c_nationkey") % 10).alias("structure"), k.alias("variant"), F.when(k % 4 == 0, F.array(k % 40 + 1)).when(k % 3 == 0, three).otherwise(two).alias("positions"))
 
 
 @add(f"{C}, {NB} SELECT * FROM nb")
@@ -36,35 +37,66 @@ pj AS (SELECT pp.structure, variant, sqrt({_D2}) AS d FROM pp LEFT JOIN coords a
 pd AS (SELECT structure, variant, CASE WHEN count(d) = count(*) THEN min(d) END AS min_distance FROM pj GROUP BY 1, 2)"""
 
 
-@add(f"{C}, {_PD} SELECT structure, variant, {r('min_distance')} AS min_distance FROM pd")
+@add(f"{C}, {_PD} SELECT structure, variant, {r('min_distance')} AS min_distance FROM sites LEFT JOIN pd USING (structure, variant)")
 def pair_distance(spark, sf):
     return rounded(T.pair_distances(sites(spark, sf), X.coords(spark, sf)))
 
 
-_FAR = ", ".join(f"{r(f'avg(CASE WHEN min_distance < {d} THEN 1.0 ELSE 0.0 END)')} AS below_{d}" for d in (8, 12, 20))
+_FAR = ", ".join(f"{r(f'avg(CASE WHEN min_distance < {d} THEN 1.0 WHEN min_distance IS NOT NULL THEN 0.0 END)')} AS below_{d}" for d in (8, 12, 20))
 
 
-@add(f"{C}, {_PD} SELECT structure, count(*) AS n, {r('avg(min_distance)')} AS mean_distance, {r('median(min_distance)')} AS median_distance, {_FAR} FROM pd WHERE min_distance IS NOT NULL GROUP BY 1")
+@add(f"""{C}, {_PD}, k AS (SELECT pd.structure, min_distance, unnest(CASE WHEN len(positions) = 2 THEN ['multi', 'double'] ELSE ['multi'] END) AS kind FROM pd JOIN sites USING (variant) WHERE len(positions) > 1)
+SELECT structure, kind, count(*) AS n_variants, count(min_distance) AS n, {r('count(min_distance)::DOUBLE / count(*)')} AS complete, {r('avg(min_distance)')} AS mean_distance, {r('median(min_distance)')} AS median_distance, {_FAR} FROM k GROUP BY 1, 2""")
 def contact_summary(spark, sf):
-    d = T.pair_distances(sites(spark, sf), X.coords(spark, sf)).where("min_distance is not null")
-    near = [F.avg((F.col("min_distance") < k).cast("double")).alias(f"below_{k}") for k in (8, 12, 20)]
-    return rounded(d.groupBy("structure").agg(F.count("*").alias("n"), F.avg("min_distance").alias("mean_distance"), F.median("min_distance").alias("median_distance"), *near))
+    """Least distance between the mutated residues of a variant: of all variants with several, and of doubles."""
+    kinds = F.when(F.size("positions") == 2, F.array(F.lit("multi"), F.lit("double"))).otherwise(F.array(F.lit("multi")))
+    p = sites(spark, sf).where(F.size("positions") > 1)
+    d = T.pair_distances(p, X.coords(spark, sf)).join(p.select("structure", "variant", kinds.alias("kinds")), ["structure", "variant"])
+    d = d.select("structure", "min_distance", F.explode("kinds").alias("kind"))
+    near = [F.avg(F.when(F.col("min_distance").isNotNull(), (F.col("min_distance") < k).cast("double"))).alias(f"below_{k}") for k in (8, 12, 20)]
+    n = F.count("min_distance")
+    return rounded(d.groupBy("structure", "kind").agg(F.count("*").alias("n_variants"), n.alias("n"), (n / F.count("*")).alias("complete"), F.avg("min_distance").alias("mean_distance"), F.median("min_distance").alias("median_distance"), *near))
+
+
+_PS = f"{SITES}, ps AS (SELECT DISTINCT structure, variant, len(positions) AS n_sites, unnest(positions) AS residue FROM sites)"
+_EXP = f"""{_PS}, ex AS (SELECT structure, variant, avg(neighbours) AS mean_count, avg(CAST(neighbours <= 5 AS INT)) AS exposed, avg(CAST(neighbours >= 10 AS INT)) AS buried FROM ps JOIN nb USING (structure, residue) GROUP BY 1, 2)"""
 
 
-_EXP = f"""{SITES}, ps AS (SELECT DISTINCT structure, variant, unnest(positions) AS residue FROM sites), ex AS (SELECT structure, variant, avg(neighbours) AS mean_count, avg(CAST(neighbours <= 5 AS INT)) AS exposed, avg(CAST(neighbours >= 10 AS INT)) AS buried FROM ps JOIN nb USING (structure, residue) GROUP BY 1, 2)"""
+def mutated(spark, sf):
+    """The residues of every variant, each once."""
+    return sites(spark, sf).select("structure", "variant", F.size("positions").alias("n_sites"), F.explode(F.array_distinct("positions")).alias("residue"))
 
 
 def exposure(spark, sf):
-    p = sites(spark, sf).select("structure", "variant", F.explode(F.array_distinct("positions")).alias("residue"))
     n = T.radius_counts(X.coords(spark, sf), 10.0)
-    return p.join(n, ["structure", "residue"]).groupBy("structure", "variant").agg(
+    return mutated(spark, sf).join(n, ["structure", "residue"]).groupBy("structure", "variant").agg(
         F.avg("neighbours").alias("mean_count"), F.avg((F.col("neighbours") <= 5).cast("int")).alias("exposed"), F.avg((F.col("neighbours") >= 10).cast("int")).alias("buried")
     )
 
 
-@add(f"{C}, {NB}, {_EXP} SELECT structure, count(*) AS n, {r('avg(mean_count)')} AS mean_count, {r('avg(exposed)')} AS exposed, {r('avg(buried)')} AS buried FROM ex GROUP BY 1")
+def _by_tertile(table: str, value: str, exposed_low: bool) -> str:
+    """SQL of a residue table's variant means by the structure's own tertiles, for all, single and multi variants."""
+    low, high = ("exposed", "buried") if exposed_low else ("buried", "exposed")
+    return f"""cuts AS (SELECT structure, list_sort(list({value}))[count(*) // 3 + 1] AS lo, list_sort(list({value}))[2 * count(*) // 3 + 1] AS hi FROM {table} GROUP BY 1),
+tv AS (SELECT ps.structure, variant, any_value(n_sites) AS n_sites, avg({value}) AS mean_value, avg(CAST({value} <= lo AS INT)) AS {low}, avg(CAST({value} > lo AND {value} >= hi AS INT)) AS {high} FROM ps JOIN {table} USING (structure, residue) JOIN cuts USING (structure) GROUP BY 1, 2),
+tk AS (SELECT *, unnest(['all', CASE WHEN n_sites = 1 THEN 'single' ELSE 'multi' END]) AS kind FROM tv)
+SELECT structure, kind, count(*) AS n, {r('avg(mean_value)')} AS mean_value, {r('avg(exposed)')} AS exposed, {r('avg(buried)')} AS buried FROM tk GROUP BY 1, 2"""
+
+
+def by_tertile(spark, sf, residues, value: str, exposed_low: bool):
+    low, high = ("exposed", "buried") if exposed_low else ("buried", "exposed")
+    cut = lambda share, name: K.at_index(residues, ["structure"], value, F.floor(F.col("n") * share / 3), name)
+    d = mutated(spark, sf).join(residues, ["structure", "residue"]).join(cut(1, "lo"), "structure").join(cut(2, "hi"), "structure")
+    v = F.col(value)
+    d = d.groupBy("structure", "variant", "n_sites").agg(F.avg(value).alias("mean_value"), F.avg((v <= F.col("lo")).cast("int")).alias(low), F.avg(((v > F.col("lo")) & (v >= F.col("hi"))).cast("int")).alias(high))
+    d = d.withColumn("kind", F.explode(F.array(F.lit("all"), F.when(F.col("n_sites") == 1, "single").otherwise("multi"))))
+    return rounded(d.groupBy("structure", "kind").agg(F.count("*").alias("n"), F.avg("mean_value").alias("mean_value"), F.avg("exposed").alias("exposed"), F.avg("buried").alias("buried")))
+
+
+@add(f"{C}, {NB}, {_PS}, {_by_tertile('nb', 'neighbours', True)}")
 def exposure_summary(spark, sf):
-    return rounded(exposure(spark, sf).groupBy("structure").agg(F.count("*").alias("n"), F.avg("mean_count").alias("mean_count"), F.avg("exposed").alias("exposed"), F.avg("buried").alias("buried")))
+    """Neighbour counts of the mutated residues; few neighbours mean exposed."""
+    return by_tertile(spark, sf, T.radius_counts(X.coords(spark, sf), 10.0), "neighbours", True)
 
 
 _BALL = "ball(i, ux, uy, uz) AS (VALUES " + ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for i, x, y, z in T.sphere_points()) + ")"
@@ -78,10 +110,10 @@ def residue_sasa(spark, sf):
     return rounded(T.residue_sasa(X.coords(spark, sf)).drop("covered"))
 
 
-@add(f"{C}, {_SASA} SELECT structure, count(*) AS n, {r('avg(sasa)')} AS mean_sasa, {r('avg(CASE WHEN sasa >= 150 THEN 1.0 ELSE 0.0 END)')} AS exposed, {r('avg(CASE WHEN sasa <= 100 THEN 1.0 ELSE 0.0 END)')} AS buried FROM sasa GROUP BY 1")
+@add(f"{C}, {_SASA}, {_PS}, {_by_tertile('sasa', 'sasa', False)}")
 def sasa_summary(spark, sf):
-    s = T.residue_sasa(X.coords(spark, sf))
-    return rounded(s.groupBy("structure").agg(F.count("*").alias("n"), F.avg("sasa").alias("mean_sasa"), F.avg((F.col("sasa") >= 150).cast("double")).alias("exposed"), F.avg((F.col("sasa") <= 100).cast("double")).alias("buried")))
+    """Free surface of the mutated residues; a large one means exposed."""
+    return by_tertile(spark, sf, T.residue_sasa(X.coords(spark, sf)).drop("covered"), "sasa", False)
 
 
 @add(f"""{C}, {SITES}, po AS (SELECT DISTINCT structure, unnest(positions) + 8 AS position FROM sites), o AS (SELECT structure, count_if(position IN (SELECT residue FROM coords c WHERE c.structure = po.structure)) AS plain,
@@ -125,3 +157,12 @@ def structure_availability(spark, sf):
     n = X.table(spark, sf, "nation").select(F.col("n_nationkey").alias("assay"), (F.col("n_nationkey") % 13).alias("structure"))
     c = X.coords(spark, sf).select("structure", F.lit(1).alias("there")).distinct()
     return n.join(c, "structure", "left").select("assay", F.lit(1).alias("named"), F.coalesce("there", F.lit(0)).alias("present"))
+
+
+@add(f"""{ZS25.replace('WITH ', f'WITH {X.TYPES}, {X.COORDS}, ', 1)}, {GAINS}, av AS (SELECT 'NATION_' || n_nationkey AS assay, CAST(n_nationkey % 13 IN (SELECT structure FROM coords) AS INT) AS present FROM nation)
+SELECT assay_type, 1 AS named, present, count(*) AS n_assays, {r('avg(gain)')} AS mean_gain FROM gains JOIN types USING (assay) JOIN av USING (assay) WHERE gain IS NOT NULL GROUP BY 1, 2, 3""")
+def structure_gain_summary(spark, sf):
+    """Gain of the methods that use a structure, by assay type and by whether one is there."""
+    a = structure_availability(spark, sf).withColumn("assay", F.concat(F.lit("NATION_"), F.col("assay").cast("string")))
+    g = gains(zero_shot(long25(spark, sf))).where("gain is not null").join(X.assay_types(spark, sf), "assay").join(a, "assay")
+    return rounded(g.groupBy("assay_type", "named", "present").agg(F.count("*").alias("n_assays"), F.avg("gain").alias("mean_gain")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from assayscope.functions.scalars import mutation_order
 
 METHODS = ["m_disc", "m_qty", "m_retail", "m_tax"]
+BASE_COLUMNS = ["assay", "mutant", "dms_score", "dms_score_bin"]
 _SOURCES = {"dms_score": "l_extendedprice", "m_qty": "l_quantity", "m_disc": "l_discount", "m_tax": "l_tax", "m_retail": "p_retailprice"}
 
 

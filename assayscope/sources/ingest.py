@@ -87,6 +87,12 @@ def minmax_labels(df: DataFrame, group: str, value: str, features: list[str]) ->
     return d.withColumn("binary", (F.col("scaled") >= 0.5).cast("int"))
 
 
+def method_counts(df: DataFrame, base: list[str]) -> DataFrame:
+    """method, n: the columns that aren't base columns, with their values present; one without any counts too."""
+    methods = [c for c in df.columns if c not in base]
+    return df.agg(*[F.count(c).alias(c) for c in methods]).unpivot([], methods, "method", "n")
+
+
 def sink_table(df: DataFrame, path: str, columns: list[str], fmt: str = "parquet") -> None:
     """Write the declared columns in their order."""
     writer = df.select(*columns).write.mode("overwrite")

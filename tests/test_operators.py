@@ -164,3 +164,27 @@ def test_union_checked_rejects_other_columns(spark):
 def test_last_wins(spark):
     d = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("b", 1, 7)], "k string, n int, v int")
     assert rows(I.last_wins(d, ["k"], "n").select("k", "v"), "k") == [("a", 6), ("b", 7)]
+
+
+def test_best_gain(spark):
+    d = spark.createDataFrame(
+        [("a", "none", "additive", 0.5, "full"), ("a", "m", "linear", 0.2, "full"), ("a", "n", "linear", 0.4, "full"), ("a", "n", "linear", 0.2, "full"), ("b", "m", "linear", 0.9, "full")],
+        "assay string, method string, model string, p double, mode string",
+    )
+    base = F.col("model") == "additive"
+    got = rows(C.best_gain(d, "assay", "method", "p", base, "mode"), "assay")
+    assert got[0][:2] == ("a", "full") and math.isclose(got[0][2], -0.2) and got[1] == ("b", "full", None)
+    mixed = d.withColumn("mode", F.when(F.col("method") == "n", "sample").otherwise("full"))
+    with pytest.raises(Exception, match="several modes"):
+        C.best_gain(mixed, "assay", "method", "p", base, "mode").collect()
+
+
+def test_predictor_category(spark):
+    d = spark.createDataFrame([("EVE_single",), ("VenusREM",), ("VenusREM2",), ("ESM-IF1",), ("ESM2",), ("",), (None,)], "m string")
+    got = [r[0] for r in d.select(S.predictor_category(F.col("m"))).collect()]
+    assert got == ["evolution_or_msa", "other_variant_effect", "other", "structure_aware", "sequence_plm", "other", "other"]
+
+
+def test_method_counts_lists_empty_columns(spark):
+    d = spark.createDataFrame([("a", 1.0, None), ("b", None, None)], "assay string, m double, n double")
+    assert rows(I.method_counts(d, ["assay"]), "method") == [("m", 1), ("n", 0)]
