@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayscope.llm import decontam, hnsw, langid, minhash, mixing, quality, substring, urlfilter, warc, wrapper
+from assayscope.llm import audit, decontam, hilbert, hnsw, langid, lexical, minhash, mixing, quality, substring, urlfilter, warc, wrapper
 from assayscope.llm.common import table
 
 
@@ -54,6 +54,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.assign(table(spark, sf_dir, "documents"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,12 +73,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_quality, op2_substring, op3_warc, op4_langid, op5_vectors, op6_mix, op7_decontam, op8_urls, op9_minhash, op10_html, pipeline]
+    found = [op1_quality, op2_substring, op3_warc, op4_langid, op5_vectors, op6_mix, op7_decontam, op8_urls, op9_minhash, op10_html]
+    found += [op11_lexical, op12_hilbert, op13_audit, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE, "op6_mix": mixing.ORACLE, "op8_urls": urlfilter.ORACLE, "op2_substring": SUBSTRING_SQL}
+    found = {"op2_substring": SUBSTRING_SQL, "op3_warc": warc.ORACLE, "op6_mix": mixing.ORACLE, "op8_urls": urlfilter.ORACLE}
+    return found | {"op11_lexical": lexical.ORACLE, "op12_hilbert": hilbert.ORACLE, "op13_audit": audit.ORACLE}
 
 
 #: Only sound on unique ids, which the driver's tables have.
