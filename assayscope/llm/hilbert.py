@@ -82,18 +82,20 @@ def size_class(size: Column) -> Column:
     return (length * 16 + F.conv(high, 2, 10).cast("int") - 16).cast("int")
 
 
-def measured(docs: DataFrame, bits: int = BITS, names: dict[str, str] | None = None) -> tuple[DataFrame, list[str]]:
-    """docs with size, text_crc32 and the curve number under fresh names, and these names."""
-    size, crc, curve, a, b, c = own = fresh(docs.columns, "size", "crc", "curve", "a", "b", "c")
+def measured(docs: DataFrame, bits: int = BITS, thin: bool = False) -> tuple[DataFrame, list[str]]:
+    """docs (thin: its doc_id) with size, text_crc32 and the curve number under fresh names, and these names.
+    Thin rows are written once; else the dimensions are, and docs is read again."""
+    size, crc, curve, a, b, c = fresh(docs.columns, "size", "crc", "curve", "a", "b", "c")
     d = docs.withColumns({size: F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1, crc: F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
     d = d.withColumns({a: size_class(F.col(size)), b: F.col("lang"), c: F.col("source")})
     scratch = Scratch(docs.sparkSession, "hilbert")
-    keys = scratch.save(d.select(a, b, c), "dimensions")
-    cells = fresh([*docs.columns, *own], "cell_a", "cell_b", "cell_c")
+    d = scratch.save(d.select("doc_id", size, crc, a, b, c), "rows") if thin else d
+    keys = d if thin else scratch.save(d.select(a, b, c), "dimensions")
+    cells = fresh(d.columns, "cell_a", "cell_b", "cell_c")
     for x, cell in zip((a, b, c), cells):
-        # a row per different value
+        # a row per different value; docs that change between readings may have one that is not there
         t = small(scratch, cells_of(keys.select(x), x, bits).select(F.col(x).alias("__v"), F.col("__cell").alias(cell)), "cells")
-        d = d.join(t, d[x].eqNullSafe(t["__v"])).drop("__v")
+        d = d.join(t, d[x].eqNullSafe(t["__v"]), "left").drop("__v").withColumn(cell, F.coalesce(cell, F.lit(0)))
     return d.withColumn(curve, hilbert_index([F.col(x) for x in cells], bits)).drop(a, b, c, *cells), [size, crc, curve]
 
 
@@ -114,30 +116,28 @@ def assign(docs: DataFrame, shards: int = SHARDS, law: str = "rows", bits: int =
     """doc_id and the outputs of shard(), without moving texts."""
     if law not in LAWS:
         raise ValueError(f"law must be one of {LAWS}")
-    d, (size, crc, curve) = measured(docs.select("doc_id", "text", "lang", "source"), bits)
-    return _cut(d.select("doc_id", size, crc, curve), ["doc_id"], size, crc, curve, shards, law)
+    d, (size, crc, curve) = measured(docs.select("doc_id", "text", "lang", "source"), bits, thin=True)
+    return _cut(d, ["doc_id"], size, crc, curve, shards, law)
 
 
 def _cut(d: DataFrame, columns: list[str], size: str, crc: str, curve: str, shards: int, law: str) -> DataFrame:
-    tie, pos, n, low, total = fresh(d.columns, "tie", "pos", "n", "low", "total")
-    # repeated rows are told apart by where they are read
-    d = d.withColumn(tie, F.monotonically_increasing_id())
-    order = [F.col(curve), F.col(crc), F.col("doc_id").asc_nulls_first(), F.col(size), F.col(tie)]
+    own = [c for c in columns if c.lower() not in OUTPUTS]
+    # the row's own columns travel as one, so that no name of theirs meets one of ours; repeated rows are told
+    # apart by where they are read
+    d = d.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"), F.col(size).alias("size"), F.col(crc).alias("crc"), F.col(curve).alias("curve"), F.monotonically_increasing_id().alias("tie"))
+    order = [F.col("curve"), F.col("crc"), F.col("id").asc_nulls_first(), F.col("size"), F.col("tie")]
     if law == "rows":
-        d = positions(d, [], order, pos, n)
-        place = F.floor(F.col(pos) * shards / F.col(n)).cast("int")
-        start = F.floor((place * F.col(n) + (shards - 1)) / shards)
-        d = d.withColumns({"__shard": place, "__slot": (F.col(pos) - start).cast("long")})
+        d = positions(d, [], order, "pos", "n")
+        d = d.withColumn("shard", F.floor(F.col("pos") * shards / F.col("n")).cast("int"))
+        d = d.withColumn("slot", (F.col("pos") - F.floor((F.col("shard") * F.col("n") + (shards - 1)) / shards)).cast("long"))
     else:
-        d = running(d, [], order, size, low, total)
-        d = positions(d, [], [F.col(low)], pos)
-        middle = (F.col(low) + F.col(size) / F.lit(2.0)) * shards / F.col(total)
-        d = d.withColumn("__shard", F.least(F.floor(middle), F.lit(shards - 1)).cast("int"))
-        first = d.groupBy("__shard").agg(F.min(pos).alias("__start"))  # a row per shard
-        d = d.join(F.broadcast(first), "__shard").withColumn("__slot", F.col(pos) - F.col("__start"))
-    own = [c for c in columns if c.lower() not in OUTPUTS]
-    out = [F.col(size), F.col(crc), F.lit(law), F.col("__shard"), F.col("__slot"), F.lit(None).cast("int")]
-    return d.select(*own, *[o.alias(n) for o, n in zip(out, OUTPUTS)])
+        d = positions(running(d, [], order, "size", "low", "total"), [], ["low"], "pos")
+        middle = (F.col("low") + F.col("size") / F.lit(2.0)) * shards / F.col("total")
+        d = d.withColumn("shard", F.least(F.floor(middle), F.lit(shards - 1)).cast("int"))
+        first = d.groupBy("shard").agg(F.min("pos").alias("start"))  # a row per shard
+        d = d.join(F.broadcast(first), "shard").withColumn("slot", F.col("pos") - F.col("start"))
+    out = [F.col("size"), F.col("crc"), F.lit(law), F.col("shard"), F.col("slot"), F.lit(None).cast("int")]
+    return d.select(*[F.col("row").getField(c).alias(c) for c in own], *[o.alias(n) for o, n in zip(out, OUTPUTS)])
 
 
 def write_shards(sharded: DataFrame, path: str, parts: int | None = None) -> None:
