@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,41 +35,86 @@ def linear_2(train: DataFrame, by: list[str], a: str, z: str, y: str, ridge: flo
     return s.select(*by, "n_train", "slope_a", "slope_z", (F.col("my") - F.col("slope_a") * F.col("ma") - F.col("slope_z") * F.col("mz")).alias("intercept"))
 
 
-def ridge_grouped(train: DataFrame, test: DataFrame, by: list[str], item: str, y: str, ridge: float = 1.0) -> DataFrame:
+#: Rows of a group that one small QR factorisation takes, and factors that one step up the tree stacks.
+QR_ROWS, QR_FAN = 2048, 16
+
+
+def ridge_grouped(train: DataFrame, test: DataFrame, by: list[str], item: str, y: str, ridge: float = 1.0, spare: int | None = None) -> DataFrame:
     """by, item, score of a ridge regression with an unpenalised intercept per group.
 
-    train and test hold sparse features as rows (by, item, feature, value), train also y on each row. The
-    normal equations are relational sums over feature pairs; only the small matrix of a group (features
-    squared, bounded by the feature vocabulary) goes to one task to be solved.
+    train and test hold sparse features as rows (by, item, feature, value), train also y on each row. A tree
+    of small QR factorisations: each block of a group's rows is reduced to a triangle no larger than features
+    squared, triangles are stacked and reduced again, and the last one is solved with the penalty's rows
+    below it. Products of features, which square the condition number, are never formed, and no task holds
+    more than QR_ROWS rows of a group, or QR_FAN triangles. Groups with fewer than features + `spare` rows
+    are refused, if spare is given: they have no scores.
     """
+    types = dict(train.dtypes)
     t = train.select(*by, item, "feature", "value", y)
-    ones = t.select(*by, item, y).distinct().select(*by, item, F.lit("").alias("feature"), F.lit(1.0).alias("value"), y)
-    t = t.unionByName(ones)
-    right = t.select(*by, item, F.col("feature").alias("f2"), F.col("value").alias("v2"))
-    xx = t.join(right, [*by, item]).where("feature <= f2").groupBy(*by, "feature", "f2").agg(F.sum(F.col("value") * F.col("v2")).alias("s"))
-    xy = t.groupBy(*by, "feature").agg(F.sum(F.col("value") * F.col(y)).alias("s")).withColumn("f2", F.lit(None).cast("string"))
-    schema = ", ".join(f"{k} {dict(t.dtypes)[k]}" for k in by) + ", feature string, weight double"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf["feature"].unique())
+    sizes = t.groupBy(*by).agg(F.count_distinct(item).alias("__rows"), F.count_distinct("feature").alias("__features"))
+    if spare is not None:
+        sizes = sizes.where(F.col("__rows") >= F.col("__features") + spare)
+    blocks = F.ceil(F.col("__rows") / QR_ROWS)
+    t = t.join(sizes.select(*by, blocks.alias("__blocks")), by).withColumn("block", F.pmod(F.xxhash64(item), F.col("__blocks")))
+    levels, most = 0, t.agg(F.max("__blocks")).first()[0] or 1
+    while most > 1:
+        levels, most = levels + 1, -(-most // QR_FAN)
+    schema = ", ".join(f"{k} {types[k]}" for k in by) + ", block long, features array<string>, row int, factor array<double>"
+    keys = [*by, "block"]
+
+    def factored(key, names, matrix) -> pd.DataFrame:
+        r = np.linalg.qr(matrix, mode="r")
+        return pd.DataFrame({**{k: [v] * len(r) for k, v in zip(keys, key)}, "features": [names] * len(r), "row": range(len(r)), "factor": list(r)})
+
+    def leaf(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index=item, columns="feature", values="value", aggfunc="sum", fill_value=0.0)
+        names = ["", *wide.columns]
+        truth = pdf.groupby(item)[y].first().loc[wide.index].to_numpy()
+        return factored(key, names, np.column_stack([np.ones(len(wide)), wide.to_numpy(), truth]))
+
+    def stacked(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+        # blocks may know different features; the intercept, named '', comes first
+        names = sorted({f for fs in pdf["features"] for f in fs})
         at = {f: i for i, f in enumerate(names)}
-        a, b = np.zeros((len(names), len(names))), np.zeros(len(names))
-        for f, g, s in zip(pdf["feature"], pdf["f2"], pdf["s"]):
-            if g is None or g != g:
-                b[at[f]] = s
-            else:
-                a[at[f], at[g]] = a[at[g], at[f]] = s
-        a[np.diag_indices_from(a)] += np.array([0.0 if f == "" else ridge for f in names])
-        w = np.linalg.lstsq(a, b, rcond=None)[0]
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, "feature": names, "weight": w})
-
-    weights = xx.unionByName(xy).groupBy(*by).applyInPandas(solve, schema)
+        out = np.zeros((len(pdf), len(names) + 1))
+        for i, (fs, factor) in enumerate(zip(pdf["features"], pdf["factor"])):
+            out[i, [at[f] for f in fs]], out[i, -1] = factor[:-1], factor[-1]
+        return names, out
+
+    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return factored(key, *stacked(pdf))
+
+    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        names, m = stacked(pdf)
+        penalty = np.sqrt(ridge) * np.eye(len(names))[[i for i, f in enumerate(names) if f != ""]]
+        a, b = np.vstack([m[:, :-1], penalty]), np.concatenate([m[:, -1], np.zeros(len(penalty))])
+        return pd.DataFrame({**{k: [v] * len(names) for k, v in zip(by, key)}, "feature": names, "weight": np.linalg.lstsq(a, b, rcond=None)[0]})
+
+    f = t.drop("__blocks").groupBy(*keys).applyInPandas(leaf, schema)
+    for _ in range(levels):
+        f = f.withColumn("block", F.floor(F.col("block") / QR_FAN)).groupBy(*keys).applyInPandas(join, schema)
+    weights = f.groupBy(*by).applyInPandas(solve, ", ".join(f"{k} {types[k]}" for k in by) + ", feature string, weight double")
     base = weights.where("feature = ''").select(*by, F.col("weight").alias("base"))
     dot = test.join(weights, [*by, "feature"]).groupBy(*by, item).agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
     items = test.select(*by, item).distinct().join(base, by)
     return items.join(dot, [*by, item], "left").select(*by, item, (F.col("base") + F.coalesce("dot", F.lit(0.0))).alias("score"))
 
 
+def kernel_features(d: DataFrame, by: list[str], item: str, features: list[str], size: int = 64, scale: float = 1.0, seed: int = 7) -> DataFrame:
+    """by, item, feature, value: `size` random Fourier features of each row, whose products approach the
+    Gaussian kernel exp(-|x - y|**2 / (2 * scale**2)) of the columns `features`.
+
+    The frequencies are fixed by the seed, the same for every group and row, so nothing is fitted here.
+    """
+    rng = np.random.default_rng(seed)
+    w = rng.standard_normal((size, len(features))) / scale
+    phase = rng.uniform(0.0, 2 * np.pi, size)
+    turn = [reduce(add, [F.col(f) * F.lit(float(w[k, j])) for j, f in enumerate(features)], F.lit(float(phase[k]))) for k in range(size)]
+    values = F.array(*[F.cos(x) * F.lit(float(np.sqrt(2.0 / size))) for x in turn])
+    out = d.select(*by, item, F.posexplode(values).alias("__k", "value"))
+    return out.select(*by, item, F.concat(F.lit("wave:"), F.lpad(F.col("__k").cast("string"), 4, "0")).alias("feature"), "value")
+
+
 def best_gain(df: DataFrame, group: str, method: str, value: str, base: Column, mode: str) -> DataFrame:
     """group, mode, gain: the best method's mean value less the base rows' mean; null without either.
     A group that was judged in several modes is an error, as its values can't be compared."""

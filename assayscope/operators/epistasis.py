@@ -36,23 +36,47 @@ def with_scores(residuals: DataFrame, scores: DataFrame) -> DataFrame:
     return residuals.join(scores.select("assay", "mutant", "method", "score"), ["assay", "mutant"])
 
 
-def pair_residuals(residuals: DataFrame) -> DataFrame:
-    """assay, pair, mean residual of the doubles of that pair."""
-    d = residuals.withColumn("pair", pair_key(F.col("single_a"), F.col("single_b")))
-    return d.groupBy("assay", "pair").agg(F.sum(F.col("epistasis_residual").cast(EXACT)).alias("s"), F.count("*").alias("c")).select("assay", "pair", (F.col("s").cast("double") / F.col("c")).alias("pair_residual"))
+def pair_orders(doubles: DataFrame, higher: DataFrame, seeds: list[int], most: int) -> DataFrame:
+    """assay, pair, epistasis_residual, mutant, policy, seed, o: in which order (from 1 to `most`) each policy and
+    seed would measure the doubles. A budget takes the first ones, so budgets of an order are nested.
 
+    random_doubles: by hash, for each seed. informative_pair_coverage: pairs that most higher variants have come
+    first; it knows no seed, which is -1 here.
+    """
+    d = doubles.select("assay", "mutant", "epistasis_residual", pair_key(F.col("single_a"), F.col("single_b")).alias("pair"))
+    first = lambda rows, *order: rows.withColumn("o", F.row_number().over(Window.partitionBy("assay", "policy", "seed").orderBy(*order, "mutant"))).where(F.col("o") <= most)
+    drawn = d.withColumns({"policy": F.lit("random_doubles"), "seed": F.explode(F.array(*map(F.lit, seeds)))})
+    drawn = first(drawn, F.md5(F.concat_ws("|", "assay", "seed", "mutant")))
+    informed = d.join(pair_frequencies(higher), ["assay", "pair"], "left").withColumns({"policy": F.lit("informative_pair_coverage"), "seed": F.lit(-1)})
+    return drawn.unionByName(first(informed, F.coalesce("freq", F.lit(0)).desc()).drop("freq"))
 
-def pairwise_scores(higher: DataFrame, pairs: DataFrame) -> DataFrame:
-    """higher(assay, mutant, score, ...) with score + the mean of its known pair residuals, and the share
-    of its pairs that are known. Only pairs with a residual are kept by the join."""
+
+def pair_frequencies(variants: DataFrame) -> DataFrame:
+    """assay, pair, freq: how many variants have the pair."""
+    p = variants.select("assay", F.explode(mutation_pairs(mutation_parts(F.col("mutant")))).alias("p"))
+    return p.groupBy("assay", pair_key(F.col("p.a"), F.col("p.b")).alias("pair")).agg(F.count("*").alias("freq"))
+
+
+def pair_corrections(higher: DataFrame, orders: DataFrame, budgets: list[int]) -> DataFrame:
+    """higher(assay, mutant, ord, score, ...) once for each policy, seed and budget, with score + the mean
+    residual of those of its pairs that the budget has measured, how many these are, and its pairs.
+
+    Each variant's pairs meet the orders once; sums over the prefixes of an order serve all budgets.
+    """
     p = higher.select("assay", "mutant", F.explode(mutation_pairs(mutation_parts(F.col("mutant")))).alias("p"))
     p = p.select("assay", "mutant", pair_key(F.col("p.a"), F.col("p.b")).alias("pair"))
-    known = p.join(pairs, ["assay", "pair"]).groupBy("assay", "mutant").agg(F.sum(F.col("pair_residual").cast(EXACT)).alias("s"), F.count("*").alias("known"))
-    out = higher.join(known, ["assay", "mutant"], "left")
-    mean = F.coalesce(F.col("s").cast("double") / F.col("known"), F.lit(0.0))
-    total = F.col("ord") * (F.col("ord") - 1) / 2
-    coverage = F.try_divide(F.coalesce(F.col("known"), F.lit(0)), total)
-    return out.withColumns({"pairwise_score": F.round(F.col("score") + mean, 9), "pair_coverage": coverage}).drop("s", "known")
+    run = ["policy", "seed"]
+    upto = lambda b, x: F.when(F.col("o") <= b, x)
+    sums = [F.sum(upto(b, F.col("epistasis_residual").cast(EXACT))).alias(f"s{b}") for b in budgets] + [F.count(upto(b, F.lit(1))).alias(f"k{b}") for b in budgets]
+    known = p.join(orders.select("assay", "pair", "epistasis_residual", "o", *run), ["assay", "pair"]).groupBy("assay", "mutant", *run).agg(*sums)
+    # a few runs per assay
+    runs = orders.select("assay", *run).distinct()
+    out = higher.join(runs, "assay").join(known, ["assay", "mutant", *run], "left")
+    each = F.array(*[F.struct(F.lit(b).alias("budget"), F.col(f"s{b}").cast("double").alias("s"), F.coalesce(f"k{b}", F.lit(0)).alias("known")) for b in budgets])
+    out = out.select(*higher.columns, *run, F.explode(each).alias("x")).select(*higher.columns, *run, "x.*")
+    mean = F.coalesce(F.try_divide("s", "known"), F.lit(0.0))
+    pairs = (F.col("ord") * (F.col("ord") - 1) / 2).cast("long")
+    return out.withColumns({"pairwise_score": F.round(F.col("score") + mean, 9), "pairs": pairs}).drop("s")
 
 
 def enrichment(df: DataFrame, by: list[str], score: str, hit: str, item: str, ks: list[int], size: str | None = None, hits: str | None = None) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayscope.operators.ordering import at_places, carried, matched, positions, ranged, running
+
 
 def midrank(value: str, by: list[str], descending: bool = False) -> Column:
     """Rank from 1, ties averaged; one sort, as ties are the row's peers in the same order."""
@@ -13,20 +18,31 @@ def midrank(value: str, by: list[str], descending: bool = False) -> Column:
     return F.rank().over(order) + (peers - 1) / F.lit(2.0)
 
 
-def distributed_midrank(df: DataFrame, by: list[str], value: str, name: str, parts: int = 64) -> DataFrame:
-    """midrank for groups too large for one task's sort: ties are folded first, each group's distinct
-    values are cut into ranges by sampled bounds, ranked within a range, and moved up by the number of
-    rows in lower ranges (one small row per group and range)."""
+def tie_ranks(folded: DataFrame, by: list[str], value: str, name: str, weight: str = "__n", total: str | None = None) -> DataFrame:
+    """folded, one row per group and different value with the rows that hold it (weight), and each value's
+    rank from 1 with ties averaged. Ranges of values are counted, no group is ordered in one task."""
+    out = running(folded, by, [value], weight, "__low", total)
+    return out.withColumn(name, F.col("__low") + (F.col(weight) + 1) / F.lit(2.0)).drop("__low")
+
+
+def distributed_midrank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """df with the rank of value in its group, ties averaged; null where value is null."""
     folded = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    bounds = folded.groupBy(*by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("__b"))
-    placed = folded.join(bounds, by).withColumn("__range", F.size(F.filter("__b", lambda b: b < F.col(value)))).drop("__b")
-    sizes = placed.groupBy(*by, "__range").agg(F.sum("__n").alias("__size"))
-    before = F.coalesce(F.sum("__size").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("__before", before).drop("__size")
-    inside = F.coalesce(F.sum("__n").over(Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = placed.withColumn("__inside", inside).join(sizes, [*by, "__range"])
-    ranked = ranked.select(*by, value, (F.col("__before") + F.col("__inside") + (F.col("__n") + 1) / F.lit(2.0)).alias(name))
-    return df.join(ranked, [*by, value], "left")
+    return matched(df, tie_ranks(folded, by, value, name).select(*by, value, name), [*by, value], "left")
+
+
+def shares_below(scores: DataFrame, probes: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """probes(by, value, ...) with the share of their group's scores that are at most their value, as bisection
+    from the right over the sorted scores gives it; null in a group without scores and for a null probe.
+
+    Scores and probes are folded by value, merged in one order and counted through; probes need not be scores.
+    """
+    one = scores.where(F.col(value).isNotNull()).select(*by, value, F.lit(1).alias("__score"))
+    asked = probes.where(F.col(value).isNotNull()).select(*by, value, F.lit(0).alias("__score"))
+    folded = one.unionByName(asked).groupBy(*by, value).agg(F.sum("__score").alias("__n"), F.min("__score").alias("__asked"))
+    r = running(folded, by, [value], "__n", "__low", "__all").where("__asked = 0")
+    r = r.select(*by, value, F.try_divide(F.col("__low") + F.col("__n"), F.col("__all")).alias(name))
+    return matched(probes, r, [*by, value], "left")
 
 
 def ordinal(value: str, by: list[str], item: str, descending: bool = False, item_descending: bool = False) -> Column:
@@ -40,24 +56,50 @@ def rank_scale(value: str, by: list[str], item: str) -> Column:
     return (ordinal(value, by, item) - 1) / F.greatest(F.lit(1), n - 1)
 
 
-def top_k(df: DataFrame, by: list[str], value: str, item: str, k: int) -> DataFrame:
-    return df.withColumn("rank", ordinal(value, by, item, descending=True)).where(F.col("rank") <= k)
+def top_k(df: DataFrame, by: list[str], value: str, item: str, k: int, spread: int = 16) -> DataFrame:
+    """The k best rows of each group with their rank. Every task sends on its own k best of a group at most,
+    and a group's come together in `spread` parts first."""
+    order = [F.col(value).desc(), F.col(item).asc()]
+    part = F.pmod(F.xxhash64(item), F.lit(spread))
+    some = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by, part).orderBy(*order))).where(F.col("rank") <= k)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def quantile_bins(value: str, item: str, labels: list[str]) -> Column:
-    """Label number int(i * L / n) of the i-th row by (value, item)."""
-    i = F.row_number().over(Window.orderBy(value, item)) - 1
-    n = F.count("*").over(Window.partitionBy())
-    slot = F.least(F.lit(len(labels) - 1), F.floor(i * len(labels) / n))
-    return F.element_at(F.array(*map(F.lit, labels)), (slot + 1).cast("int"))
+def top_cuts(df: DataFrame, by: list[str], value: str, item: str, sizes: dict[str, Column], name: str) -> DataFrame:
+    """One row per group: its rows, lowest and highest value, and for each size (which may use the column
+    n) the last row of that many best ones, as a struct of value and item. A row is among them if it is not
+    after that one (see not_after). Only the ranges' counts and one row per size are looked at."""
+    t = ranged(df.where(F.col(value).isNotNull()), [*by, F.col(value).desc(), item])
+    per = carried(t, by).withColumn("n", F.col("__total"))
+    last = {k: F.least(c, F.col("n")) - 1 for k, c in sizes.items()}
+    wanted = reduce(or_, [(p >= F.col("__before")) & (p < F.col("__before") + F.col("__size")) for p in last.values()])
+    place = F.col("__before") + F.col("__at") - F.col("__first")
+    hit = matched(t, per.where(wanted), [*by, "__part"]).groupBy(*by).agg(*[F.max(F.when(place == p, F.struct(value, item))).alias(f"{name}_{k}") for k, p in last.items()])
+    whole = t.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias(f"{name}_lo"), F.max(value).alias(f"{name}_hi"))
+    return matched(whole, hit, by)
+
+
+def not_after(value: str, item: str, cut: str) -> Column:
+    """Whether a row is at or before a cut of top_cuts()."""
+    v, i = F.col(f"{cut}.{value}"), F.col(f"{cut}.{item}")
+    return (F.col(value) > v) | ((F.col(value) == v) & (F.col(item) <= i))
+
+
+def quantile_bins(df: DataFrame, value: str, item: str, labels: list[str], name: str) -> DataFrame:
+    """df with label number int(i * L / n) of the i-th row by (value, item)."""
+    d = positions(df, [], [F.col(value).asc_nulls_first(), item], "__i", "__size")
+    slot = F.least(F.lit(len(labels) - 1), F.floor(F.col("__i") * len(labels) / F.col("__size")))
+    return d.withColumn(name, F.element_at(F.array(*map(F.lit, labels)), (slot + 1).cast("int"))).drop("__i", "__size")
+
+
+def at_indexes(df: DataFrame, by: list[str], value: str, **places: Column) -> DataFrame:
+    """One row per group: the values at 0-based indexes of the ascending order; an index may use the column
+    n, the number of the group's rows with a value."""
+    return at_places(df, by, value, places)
 
 
 def at_index(df: DataFrame, by: list[str], value: str, index: Column, name: str) -> DataFrame:
-    """One row per group: the value at a 0-based index of the ascending order; index may use the column
-    n, the number of rows."""
-    w = Window.partitionBy(*by)
-    d = df.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("__i"), F.count("*").over(w).alias("n"))
-    return d.where(F.col("__i") == index).select(*by, F.col(value).alias(name))
+    return at_places(df, by, value, {name: index})
 
 
 def first_hit(df: DataFrame, by: list[str], order: str, hit: str, cost: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,26 +29,92 @@ def bootstrap_mean_ci(df: DataFrame, by: list[str], item: str, value: str, draws
     return d.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(ci, by)
 
 
+#: A prime below 2**31: squares of numbers below it fit 64 bits.
+PRIME = 2_147_483_647
+#: Steps by which a row's number moves from draw to draw.
+STRIDE = 1_000_003
+
+
+def _poisson_steps(most: int = 12) -> list[int]:
+    """From which of the numbers below PRIME on a Poisson(1) count is more than 0, 1, 2, ..."""
+    p, total, out = math.exp(-1.0), 0.0, []
+    for k in range(most):
+        total += p
+        out.append(round(total * PRIME))
+        p /= k + 1
+    return out
+
+
+POISSON_STEPS = _poisson_steps()
+
+
+def bootstrap_weights_ci(df: DataFrame, by: list[str], item: str, value: str, draws: int = 1000) -> DataFrame:
+    """by, n, mean, lo, hi like bootstrap_mean_ci(), for groups of any size: instead of drawing n rows, each
+    row says by hash how often each draw takes it (counts of mean 1), so a draw is two sums over the rows.
+
+    One aggregation: every task adds up its rows' weights and weighted values for all draws, and sends on
+    one row per group and draw. A draw that takes no row at all (in tiny groups) is left out.
+    """
+    d = df.where(F.col(value).isNotNull()).select(*by, item, F.col(value).cast("decimal(28,10)").alias("__v"))
+    # few rows make many: dealt out first
+    d = d.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, item)
+    d = d.select(*by, "__v", (hash_int(F.lit("boot"), *by, item) % PRIME).alias("__r"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    # two squarings modulo a prime stir the row's number and the draw's
+    r, b, steps = F.col("__r"), F.col("b"), F.array(*[F.lit(t).cast("long") for t in POISSON_STEPS])
+    x = F.array((r + b * F.lit(STRIDE).cast("long")) % PRIME)
+    x = F.transform(F.transform(x, lambda x: (x * x + r) % PRIME), lambda x: (x * x + b) % PRIME)
+    weight = F.get(F.transform(x, lambda x: F.size(F.filter(steps, lambda t: x >= t))), 0)
+    d = d.select(*by, "__v", "b", weight.alias("__w"))
+    means = d.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("__v") * F.col("__w")).cast("double"), F.sum("__w")).alias("m"))
+    ci = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(ci, by)
+
+
+def _sign_sums(values: Column) -> Column:
+    """All sums of the values with either sign, 2**size of them."""
+    start = F.array(F.lit(0).cast("long"))
+    return F.aggregate(values, start, lambda sums, v: F.concat(F.transform(sums, lambda s: s + v), F.transform(sums, lambda s: s - v)))
+
+
+def _exact_hits(d: DataFrame, by: list[str]) -> DataFrame:
+    """by, hits, tried: of all sign patterns of a group's values v (numbered i of n), those whose sum is at
+    least as far from 0 as the sum as observed.
+
+    Meeting in the middle: the sums of either half of the values, 2**(n/2) each, are put in one order with
+    the bounds that each left sum sets for its right partners, and counted through.
+    """
+    half = F.floor(F.col("n") / 2)
+    g = d.groupBy(*by).agg(F.abs(F.sum("v")).alias("seen"), F.collect_list(F.when(F.col("i") < half, F.col("v"))).alias("left"), F.collect_list(F.when(F.col("i") >= half, F.col("v"))).alias("right"))
+    right = g.select(*by, F.explode(_sign_sums(F.col("right"))).alias("x")).groupBy(*by, "x").agg(F.count("*").alias("c"))
+    left = g.select(*by, "seen", F.explode(_sign_sums(F.col("left"))).alias("a")).groupBy(*by, "seen", "a").agg(F.count("*").alias("c"))
+    # right sums of at most -seen - a, and those above seen - a - 1; with nothing seen, every pattern counts
+    asked = left.select(*by, F.explode(F.array(F.struct((-F.col("seen") - F.col("a")).alias("x"), F.lit(1).alias("sign")), F.struct((F.col("seen") - F.col("a") - 1).alias("x"), F.lit(-1).alias("sign")))).alias("p"), "c")
+    both = right.select(*by, "x", "c", F.lit(0).cast("long").alias("w")).unionByName(asked.select(*by, "p.x", F.lit(0).cast("long").alias("c"), (F.col("p.sign") * F.col("c")).alias("w")))
+    both = both.groupBy(*by, "x").agg(F.sum("c").alias("c"), F.sum("w").alias("w"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy("x"))  # 3 * 2**(n/2) rows of a group
+    low = both.withColumn("u", upto).groupBy(*by).agg(F.sum(F.col("u") * F.col("w")).alias("low"), F.sum("c").alias("rights"))
+    whole = g.select(*by, "seen", F.size("left").alias("lefts"))
+    tried = F.col("rights") * F.pow(F.lit(2.0), F.col("lefts")).cast("long")
+    return low.join(whole, by).select(*by, F.when(F.col("seen") == 0, tried).otherwise(F.col("low") + tried).alias("hits"), tried.alias("tried"))
+
+
 def paired_permutation(diffs: DataFrame, by: list[str], item: str, diff: str, exact_up_to: int = 20, flips: int = 50_000) -> DataFrame:
     """by, n, mean_difference, p_value of a two-sided sign-flip test on nonzero differences.
 
-    Up to `exact_up_to` differences all 2**n sign patterns are counted, beyond it `flips` hashed ones
-    with (hits + 1) / (flips + 1). Differences are whole numbers of 1e-9, so sums compare exactly.
+    Up to `exact_up_to` differences all 2**n sign patterns are counted, without listing them; beyond it
+    `flips` hashed ones with (hits + 1) / (flips + 1). Differences are whole numbers of 1e-9, so sums compare
+    exactly.
     """
     d = diffs.where(F.col(diff).isNotNull()).withColumn("v", F.round(F.col(diff) * 1e9).cast("long"))
     every = d.groupBy(*by).agg(F.count("*").alias("pairs"), F.avg(diff).alias("mean_difference"))
-    d = d.where("v <> 0")
     w = Window.partitionBy(*by)
-    d = d.select(*by, "v", (F.row_number().over(w.orderBy(item)) - 1).cast("int").alias("i"), F.count("*").over(w).cast("int").alias("n"))
-    total = d.groupBy(*by).agg(F.abs(F.sum("v")).alias("seen"), F.max("n").alias("n"))
-    exact = F.col("n") <= exact_up_to
-    patterns = F.when(exact, F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.col("n"), F.lit(exact_up_to)))).otherwise(F.lit(flips))
-    perms = total.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), patterns - 1))).select(*by, "perm", "seen")
-    j = perms.join(d, by)
-    bit = F.when(F.col("n") <= exact_up_to, F.shiftrightunsigned(F.col("perm"), 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.col("i"), F.lit(62)))) != 0)
-    bit = bit.otherwise(hash_int(*by, "perm", "i") % 2 == 1)
-    sums = j.withColumn("s", F.when(bit, F.col("v")).otherwise(-F.col("v"))).groupBy(*by, "perm").agg(F.abs(F.sum("s")).alias("a"), F.first("seen").alias("seen"), F.first("n").alias("n"))
-    hits = sums.groupBy(*by).agg(F.count_if(F.col("a") >= F.col("seen")).alias("hits"), F.count("*").alias("tried"), F.first("n").alias("n"))
-    p = F.when(F.col("n") <= exact_up_to, F.col("hits") / F.col("tried")).otherwise((F.col("hits") + 1) / (F.col("tried") + 1))
-    out = every.join(hits, by, "left")
-    return out.select(*by, F.coalesce("n", F.lit(0)).alias("n"), "mean_difference", F.coalesce(p, F.lit(1.0)).alias("p_value"))
+    d = d.where("v <> 0").select(*by, "v", (F.row_number().over(w.orderBy(item)) - 1).cast("int").alias("i"), F.count("*").over(w).cast("int").alias("n"))
+    small = _exact_hits(d.where(F.col("n") <= exact_up_to), by).withColumn("p", F.col("hits") / F.col("tried"))
+    big = d.where(F.col("n") > exact_up_to)
+    drawn = big.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(flips - 1).cast("long"))))
+    sums = drawn.groupBy(*by, "perm").agg(F.abs(F.sum(F.when(hash_int(*by, "perm", "i") % 2 == 1, F.col("v")).otherwise(-F.col("v")))).alias("a"))
+    seen = big.groupBy(*by).agg(F.abs(F.sum("v")).alias("seen"))
+    hits = sums.join(seen, by).groupBy(*by).agg(F.count_if(F.col("a") >= F.col("seen")).alias("hits"))
+    p = small.select(*by, "p").unionByName(hits.select(*by, ((F.col("hits") + 1) / F.lit(flips + 1)).alias("p")))
+    out = every.join(p, by, "left").join(d.groupBy(*by).agg(F.max("n").alias("n")), by, "left")
+    return out.select(*by, F.coalesce("n", F.lit(0)).alias("n"), "mean_difference", F.coalesce("p", F.lit(1.0)).alias("p_value"))

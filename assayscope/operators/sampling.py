@@ -45,7 +45,8 @@ def low_n_splits(spark: SparkSession, variants: DataFrame, seeds: list[int], bud
     def ranked(df, regime):
         d = df.withColumn("regime", F.lit(regime))
         order = Window.partitionBy(*key).orderBy(hash_order(*key, "mutant"), "mutant")
-        return d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("budget")).select(*key, "rank", "mutant")
+        d = d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(budgets))
+        return d.where(F.col("rank") <= F.col("budget")).select(*key, "rank", "mutant")
 
     single = ranked(g.where("ord = 1"), REGIMES[0])
     mixed = ranked(g, REGIMES[1])
@@ -55,11 +56,13 @@ def low_n_splits(spark: SparkSession, variants: DataFrame, seeds: list[int], bud
     kind = F.least(F.col("ord"), F.lit(3))
     within = Window.partitionBy(*key, kind).orderBy(hash_order(*key, "mutant"), "mutant")
     whole = Window.partitionBy(*key)
-    p = p.withColumns({"__rn": F.row_number().over(within), "__s": F.count_if(F.col("ord") == 1).over(whole), "__d": F.count_if(F.col("ord") == 2).over(whole)})
+    # of each kind no more than twice the budget can be reached
+    p = p.withColumn("__rn", F.row_number().over(within)).where(F.col("__rn") <= 2 * max(budgets))
+    p = p.withColumns({"__s": F.count_if(F.col("ord") == 1).over(whole), "__d": F.count_if(F.col("ord") == 2).over(whole)})
     n_single = F.least(F.col("__s"), F.col("budget") - F.least(F.col("__d"), F.floor(F.col("budget") / 2)))
     p = p.withColumn("__ns", n_single)
     tier = F.when((F.col("ord") == 1) & (F.col("__rn") <= F.col("__ns")), 0).when((F.col("ord") == 2) & (F.col("__rn") <= F.col("budget") - F.col("__ns")), 1).otherwise(2)
     p = p.withColumn("__tier", tier)
     order = Window.partitionBy(*key).orderBy("__tier", hash_order(*key, "mutant"), "mutant")
-    plus = p.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("budget")).select(*key, "rank", "mutant")
+    plus = p.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(budgets)).where(F.col("rank") <= F.col("budget")).select(*key, "rank", "mutant")
     return single.unionByName(mixed).unionByName(plus)

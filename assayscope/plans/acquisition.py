@@ -6,12 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assayscope.operators import acquisition as A
+from assayscope.operators import metrics as M
+from assayscope.operators import ranking as K
 from assayscope.operators import sampling as P
-from assayscope.plans.calibration import B, FITS, KEYS, PRED, predictions
+from assayscope.plans.calibration import B, FITS, KEYS, MODELS, PRED, predictions
 from assayscope.plans.epistasis import heldout
 from assayscope.plans.ranking import r, rounded
 from assayscope.plans.registry import add
 from assayscope.sources import fixtures as X
+from assayscope.sources.ingest import written
 
 _K = "assay, seed, budget, regime"
 BP = f"{B}, {FITS}, {PRED}, ap AS (SELECT * FROM pred)"
@@ -22,6 +25,16 @@ def pool(spark, sf):
     return predictions(spark, sf)
 
 
+def named(batch, keys, *more):
+    """A batch by split, as a batch by the split's assay, seed, budget and regime."""
+    return batch.join(keys, "split").select(*KEYS, "mutant", "rank", *more)
+
+
+def best(spark, sf, score):
+    keys, p = pool(spark, sf)
+    return named(A.best_batch(p, ["split"], "mutant", score, BATCH), keys)
+
+
 def _best_sql(source: str, score: str) -> str:
     return f"o AS (SELECT {_K}, mutant, row_number() OVER (PARTITION BY {_K} ORDER BY {score} DESC, mutant) AS rank FROM {source}) SELECT * FROM o WHERE rank <= {BATCH}"
 
@@ -34,40 +47,45 @@ def acquire_random(spark, sf):
 
 @add(f"{BP}, {_best_sql('''(SELECT * FROM ap WHERE model = 'additive')''', 'score')}")
 def acquire_additive(spark, sf):
-    return A.best_batch(pool(spark, sf).where("model = 'additive'"), KEYS, "mutant", "score", BATCH)
+    return best(spark, sf, "additive")
 
 
-@add(f"{BP}, {_best_sql('''(SELECT * FROM ap WHERE model = 'linear_1' AND method = 'm_qty')''', 'coalesce(score, 0)')}")
+@add(f"""{BP}, o AS (SELECT {_K}, model, method, mutant, row_number() OVER (PARTITION BY {_K}, model, method ORDER BY coalesce(score, 0) DESC, mutant) AS rank FROM ap WHERE model <> 'additive') SELECT * FROM o WHERE rank <= {BATCH}""")
 def acquire_linear(spark, sf):
-    p = pool(spark, sf).where("model = 'linear_1' and method = 'm_qty'")
-    return A.best_batch(p, KEYS, "mutant", F.coalesce("score", F.lit(0.0)), BATCH)
+    """By each linear model of each score."""
+    keys, p = pool(spark, sf)
+    fits = [c for c, (model, _) in MODELS.items() if model != "additive"]
+    long = p.select("split", "mutant", *fits).unpivot(["split", "mutant"], fits, "fit", "score")
+    b = A.best_batch(long, ["split", "fit"], "mutant", F.coalesce("score", F.lit(0.0)), BATCH)
+    return named(b.withColumns({"model": F.split_part("fit", F.lit("__"), F.lit(1)), "method": F.split_part("fit", F.lit("__"), F.lit(2))}), keys, "model", "method")
 
 
 _DIS = f"di AS (SELECT {_K}, mutant, round(abs(max(CASE WHEN model = 'additive' THEN score END) - max(CASE WHEN model = 'linear_1' AND method = 'm_qty' THEN score END)), 6) AS d FROM ap GROUP BY {_K}, mutant)"
 
 
-def disagreement(p):
-    of = lambda c: F.max(F.when(c, F.col("score")))
-    d = F.abs(of(F.col("model") == "additive") - of((F.col("model") == "linear_1") & (F.col("method") == "m_qty")))
-    return p.groupBy(*KEYS, "mutant").agg(F.round(d, 6).alias("d"))
-
-
 @add(f"{BP}, {_DIS}, {_best_sql('di', 'd')}")
 def acquire_disagreement(spark, sf):
-    return A.best_batch(disagreement(pool(spark, sf)), KEYS, "mutant", "d", BATCH)
+    return best(spark, sf, F.round(F.abs(F.col("additive") - F.col("linear_1__m_qty")), 6))
 
 
 _ENS = f"en AS (SELECT {_K}, mutant, round(avg(score), 5) AS mean, round(coalesce(stddev_samp(score), 0), 5) AS std FROM ap GROUP BY {_K}, mutant)"
 
 
 def ensemble(spark, sf):
-    e = A.ensemble(pool(spark, sf), KEYS, "mutant", "score")
-    return e.withColumns({"mean": F.round("mean", 5), "std": F.round("std", 5)})
+    keys, p = pool(spark, sf)
+    mean, std = A.ensemble_across(list(MODELS))
+    return keys, p.select("split", "mutant", F.round(mean, 5).alias("mean"), F.round(std, 5).alias("std"))
+
+
+_UCB = " UNION ALL ".join(f"SELECT {_K}, mutant, row_number() OVER (PARTITION BY {_K} ORDER BY round(mean + {w} * std, 6) DESC, mutant) AS rank, {w}::DOUBLE AS weight FROM en" for w in (0.0, 0.5))
 
 
-@add(f"{BP}, {_ENS}, {_best_sql('en', 'round(mean + 0.5 * std, 6)')}")
+@add(f"{BP}, {_ENS}, o AS ({_UCB}) SELECT * FROM o WHERE rank <= {BATCH}")
 def acquire_ensemble(spark, sf):
-    return A.best_batch(ensemble(spark, sf), KEYS, "mutant", F.round(F.col("mean") + 0.5 * F.col("std"), 6), BATCH)
+    """By the mean of all predictions, and by the mean and half their deviation."""
+    keys, e = ensemble(spark, sf)
+    e = e.withColumn("weight", F.explode(F.array(F.lit(0.0), F.lit(0.5))))
+    return named(A.best_batch(e, ["split", "weight"], "mutant", F.round(F.col("mean") + F.col("weight") * F.col("std"), 6), BATCH), keys, "weight")
 
 
 _COMBO = f"co AS (SELECT {_K}, mutant, row_number() OVER (PARTITION BY {_K} ORDER BY mean, mutant) AS a, row_number() OVER (PARTITION BY {_K} ORDER BY std, mutant) AS b FROM en)"
@@ -75,19 +93,22 @@ _COMBO = f"co AS (SELECT {_K}, mutant, row_number() OVER (PARTITION BY {_K} ORDE
 
 @add(f"{BP}, {_ENS}, {_COMBO}, {_best_sql('co', '2 * a + b')}")
 def acquire_rank_combo(spark, sf):
-    w = Window.partitionBy(*KEYS)
+    w = Window.partitionBy("split")
     # rank(mean) + 0.5 rank(std), both over the same number of rows
-    e = ensemble(spark, sf).withColumns({"a": F.row_number().over(w.orderBy("mean", "mutant")), "b": F.row_number().over(w.orderBy("std", "mutant"))})
-    return A.best_batch(e, KEYS, "mutant", 2 * F.col("a") + F.col("b"), BATCH)
+    keys, e = ensemble(spark, sf)
+    e = e.repartition("split").withColumns({"a": F.row_number().over(w.orderBy("mean", "mutant")), "b": F.row_number().over(w.orderBy("std", "mutant"))})
+    return named(A.best_batch(e, ["split"], "mutant", 2 * F.col("a") + F.col("b"), BATCH), keys)
 
 
 @add()
 def acquire_diverse(spark, sf):
-    return A.acquire_diverse(pool(spark, sf).where("model = 'additive'").select(*KEYS, "mutant", "score"), KEYS, "mutant", "score", BATCH)
+    keys, p = pool(spark, sf)
+    return named(A.acquire_diverse(written(p.select("split", "mutant", "additive"), "pool"), ["split"], "mutant", "additive", BATCH), keys)
 
 
 @add(f"WITH {X.VARIANTS} SELECT assay, mutant, {r('cume_dist() OVER (PARTITION BY assay ORDER BY dms_score)')} AS percentile, CAST(row_number() OVER (PARTITION BY assay ORDER BY dms_score DESC, mutant) <= greatest(1, ceil(count(*) OVER (PARTITION BY assay) * 0.01::DOUBLE)) AS INT) AS top1pct FROM variants")
 def pool_truth(spark, sf):
-    w = Window.partitionBy("assay")
-    top = F.row_number().over(w.orderBy(F.col("dms_score").desc(), "mutant")) <= F.greatest(F.lit(1), F.ceil(F.count("*").over(w) * F.lit(0.01)))
-    return rounded(X.variants(spark, sf).select("assay", "mutant", F.cume_dist().over(w.orderBy("dms_score")).alias("percentile"), top.cast("int").alias("top1pct")))
+    v = written(X.variants(spark, sf).select("assay", "mutant", "dms_score"), "variants")
+    cut = K.top_cuts(v, ["assay"], "dms_score", "mutant", {"top": M.top_size(F.col("n"), 0.01)}, "best").select("assay", "best_top")
+    d = K.shares_below(v, v, ["assay"], "dms_score", "percentile").join(cut, "assay")
+    return rounded(d.select("assay", "mutant", "percentile", K.not_after("dms_score", "mutant", "best_top").cast("int").alias("top1pct")))

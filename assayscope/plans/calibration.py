@@ -10,22 +10,25 @@ from assayscope.operators import calibration as C
 from assayscope.operators import metrics as M
 from assayscope.operators import ranking as K
 from assayscope.operators.additive import additive_scores
+from assayscope.operators.ordering import positions
+from assayscope.operators.sampling import hash_order
 from assayscope.plans.epistasis import ADD_SPLIT, heldout
 from assayscope.plans.ranking import midrank, r, rounded, corr, top_sql
 from assayscope.plans.registry import add
-from assayscope.plans.sampling import SPLITS
+from assayscope.plans.sampling import SPLITS, ordered
+from assayscope.plans.sampling import splits as draw_splits
 from assayscope.sources import fixtures as X
 from assayscope.sources.ingest import written
 
 KEYS = ["assay", "seed", "budget", "regime"]
 _K = "assay, seed, budget, regime"
-_MET = ["m_qty", "m_tax"]
-_TRUTH = ["n", "rank_true", "rt"]
+_MET = X.METHODS
 #: Candidates that are judged in a large group.
 SAMPLED = 20_000
 B = f"WITH {X.VARIANTS}, {SPLITS}, {ADD_SPLIT}"
+_ZS = ", ".join(f"{{'method': '{m}', 'z': {m}}}" for m in _MET)
 #: training rows by method, and the closed-form fits of linear_1 and linear_2
-FITS = f"""trz AS (SELECT {_K}, mutant, u.method, u.z, dms_score AS y FROM (SELECT {_K}, s.mutant, dms_score, unnest([{{'method': 'm_qty', 'z': m_qty}}, {{'method': 'm_tax', 'z': m_tax}}]) AS u FROM splits s JOIN variants USING (assay, mutant))),
+FITS = f"""trz AS (SELECT {_K}, mutant, u.method, u.z, dms_score AS y FROM (SELECT {_K}, s.mutant, dms_score, unnest([{_ZS}]) AS u FROM splits s JOIN variants USING (assay, mutant))),
 m1 AS (SELECT {_K}, method, avg(z) AS mz, avg(y) AS my, count(*) AS n_train FROM trz GROUP BY {_K}, method),
 f1 AS (SELECT {_K}, method, n_train, my, mz, sum((z - mz) * (y - my)) / (sum((z - mz) * (z - mz)) + 1e-8) AS slope FROM trz JOIN m1 USING ({_K}, method) GROUP BY {_K}, method, n_train, my, mz),
 tra AS (SELECT t.*, round(b + coalesce(s, 0), 9) AS a FROM trz t JOIN tb USING ({_K}) LEFT JOIN (SELECT {_K}, mutant, CAST(sum(e) AS DOUBLE) AS s FROM (SELECT {_K}, mutant, unnest(parts) AS part FROM splits JOIN variants USING (assay, mutant)) JOIN te USING ({_K}, part) GROUP BY {_K}, mutant) q USING ({_K}, mutant)),
@@ -34,47 +37,66 @@ s2 AS (SELECT {_K}, method, ma, mz, my, sum((a - ma) * (a - ma)) + 1e-8 AS aa, s
 f2 AS (SELECT {_K}, method, ma, mz, my, (ay * zz - az * zy) / (aa * zz - az * az) AS sa, (aa * zy - az * ay) / (aa * zz - az * az) AS sz FROM s2)"""
 
 
-def train_long(spark, sf, v=None):
-    """Training rows with the additive prediction a and one row per method, and the held-out rows alike."""
-    train, test = heldout(spark, sf, v)
-    scored = additive_scores(train, train, KEYS).withColumnRenamed("score", "a")
-    held = additive_scores(test, train, KEYS).withColumnRenamed("score", "a")
-    # truth is ranked once per split, not for each method and model
-    held = held.withColumns({"n": F.count("*").over(Window.partitionBy(*KEYS)), "rank_true": K.ordinal("dms_score", KEYS, "mutant", descending=True), "rt": K.midrank("dms_score", KEYS)})
-    long = lambda d, *more: d.select(*KEYS, "mutant", "ord", "dms_score", "a", *more, *_MET).unpivot([*KEYS, "mutant", "ord", "dms_score", "a", *more], _MET, "method", "z")
-    return long(scored), long(held, *_TRUTH)
+def calibration_rows(spark, sf, v=None):
+    """(splits, training rows, held-out rows): splits are numbered, variants by their place in their assay, and
+    rows hold the additive prediction a of their split."""
+    v = written(positions(ordered(v or X.variants(spark, sf)), ["assay"], ["mutant"], "item"), "variants")
+    s = written(draw_splits(spark, sf, v.drop("ord", "item")), "splits")
+    # one row per split
+    keys = written(s.select(*KEYS).distinct().withColumn("split", F.row_number().over(Window.orderBy(*KEYS))), "keys")
+    drawn = s.join(keys, KEYS).select("split", "assay", "mutant")
+    train = written(drawn.join(v, ["assay", "mutant"]), "training")
+    test = keys.select("split", "assay").join(v, "assay").join(train.select("split", "item"), ["split", "item"], "left_anti")
+    scored = lambda d: additive_scores(d, train, ["split"], few=True).withColumnRenamed("score", "a")
+    return keys, scored(train), scored(test)
+
+
+def by_method(train):
+    """Training rows, one per method with its score z."""
+    return train.select("split", "mutant", "dms_score", "a", *_MET).unpivot(["split", "mutant", "dms_score", "a"], _MET, "method", "z")
 
 
 @add(f"{B}, {FITS} SELECT {_K}, method, n_train, {r('slope')} AS slope, {r('my - slope * mz')} AS intercept FROM f1")
 def linear_1(spark, sf):
-    train, _ = train_long(spark, sf)
-    return rounded(C.linear_1(train, [*KEYS, "method"], "z", "dms_score"))
+    keys, train, _ = calibration_rows(spark, sf)
+    return rounded(C.linear_1(by_method(train), ["split", "method"], "z", "dms_score").join(keys, "split").select(*KEYS, "method", "n_train", "slope", "intercept"))
 
 
 @add(f"{B}, {FITS} SELECT {_K}, method, round(sa, 4) + 0.0 AS slope_a, round(sz, 4) + 0.0 AS slope_z FROM f2")
 def linear_2(spark, sf):
-    train, _ = train_long(spark, sf)
-    f = C.linear_2(train, [*KEYS, "method"], "a", "z", "dms_score")
+    keys, train, _ = calibration_rows(spark, sf)
+    f = C.linear_2(by_method(train), ["split", "method"], "a", "z", "dms_score").join(keys, "split")
     return f.select(*KEYS, "method", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("slope_a", "slope_z")])
 
 
-PRED = f"""hz AS (SELECT {_K}, mutant, ord, dms_score, a, u.method, u.z FROM (SELECT {_K}, h.mutant, h.ord, h.dms_score, h.score AS a, unnest([{{'method': 'm_qty', 'z': m_qty}}, {{'method': 'm_tax', 'z': m_tax}}]) AS u FROM adds h JOIN variants v USING (assay, mutant))),
+PRED = f"""hz AS (SELECT {_K}, mutant, ord, dms_score, a, u.method, u.z FROM (SELECT {_K}, h.mutant, h.ord, h.dms_score, h.score AS a, unnest([{_ZS}]) AS u FROM adds h JOIN variants v USING (assay, mutant))),
 pred AS (SELECT {_K}, mutant, dms_score, method, u.model, u.score FROM (SELECT hz.*, unnest([{{'model': 'linear_1', 'score': round(f1.my - f1.slope * f1.mz + f1.slope * z, 6)}}, {{'model': 'linear_2', 'score': round(f2.my - sa * f2.ma - sz * f2.mz + sa * a + sz * z, 6)}}]) AS u FROM hz JOIN f1 USING ({_K}, method) JOIN f2 USING ({_K}, method))
 UNION ALL SELECT {_K}, mutant, dms_score, 'none', 'additive', score FROM adds)"""
 
 
+#: The predictions that a held-out row has: (model, method) by column.
+MODELS = {"additive": ("additive", "none")} | {f"{model}__{m}": (model, m) for model in ("linear_1", "linear_2") for m in _MET}
+
+
 def predictions(spark, sf, v=None):
-    """Held-out scores of the additive model, linear_1 and linear_2."""
-    by = [*KEYS, "method"]
-    train, held = train_long(spark, sf, v)
-    one = C.linear_1(train, by, "z", "dms_score").select(*by, F.col("slope").alias("s1"), F.col("intercept").alias("i1"))
-    two = C.linear_2(train, by, "a", "z", "dms_score").select(*by, "slope_a", "slope_z", F.col("intercept").alias("i2"))
-    # a handful of coefficients per split
-    p = held.join(one, by).join(two, by)
-    p = p.withColumns({"linear_1": F.round(F.col("i1") + F.col("s1") * F.col("z"), 6), "linear_2": F.round(F.col("i2") + F.col("slope_a") * F.col("a") + F.col("slope_z") * F.col("z"), 6)})
-    p = p.select(*by, "mutant", "dms_score", *_TRUTH, "linear_1", "linear_2").unpivot([*by, "mutant", "dms_score", *_TRUTH], ["linear_1", "linear_2"], "model", "score")
-    add_ = held.where(F.col("method") == _MET[0]).select(*KEYS, F.lit("none").alias("method"), "mutant", "dms_score", *_TRUTH, F.lit("additive").alias("model"), F.col("a").alias("score"))
-    return p.unionByName(add_)
+    """(splits, held-out rows), a row having a column for each of MODELS: rows are neither repeated nor moved for
+    each model and method."""
+    keys, train, held = calibration_rows(spark, sf, v)
+    long, by = by_method(train), ["split", "method"]
+    fits = C.linear_1(long, by, "z", "dms_score").select(*by, F.col("slope").alias("s1"), F.col("intercept").alias("i1")).join(C.linear_2(long, by, "a", "z", "dms_score").select(*by, "slope_a", "slope_z", F.col("intercept").alias("i2")), by)
+    coefficients = ["s1", "i1", "slope_a", "slope_z", "i2"]
+    wide = fits.groupBy("split").pivot("method", _MET).agg(*[F.first(c).alias(c) for c in coefficients])
+    p = held.join(wide, "split")  # one row per split
+    of = lambda m, c: F.col(f"{m}_{c}")
+    p = p.withColumns({f"linear_1__{m}": F.round(of(m, "i1") + of(m, "s1") * F.col(m), 6) for m in _MET})
+    p = p.withColumns({f"linear_2__{m}": F.round(of(m, "i2") + of(m, "slope_a") * F.col("a") + of(m, "slope_z") * F.col(m), 6) for m in _MET})
+    return keys, p.withColumnRenamed("a", "additive").select("split", "item", "mutant", "dms_score", *MODELS)
+
+
+def per_model(found, keys, *fields):
+    """Rows with a struct of fields for each of MODELS, as rows by split, model and method."""
+    rows = F.array(*[F.struct(F.lit(model).alias("model"), F.lit(m).alias("method"), *[F.col(f"{c}__{x}").alias(x) for x in fields]) for c, (model, m) in MODELS.items()])
+    return found.select("split", F.explode(rows).alias("r")).select("split", "r.*").join(keys, "split").select(*KEYS, "method", "model", *fields)
 
 
 _PK = f"{_K}, method, model"
@@ -85,14 +107,23 @@ BL = f"{B}, {FITS}, {LOWN}"
 
 
 def low_n(spark, sf, v=None):
-    by = [*KEYS, "method", "model"]
-    # one order serves both ranks: of equal scores the row number goes by the mutant
-    k = predictions(spark, sf, v).withColumn("rank_pred", K.ordinal("score", by, "mutant", descending=True)).withColumn("down", K.midrank("score", by, descending=True))
+    """Metrics of every split, method and model. A split's rows are dealt out once and ordered by truth and by each
+    prediction where they are; of equal predictions the place goes by the variant."""
+    keys, p = predictions(spark, sf, v)
+    here = Window.partitionBy("split")
+    p = p.select("split", "item", "dms_score", *MODELS).repartition("split")
+    p = p.withColumns({"n": F.count("*").over(here), "rank_true": K.ordinal("dms_score", ["split"], "item", descending=True), "rt": K.midrank("dms_score", ["split"], descending=True)})
     top = F.col("rank_true") <= M.top_size(F.col("n"), 0.01)
-    inside = F.col("rank_pred") <= 100
-    return k.withColumn("rp", F.col("n") + 1 - F.col("down")).groupBy(*by).agg(
-        F.count("*").alias("n_test"), M.pearson("rt", "rp").alias("spearman_all"), (F.count_if(inside & top) / F.count_if(top)).alias("recall"), F.max(F.when(inside, F.col("dms_score"))).alias("best"),
-    )
+    p = p.withColumn("top", top).drop("rank_true")
+    found = [F.count("*").alias("n")]
+    for c in MODELS:
+        p = p.withColumns({f"{c}__o": K.ordinal(c, ["split"], "item", descending=True) <= 100, f"{c}__r": K.midrank(c, ["split"], descending=True)}).drop(c)
+        inside = F.col(f"{c}__o")
+        found += [
+            F.count("*").alias(f"{c}__n_test"), M.pearson("rt", f"{c}__r").alias(f"{c}__spearman_all"), (F.count_if(inside & F.col("top")) / F.count_if("top")).alias(f"{c}__recall"),
+            F.max(F.when(inside, F.col("dms_score"))).alias(f"{c}__best"),
+        ]
+    return per_model(p.groupBy("split").agg(*found), keys, "n_test", "spearman_all", "recall", "best")
 
 
 @add(f"{BL} SELECT {_PK}, n_test, {r('spearman_all')} AS spearman_all, {r('recall')} AS recall, {r('best')} AS best FROM lown")
@@ -116,11 +147,9 @@ _PCT = "pc AS (SELECT l.*, (SELECT count_if(v.dms_score <= l.best)::DOUBLE / cou
 
 
 def percentiles(spark, sf, v=None):
-    low = low_n(spark, sf, v)
-    v = v or X.variants(spark, sf)
-    # the best value is one of the assay's own scores
-    share = v.select("assay", F.col("dms_score").alias("best"), F.cume_dist().over(Window.partitionBy("assay").orderBy("dms_score")).alias("percentile")).distinct()
-    return low.join(share, ["assay", "best"])
+    v = written(v or X.variants(spark, sf), "variants")
+    low = written(low_n(spark, sf, v), "low_n").withColumnRenamed("best", "dms_score")
+    return K.shares_below(v, low, ["assay"], "dms_score", "percentile").withColumnRenamed("dms_score", "best")
 
 
 @add(f"{BL}, {_PCT} SELECT budget, regime, model, coalesce(nullif(method, ''), 'none') AS method, {r('avg(percentile)')} AS mean_percentile, {r('avg(recall)')} AS mean_recall FROM pc GROUP BY 1, 2, 3, 4")
@@ -166,16 +195,20 @@ def data_value_summary(spark, sf):
     return rounded(paired(spark, sf).groupBy("budget", "model", "method").agg(F.count("d_spearman").alias("n_spearman"), F.count("d_recall").alias("n_recall"), F.avg("d_spearman").alias("mean_d_spearman"), F.avg("d_recall").alias("mean_d_recall")))
 
 
-@add(f"""{BL}, sa AS (SELECT *, row_number() OVER (PARTITION BY {_PK} ORDER BY md5(concat_ws('|', {_PK}, mutant)), mutant) AS h, count(*) OVER (PARTITION BY {_PK}) AS nn FROM pred), sb AS (SELECT *, row_number() OVER (PARTITION BY {_PK} ORDER BY score DESC, mutant) AS o FROM sa WHERE h <= {SAMPLED})
+@add(f"""{BL}, sa AS (SELECT {_K}, mutant, row_number() OVER (PARTITION BY {_K} ORDER BY md5(concat_ws('|', {_K}, mutant)), mutant) AS h, count(*) OVER (PARTITION BY {_K}) AS nn FROM held),
+sb AS (SELECT p.*, nn, row_number() OVER (PARTITION BY {', '.join(f'p.{k}' for k in _PK.split(', '))} ORDER BY score DESC, mutant) AS o FROM pred p JOIN sa USING ({_K}, mutant) WHERE h <= {SAMPLED})
 SELECT {_PK}, count(*) AS n_candidates, CAST(max(nn) > {SAMPLED} AS INT) AS sampled, {r('max(CASE WHEN o <= 100 THEN dms_score END)')} AS best FROM sb GROUP BY {_PK}""")
 def low_n_calibration_sampled(spark, sf):
-    from assayscope.operators.sampling import hash_order
-
-    by = [*KEYS, "method", "model"]
-    w = Window.partitionBy(*by)
-    p = predictions(spark, sf).withColumns({"h": F.row_number().over(w.orderBy(hash_order(*by, "mutant"), "mutant")), "nn": F.count("*").over(w)}).where(F.col("h") <= SAMPLED)
-    p = p.withColumn("o", K.ordinal("score", by, "mutant", descending=True))
-    return rounded(p.groupBy(*by).agg(F.count("*").alias("n_candidates"), (F.max("nn") > SAMPLED).cast("int").alias("sampled"), F.max(F.when(F.col("o") <= 100, F.col("dms_score"))).alias("best")))
+    """The candidates of a large split are sampled once, and every model is judged on the same ones."""
+    keys, p = predictions(spark, sf)
+    here = Window.partitionBy("split")
+    p = p.join(keys, "split").repartition("split").withColumns({"h": F.row_number().over(here.orderBy(hash_order(*KEYS, "mutant"), "item")), "nn": F.count("*").over(here)})
+    p = p.where(F.col("h") <= SAMPLED).select("split", "item", "dms_score", "nn", *MODELS)
+    found = []
+    for c in MODELS:
+        p = p.withColumn(f"{c}__o", K.ordinal(c, ["split"], "item", descending=True) <= 100).drop(c)
+        found += [F.count("*").alias(f"{c}__n_candidates"), (F.max("nn") > SAMPLED).cast("int").alias(f"{c}__sampled"), F.max(F.when(F.col(f"{c}__o"), F.col("dms_score"))).alias(f"{c}__best")]
+    return rounded(per_model(p.groupBy("split").agg(*found), keys, "n_candidates", "sampled", "best"))
 
 
 @add(f"{B}, om AS (SELECT {_K}, ord, avg(dms_score) AS m FROM tr GROUP BY {_K}, ord), gm AS (SELECT {_K}, avg(dms_score) AS g FROM tr GROUP BY {_K}) SELECT {_K}, mutant, {r('g')} AS global_mean, {r('coalesce(m, g)')} AS order_mean FROM held JOIN gm USING ({_K}) LEFT JOIN om USING ({_K}, ord)")
@@ -201,11 +234,11 @@ def vocabulary(train, most: int = 300):
 # -- ridge on sparse features (rows-only check) -------------------------------------------------------
 
 
-def _ridge(spark, sf, features):
+def _ridge(spark, sf, features, spare: int | None = None):
     train, test = heldout(spark, sf)
     t, h = features(train, train), features(test, train)
     t = t.join(train.select(*KEYS, "mutant", "dms_score"), [*KEYS, "mutant"])
-    return rounded(C.ridge_grouped(t, h, KEYS, "mutant", "dms_score"))
+    return rounded(C.ridge_grouped(written(t, "features"), h, KEYS, "mutant", "dms_score", spare=spare))
 
 
 def _score_features(d, train, methods=X.METHODS):
@@ -224,14 +257,15 @@ def _site_features(d, train):
 
 @add()
 def ridge_grouped(spark, sf):
-    return _ridge(spark, sf, _score_features)
+    """All scores; a split with fewer than two rows more than features has no fit."""
+    return _ridge(spark, sf, _score_features, spare=2)
 
 
 def _and_additive(features):
     """The features and the additive prediction learned from the same training rows."""
 
     def more(d, train):
-        a = additive_scores(d, train, KEYS).select(*KEYS, "mutant", F.lit("additive").alias("feature"), F.col("score").alias("value"))
+        a = additive_scores(d, train, KEYS, few=True).select(*KEYS, "mutant", F.lit("additive").alias("feature"), F.col("score").alias("value"))
         return features(d, train).select(*KEYS, "mutant", "feature", "value").unionByName(a)
 
     return more
@@ -249,7 +283,7 @@ def additive_site_ridge(spark, sf):
 
 @add()
 def score_ridge(spark, sf):
-    return _ridge(spark, sf, lambda d, t: _score_features(d, t, ["m_qty", "m_retail"]))
+    return _ridge(spark, sf, _score_features)
 
 
 @add()
@@ -257,28 +291,49 @@ def additive_score_ridge(spark, sf):
     return _ridge(spark, sf, _and_additive(_score_features))
 
 
+_KERNEL = [*X.METHODS, "order", "additive"]
+
+
+def _kernel_features(d, train):
+    """Random Fourier features of the scores, the order and the additive prediction, each standardised per split."""
+    plain = lambda x: additive_scores(x, train, KEYS, few=True).withColumnRenamed("score", "additive").withColumn("order", F.col("ord").cast("double")).select(*KEYS, "mutant", *_KERNEL)
+    s = plain(train).groupBy(*KEYS).agg(*[f(c).alias(f"{c}_{n}") for c in _KERNEL for n, f in (("a", F.avg), ("s", F.stddev_pop))])
+    z = plain(d).join(s, KEYS).withColumns({c: (F.col(c) - F.col(f"{c}_a")) / F.when(F.col(f"{c}_s") == 0, 1.0).otherwise(F.col(f"{c}_s")) for c in _KERNEL})
+    return C.kernel_features(z, KEYS, "mutant", _KERNEL)
+
+
+@add()
+def kernel_ridge(spark, sf):
+    """A Gaussian kernel's regression with unit noise on every split, through its random features."""
+    return _ridge(spark, sf, _kernel_features)
+
+
 @add()
 def pooled_ml_regressors(spark, sf):
     """One fit of each regressor over all splits' training rows, on scores standardised per split."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
-    train, test = heldout(spark, sf)
-    s = train.groupBy(*KEYS).agg(*[f(m).alias(f"{m}_{n}") for m in X.METHODS for n, f in (("a", F.avg), ("s", F.stddev_pop))], F.avg("dms_score").alias("y_a"))
+    rows, test = heldout(spark, sf)
+    names = [*X.METHODS, "additive"]
+    with_additive = lambda d: additive_scores(d, rows, KEYS, few=True).withColumnRenamed("score", "additive")
+    train = written(with_additive(rows), "training")
+    s = train.groupBy(*KEYS).agg(*[f(m).alias(f"{m}_{n}") for m in names for n, f in (("a", F.avg), ("s", F.stddev_pop))], F.avg("dms_score").alias("y_a"))
 
     def ready(d):
         d = d.join(s, KEYS)
-        z = {f"z_{m}": (F.col(m) - F.col(f"{m}_a")) / F.when(F.col(f"{m}_s") == 0, 1.0).otherwise(F.col(f"{m}_s")) for m in X.METHODS}
+        z = {f"z_{m}": (F.col(m) - F.col(f"{m}_a")) / F.when(F.col(f"{m}_s") == 0, 1.0).otherwise(F.col(f"{m}_s")) for m in names}
         d = d.withColumns(z | {"label": F.col("dms_score") - F.col("y_a"), "order": F.col("ord").cast("double")})
         return VectorAssembler(inputCols=[*z, "order"], outputCol="features").transform(d)
 
     # every round of the fits reads these rows
     fit = written(ready(train).select("features", "label"), "pooled")
-    held = ready(test).select(*KEYS, "mutant", "y_a", "features")
+    held = ready(with_additive(test)).select(*KEYS, "mutant", "y_a", "features")
     out = None
     for name, est in (
         ("ridge", LinearRegression(regParam=1.0, elasticNetParam=0.0)), ("lasso", LinearRegression(regParam=0.001, elasticNetParam=1.0)), ("elastic_net", LinearRegression(regParam=0.001, elasticNetParam=0.5)),
         ("forest", RandomForestRegressor(numTrees=24, maxDepth=5, minInstancesPerNode=2, seed=7)), ("boosting", GBTRegressor(maxIter=30, maxDepth=4, stepSize=0.05, seed=7)),
+        ("sampled_boosting", GBTRegressor(maxIter=40, maxDepth=2, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.9", seed=7)),
     ):
         p = est.fit(fit).transform(held).select(*KEYS, "mutant", F.lit(name).alias("model"), F.round(F.col("prediction") + F.col("y_a"), 4).alias("score"))
         out = p if out is None else out.unionByName(p)

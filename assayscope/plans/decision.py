@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assayscope.functions.scalars import mutation_order, r6
 from assayscope.operators import ranking as K
 from assayscope.operators.epistasis import strict_double_residuals
-from assayscope.plans.epistasis import EPI_SUMMARY, LEAST, RES, epi_summary
+from assayscope.plans.epistasis import EPI_SUMMARY, LEAST25, epi_summary, res_sql
 from assayscope.plans.ingest import _MANIFEST, _STRICT, manifest
 from assayscope.plans.ranking import ZS25, r, rounded, zero_shot
 from assayscope.plans.registry import add
@@ -16,7 +16,7 @@ from assayscope.sources import fixtures as X
 from assayscope.sources.ingest import written
 
 #: one row per assay: counts, epistasis, predictor quality, alignment depth stand-in, type
-FEATURES = f"""{ZS25.replace('WITH ', f'WITH {X.TYPES}, ', 1)}, {_STRICT}, {_MANIFEST}, {RES}, epi AS ({EPI_SUMMARY}),
+FEATURES = f"""{ZS25.replace('WITH ', f'WITH {X.TYPES}, ', 1)}, {_STRICT}, {_MANIFEST}, {res_sql(LEAST25)}, epi AS ({EPI_SUMMARY}),
 zp AS (SELECT assay, max(CASE WHEN method = 'm_qty' THEN abs(spearman) END) AS zs_qty, max(CASE WHEN method = 'm_tax' THEN abs(spearman) END) AS zs_tax, max(abs(spearman)) AS zs_best FROM zs GROUP BY 1),
 cu AS (SELECT 'NATION_' || c_nationkey AS assay, count(*) AS depth FROM customer GROUP BY 1), su AS (SELECT 'NATION_' || s_nationkey AS assay, count(*) AS support FROM supplier GROUP BY 1),
 feat AS (SELECT m.assay, assay_type, n_variants, n_order_2 AS n_doubles, n_higher_order, round(mean_abs, 6) AS epi_mean_abs, round(sign_fraction, 6) AS epi_sign, round(zs_qty, 6) AS zs_qty, round(zs_tax, 6) AS zs_tax, round(zs_best, 6) AS zs_best, depth, support
@@ -25,7 +25,7 @@ FROM manifest m LEFT JOIN types USING (assay) LEFT JOIN epi USING (assay) LEFT J
 
 def features(spark, sf):
     v = written(X.variants25(spark, sf), "variants")
-    e = epi_summary(strict_double_residuals(v.withColumn("ord", mutation_order(F.col("mutant"))), LEAST))
+    e = epi_summary(strict_double_residuals(v.withColumn("ord", mutation_order(F.col("mutant"))), LEAST25))
     of = lambda m: F.max(F.when(F.col("method") == m, F.col("abs_spearman")))
     z = zero_shot(X.scores_long(v)).groupBy("assay").agg(of("m_qty").alias("zs_qty"), of("m_tax").alias("zs_tax"), F.max("abs_spearman").alias("zs_best"))
     name = lambda c: F.concat(F.lit("NATION_"), F.col(c).cast("string")).alias("assay")
@@ -64,8 +64,8 @@ def three_way(value: str, lo: str, hi: str):
 def with_cuts(f, value: str, lo, hi, prefix: str):
     """Two cut values of a column over all rows, joined to every row."""
     g = f.select(F.lit(1).alias("g"), value)
-    a, b = K.at_index(g, ["g"], value, lo, f"{prefix}_lo"), K.at_index(g, ["g"], value, hi, f"{prefix}_hi")
-    return f.withColumn("g", F.lit(1)).join(F.broadcast(a), "g", "left").join(F.broadcast(b), "g", "left").drop("g")
+    cuts = K.at_indexes(g, ["g"], value, **{f"{prefix}_lo": lo, f"{prefix}_hi": hi})
+    return f.withColumn("g", F.lit(1)).join(F.broadcast(cuts), "g", "left").drop("g")  # one row
 
 
 def tertiles(f, value: str, prefix: str):

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from assayscope.functions.scalars import mutation_pairs, mutation_parts, pair_key, site_pair_key
+from assayscope.functions.scalars import pair_key, site_pair_key
 from assayscope.operators import epistasis as E
 from assayscope.operators import metrics as M
 from assayscope.operators import ranking as K
 from assayscope.operators.additive import additive_scores
-from assayscope.operators.sampling import hash_order
 from assayscope.plans.ranking import ADDITIVE, VL, corr, midrank, r, ranked_sql, rounded, spearman_sql, subsets, top_sql, with_additive
 from assayscope.plans.registry import add
 from assayscope.plans.sampling import SPLITS, ordered, splits
 from assayscope.sources import fixtures as X
 from assayscope.sources.ingest import written
 
-#: Assays with fewer strict doubles are left out; low enough for the smallest tables.
-LEAST = 2
+#: Assays with fewer strict doubles are left out, and nations, whose orders are a fifth as many.
+LEAST, LEAST25 = 100, 10
+#: Fewer reciprocal doubles of a method, doubles of a subset, or doubles of an assay tell nothing of it.
+LEAST_RECIPROCAL, LEAST_SUBSET, LEAST_ENRICHED = 20, 50, 100
 V = f"WITH {X.VARIANTS}"
-RES = f"""wt AS (SELECT assay, avg(dms_score) AS wt FROM variants WHERE ord = 1 GROUP BY 1), one AS (SELECT assay, mutant AS part, dms_score AS s FROM variants WHERE ord = 1),
+def res_sql(least: int) -> str:
+    return f"""wt AS (SELECT assay, avg(dms_score) AS wt FROM variants WHERE ord = 1 GROUP BY 1), one AS (SELECT assay, mutant AS part, dms_score AS s FROM variants WHERE ord = 1),
 d0 AS (SELECT v.assay, v.mutant, parts[1] AS single_a, parts[2] AS single_b, v.dms_score AS ab, a.s AS a, b.s AS b, wt FROM variants v JOIN one a ON a.assay = v.assay AND a.part = parts[1] JOIN one b ON b.assay = v.assay AND b.part = parts[2] JOIN wt ON wt.assay = v.assay WHERE ord = 2),
 d1 AS (SELECT *, round(a + b - wt, 9) AS additive_prediction, count(*) OVER (PARTITION BY assay) AS n FROM d0),
-res AS (SELECT *, round(ab - additive_prediction, 9) AS residual, abs(round(ab - additive_prediction, 9)) AS abs_residual, CAST((a - wt) * (ab - b) < 0 OR (b - wt) * (ab - a) < 0 AS INT) AS sign, CAST((a - wt) * (ab - wt) < 0 AND (b - wt) * (ab - wt) < 0 AS INT) AS reciprocal FROM d1 WHERE n >= {LEAST})"""
+res AS (SELECT *, round(ab - additive_prediction, 9) AS residual, abs(round(ab - additive_prediction, 9)) AS abs_residual, CAST((a - wt) * (ab - b) < 0 OR (b - wt) * (ab - a) < 0 AS INT) AS sign, CAST((a - wt) * (ab - wt) < 0 AND (b - wt) * (ab - wt) < 0 AS INT) AS reciprocal FROM d1 WHERE n >= {least})"""
+
+
+RES = res_sql(LEAST)
 VR = f"{V}, {RES}"
 VLR = f"{VL}, {RES}"
 
@@ -50,12 +55,12 @@ def reciprocal_sign(spark, sf):
 
 
 @add(f"""{VLR}, k AS (SELECT method, row_number() OVER (PARTITION BY method ORDER BY score, assay || mutant) AS x, row_number() OVER (PARTITION BY method ORDER BY ab, assay || mutant) AS y FROM res JOIN long USING (assay, mutant) WHERE reciprocal = 1)
-SELECT method, count(*) AS n, {r(f"abs({corr('x', 'y')})")} AS abs_spearman FROM k GROUP BY 1 HAVING count(*) >= 3""")
+SELECT method, count(*) AS n, {r(f"abs({corr('x', 'y')})")} AS abs_spearman FROM k GROUP BY 1 HAVING count(*) >= {LEAST_RECIPROCAL}""")
 def reciprocal_summary(spark, sf):
     v = X.variants(spark, sf)
     d = E.with_scores(residuals(spark, sf, v).where("reciprocal = 1"), X.scores_long(v)).withColumn("item", F.concat("assay", "mutant"))
     d = d.withColumns({"x": K.ordinal("score", ["method"], "item"), "y": K.ordinal("score_double", ["method"], "item")})
-    return rounded(d.groupBy("method").agg(F.count("*").alias("n"), F.abs(M.pearson("x", "y")).alias("abs_spearman")).where("n >= 3"))
+    return rounded(d.groupBy("method").agg(F.count("*").alias("n"), F.abs(M.pearson("x", "y")).alias("abs_spearman")).where(F.col("n") >= LEAST_RECIPROCAL))
 
 
 @add(f"{VLR} SELECT assay, method, count(*) AS n, {r('avg(score)')} AS mean_score, {r('avg(residual)')} AS mean_residual FROM res JOIN long USING (assay, mutant) GROUP BY 1, 2")
@@ -117,20 +122,21 @@ def epistasis_assay_summary(spark, sf):
 
 # metrics inside a subset of the doubles; the additive prediction is one more method
 _SUBSETS = {"high": "abs_residual >= cut", "sign": "sign = 1"}
+_GUARD = {"high": 1, "sign": LEAST_SUBSET}
 
 
-def _subset_sql(where: str) -> str:
+def _subset_sql(where: str, least: int = 1) -> str:
     return f"""q AS (SELECT *, row_number() OVER (PARTITION BY assay ORDER BY abs_residual) - 1 AS i FROM res), cut AS (SELECT assay, max(CASE WHEN i = least(n - 1, floor(n * 0.75::DOUBLE)) THEN abs_residual END) AS cut FROM q GROUP BY 1),
 chosen AS (SELECT assay, mutant, ab, residual, additive_prediction FROM res JOIN cut USING (assay) WHERE {where}),
 sub AS (SELECT assay, mutant, method, score, ab, residual FROM chosen JOIN long USING (assay, mutant) UNION ALL SELECT assay, mutant, 'additive_prediction', additive_prediction, ab, residual FROM chosen),
 so AS (SELECT assay, method, {midrank('score', _AM)} AS rp, {midrank('ab', _AM)} AS rt, {midrank('residual', _AM)} AS rr, row_number() OVER (PARTITION BY {_AM} ORDER BY score DESC, mutant) AS o,
 row_number() OVER (PARTITION BY {_AM} ORDER BY ab DESC, mutant) <= greatest(1, ceil(count(*) OVER (PARTITION BY {_AM}) * 0.01::DOUBLE)) AS top FROM sub),
-m AS (SELECT assay, method, count(*) AS n, {corr('rp', 'rt')} AS spearman, {corr('rp', 'rr')} AS spearman_residual, count_if(top AND o <= 100)::DOUBLE / count_if(top) AS recall FROM so GROUP BY 1, 2)"""
+m AS (SELECT assay, method, count(*) AS n, {corr('rp', 'rt')} AS spearman, {corr('rp', 'rr')} AS spearman_residual, count_if(top AND o <= 100)::DOUBLE / count_if(top) AS recall FROM so GROUP BY 1, 2 HAVING count(*) >= {least})"""
 
 
-def _subset(spark, sf, which):
-    v = written(X.variants(spark, sf), "variants")
-    d = residuals(spark, sf, v)
+def _subset(spark, sf, which, v=None, res=None):
+    v = v or written(X.variants(spark, sf), "variants")
+    d = res or residuals(spark, sf, v)
     if which == "high":
         cut = K.at_index(d.drop("n"), ["assay"], "abs_epistasis_residual", F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(0.75))), "cut")
         d = d.join(cut, "assay").where("abs_epistasis_residual >= cut")
@@ -144,18 +150,20 @@ def _subset(spark, sf, which):
     return s.groupBy(*by).agg(
         F.count("*").alias("n"), M.pearson("rp", "rt").alias("spearman"), M.pearson("rp", "rr").alias("spearman_residual"),
         (F.count_if(F.col("top") & (F.col("o") <= 100)) / F.count_if("top")).alias("recall"),
-    ).withColumn("abs_spearman", F.abs("spearman"))
+    ).where(F.col("n") >= _GUARD[which]).withColumn("abs_spearman", F.abs("spearman"))
 
 
 for _name, _which in (("high_residual_metrics", "high"), ("sign_subset_metrics", "sign")):
-    add(f"{VLR}, {_subset_sql(_SUBSETS[_which])} SELECT assay, method, n, {r('spearman')} AS spearman, {r('abs(spearman)')} AS abs_spearman, {r('spearman_residual')} AS spearman_residual, {r('recall')} AS recall FROM m", name=_name)(
+    add(f"{VLR}, {_subset_sql(_SUBSETS[_which], _GUARD[_which])} SELECT assay, method, n, {r('spearman')} AS spearman, {r('abs(spearman)')} AS abs_spearman, {r('spearman_residual')} AS spearman_residual, {r('recall')} AS recall FROM m", name=_name)(
         lambda spark, sf, which=_which: rounded(_subset(spark, sf, which))
     )
 
 
-@add(f"{VLR} " + " UNION ALL ".join(f"(WITH {_subset_sql(w)} SELECT '{k}' AS subset, method, count(*) AS n_assays, {r('avg(abs(spearman))')} AS mean_abs_spearman, {r('avg(spearman_residual)')} AS mean_spearman_residual, {r('avg(recall)')} AS mean_recall FROM m WHERE spearman IS NOT NULL GROUP BY 2)" for k, w in _SUBSETS.items()))
+@add(f"{VLR} " + " UNION ALL ".join(f"(WITH {_subset_sql(w, _GUARD[k])} SELECT '{k}' AS subset, method, count(*) AS n_assays, {r('avg(abs(spearman))')} AS mean_abs_spearman, {r('avg(spearman_residual)')} AS mean_spearman_residual, {r('avg(recall)')} AS mean_recall FROM m WHERE spearman IS NOT NULL GROUP BY 2)" for k, w in _SUBSETS.items()))
 def residual_subset_summary(spark, sf):
-    both = [_subset(spark, sf, k).where("spearman is not null").groupBy(F.lit(k).alias("subset"), "method").agg(F.count("*").alias("n_assays"), F.avg("abs_spearman").alias("mean_abs_spearman"), F.avg("spearman_residual").alias("mean_spearman_residual"), F.avg("recall").alias("mean_recall")) for k in _SUBSETS]
+    v = written(X.variants(spark, sf), "variants")
+    res = written(residuals(spark, sf, v), "residuals")
+    both = [_subset(spark, sf, k, v, res).where("spearman is not null").groupBy(F.lit(k).alias("subset"), "method").agg(F.count("*").alias("n_assays"), F.avg("abs_spearman").alias("mean_abs_spearman"), F.avg("spearman_residual").alias("mean_spearman_residual"), F.avg("recall").alias("mean_recall")) for k in _SUBSETS]
     return rounded(both[0].unionByName(both[1]))
 
 
@@ -222,12 +230,13 @@ _UE = f"""{_EU}, c AS (SELECT assay, list_sort(list(abs_residual))[floor(0.75::D
 x AS (SELECT assay, mutant, CAST(abs_residual >= cut AS INT) AS hit, mean, std, split, disagreement FROM res JOIN c USING (assay) JOIN eu USING (assay, mutant)),
 y AS (SELECT assay, mutant, hit, kind, score FROM x UNPIVOT (score FOR kind IN (mean, std, split, disagreement))),
 z AS (SELECT *, row_number() OVER (PARTITION BY assay, kind ORDER BY score DESC, mutant DESC) AS o FROM y),
-w AS (SELECT assay, kind, k, avg(hit) AS base_rate, avg(CASE WHEN o <= k THEN hit END) AS hit_rate, CAST(sum(CASE WHEN o <= k THEN hit END) * count(*) AS DOUBLE) / nullif(CAST(least(k, count(*)) * sum(hit) AS DOUBLE), 0) AS enrichment FROM z, (VALUES (10), (50), (100)) ks(k) GROUP BY 1, 2, 3)"""
+w AS (SELECT assay, kind, k, avg(hit) AS base_rate, avg(CASE WHEN o <= k THEN hit END) AS hit_rate, CAST(sum(CASE WHEN o <= k THEN hit END) * count(*) AS DOUBLE) / nullif(CAST(least(k, count(*)) * sum(hit) AS DOUBLE), 0) AS enrichment FROM z, (VALUES (10), (50), (100)) ks(k) GROUP BY 1, 2, 3 HAVING count(*) >= {LEAST_ENRICHED})"""
 
 
 @add(f"{_UE} SELECT assay, kind, k, {r('base_rate')} AS base_rate, {r('hit_rate')} AS hit_rate, {r('enrichment')} AS enrichment FROM w")
 def uncertainty_enrichment(spark, sf):
-    u = uncertainty(spark, sf)
+    u = written(uncertainty(spark, sf), "uncertainty")
+    u = u.join(u.groupBy("assay").count().where(F.col("count") >= LEAST_ENRICHED).select("assay"), "assay", "left_semi")
     cut = K.at_index(u, ["assay"], "abs_epistasis_residual", F.floor(F.lit(0.75) * (F.col("n") - 1)), "cut")
     u = u.join(cut, "assay").withColumn("hit", (F.col("abs_epistasis_residual") >= F.col("cut")).cast("int"))
     kinds = ["mean", "std", "split", "disagreement"]
@@ -262,7 +271,7 @@ _ALK = f"{V}, {SPLITS}, {ADD_SPLIT}, subs AS (SELECT *, unnest(CASE WHEN ord = 2
 @add(f"{_ALK} SELECT {_K}, subset, n, {r('spearman')} AS spearman FROM m")
 def additive_lookup(spark, sf):
     train, test = heldout(spark, sf)
-    return rounded(M.spearman(subsets(additive_scores(test, train, _KEYS)), [*_KEYS, "subset"], "dms_score", "score").drop("abs_spearman"))
+    return rounded(M.spearman(subsets(additive_scores(test, train, _KEYS, few=True)), [*_KEYS, "subset"], "dms_score", "score").drop("abs_spearman"))
 
 
 @add(f"{VL}, {ADDITIVE} SELECT assay, mutant, {r('score')} AS score FROM additive")
@@ -272,79 +281,124 @@ def additive_all_singles(spark, sf):
 
 # -- pairwise correction ----------------------------------------------------------------------------
 
-_PAIRS = """chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY assay ORDER BY md5(concat_ws('|', assay, mutant)), mutant) AS o FROM res) WHERE o <= 50),
-pr AS (SELECT assay, least(single_a, single_b) || ':' || greatest(single_a, single_b) AS pair, CAST(sum(CAST(residual AS DECIMAL(28,10))) AS DOUBLE) / count(*) AS v FROM chosen GROUP BY 1, 2),
-hp AS (SELECT assay, mutant, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM variants WHERE ord > 2),
+PAIR_SEEDS, PAIR_BUDGETS = [0, 1, 2, 3, 4], [20, 50, 100]
+_RUN = "assay, policy, seed, budget"
+_PAIRS = f"""hp AS (SELECT assay, mutant, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM variants WHERE ord > 2),
 hk AS (SELECT x.assay, x.mutant, least(x.part, y.part) || ':' || greatest(x.part, y.part) AS pair FROM hp x JOIN hp y ON x.assay = y.assay AND x.mutant = y.mutant AND x.i < y.i),
-ks AS (SELECT assay, mutant, CAST(sum(CAST(v AS DECIMAL(28,10))) AS DOUBLE) / count(*) AS m, count(*) AS known FROM hk JOIN pr USING (assay, pair) GROUP BY 1, 2),
-pw AS (SELECT a.assay, a.mutant, a.dms_score, round(a.score + coalesce(m, 0), 9) AS score, coalesce(known, 0) / (ord * (ord - 1) / 2.0) AS coverage FROM additive a LEFT JOIN ks USING (assay, mutant) WHERE ord > 2)"""
+pf AS (SELECT assay, pair, count(*) AS freq FROM hk GROUP BY 1, 2), dp AS (SELECT *, least(single_a, single_b) || ':' || greatest(single_a, single_b) AS pair FROM res),
+po AS (SELECT assay, mutant, pair, residual, 'random_doubles' AS policy, seed, row_number() OVER (PARTITION BY assay, seed ORDER BY md5(concat_ws('|', assay, seed, mutant)), mutant) AS o FROM dp, (VALUES {', '.join(f'({x})' for x in PAIR_SEEDS)}) s(seed)
+UNION ALL SELECT assay, mutant, pair, residual, 'informative_pair_coverage', -1, row_number() OVER (PARTITION BY assay ORDER BY coalesce(freq, 0) DESC, mutant) FROM dp LEFT JOIN pf USING (assay, pair)),
+pb(budget) AS (VALUES {', '.join(f'({x})' for x in PAIR_BUDGETS)}), pu AS (SELECT {_RUN}, CAST(count_if(o <= budget) AS BIGINT) AS n_train FROM po, pb GROUP BY {_RUN}),
+kb AS (SELECT hk.assay, hk.mutant, policy, seed, budget, CAST(sum(CAST(residual AS DECIMAL(28,10))) AS DOUBLE) / count(*) AS m, count(*) AS known FROM hk JOIN po USING (assay, pair) JOIN pb ON o <= budget GROUP BY 1, 2, 3, 4, 5),
+pw AS (SELECT a.assay, a.mutant, policy, seed, budget, n_train, a.dms_score, round(a.score + coalesce(m, 0), 9) AS score, coalesce(known, 0) AS known, CAST(ord * (ord - 1) / 2 AS BIGINT) AS pairs FROM additive a JOIN pu USING (assay) LEFT JOIN kb USING (assay, mutant, policy, seed, budget) WHERE ord > 2
+UNION ALL SELECT assay, mutant, 'none', -1, 0, 0, dms_score, score, 0, CAST(ord * (ord - 1) / 2 AS BIGINT) FROM additive WHERE ord > 2 AND assay IN (SELECT assay FROM res))"""
 
 
 def pairwise(spark, sf):
+    """(variants, doubles in each policy's order, scores of the higher variants for each run), all written."""
     v = written(ordered(X.variants(spark, sf)), "variants")
-    res = E.strict_double_residuals(v, LEAST).drop("n")
-    chosen = res.withColumn("o", F.row_number().over(Window.partitionBy("assay").orderBy(hash_order("assay", "mutant"), "mutant"))).where("o <= 50")
-    higher = additive_scores(v.where("ord > 2"), v.where("ord = 1"))
-    return E.pairwise_scores(higher, E.pair_residuals(chosen))
+    res = written(E.strict_double_residuals(v, LEAST).drop("n"), "residuals")
+    higher = written(additive_scores(v.where("ord > 2"), v.where("ord = 1")).join(res.select("assay").distinct(), "assay", "left_semi"), "higher")
+    orders = written(E.pair_orders(res, higher, PAIR_SEEDS, max(PAIR_BUDGETS)), "orders")
+    plain = higher.select("*", F.lit("none").alias("policy"), F.lit(-1).alias("seed"), F.lit(0).alias("budget"), F.lit(0).cast("long").alias("known"), F.col("score").alias("pairwise_score"), (F.col("ord") * (F.col("ord") - 1) / 2).cast("long").alias("pairs"))
+    return v, orders, written(E.pair_corrections(higher, orders, PAIR_BUDGETS).unionByName(plain), "pairwise")
 
 
-_PWM = f"{VLR}, {ADDITIVE}, {_PAIRS}, m AS {spearman_sql('pw', 'assay')}, cov AS (SELECT assay, avg(coverage) AS coverage FROM pw GROUP BY 1)"
+def per_seed(df):
+    """The run that knows no seed stands for all of them; the additive model has none."""
+    seeds = F.when(F.col("policy") == "informative_pair_coverage", F.array(*map(F.lit, PAIR_SEEDS))).when(F.col("seed") < 0, F.array(F.lit(None).cast("int"))).otherwise(F.array("seed"))
+    return df.withColumn("seed", F.explode(seeds))
 
 
-@add(f"{_PWM} SELECT assay, n, {r('spearman')} AS spearman, {r('coverage')} AS pair_coverage FROM m JOIN cov USING (assay)")
-def pairwise_residual(spark, sf):
-    p = pairwise(spark, sf).drop("score").withColumnRenamed("pairwise_score", "score")
-    m = M.spearman(p, ["assay"], "dms_score", "score").drop("abs_spearman")
-    return rounded(m.join(p.groupBy("assay").agg(F.avg("pair_coverage").alias("pair_coverage")), "assay"))
+def _per_seed_sql(source: str) -> str:
+    return f"(SELECT * EXCLUDE (seed), unnest(CASE WHEN policy = 'informative_pair_coverage' THEN {PAIR_SEEDS} WHEN seed < 0 THEN [NULL] ELSE [seed] END) AS seed FROM {source})"
 
 
-@add(f"{_PWM} SELECT count(*) AS n_assays, {r('avg(abs(spearman))')} AS mean_abs_spearman, {r('avg(coverage)')} AS mean_coverage FROM m JOIN cov USING (assay)")
-def pairwise_summary(spark, sf):
-    return rounded(pairwise_residual(spark, sf).agg(F.count("*").alias("n_assays"), F.avg(F.abs("spearman")).alias("mean_abs_spearman"), F.avg("pair_coverage").alias("mean_coverage")))
+_PWM = f"""{VLR}, {ADDITIVE}, {_PAIRS}, m AS {spearman_sql('pw', _RUN)}, t AS (SELECT *, row_number() OVER (PARTITION BY {_RUN} ORDER BY score DESC, mutant) <= 100 AS first, row_number() OVER (PARTITION BY {_RUN} ORDER BY dms_score DESC, mutant) <= greatest(1, ceil(count(*) OVER (PARTITION BY {_RUN}) * 0.01::DOUBLE)) AS top FROM pw),
+c AS (SELECT {_RUN}, any_value(n_train) AS n_train, sum(known)::DOUBLE / sum(pairs) AS coverage, count_if(first AND top)::DOUBLE / count_if(top) AS recall FROM t GROUP BY {_RUN}),
+pm AS (SELECT assay, policy, seed, budget, CASE WHEN policy = 'none' THEN 'additive_all_singles' ELSE 'pairwise_residual_from_doubles' END AS model, n_train, n, spearman, recall, coverage FROM m JOIN c USING ({_RUN}))"""
 
 
-# pairwise base and one score, fitted on singles and doubles, judged on higher orders
-_PC = _PAIRS.replace("FROM variants WHERE ord > 2)", "FROM variants WHERE ord >= 2)").replace("LEFT JOIN ks USING (assay, mutant) WHERE ord > 2)", "LEFT JOIN ks USING (assay, mutant))").replace("coalesce(known, 0) / (ord * (ord - 1) / 2.0) AS coverage", "a.ord")
-_PCM = f"""{VLR}, {ADDITIVE}, {_PC}, pz AS (SELECT pw.assay, pw.mutant, pw.ord, pw.dms_score, pw.score AS a, m_qty AS z FROM pw JOIN variants USING (assay, mutant)),
-pm AS (SELECT assay, avg(a) AS ma, avg(z) AS mz, avg(dms_score) AS my FROM pz WHERE ord BETWEEN 1 AND 2 GROUP BY 1),
-ps AS (SELECT assay, ma, mz, my, sum((a - ma) * (a - ma)) + 1e-8 AS aa, sum((z - mz) * (z - mz)) + 1e-8 AS zz, sum((a - ma) * (z - mz)) AS az, sum((a - ma) * (dms_score - my)) AS ay, sum((z - mz) * (dms_score - my)) AS zy FROM pz JOIN pm USING (assay) WHERE ord BETWEEN 1 AND 2 GROUP BY 1, 2, 3, 4),
-pf AS (SELECT *, (ay * zz - az * zy) / (aa * zz - az * az) AS sa, (aa * zy - az * ay) / (aa * zz - az * az) AS sz FROM ps),
-pq AS (SELECT pz.assay, pz.mutant, dms_score, round(my - sa * ma - sz * mz + sa * a + sz * z, 6) AS score FROM pz JOIN pf USING (assay) WHERE ord > 2), m AS {spearman_sql('pq', 'assay')}"""
+def pairwise_metrics(spark, sf):
+    run = ["assay", "policy", "seed", "budget"]
+    _, orders, p = pairwise(spark, sf)
+    d = p.select(*run, "mutant", "dms_score", F.col("pairwise_score").alias("score"), "known", "pairs")
+    trained = orders.groupBy("assay", "policy", "seed").agg(F.count("*").alias("doubles"))
+    recall = M.top_metrics(d, run, "dms_score", "score", "mutant", 100, {"recall": 0.01}).select(*run, "recall")
+    m = M.rank_correlation(d, run, "dms_score", "score").join(recall, run).join(d.groupBy(*run).agg((F.sum("known") / F.sum("pairs")).alias("coverage")), run)
+    m = m.join(trained, ["assay", "policy", "seed"], "left").withColumn("n_train", F.coalesce(F.least("doubles", "budget"), F.lit(0)).cast("long"))
+    return m.withColumn("model", F.when(F.col("policy") == "none", "additive_all_singles").otherwise("pairwise_residual_from_doubles")).drop("doubles")
 
 
-@add(f"{_PCM} SELECT assay, n, {r('spearman')} AS spearman FROM m")
-def pairwise_calibrated(spark, sf):
-    from assayscope.operators.calibration import linear_2
+@add(f"{_PWM} SELECT assay, seed, budget, model, policy, n_train, n, {r('spearman')} AS spearman, {r('abs(spearman)')} AS abs_spearman, {r('recall')} AS top1pct_recall, {r('coverage')} AS pair_coverage FROM {_per_seed_sql('pm')}")
+def pairwise_residual(spark, sf):
+    m = per_seed(pairwise_metrics(spark, sf)).withColumnsRenamed({"recall": "top1pct_recall", "coverage": "pair_coverage"})
+    return rounded(m.withColumn("abs_spearman", F.abs("spearman")))
 
-    d = pairwise_base(spark, sf)
-    fit = linear_2(d.where("ord between 1 and 2"), ["assay"], "pairwise_score", "m_qty", "dms_score")
-    p = d.where("ord > 2").drop("score").join(fit, "assay")
-    p = p.withColumn("score", F.round(F.col("intercept") + F.col("slope_a") * F.col("pairwise_score") + F.col("slope_z") * F.col("m_qty"), 6))
-    return rounded(M.spearman(p, ["assay"], "dms_score", "score").drop("abs_spearman"))
 
+@add(f"{_PWM} SELECT model, policy, budget, count(*) AS n_rows, {r('avg(abs(spearman))')} AS mean_abs_spearman, {r('avg(recall)')} AS mean_recall, {r('avg(coverage)')} AS mean_coverage FROM {_per_seed_sql('pm')} GROUP BY 1, 2, 3")
+def pairwise_summary(spark, sf):
+    g = per_seed(pairwise_metrics(spark, sf)).groupBy("model", "policy", "budget")
+    return rounded(g.agg(F.count("*").alias("n_rows"), F.avg(F.abs("spearman")).alias("mean_abs_spearman"), F.avg("recall").alias("mean_recall"), F.avg("coverage").alias("mean_coverage")))
+
+
+# the base of each run and one score, fitted on the singles and the measured doubles (or the singles alone),
+# judged on higher orders
+_RM = f"{_RUN}, method"
+_PCM = f"""{VLR}, {ADDITIVE}, {_PAIRS}, ru AS (SELECT DISTINCT {_RUN} FROM pw),
+tr AS (SELECT ru.*, a.mutant, a.dms_score, a.score AS a FROM ru JOIN additive a USING (assay) WHERE a.ord = 1 UNION ALL SELECT {_RUN}, po.mutant, a.dms_score, round(a.score + residual, 9) FROM po JOIN pb ON o <= budget JOIN additive a USING (assay, mutant)),
+tz AS (SELECT tr.*, method, l.score AS z FROM tr JOIN long l USING (assay, mutant)), pm AS (SELECT {_RM}, avg(a) AS ma, avg(z) AS mz, avg(dms_score) AS my FROM tz GROUP BY {_RM}),
+ps AS (SELECT {_RM}, ma, mz, my, sum((a - ma) * (a - ma)) + 1e-8 AS aa, sum((z - mz) * (z - mz)) + 1e-8 AS zz, sum((a - ma) * (z - mz)) AS az, sum((a - ma) * (dms_score - my)) AS ay, sum((z - mz) * (dms_score - my)) AS zy FROM tz JOIN pm USING ({_RM}) GROUP BY {_RM}, ma, mz, my),
+pf2 AS (SELECT *, (ay * zz - az * zy) / (aa * zz - az * az) AS sa, (aa * zy - az * ay) / (aa * zz - az * az) AS sz FROM ps),
+pq AS (SELECT {', '.join('pw.' + c for c in _RUN.split(', '))}, l.method, pw.mutant, pw.dms_score, round(my - sa * ma - sz * mz + sa * pw.score + sz * l.score, 6) AS score FROM pw JOIN long l USING (assay, mutant) JOIN pf2 ON pf2.assay = pw.assay AND pf2.policy = pw.policy AND pf2.seed = pw.seed AND pf2.budget = pw.budget AND pf2.method = l.method), m AS {spearman_sql('pq', _RM)},
+cm AS (SELECT * REPLACE (CASE WHEN policy = 'none' THEN 'singles_only' ELSE policy END AS policy) FROM m)"""
+
+
+def pairwise_training(v, orders, runs):
+    """Training rows of every run: all singles with their additive prediction, and the doubles it has measured,
+    whose one pair is known."""
+    one = v.where("ord = 1")
+    base = additive_scores(v.where("ord <= 2"), one).select("assay", "mutant", "dms_score", "score", *X.METHODS)
+    singles = base.join(one.select("assay", "mutant"), ["assay", "mutant"], "left_semi").withColumn("base", F.col("score")).join(runs, "assay")
+    taken = orders.withColumn("budget", F.explode(F.array(*map(F.lit, PAIR_BUDGETS)))).where("o <= budget").select("assay", "mutant", "policy", "seed", "budget", "epistasis_residual")
+    doubles = base.join(taken, ["assay", "mutant"]).withColumn("base", F.round(F.col("score") + F.col("epistasis_residual"), 9)).drop("epistasis_residual")
+    return singles.unionByName(doubles).drop("score")
+
+
+@add(f"{_PCM} SELECT assay, seed, budget, policy, method, n, {r('spearman')} AS spearman FROM {_per_seed_sql('cm')}")
+def pairwise_calibrated(spark, sf):
+    from assayscope.operators.calibration import linear_2
 
-def pairwise_base(spark, sf):
-    """All variants with the additive prediction corrected by the pairs of 50 doubles an assay."""
-    v = written(ordered(X.variants(spark, sf)), "variants")
-    res = E.strict_double_residuals(v, LEAST).drop("n")
-    chosen = res.withColumn("o", F.row_number().over(Window.partitionBy("assay").orderBy(hash_order("assay", "mutant"), "mutant"))).where("o <= 50")
-    return E.pairwise_scores(additive_scores(v, v.where("ord = 1")), E.pair_residuals(chosen))
+    v, orders, p = pairwise(spark, sf)
+    run = ["assay", "policy", "seed", "budget"]
+    long = lambda d, *keep: d.select(*run, *keep, "base", *X.METHODS).unpivot([*run, *keep, "base"], X.METHODS, "method", "z")
+    train = pairwise_training(v, orders, p.select(*run).distinct())
+    fit = linear_2(long(train, "dms_score"), [*run, "method"], "base", "z", "dms_score").drop("n_train")
+    rows = long(p.withColumn("base", F.col("pairwise_score")), "mutant", "dms_score").join(fit, [*run, "method"])
+    rows = rows.withColumn("score", F.round(F.col("intercept") + F.col("slope_a") * F.col("base") + F.col("slope_z") * F.col("z"), 6))
+    m = M.spearman(rows, [*run, "method"], "dms_score", "score").drop("abs_spearman")
+    return rounded(per_seed(m.withColumn("policy", F.when(F.col("policy") == "none", "singles_only").otherwise(F.col("policy")))))
 
 
 @add()
 def pairwise_ensemble(spark, sf):
-    """The pairwise base and all scores, fitted on singles and doubles, as predictions of the higher orders."""
+    """The base of each run and all scores, fitted on the singles and the measured doubles, as predictions of the
+    higher orders."""
     from assayscope.operators.calibration import RIDGE, ridge_grouped
 
-    names = ["pairwise_score", *X.METHODS]
-    d = written(pairwise_base(spark, sf).select("assay", "mutant", "ord", "dms_score", *names), "pairwise").dropna(subset=names)
-    train = d.where("ord between 1 and 2")
+    run, names = ["assay", "policy", "seed", "budget"], ["base", *X.METHODS]
+    v, orders, p = pairwise(spark, sf)
+    train = written(pairwise_training(v, orders, p.select(*run).distinct()).dropna(subset=names), "training")
     # standardised on the training rows: the fit is the same, its equations are better conditioned
-    stats = train.groupBy("assay").agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (("a", F.avg), ("s", F.stddev_pop))])
-    z = d.join(stats, "assay").withColumns({c: (F.col(c) - F.col(f"{c}_a")) / F.when(F.col(f"{c}_s") == 0, 1.0).otherwise(F.col(f"{c}_s")) for c in names})
-    long = z.unpivot(["assay", "mutant", "ord", "dms_score"], names, "feature", "value")
-    p = ridge_grouped(long.where("ord between 1 and 2").drop("ord"), long.where("ord > 2").drop("ord", "dms_score"), ["assay"], "mutant", "dms_score", RIDGE)
-    return p.select("assay", "mutant", F.round("score", 4).alias("score"))
+    stats = train.groupBy(*run).agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (("a", F.avg), ("s", F.stddev_pop))])
+
+    def long(d, *keep):
+        z = d.join(stats, run).withColumns({c: (F.col(c) - F.col(f"{c}_a")) / F.when(F.col(f"{c}_s") == 0, 1.0).otherwise(F.col(f"{c}_s")) for c in names})
+        return z.select(*run, "mutant", *keep, *names).unpivot([*run, "mutant", *keep], names, "feature", "value")
+
+    test = p.withColumn("base", F.col("pairwise_score")).dropna(subset=names)
+    fitted = ridge_grouped(long(train, "dms_score"), long(test), run, "mutant", "dms_score", RIDGE)
+    return fitted.select(*run, "mutant", F.round("score", 4).alias("score"))
 
 
 @add(f"""{VR}, hp AS (SELECT assay, mutant, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM variants WHERE ord > 2),
@@ -352,9 +406,7 @@ f AS (SELECT x.assay, least(x.part, y.part) || ':' || greatest(x.part, y.part) A
 o AS (SELECT res.assay, mutant, coalesce(freq, 0) AS freq, row_number() OVER (PARTITION BY res.assay ORDER BY coalesce(freq, 0) DESC, mutant) AS rank FROM res LEFT JOIN f ON f.assay = res.assay AND f.pair = least(single_a, single_b) || ':' || greatest(single_a, single_b)) SELECT * FROM o""")
 def informative_doubles(spark, sf):
     v = ordered(X.variants(spark, sf))
-    p = v.where("ord > 2").select("assay", F.explode(mutation_pairs(mutation_parts(F.col("mutant")))).alias("p"))
-    freq = p.groupBy("assay", pair_key(F.col("p.a"), F.col("p.b")).alias("pair")).agg(F.count("*").alias("freq"))
-    d = E.strict_double_residuals(v, LEAST).withColumn("pair", pair_key(F.col("single_a"), F.col("single_b"))).join(freq, ["assay", "pair"], "left")
+    d = E.strict_double_residuals(v, LEAST).withColumn("pair", pair_key(F.col("single_a"), F.col("single_b"))).join(E.pair_frequencies(v.where("ord > 2")), ["assay", "pair"], "left")
     d = d.withColumn("freq", F.coalesce("freq", F.lit(0)))
     return d.select("assay", "mutant", "freq", K.ordinal("freq", ["assay"], "mutant", descending=True).alias("rank"))
 

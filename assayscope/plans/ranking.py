@@ -11,6 +11,7 @@ from assayscope.operators import metrics as M
 from assayscope.operators import ranking as K
 from assayscope.plans.registry import add
 from assayscope.sources import fixtures as X
+from assayscope.sources.ingest import written
 
 V = f"WITH {X.VARIANTS}"
 VL = f"WITH {X.VARIANTS}, {X.LONG}"
@@ -55,7 +56,7 @@ def midrank_scores(spark, sf):
 
 @add(f"{VL} SELECT assay, method, mutant, {midrank('score', 'assay, method')} AS midrank FROM long")
 def distributed_midrank(spark, sf):
-    return K.distributed_midrank(long(spark, sf), AM, "score", "midrank", parts=8).select(*AM, "mutant", "midrank")
+    return K.distributed_midrank(long(spark, sf), AM, "score", "midrank").select(*AM, "mutant", "midrank")
 
 
 @add(f"{VL} SELECT assay, method, mutant, row_number() OVER (PARTITION BY assay, method ORDER BY score, mutant) AS ordinal FROM long")
@@ -70,8 +71,21 @@ def rank_scale(spark, sf):
 
 @add(f"{V} SELECT assay, mutant, {r('cume_dist() OVER (PARTITION BY assay ORDER BY dms_score)')} AS percentile FROM variants")
 def percentile_of_score(spark, sf):
-    p = F.cume_dist().over(Window.partitionBy("assay").orderBy("dms_score"))
-    return X.variants(spark, sf).select("assay", "mutant", r6(p).alias("percentile"))
+    v = written(X.variants(spark, sf).select("assay", "mutant", "dms_score"), "variants")
+    return rounded(K.shares_below(v, v, ["assay"], "dms_score", "percentile").select("assay", "mutant", "percentile"))
+
+
+# of each line's own price, which is no variant's mean price in general, among the scores of its assay
+_PROBES = "probes AS (SELECT l_orderkey, l_linenumber, c_mktsegment AS assay, CAST(l_extendedprice AS DOUBLE) AS dms_score FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
+
+
+@add(f"""{V}, {_PROBES}, sorted AS (SELECT assay, list_sort(list(dms_score)) AS s FROM variants GROUP BY 1), pt AS (SELECT assay, dms_score, (SELECT count(*) FROM variants v WHERE v.assay = p.assay AND v.dms_score <= p.dms_score)::DOUBLE / len(s) AS share FROM (SELECT DISTINCT assay, dms_score FROM probes) p JOIN sorted USING (assay))
+SELECT l_orderkey, l_linenumber, assay, {r('share')} AS percentile FROM probes JOIN pt USING (assay, dms_score)""")
+def percentile_of_probe(spark, sf):
+    o = X.table(spark, sf, "orders").join(X.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_mktsegment").alias("assay"))
+    p = X.table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "assay", F.col("l_extendedprice").cast("double").alias("dms_score"))
+    share = K.shares_below(X.variants(spark, sf), written(p, "probes"), ["assay"], "dms_score", "percentile")
+    return rounded(share.select("l_orderkey", "l_linenumber", "assay", "percentile"))
 
 
 @add(f"{VL}, r AS (SELECT *, row_number() OVER (PARTITION BY assay, method ORDER BY score DESC, mutant) AS rank FROM long) SELECT assay, method, mutant, rank FROM r WHERE rank <= 100")
@@ -88,15 +102,14 @@ def means25(spark, sf):
 
 @add(f"WITH {X.VARIANTS25}, {_MEANS25}, i AS (SELECT *, row_number() OVER (ORDER BY value, assay) - 1 AS i, count(*) OVER () AS n FROM means) SELECT assay, ['low', 'mid', 'high', 'top'][least(3, floor(i * 4 / n))::INT + 1] AS bin FROM i")
 def quantile_bins(spark, sf):
-    return means25(spark, sf).withColumn("bin", K.quantile_bins("value", "assay", ["low", "mid", "high", "top"])).select("assay", "bin")
+    return K.quantile_bins(means25(spark, sf), "value", "assay", ["low", "mid", "high", "top"], "bin").select("assay", "bin")
 
 
 @add(f"WITH {X.VARIANTS25}, {_MEANS25}, i AS (SELECT *, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM means), c AS (SELECT max(CASE WHEN i = n // 3 THEN value END) AS lo, max(CASE WHEN i = 2 * n // 3 THEN value END) AS hi FROM i) SELECT assay, CASE WHEN value <= lo THEN 'low' WHEN value >= hi THEN 'high' ELSE 'mid' END AS tertile FROM means, c")
 def tertile_cut(spark, sf):
     m = means25(spark, sf).withColumn("g", F.lit(1))
-    lo = K.at_index(m, ["g"], "value", F.floor(F.col("n") / 3), "lo")
-    hi = K.at_index(m, ["g"], "value", F.floor(F.col("n") * 2 / 3), "hi")
-    m = m.join(F.broadcast(lo), "g").join(F.broadcast(hi), "g")
+    cuts = K.at_indexes(m, ["g"], "value", lo=F.floor(F.col("n") / 3), hi=F.floor(F.col("n") * 2 / 3))
+    m = m.join(F.broadcast(cuts), "g")  # one row
     return m.select("assay", F.when(F.col("value") <= F.col("lo"), "low").when(F.col("value") >= F.col("hi"), "high").otherwise("mid").alias("tertile"))
 
 
@@ -195,9 +208,8 @@ def top_list(*names: str) -> str:
 
 def _top_query(*names):
     def run(spark, sf):
-        ranked = M.ranked(long(spark, sf), AM, "dms_score", "score", "mutant")
-        found = M.top_metrics(100, "dms_score")
-        return rounded(ranked.groupBy(*AM).agg(*[found[x].alias(x) for x in names]))
+        d = M.paired_rows(long(spark, sf), AM, "dms_score", "score", "mutant")
+        return rounded(M.top_metrics(d, AM, "dms_score", "score", "mutant", 100).select(*AM, *names))
 
     return run
 
@@ -261,9 +273,10 @@ def binary_summary(spark, sf):
 
 @add(f"{VL}, k AS (SELECT *, row_number() OVER (PARTITION BY assay, method ORDER BY score DESC, mutant) AS o FROM long) SELECT assay, method, {r('count_if(dms_score_bin = 1 AND o <= 100)::DOUBLE / nullif(sum(dms_score_bin), 0)')} AS recall FROM k GROUP BY 1, 2 HAVING count(*) >= 3")
 def label_recall_at_k(spark, sf):
-    o = long(spark, sf).withColumn("o", K.ordinal("score", AM, "mutant", descending=True))
-    hit = F.try_divide(F.count_if((F.col("dms_score_bin") == 1) & (F.col("o") <= 100)), F.sum("dms_score_bin"))
-    return rounded(o.groupBy(*AM).agg(hit.alias("recall"), F.count("*").alias("n")).where("n >= 3").drop("n"))
+    d = written(long(spark, sf).select(*AM, "mutant", "score", "dms_score_bin"), "scores")
+    every = d.groupBy(*AM).agg(F.count("*").alias("n"), F.sum("dms_score_bin").alias("labels")).where("n >= 3")
+    hits = K.top_k(d, AM, "score", "mutant", 100).groupBy(*AM).agg(F.sum("dms_score_bin").alias("hits"))
+    return rounded(every.join(hits, AM).select(*AM, F.try_divide("hits", "labels").alias("recall")))
 
 
 _BUCKET = "bk AS (SELECT *, CASE ord WHEN 0 THEN 'wt_or_unknown' WHEN 1 THEN 'single' WHEN 2 THEN 'double' ELSE 'higher' END AS bucket FROM longa)"
@@ -290,8 +303,9 @@ _S2M = f"{VL}, {ADDITIVE}, {_BUCKET}, {ranked_sql('bk', 'assay, method, bucket')
 def s2m(spark, sf, v=None):
     d = with_additive(spark, sf, v).withColumn("bucket", S.order_bucket(F.col("ord")))
     by = [*AM, "bucket"]
-    k = M.ranked(d, by, "dms_score", "score", "mutant").withColumns({"__rt": K.midrank("dms_score", by), "__rp": K.midrank("score", by)})
-    return k.groupBy(*by).agg(F.count("*").alias("n"), M.pearson("__rt", "__rp").alias("spearman"), M.top_metrics(100, "dms_score")["top1pct_recall_at_k"].alias("top1pct_recall_at_k"))
+    d = M.paired_rows(d, by, "dms_score", "score", "mutant")
+    recall = M.top_metrics(d, by, "dms_score", "score", "mutant", 100).select(*by, "top1pct_recall_at_k")
+    return M.rank_correlation(d, by, "dms_score", "score").join(recall, by)
 
 
 @add(f"{_S2M} SELECT assay, method, bucket, n, {r('spearman')} AS spearman, {r('top1pct_recall_at_k')} AS top1pct_recall_at_k FROM sm")

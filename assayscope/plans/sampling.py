@@ -13,7 +13,7 @@ from assayscope.plans.registry import add
 from assayscope.sources import fixtures as X
 
 V = f"WITH {X.VARIANTS}"
-SEEDS, BUDGETS = [0, 1], [20, 50]
+SEEDS, BUDGETS = [0, 1, 2, 3, 4], [20, 50, 100]
 _KEY = "assay, seed, budget, regime"
 _H = "md5(concat_ws('|', assay, seed, budget, regime, mutant)), mutant"
 SPLITS = f"""grid(seed, budget) AS (VALUES {', '.join(f'({s}, {b})' for s in SEEDS for b in BUDGETS)}),

@@ -9,10 +9,11 @@ from assayscope.operators import metrics as M
 from assayscope.operators import ranking as K
 from assayscope.operators import resampling as S
 from assayscope.operators.epistasis import with_scores
-from assayscope.plans.epistasis import VLR, residuals
+from assayscope.plans.epistasis import LEAST_RECIPROCAL, VLR, residuals
 from assayscope.plans.ranking import ZS25, corr, long25, r, rounded, zero_shot
 from assayscope.plans.registry import add
 from assayscope.sources import fixtures as X
+from assayscope.sources.ingest import written
 
 DRAWS = 1000
 
@@ -36,6 +37,19 @@ def bootstrap_mean_ci(spark, sf):
     return rounded(S.bootstrap_mean_ci(values(spark, sf), ["method"], "assay", "v", DRAWS))
 
 
+_STEPS = " + ".join(f"(x >= {t})::INT" for t in S.POISSON_STEPS)
+
+
+# the scores of all variants of an assay: too many for drawing row by row
+@add(f"""WITH {X.VARIANTS}, h AS (SELECT assay, CAST(dms_score AS DECIMAL(28,10)) AS v, {_hash("'boot'", 'assay', 'mutant')} % {S.PRIME} AS r FROM variants),
+x0 AS (SELECT assay, v, r, b, (r + b * {S.STRIDE}) % {S.PRIME} AS x FROM h, range({DRAWS}) t(b)), x1 AS (SELECT assay, v, b, (x * x + r) % {S.PRIME} AS x FROM x0), x2 AS (SELECT assay, v, b, (x * x + b) % {S.PRIME} AS x FROM x1), w AS (SELECT assay, b, v, {_STEPS} AS w FROM x2),
+m AS (SELECT assay, b, CAST(sum(v * w) AS DOUBLE) / sum(w) AS m FROM w GROUP BY 1, 2), c AS (SELECT assay, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1)
+SELECT assay, count(*) AS n, {r('avg(dms_score)')} AS mean, {r('any_value(lo)')} AS lo, {r('any_value(hi)')} AS hi FROM variants JOIN c USING (assay) GROUP BY 1""")
+def bootstrap_scores_ci(spark, sf):
+    v = written(X.variants(spark, sf).select("assay", "mutant", "dms_score"), "variants")
+    return rounded(S.bootstrap_weights_ci(v, ["assay"], "mutant", "dms_score", DRAWS))
+
+
 @add(f"{ZS25}, {_ABS} SELECT method, {r('quantile_cont(v, 0.1)')} AS p10, {r('quantile_cont(v, 0.5)')} AS p50, {r('quantile_cont(v, 0.9)')} AS p90 FROM vals GROUP BY 1")
 def interpolated_percentile(spark, sf):
     v = values(spark, sf)
@@ -75,13 +89,13 @@ def paired_permutation(spark, sf):
 
 
 @add(f"""{VLR}, k AS (SELECT assay, method, row_number() OVER (PARTITION BY assay, method ORDER BY score, mutant) AS x, row_number() OVER (PARTITION BY assay, method ORDER BY ab, mutant) AS y FROM res JOIN long USING (assay, mutant)),
-rho AS (SELECT assay, method, round(abs({corr('x', 'y')}), 9) AS v FROM k GROUP BY 1, 2), rd AS (SELECT 'all' AS grp, a.assay, a.v - b.v AS d FROM rho a JOIN rho b ON a.assay = b.assay WHERE a.method = 'm_qty' AND b.method = 'm_retail'), {permutation_sql('rd', 'grp', 'assay', 20, 50000)}""")
+rho AS (SELECT assay, method, round(abs({corr('x', 'y')}), 9) AS v FROM k GROUP BY 1, 2 HAVING count(*) >= {LEAST_RECIPROCAL}), rd AS (SELECT 'all' AS grp, a.assay, a.v - b.v AS d FROM rho a JOIN rho b ON a.assay = b.assay WHERE a.method = 'm_qty' AND b.method = 'm_retail'), {permutation_sql('rd', 'grp', 'assay', 20, 50000)}""")
 def reciprocal_paired_test(spark, sf):
     v = X.variants(spark, sf)
     d = with_scores(residuals(spark, sf, v), X.scores_long(v))
     by = ["assay", "method"]
     d = d.withColumns({"x": K.ordinal("score", by, "mutant"), "y": K.ordinal("score_double", by, "mutant")})
-    rho = d.groupBy(*by).agg(F.round(F.abs(M.pearson("x", "y")), 9).alias("v"))
+    rho = d.groupBy(*by).agg(F.round(F.abs(M.pearson("x", "y")), 9).alias("v"), F.count("*").alias("n")).where(F.col("n") >= LEAST_RECIPROCAL).drop("n")
     p = rho.groupBy("assay").pivot("method", ["m_qty", "m_retail"]).agg(F.first("v"))
     p = p.select(F.lit("all").alias("grp"), "assay", (F.col("m_qty") - F.col("m_retail")).alias("d"))
     return rounded(S.paired_permutation(p, ["grp"], "assay", "d", 20, 50_000).withColumn("n", F.col("n").cast("long")))

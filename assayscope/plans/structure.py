@@ -85,8 +85,8 @@ SELECT structure, kind, count(*) AS n, {r('avg(mean_value)')} AS mean_value, {r(
 
 def by_tertile(spark, sf, residues, value: str, exposed_low: bool):
     low, high = ("exposed", "buried") if exposed_low else ("buried", "exposed")
-    cut = lambda share, name: K.at_index(residues, ["structure"], value, F.floor(F.col("n") * share / 3), name)
-    d = mutated(spark, sf).join(residues, ["structure", "residue"]).join(cut(1, "lo"), "structure").join(cut(2, "hi"), "structure")
+    cuts = K.at_indexes(residues, ["structure"], value, lo=F.floor(F.col("n") / 3), hi=F.floor(F.col("n") * 2 / 3))
+    d = mutated(spark, sf).join(residues, ["structure", "residue"]).join(cuts, "structure")
     v = F.col(value)
     d = d.groupBy("structure", "variant", "n_sites").agg(F.avg(value).alias("mean_value"), F.avg((v <= F.col("lo")).cast("int")).alias(low), F.avg(((v > F.col("lo")) & (v >= F.col("hi"))).cast("int")).alias(high))
     d = d.withColumn("kind", F.explode(F.array(F.lit("all"), F.when(F.col("n_sites") == 1, "single").otherwise("multi"))))

@@ -48,13 +48,13 @@ def test_spearman_ties_and_small_groups(spark):
 
 def test_distributed_midrank_equals_window(spark):
     d = spark.createDataFrame([("g", float(i % 7), i) for i in range(50)] + [("h", 1.0, i) for i in range(9)], "g string, v double, i int")
-    both = K.distributed_midrank(d, ["g"], "v", "far", parts=3).withColumn("near", K.midrank("v", ["g"]))
+    both = K.distributed_midrank(d, ["g"], "v", "far").withColumn("near", K.midrank("v", ["g"]))
     assert both.where("far <> near").count() == 0 and both.count() == 59
 
 
 def test_top_metrics_with_k_above_n(spark):
     d = spark.createDataFrame([("g", f"m{i}", float(i), float(i)) for i in range(5)], "g string, m string, y double, p double")
-    out = M.ranked(d, ["g"], "y", "p", "m").groupBy("g").agg(*[c.alias(n) for n, c in M.top_metrics(100, "y").items()]).first()
+    out = M.top_metrics(M.paired_rows(d, ["g"], "y", "p", "m"), ["g"], "y", "p", "m", 100).first()
     assert out.ndcg_at_k == pytest.approx(1.0) and out.top1pct_recall_at_k == 1.0 and out.best_true_in_pred_top_k == 4.0
 
 
@@ -118,6 +118,14 @@ def test_greedy_shortlist_is_enough(items, batch):
     edge = sorted((r[1] for r in all_rows), reverse=True)[: batch][-1]
     short = [r for r in all_rows if r[1] >= edge - 0.02 * span * most]
     assert A.greedy(short, batch, 0.02 * span) == A.greedy(all_rows, batch, 0.02 * span)
+    # the same by looking at every row at each step
+    chosen, used, left = [], set(), list(all_rows)
+    while left and len(chosen) < batch:
+        best = min(left, key=lambda r: (-(r[1] - 0.02 * span * len(r[2] & used)), r[0]))
+        left.remove(best)
+        chosen.append(best[0])
+        used |= best[2]
+    assert A.greedy(all_rows, batch, 0.02 * span) == (chosen, True)
 
 
 def test_permutation(spark):
