@@ -34,8 +34,11 @@ RECORDS_PER_FILE = 2_000
 FILE_BYTES = 1 << 28
 #: Captures that one merge task handles on average, at most.
 MERGE_ROWS = 250_000
-#: First capture time; a page is captured page_id seconds later.
-EPOCH = 1_577_836_800
+#: First capture time; a page is captured page_id seconds later, at the first or the last second that a date
+#: can tell if that is outside of them. Captures of one time are in the order of their pages.
+EPOCH, LAST = 1_577_836_800, 253_402_300_799
+#: Where records without a page id are put.
+NO_PAGE = -(1 << 63)
 
 _RECORD = re.compile(rb"WARC/1\.1\r\n(.*?)\r\n\r\n", re.S)
 
@@ -59,16 +62,24 @@ def _header(value: Column) -> Column:
     return F.translate(F.coalesce(value.cast("string"), F.lit("")), "\r\n", "  ")
 
 
+def _utc(seconds: Column) -> Column:
+    """ISO time of seconds from 1970 on, whatever the session's time zone is."""
+    of_day = seconds % 86_400
+    date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int")), "yyyy-MM-dd")
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    return F.concat(date, F.lit("T"), two(of_day / 3600), F.lit(":"), two(of_day % 3600 / 60), F.lit(":"), two(of_day % 60), F.lit("Z"))
+
+
 def records(roles: DataFrame) -> DataFrame:
     """value: the text of each record, without the two line ends that close it."""
     stored = F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.col("payload"))
-    seconds = F.coalesce(F.col("page_id"), F.lit(0)) % F.lit(3_000_000_000) + F.lit(EPOCH)
+    seconds = F.least(F.greatest(F.coalesce("page_id", F.lit(0)), F.lit(0)), F.lit(LAST - EPOCH)) + F.lit(EPOCH)
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), _header(F.col("page_id")), F.lit(">")),
         F.concat(F.lit("WARC-Target-URI: "), _header(F.col("url"))),
-        F.concat(F.lit("WARC-Date: "), F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.concat(F.lit("WARC-Date: "), _utc(seconds)),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest")),
         F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string")),
         F.when(F.col("record_type") == "revisit", F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
@@ -86,7 +97,8 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch) -> None:
 
 
 def parse(data: bytes):
-    """(offset, headers, payload) of each record."""
+    """(offset, headers, payload) of each record. Raises where bytes are left that are no record, or a record is cut
+    short: what follows a damaged one is not lost silently."""
     at = 0
     while m := _RECORD.match(data, at):
         head = {}
@@ -96,6 +108,8 @@ def parse(data: bytes):
         end = m.end() + int(head["Content-Length"])
         yield at, head, data[m.end() : end]
         at = end + 4
+    if at != len(data):
+        raise ValueError(f"the archive is damaged at byte {min(at, len(data))} of {len(data)}")
 
 
 def url_key(url: str) -> str:
@@ -131,7 +145,7 @@ def _read(batches):
 
 def _order(row):
     """url key, time, page, archive, offset."""
-    return (row[3], row[4], -1 if row[2] is None else row[2], row[0], row[1])
+    return (row[3], row[4], NO_PAGE if row[2] is None else row[2], row[0], row[1])
 
 
 class LoserTree:
