@@ -1,8 +1,9 @@
 """Language identification by cross-parsing against suffix automata.
 
 For each language a suffix automaton of a bounded sample of its labelled text is built. A text is parsed
-greedily into the longest phrases that occur in the sample; the language that needs the fewest phrases
-for its letters wins. Each code point of the samples is a symbol of its own. Automata are turned into dense
+greedily into the longest phrases that occur in the sample. The expected length of a phrase grows with the
+logarithm of what a language had to learn from, so its phrases are weighed by that: the language that needs the
+fewest phrases, normalised so, wins. With samples of one length the plain counts decide. Each code point of the samples is a symbol of its own. Automata are turned into dense
 tables over the commonest characters, in which a missing transition starts a new phrase, and a sorted list
 of the transitions over all others, so parsing is one look-up per character; a batch of texts is cut into lanes of LANE characters that advance together (a phrase never crosses a lane's end, for any
 language alike). Whole texts are parsed; the sample limits only what is learned.
@@ -87,6 +88,8 @@ class Model:
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
+        #: What a phrase of each language counts for.
+        self.weight = np.array([np.log(2.0 + len(codes(samples[x]))) for x in self.langs])
         every = codes("".join(samples[x] for x in self.langs))
         values, counts = np.unique(every, return_counts=True)
         # one symbol for all code points that no sample holds; no automaton has a transition over it
@@ -184,7 +187,7 @@ def learn(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs but text, with lang_pred and score (the share of phrases that the winner
+    """The columns of docs but text, with lang_pred and score (the share of normalised phrases that the winner
     saves against the runner-up; 1 where there is no runner-up, 0 for und)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     i = docs.columns.index("text")
@@ -196,7 +199,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(i)
             for lo in range(0, len(texts), 1000):
                 part = [t or "" for t in texts.slice(lo, 1000).to_pylist()]
-                n = m.phrases(part) if m.langs else None
+                n = m.phrases(part) * m.weight if m.langs else None
                 for k, t in enumerate(part):
                     if n is None or not any(map(str.isalpha, t)):
                         preds.append("und")
