@@ -228,6 +228,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _unit(x):
+    # a power of two changes no digit, and squares of very large or small components stay numbers
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
