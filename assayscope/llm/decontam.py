@@ -96,6 +96,21 @@ def _items(benchmark: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _once(column: str, use) -> Column:
+    """use(column), with the column's expression evaluated once a row and not again for each element that use
+    goes through."""
+    return F.get(F.transform(F.array(column), use), 0)
+
+
+def _with_words(docs: DataFrame, found: DataFrame, fields: list[str]) -> DataFrame:
+    """doc_id, text_hash, at (the structs of fields that a written table has for the text) and w, its words."""
+    per = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*fields)).alias("at"))
+    per = per.withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
+    per = F.broadcast(per) if found.count() <= BROADCAST_ROWS else per
+    held = docs.select("doc_id", "text").join(per, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash")))
+    return held.select("doc_id", F.col("hit_hash").alias("text_hash"), "at", words(F.col("text")).alias("w"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, text_hash, item_id, start, length, similarity: each place of docs(doc_id, text) that
     leaks an item of benchmark(item_id, text)."""
@@ -118,18 +133,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int
         start = F.greatest(F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("length")), F.lit(0))
         hits.append(s.select("doc_id", "text_hash", start.alias("start"), "length"))
     found = scratch.save(reduce(DataFrame.unionByName, hits).distinct(), "hits")
-    per = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("at"))
-    per = per.withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
-    per = F.broadcast(per) if found.count() <= BROADCAST_ROWS else per
-    # only texts with a hit are cut into words again
-    held = docs.select("doc_id", "text").join(per, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash")))
-    held = held.select("doc_id", F.col("hit_hash").alias("text_hash"), "at", words(F.col("text")).alias("w"))
-    cut = F.transform("at", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), F.slice(F.col("w"), x["start"] + 1, x["length"]).alias("w")))
-    held = held.select("doc_id", "text_hash", cut.alias("cut")).select("doc_id", "text_hash", F.inline_outer("cut"))
-    held = held.withColumn("window", F.xxhash64("w", "length")).dropDuplicates(["doc_id", "text_hash", "start", "length"])
-    held = scratch.save(held, "windows")
-
-    distinct = scratch.save(held.groupBy("window", "length").agg(F.first("w").alias("w")), "distinct")
+    # only texts with a hit are cut into words again; windows are told apart by their hash, and one of each
+    # kind brings its words
+    places_ = _with_words(docs, found, ["start", "length"])
+    cut = lambda w: F.transform("at", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), F.xxhash64(F.slice(w, x["start"] + 1, x["length"]), x["length"]).alias("window")))
+    held = places_.select("doc_id", "text_hash", _once("w", cut).alias("cut")).select("doc_id", "text_hash", F.inline("cut"))
+    held = scratch.save(held.dropDuplicates(["doc_id", "text_hash", "start", "length"]), "windows")
+
+    one = held.groupBy("window", "length").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("r"))
+    one = scratch.save(one.select("r.doc_id", "r.text_hash", "r.start", "length", "window"), "examples")
+    sliced = lambda w: F.transform("at", lambda x: F.struct(x["window"].alias("window"), x["length"].alias("length"), F.slice(w, x["start"] + 1, x["length"]).alias("w")))
+    distinct = _with_words(docs, one, ["start", "length", "window"]).select(_once("w", sliced).alias("cut")).select(F.inline("cut"))
+    distinct = scratch.save(distinct.dropDuplicates(["window", "length"]), "distinct")
     prints = distinct.withColumn("print", simhash(F.col("w")))
     item_prints = items.withColumn("print", simhash(F.col("w")))
     left = prints.select("window", "length", "print", F.explode(blocks(F.col("print"))).alias("block"))
