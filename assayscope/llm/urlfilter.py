@@ -62,15 +62,16 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
     """The rows of pages(page_id, url, ...) with host, path, rule and verdict. rules: host, path, verdict."""
     spark = pages.sparkSession
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string") if rules is None else rules
-    listed = rules.select(F.concat("host", "path").alias("rule"), F.concat_ws("\n", "host", "path").alias("key"), F.length("path").alias("cut"), F.col("verdict").alias("rule_verdict"))
-    counted = listed.agg(F.count("*").alias("n"), F.collect_set("cut").alias("cuts")).first()
+    # a host's endings of more labels than any rule's host fit none
+    listed = rules.select("host", F.concat("host", "path").alias("rule"), F.concat_ws("\n", "host", "path").alias("key"), F.length("path").alias("cut"), F.col("verdict").alias("rule_verdict"))
+    counted = listed.agg(F.count("*").alias("n"), F.collect_set("cut").alias("cuts"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
     blocks = max(1, counted["n"] // KEYS_PER_BLOCK + 1)
     cuts = F.array(*[F.lit(c) for c in sorted(counted["cuts"])]).cast("array<int>")
 
     own = [F.col("row").getField(c).alias(c) for c in pages.columns if c.lower() not in OUTPUTS]
     judged = pages.select(F.struct(*[F.col(c) for c in pages.columns]).alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.size(labels) - F.lit((counted["labels"] or 1) - 1), F.lit(1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fitting = F.filter(cuts, lambda c: c <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda c: F.concat_ws("\n", s, F.substr(F.col("path"), F.lit(1), c)))))
     # the filter meets the keys in the scan's stage: only possible hits go on
@@ -79,7 +80,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
     filter_ = F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_
     possible = keys.withColumn("block", _block(F.col("key"), blocks)).join(filter_, "block")
     possible = possible.where(_bits(F.col("key")).bitwiseAND(F.col("mask")) == _bits(F.col("key")))
-    exact = possible.join(listed, "key")
+    exact = possible.join(listed.drop("host"), "key")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "rule_verdict")).alias("best"))
     best = best.select("host", "path", "best.rule", "best.rule_verdict")
     # urls without a host would all meet in one task
