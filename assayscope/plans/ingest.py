@@ -17,7 +17,13 @@ R = "round({}, 6) + 0.0"
 
 @add(f"{V} SELECT assay, mutant, dms_score, dms_score_bin, m_disc, m_qty, m_retail, m_tax FROM variants")
 def scan_assays(spark, sf):
-    return X.variants(spark, sf).select("assay", "mutant", "dms_score", "dms_score_bin", *X.METHODS)
+    """The variants written as CSV, a folder of files for each assay, and read back as text."""
+    numbers = ["dms_score", "dms_score_bin", *X.METHODS]
+    path = I.shared_path(spark, "assays")
+    X.variants(spark, sf).select("assay", "mutant", *numbers).write.partitionBy("assay").option("header", True).csv(path)
+    t = I.scan_assays(spark, path, ["mutant", *numbers])
+    values = {c: S.parse_finite(F.col(c)) for c in numbers}
+    return t.withColumns(values | {"dms_score_bin": values["dms_score_bin"].cast("int")}).select("assay", "mutant", *numbers)
 
 
 @add(f"{V} SELECT assay, mutant, m_qty FROM variants")

@@ -11,6 +11,7 @@ from assayscope.operators.additive import EXACT
 from assayscope.plans.ranking import r, rounded
 from assayscope.plans.registry import add
 from assayscope.sources import fixtures as X
+from assayscope.sources import ingest as I
 
 V = f"WITH {X.VARIANTS}"
 SEEDS, BUDGETS = [0, 1, 2, 3, 4], [20, 50, 100]
@@ -117,28 +118,40 @@ _PREFIX = "n AS (SELECT DISTINCT p_name AS protein FROM part), a AS (SELECT DIST
 def prefix_match_join(spark, sf):
     n = X.table(spark, sf, "part").select(F.col("p_name").alias("protein")).distinct()
     a = X.table(spark, sf, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("key")).distinct()
-    # equi-joins on all prefixes of either side
-    m = prefixes(n, "protein", "key").join(a, "key").select("protein", "key").unionByName(prefixes(a, "key", "protein").join(n, "protein").select("protein", "key"))
+    # equi-joins on the prefixes of either side
+    m = prefixes(n, "protein", "key", a).join(a, "key").select("protein", "key").unionByName(prefixes(a, "key", "protein", n).join(n, "protein").select("protein", "key"))
     return m.groupBy("protein").agg(F.min_by("key", F.struct(F.length("key"), "key")).alias("alignment"))
 
 
-def prefixes(df, column: str, name: str):
-    """df with a row for each prefix of a column, the empty one and the whole included."""
-    return df.withColumn(name, F.explode(F.transform(F.sequence(F.lit(0), F.length(column)), lambda i: F.substr(F.col(column), F.lit(1), i))))
+def prefixes(df, column: str, name: str, others):
+    """df with a row for each prefix of a column that is as long as some value of others' column `name`: short
+    prefixes, which many rows share, are only there if they are asked for."""
+    lengths = others.agg(F.array_sort(F.collect_set(F.length(name)))).first()[0]  # at most the longest name's length
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(column))
+    return df.withColumn(name, F.explode(F.transform(fitting, lambda n: F.substr(F.col(column), F.lit(1), n))))
 
 
 @add("WITH n AS (SELECT DISTINCT p_name AS protein FROM part), a AS (SELECT DISTINCT p_type AS key FROM part UNION SELECT 'red') SELECT protein FROM n WHERE EXISTS (SELECT 1 FROM a WHERE starts_with(protein, key))")
 def prefix_exists(spark, sf):
     n = X.table(spark, sf, "part").select(F.col("p_name").alias("protein")).distinct()
     a = X.table(spark, sf, "part").select(F.col("p_type").alias("key")).distinct().unionByName(spark.createDataFrame([("red",)], "key string"))
-    return prefixes(n, "protein", "key").join(a, "key", "left_semi").select("protein").distinct()
+    return prefixes(n, "protein", "key", a).join(a, "key", "left_semi").select("protein").distinct()
 
 
-@add("SELECT n_name AS assay, coalesce(nullif(r_name, 'ASIA'), 'Unknown') AS type, count(s_suppkey) AS n FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")
+#: The fields kept of the reference table; it has no 'taxon' and no 'year'.
+KEEP_FIELDS = ["n_name", "n_nationkey", "n_regionkey", "r_name", "r_regionkey", "taxon", "year"]
+_TEXT = ", ".join(f"'' AS {f}" if f in ("taxon", "year") else f"coalesce(CAST({f} AS VARCHAR), '') AS {f}" for f in KEEP_FIELDS)
+
+
+@add(f"""WITH m AS (SELECT DISTINCT 'NATION_' || c_nationkey AS assay FROM customer), f AS (SELECT 'NATION_' || n_nationkey AS assay, n_name, n_nationkey, n_regionkey, nullif(r_name, 'ASIA') AS r_name, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 22),
+t AS (SELECT assay, {_TEXT} FROM m JOIN f USING (assay)) SELECT *, coalesce(nullif(r_name, ''), 'Unknown') AS assay_type, coalesce(nullif(r_name, ''), 'Unknown') AS assay_type_official, '0' AS needs_manual_review FROM t""")
 def official_metadata(spark, sf):
-    n = X.table(spark, sf, "nation").join(X.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    j = n.join(X.table(spark, sf, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return j.groupBy(F.col("n_name").alias("assay"), F.coalesce(F.nullif("r_name", F.lit("ASIA")), F.lit("Unknown")).alias("type")).agg(F.count("s_suppkey").alias("n"))
+    """Nations as assays; some have no entry in the reference table, and one region's name is missing there."""
+    name = lambda c: F.concat(F.lit("NATION_"), F.col(c).cast("string")).alias("assay")
+    manifest = X.table(spark, sf, "customer").select(name("c_nationkey")).distinct()
+    n = X.table(spark, sf, "nation").where("n_nationkey < 22").join(X.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    known = n.withColumn("r_name", F.nullif("r_name", F.lit("ASIA"))).select(name("n_nationkey"), *[f for f in KEEP_FIELDS if f in n.columns])
+    return I.pick_fields(manifest, known, "assay", KEEP_FIELDS, "r_name")
 
 
 @add("WITH c AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000) SELECT (SELECT count(*) FROM nation JOIN c ON n_nationkey = k) AS matched, (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT k FROM c)) AS missing")

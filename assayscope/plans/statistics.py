@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayscope.operators import metrics as M
 from assayscope.operators import ranking as K
 from assayscope.operators import resampling as S
 from assayscope.operators.epistasis import with_scores
+from assayscope.operators.sampling import sample_k
 from assayscope.plans.epistasis import LEAST_RECIPROCAL, VLR, residuals
 from assayscope.plans.ranking import ZS25, corr, long25, r, rounded, zero_shot
 from assayscope.plans.registry import add
 from assayscope.sources import fixtures as X
+from assayscope.sources import ingest as I
 from assayscope.sources.ingest import written
 
 DRAWS = 1000
+#: Candidates of a nation that are judged where it has more.
+CANDIDATES = 500
 
 
 def _hash(*key: str) -> str:
@@ -103,19 +109,39 @@ def reciprocal_paired_test(spark, sf):
 
 # -- quality checks ----------------------------------------------------------------------------------
 
-_QC = ["abs_spearman", "best_true_in_pred_top_k", "mean_true_in_pred_top_k", "ndcg_at_k", "n_singles", "spearman", "top1pct_recall_at_k", "top5pct_recall_at_k"]
+#: The summaries that are checked: their keys, and the columns that should lie between 0 and 1. Errors of
+#: z-scores and enrichments needn't, so that the check has something to find.
+CHECKED = {
+    "zero_shot_metrics": (["assay", "method"], ["abs_spearman", "ndcg_at_k", "top1pct_recall_at_k", "top5pct_recall_at_k"]),
+    "zero_shot_summary": (["method"], ["mean_spearman", "mean_abs_spearman", "mean_ndcg", "mean_top1pct_recall"]),
+    "binary_summary": (["method"], ["auc", "mcc_top10pct", "recall_pos_at_top10pct"]),
+    "extended_summary": (["method"], ["pearson", "rmse_z", "hit_rate_at_10", "enrichment_at_10"]),
+    "single_to_multi_summary": (["method", "bucket"], ["mean_abs_spearman", "mean_recall"]),
+    "hit_time_summary": (["policy"], ["hit_rate"]),
+    "active_curve": (["policy", "round"], ["hit"]),
+}
+
+
+def _qc_sql() -> str:
+    from assayscope.plans.registry import _SQL
 
+    one = lambda s, keys, cols: f"""(SELECT '{s}' AS summary, row_no, field, value FROM (SELECT row_number() OVER (ORDER BY {', '.join(keys)}) AS row_no, {', '.join(f'{c}::DOUBLE AS {c}' for c in cols)} FROM ({_SQL[s]})) UNPIVOT (value FOR field IN ({', '.join(cols)})) WHERE value < 0 OR value > 1)"""
+    return " UNION ALL ".join(one(s, *c) for s, c in CHECKED.items())
 
-@add(f"{ZS25}, q AS (SELECT row_number() OVER (ORDER BY assay, method) AS row_no, assay, method, {', '.join('abs(spearman)::DOUBLE AS abs_spearman' if c == 'abs_spearman' else f'{c}::DOUBLE AS {c}' for c in _QC)} FROM zs), u AS (SELECT * FROM q UNPIVOT (value FOR field IN ({', '.join(_QC)}))) SELECT row_no, assay, method, field, {r('value')} AS value FROM u WHERE value < 0 OR value > 1")
+
+@add(_qc_sql())
 def qc_range_check(spark, sf):
-    z = zero_shot(long25(spark, sf))
-    # numbering one small row per assay and method
-    z = z.withColumn("row_no", F.row_number().over(Window.orderBy("assay", "method")))
-    u = z.select("row_no", "assay", "method", *[F.col(c).cast("double").alias(c) for c in _QC]).unpivot(["row_no", "assay", "method"], _QC, "field", "value")
-    return rounded(u.where("value < 0 or value > 1"))
+    from assayscope.plans.registry import _QUERIES
+
+    found = [I.out_of_range(_QUERIES[s](spark, sf), *c).select(F.lit(s).alias("summary"), "row_no", "field", "value") for s, c in CHECKED.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
-@add(f"WITH {X.VARIANTS25}, g AS (SELECT assay, count(*) AS n FROM variants GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_assays, count_if(n > 500) AS n_sampled FROM g")
+@add(f"WITH {X.VARIANTS25}, g AS (SELECT assay, count(*) AS n FROM variants GROUP BY 1), f AS (SELECT assay, least(n, {CANDIDATES}) AS n, CAST(n > {CANDIDATES} AS INT) AS sampled FROM g) SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_assays, CAST(sum(sampled) AS BIGINT) AS n_sampled FROM f")
 def qc_sampled_counts(spark, sf):
-    g = X.variants25(spark, sf).groupBy("assay").agg(F.count("*").alias("n"))
-    return g.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_assays"), F.count_if(F.col("n") > 500).alias("n_sampled"))
+    """Candidates, assays and assays flagged as sampled, where a nation's candidates are cut to CANDIDATES."""
+    v = X.variants25(spark, sf).select("assay", "mutant")
+    n = v.groupBy("assay").agg(F.count("*").alias("n"))
+    kept = sample_k(v, ["assay"], "mutant", CANDIDATES, "large").join(n, "assay")
+    flags = kept.groupBy("assay").agg(F.count("*").alias("rows"), F.max((F.col("n") > CANDIDATES).cast("int")).alias("sampled"))
+    return flags.agg(F.sum("rows").alias("n_rows"), F.count("*").alias("n_assays"), F.sum("sampled").alias("n_sampled"))

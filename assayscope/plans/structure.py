@@ -11,6 +11,7 @@ from assayscope.operators import structure as T
 from assayscope.plans.ranking import GAINS, ZS25, gains, long25, r, rounded, zero_shot
 from assayscope.plans.registry import add
 from assayscope.sources import fixtures as X
+from assayscope.sources.ingest import written
 
 C = f"WITH {X.COORDS}"
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
@@ -59,7 +60,8 @@ def contact_summary(spark, sf):
 
 
 _PS = f"{SITES}, ps AS (SELECT DISTINCT structure, variant, len(positions) AS n_sites, unnest(positions) AS residue FROM sites)"
-_EXP = f"""{_PS}, ex AS (SELECT structure, variant, avg(neighbours) AS mean_count, avg(CAST(neighbours <= 5 AS INT)) AS exposed, avg(CAST(neighbours >= 10 AS INT)) AS buried FROM ps JOIN nb USING (structure, residue) GROUP BY 1, 2)"""
+_CUTS = "cuts AS (SELECT structure, list_sort(list(neighbours))[count(*) // 3 + 1] AS lo, list_sort(list(neighbours))[2 * count(*) // 3 + 1] AS hi FROM nb GROUP BY 1)"
+_EXP = f"""{_PS}, {_CUTS}, ex AS (SELECT structure, variant, avg(neighbours) AS mean_count, avg(CAST(neighbours <= lo AS INT)) AS exposed, avg(CAST(neighbours > lo AND neighbours >= hi AS INT)) AS buried FROM ps JOIN nb USING (structure, residue) JOIN cuts USING (structure) GROUP BY 1, 2)"""
 
 
 def mutated(spark, sf):
@@ -68,10 +70,12 @@ def mutated(spark, sf):
 
 
 def exposure(spark, sf):
-    n = T.radius_counts(X.coords(spark, sf), 10.0)
-    return mutated(spark, sf).join(n, ["structure", "residue"]).groupBy("structure", "variant").agg(
-        F.avg("neighbours").alias("mean_count"), F.avg((F.col("neighbours") <= 5).cast("int")).alias("exposed"), F.avg((F.col("neighbours") >= 10).cast("int")).alias("buried")
-    )
+    """Which part of a variant's residues lies in the lowest, or the highest, third of its structure's neighbour counts."""
+    n = written(T.radius_counts(X.coords(spark, sf), 10.0), "neighbours")
+    cuts = K.at_indexes(n, ["structure"], "neighbours", lo=F.floor(F.col("n") / 3), hi=F.floor(F.col("n") * 2 / 3))
+    d = mutated(spark, sf).join(n, ["structure", "residue"]).join(cuts, "structure")
+    v = F.col("neighbours")
+    return d.groupBy("structure", "variant").agg(F.avg(v).alias("mean_count"), F.avg((v <= F.col("lo")).cast("int")).alias("exposed"), F.avg(((v > F.col("lo")) & (v >= F.col("hi"))).cast("int")).alias("buried"))
 
 
 def _by_tertile(table: str, value: str, exposed_low: bool) -> str:
@@ -130,13 +134,13 @@ def contact_bin(spark, sf):
     return f.select("structure", F.when(F.col("share") < 0.05, "low").when(F.col("share") < 0.2, "mid").otherwise("high").alias("bin"))
 
 
-_EBIN = "CASE WHEN exposed - buried > 0.15 THEN 'exposed' WHEN exposed - buried < -0.15 THEN 'buried' ELSE 'mixed' END"
+_EBIN = "CASE WHEN buried - exposed >= 0.15::DOUBLE THEN 'buried_enriched' WHEN exposed - buried >= 0.15::DOUBLE THEN 'exposed_enriched' ELSE 'mixed' END"
 
 
 @add(f"{C}, {NB}, {_EXP} SELECT structure, variant, {_EBIN} AS bin FROM ex")
 def exposure_bin(spark, sf):
     gap = F.col("exposed") - F.col("buried")
-    return exposure(spark, sf).select("structure", "variant", F.when(gap > 0.15, "exposed").when(gap < -0.15, "buried").otherwise("mixed").alias("bin"))
+    return exposure(spark, sf).select("structure", "variant", F.when(gap <= -0.15, "buried_enriched").when(gap >= 0.15, "exposed_enriched").otherwise("mixed").alias("bin"))
 
 
 @add(f"{C}, {NB}, {_EXP}, g AS (SELECT c_custkey AS variant, c_acctbal AS gain FROM customer) SELECT coalesce({_EBIN.replace('ELSE', 'WHEN exposed IS NOT NULL THEN')}, 'missing') AS bin, count(*) AS n, {r('avg(gain)')} AS mean_gain FROM g LEFT JOIN ex USING (variant) GROUP BY 1")

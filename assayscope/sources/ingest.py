@@ -28,10 +28,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def scan_assays(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All CSV files of a folder as text cells, with the assay's name from the file name."""
+    """All CSV files of a folder as text cells, with the assay's name from the file name, or from the folder
+    assay=... where an assay is several files."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    df = spark.read.schema(schema).option("header", True).csv(path)
-    return df.withColumn("assay", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))
+    df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/assay=([^/]*)/[^/]*$", 1)
+    return df.withColumn("assay", F.coalesce(F.nullif(folder, F.lit("")), F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")))
+
+
+def pick_fields(manifest: DataFrame, reference: DataFrame, key: str, fields: list[str], kind: str, unknown: str = "Unknown") -> DataFrame:
+    """The manifest's rows that the reference knows, with the listed fields as text ('' where absent or null)
+    and the official type, `unknown` where it has none."""
+    text = {f: F.coalesce(F.col(f"__ref.{f}").cast("string"), F.lit("")) if f in reference.columns else F.lit("") for f in fields}
+    known = reference.select(F.col(key), F.struct(*reference.columns).alias("__ref"))
+    official = F.coalesce(F.nullif(text[kind], F.lit("")), F.lit(unknown))
+    out = manifest.join(known, key).withColumns(text | {"assay_type": official, "assay_type_official": official, "needs_manual_review": F.lit("0")})
+    return out.select(*manifest.columns, *[f for f in fields if f not in manifest.columns], "assay_type", "assay_type_official", "needs_manual_review")
+
+
+def out_of_range(table: DataFrame, keys: list[str], columns: list[str], low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """row_no, field, value: values outside of [low, high], with the row's number in the order of the keys."""
+    from assayscope.operators.ordering import positions
+
+    t = positions(table, [], list(keys), "row_no")
+    u = t.select((F.col("row_no") + 1).alias("row_no"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["row_no"], columns, "field", "value")
+    return u.where((F.col("value") < low) | (F.col("value") > high))
 
 
 def read_alignment_records(spark: SparkSession, path: str) -> DataFrame:
