@@ -12,7 +12,7 @@ containers. A page's text is what stands in that container, without boilerplate,
 is the same on all pages stays, if it stands there. A page of a template without a container, or alone in
 its template with no container that stands out, is read whole, without boilerplate.
 
-Classes and ids that name page furniture as a whole (`ad-slot`, but neither `article-header` nor
+Classes and ids that name page furniture (`ad-slot`, `post-comments`, but neither `article-header` nor
 `has-sidebar`) mark boilerplate, as tags like nav do; names of articles only decide between containers.
 
 Blocks are cut at block-level tags; `br` is white space. Null or blank html gives an empty text. Broken
@@ -46,7 +46,7 @@ BLOCK = frozenset(
 )
 #: Elements that can hold an article; in a path they stand with id and class, other blocks by name only.
 CONTAINERS = frozenset("html body main article section div td".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select button xmp noframes".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas audio video select button xmp noframes".split())
 BOILERPLATE = frozenset("head nav header footer aside form menu dialog".split()) | RAW
 #: An open element of the first kind is closed by a start tag of the second.
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -58,6 +58,9 @@ MARKS = frozenset(
 )
 ARTICLE = frozenset("article post entry content story main body text".split())
 QUALIFY = frozenset("has no with without not".split())
+#: Marks that may as well say what a paragraph is about; they tell furniture on larger elements only.
+AMBIGUOUS = frozenset("share sharing notice notices respond replies search social promotion menu skip banner".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
@@ -93,12 +96,16 @@ def tokens(page: str):
             at = end.end() if end else n
 
 
+_NUMBER = re.compile(r"\d+")
+
+
 def signature(name: str, attrs: str) -> str:
-    """An element as it looks in a wrapper: its name, id and class."""
+    """An element as it looks in a wrapper: its name, id and class. Numbers in them are slots, as in `post-17`:
+    they differ from page to page of one template."""
     if not attrs.strip():
         return name
     got = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    return name + "".join(f"{mark}{_SPACE.sub(' ', got[k]).strip()}" for k, mark in (("id", "#"), ("class", ".")) if got.get(k, "").strip())
+    return name + "".join(f"{mark}{_NUMBER.sub('0', _SPACE.sub(' ', got[k]).strip())}" for k, mark in (("id", "#"), ("class", ".")) if got.get(k, "").strip())
 
 
 def is_boilerplate(name: str, attrs: str) -> bool:
@@ -106,21 +113,28 @@ def is_boilerplate(name: str, attrs: str) -> bool:
         return True
     if not attrs.strip() or name in ("body", "html", "article", "main"):
         return False
+    marked = article = False
     for m in _ATTR.finditer(attrs):
         k, v = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if k in ("id", "class") and any(map(is_mark, v.split())) or k == "role" and v.lower() in ROLES:
+        if k == "role" and v.lower() in ROLES:
             return True
         if k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and re.search(r"display\s*:\s*none", v, re.I):
             return True
-    return False
-
-
-def is_mark(name: str) -> bool:
-    """Whether one class or id names page furniture: `ad-slot`, `site-footer`, but neither `article-header` nor
-    `has-sidebar`."""
+        if k in ("id", "class"):
+            for words in map(_words, v.split()):
+                found = [x for x in words if x in MARKS and not (name in PROSE and x in AMBIGUOUS)]
+                if found and len(words) == 1:
+                    return True
+                marked |= bool(found) and not any(x in QUALIFY for x in words)
+                article |= bool(words) and all(x in ARTICLE for x in words)
+    # `main sidebar-left` is an article beside a sidebar
+    return marked and not article
+
+
+def _words(name: str) -> list[str]:
+    """The words of one class or id, without their numbers: `ad-slot2`, `siteFooter`."""
     parts = [x for x in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if x]
-    parts = [x.lower().rstrip("0123456789") for x in parts]
-    return any(x in MARKS for x in parts) and not any(x in ARTICLE or x in QUALIFY for x in parts)
+    return [w for x in parts if (w := x.lower().rstrip("0123456789"))]
 
 
 class Node:
@@ -151,7 +165,8 @@ def walk(page: str):
             while stack and name in CLOSED_BY.get(stack[-1].name, ()):
                 open_[stack.pop().name] -= 1
             top = stack[-1]
-            bad = top.bad or is_boilerplate(name, rest)
+            # a button in a sentence is a word of it
+            bad = top.bad or not (name == "button" and open_["p"]) and is_boilerplate(name, rest)
             if name not in VOID and not rest.endswith("/"):
                 last = (signature(name, rest) if name in CONTAINERS else name) if name in BLOCK else None
                 stack.append(Node(name, bad, top, last))

@@ -566,6 +566,11 @@ def test_every_template_of_a_host_has_a_wrapper(spark):
     assert got == {i: want(i) for i in range(66)}
 
 
+def test_pages_that_differ_in_a_number_share_a_template():
+    page = '<body class="postid-{0}"><article id="post-{0}" class="post type-post"><p>Text {0}</p></article></body>'
+    assert len({wrapper.template(wrapper.read(page.format(i))[0]) for i in (1, 22, 333)}) == 1
+
+
 @pytest.mark.parametrize("body, text", [
     ('<div class="content has-sidebar"><p>Text</p></div>', "Text"),
     ('<div class="post-content no-sidebar"><p>Text</p></div>', "Text"),
@@ -573,6 +578,11 @@ def test_every_template_of_a_host_has_a_wrapper(spark):
     ('<p class="legal">Text', "Text"),
     ('<section class="legal">Text</section>', "Text"),
     ('<div class="related-story">Text</div>', "Text"),
+    ('<article><p>Text</p><section class="post-comments">Ha</section><div class="comment-body">Ha</div></article>', "Text"),
+    ('<article><p>Text</p><div class="article-ad">Buy</div><div class="content-sidebar">More</div><div class="post-footer">End</div></article>', "Text"),
+    ('<div id="main" class="main sidebar-left"><p>Text</p></div>', "Text"),
+    ('<article><p class="share">A share of profits rose.</p><p class="ad">Buy</p></article>', "A share of profits rose."),
+    ('<article><p>Press <button>Save</button>, so <math><mi>x</mi></math> stays.</p><button>Like</button></article>', "Press Save, so x stays."),
     ('<div class="ad-slot">Buy</div><div id="comments">Ha</div><p>Text', "Text"),
 ])
 def test_marks_are_whole_names(body, text):
