@@ -1,7 +1,8 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs, one per shard.
 
 Vectors link if their labels are equal and not null and their cosine, in double precision, is at least
-0.93. Equal vectors of a label are folded into one row with a count. Each label's distinct vectors are
+0.93. Equal vectors of a label, told by 128 bits of hashes, are folded
+into one row with a count. Each label's distinct vectors are
 cut into shards of bounded size; each shard gets an HNSW graph; every shard is queried with the vectors of
 every shard of its label (each unordered pair of shards once, so that a link is counted alike for both
 ends). A query descends to the base layer with a beam, then floods along the graph through all vectors
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayscope.llm.common import Scratch, components
@@ -295,6 +296,11 @@ def _search_pair(threshold: float):
     return run
 
 
+def _hashes() -> tuple[Column, Column]:
+    """Two hashes of a labelled vector, chained from different seeds: equal vectors are told by 128 bits."""
+    return F.xxhash64("label", "vector", F.lit(1)), F.xxhash64(F.lit(2), "label", "vector")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, scratch: Scratch | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding, label, ...)."""
     scratch = scratch or Scratch(vectors.sparkSession, "hnsw")
@@ -305,25 +311,27 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard: int =
     )
     # -0.0 and 0.0 are one value
     v = v.withColumn("vector", F.transform("vector", lambda e: e + F.lit(0.0)))
-    v = scratch.save(v.withColumn("key", F.when(sound, F.xxhash64("label", "vector", F.lit(1)))), "vectors")
+    key, check = _hashes()
+    v = scratch.save(v.withColumns({"key": F.when(sound, key), "check": F.when(sound, check)}), "vectors")
     good = v.where("key is not null")
-    nodes = good.groupBy("key", "label", F.size("vector").alias("dims")).agg(F.min("vec_id").alias("node"), F.count("*").alias("count"), F.first("vector").alias("vector"))
-    nodes = scratch.save(nodes, "nodes")
+    nodes = good.groupBy("key", "check", "label", F.size("vector").alias("dims")).agg(F.min("vec_id").alias("vec"), F.count("*").alias("count"), F.first("vector").alias("vector"))
+    # numbered as they are written, once; two vectors of one key are two nodes
+    nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     sizes = nodes.groupBy("label", "dims").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / shard).cast("int"))
     # key hashes spread a label's vectors evenly over its shards
     placed = nodes.join(sizes, ["label", "dims"]).withColumn("shard", F.pmod("key", "shards").cast("int"))
     every = F.sequence(F.lit(0), F.col("shards") - 1)
     pair = F.transform(every, lambda s: F.struct(F.least("shard", s).alias("a"), F.greatest("shard", s).alias("b")))
-    dealt = placed.select("label", "dims", "key", "node", "vector", "count", "shard", F.explode(pair).alias("pair"))
-    dealt = dealt.select("label", "dims", "pair.a", "pair.b", F.col("key").alias("node"), "vector", "count", "shard")
+    dealt = placed.select("label", "dims", "node", "vector", "count", "shard", F.explode(pair).alias("pair"))
+    dealt = dealt.select("label", "dims", "pair.a", "pair.b", "node", "vector", "count", "shard")
     found = dealt.groupBy("label", "dims", "a", "b").applyInArrow(_search_pair(threshold), "node long, other long, links long")
     found = scratch.save(found, "found")
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(scratch, found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = nodes.select(F.col("key").alias("node"), F.col("node").alias("vec"), "count").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "key", "check", "vec", "count").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("vec").alias("component_id"))
     named = named.join(least, "root").join(links, "node", "left")
-    named = named.select(F.col("node").alias("key"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"))
-    out = v.select("vec_id", "key").join(named, "key", "left")
+    named = named.select("key", "check", "component_id", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"))
+    out = v.select("vec_id", "key", "check").join(named, ["key", "check"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

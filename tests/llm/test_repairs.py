@@ -78,6 +78,16 @@ def test_vectors_of_any_magnitude(spark):
     assert {got[i + 10 * k] for k in range(4) for i in (0, 1)} == {(7, 0)} and {got[2 + 10 * k] for k in range(4)} == {(3, 2)} and got[90] == got[91] == (1, 90)
 
 
+@pytest.mark.parametrize("blind", [0, 1])
+def test_vectors_that_share_one_hash_stay_apart(spark, monkeypatch, blind):
+    hashes = hnsw._hashes
+    monkeypatch.setattr(hnsw, "_hashes", lambda: tuple(F.lit(7).cast("long") if k == blind else h for k, h in enumerate(hashes())))
+    base = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.01, 1.0], [0.0, 0.0, 1.0]]
+    rows = [(i, "a" if i < 8 else "b", base[i % 4]) for i in range(12)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert got == {i: (1, i % 4) if i % 4 < 2 else (3, 2) for i in range(8)} | {8: (0, 8), 9: (0, 9), 10: (1, 10), 11: (1, 10)}
+
+
 def test_one_word_sixty_thousand_times(spark):
     docs = spark.createDataFrame([(1, "ha " * 60_000), (2, "other words that have nothing to do with it")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "ha " * 100)], "item_id long, text string")
