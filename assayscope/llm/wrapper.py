@@ -1,16 +1,25 @@
 """HTML main-text extraction by union-free wrapper inference.
 
-Every page is read once, in tasks, into nodes: the path of block elements down to each text, how often
-it occurs, and the length and hash of the text there. Pages of a host with the same set of containers
-(boilerplate left out) share a template, and each template has a wrapper, inferred from all of its pages:
-nodes are aligned by their path (of block elements, as a 64-bit id); one that occurs several times below its parent is a repeated group, one
-that some pages lack is optional, and text that differs between pages is a slot. The wrapper never branches
-(union-free). All of this is sums, minima and maxima, so Spark aggregates it and no page is left out.
-
-The wrapper tells where the article is: the container that holds most text of slots outside of boilerplate
-containers. A page's text is what stands in that container, without boilerplate, in page order; text that
-is the same on all pages stays, if it stands there. A page of a template without a container, or alone in
-its template with no container that stands out, is read whole, without boilerplate.
+Every page is read once, in tasks, into its token stream: the block elements outside of boilerplate, nested, with
+the length and hash of the text right in each. Pages of a host whose text lies under the same chain of elements share a
+template, and each template has a wrapper, inferred from all of its pages by aligning one after another:
+
+* elements that follow each other with the same name, id and class, alone or in turns of up to `PERIOD`, become a
+  repeated group; a run of text blocks between containers is a repeated group whose members are optional;
+* the children of an element are aligned with those that the wrapper has there, in order, for the greatest sum of
+  likeness; what stays without a partner on either side becomes optional;
+* text that differs between pages is a slot, and so are numbers in ids and classes, ids that differ from page to
+  page, and classes that only some pages have.
+
+The wrapper never branches (union-free). Tasks align the pages they hold and hand on one wrapper per template; wrappers
+are aligned with wrappers in rounds of `FAN`, so a host with a third of all pages is no hot spot. A wrapper has the
+size of a page's structure: beyond `WIDE` different children an element's children are one repeated group of optional
+members, told by their tags; beyond `CELLS` comparisons they are such a group, told by their names.
+
+The wrapper tells where the article is: the container that holds most text of slots. A page is then parsed by the
+wrapper: its elements are aligned with it once more, and its text is what stands in the elements that meet that
+container, without boilerplate, in page order; text that is the same on all pages stays, if it stands there. A page of
+a template without a container, or that lacks it, is read whole, without boilerplate.
 
 Classes and ids that name page furniture (`ad-slot`, `post-comments`, but neither `article-header` nor
 `has-sidebar`) mark boilerplate, as tags like nav do; names of articles only decide between containers.
@@ -24,9 +33,12 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import json
 import re
 from collections import Counter
+from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +48,15 @@ from assayscope.llm.urlfilter import host_of
 
 #: Pages whose results a task holds at once.
 ROWS = 500
+#: Longest turn of siblings that is looked for as a repeated group.
+PERIOD = 4
+#: Comparisons of an ordered alignment of two lists of children, and different children of one element; beyond
+#: these they are a repeated group of optional members.
+CELLS, WIDE = 40_000, 200
+#: Wrappers that a task aligns in a round, and wrappers that it holds before it hands them on.
+FAN, HELD = 256, 2_000
+#: Templates up to which wrappers are broadcast: a few KB each.
+TEMPLATES = 5_000
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -104,8 +125,9 @@ def signature(name: str, attrs: str) -> str:
     they differ from page to page of one template."""
     if not attrs.strip():
         return name
-    got = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    return name + "".join(f"{mark}{_NUMBER.sub('0', _SPACE.sub(' ', got[k]).strip())}" for k, mark in (("id", "#"), ("class", ".")) if got.get(k, "").strip())
+    got = {m[1].lower(): _NUMBER.sub("0", _SPACE.sub(" ", m[2] or m[3] or m[4] or "").strip()) for m in _ATTR.finditer(attrs)}
+    own = re.sub(r"[.#*]", "_", got.get("id", ""))
+    return name + (f"#{own}" if own else "") + (f".{got['class']}" if got.get("class") else "")
 
 
 def is_boilerplate(name: str, attrs: str) -> bool:
@@ -138,27 +160,17 @@ def _words(name: str) -> list[str]:
 
 
 class Node:
-    """An open element: name, whether it is boilerplate, and the block it stands in, as a 64-bit id of the path
-    of blocks down to it."""
+    """An open element: name, whether it is boilerplate, and the number of the block it stands in (-1: not told yet)."""
 
-    __slots__ = ("name", "bad", "id", "parent", "last", "depth")
+    __slots__ = ("name", "bad", "at")
 
-    def __init__(self, name: str, bad: bool, above: Node | None, last: str | None):
-        self.name, self.bad = name, bad
-        at = above or ROOT
-        if last is None:
-            self.id, self.parent, self.last, self.depth = (at.id, at.parent, at.last, at.depth) if at else (0, 0, "", 0)
-        else:
-            self.id, self.parent, self.last, self.depth = _hash(f"{at.id} {last}"), at.id, last, at.depth + 1
-
-
-ROOT = None
-ROOT = Node("", False, None, None)
+    def __init__(self, name: str, bad: bool, at: int):
+        self.name, self.bad, self.at = name, bad, at
 
 
 def walk(page: str):
     """(kind, name, text or attributes, innermost open element)."""
-    stack: list[Node] = [ROOT]
+    stack: list[Node] = [Node("", False, 0)]
     open_: Counter = Counter()
     for kind, name, rest in tokens(page):
         if kind == "<":
@@ -168,8 +180,7 @@ def walk(page: str):
             # a button in a sentence is a word of it
             bad = top.bad or not (name == "button" and open_["p"]) and is_boilerplate(name, rest)
             if name not in VOID and not rest.endswith("/"):
-                last = (signature(name, rest) if name in CONTAINERS else name) if name in BLOCK else None
-                stack.append(Node(name, bad, top, last))
+                stack.append(Node(name, bad, top.at))
                 open_[name] += 1
                 yield kind, name, rest, stack[-1]
             else:
@@ -189,43 +200,58 @@ def walk(page: str):
 # -- reading --------------------------------------------------------------------------------------
 
 
-def read(page: str) -> tuple[dict[int, list], list[list]]:
-    """Nodes of a page outside boilerplate, {id: [times, characters, texts, parent, last, depth]}, parents first,
-    and all its text outside boilerplate, [[block, id, text]] in page order."""
-    nodes: dict[int, list] = {0: [0, 0, [], 0, "", 0]}
+def read(page: str) -> tuple[list[list], list[list]]:
+    """The block elements of a page outside boilerplate, [[signature, parent, texts]], parents first, the page itself
+    being the first, and all its text outside boilerplate, [[block, element, text]] in page order."""
+    nodes: list[list] = [["", -1, []]]
     parts: list[list] = []
     block = 0
     for kind, name, rest, at in walk(page):
         if kind != "t" and name in BLOCK:
             block += 1
-            if kind == "<" and not at.bad and name not in VOID:
-                nodes.setdefault(at.id, [0, 0, [], at.parent, at.last, at.depth])[0] += 1
+            if kind == "<" and not at.bad and name not in VOID and not rest.endswith("/"):
+                nodes.append([signature(name, rest) if name in CONTAINERS else name, at.at, []])
+                at.at = len(nodes) - 1
         elif (kind == "t" or name == "br") and not at.bad:
             if kind != "t":
                 rest = "\n"
             elif not rest.isspace():
-                node = nodes[at.id]
-                node[1] += len(rest)
-                node[2].append(rest)
-            if parts and parts[-1][0] == block and parts[-1][1] == at.id:
+                nodes[at.at][2].append(rest)
+            if parts and parts[-1][0] == block and parts[-1][1] == at.at:
                 parts[-1][2].append(rest)
             else:
-                parts.append([block, at.id, [rest]])
+                parts.append([block, at.at, [rest]])
     return nodes, [[b, i, "".join(t)] for b, i, t in parts]
 
 
-def stream(page: str) -> list[tuple]:
-    """(id, times, characters, hash of the text, parent, last, depth) of each node of a page."""
-    return [(i, n, chars, _hash(" ".join(" ".join(texts).split())), *rest) for i, (n, chars, texts, *rest) in read(page)[0].items()]
+def template(nodes: list[list]) -> int:
+    """The chain of elements down which most of a page's text lies, as a hash: tags and first classes, no ids."""
+    text = [sum(map(len, x[2])) for x in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        text[nodes[i][1]] += text[i]
+    heir: dict[int, int] = {}
+    for i in range(len(nodes) - 1, 0, -1):
+        if 2 * text[i] > text[nodes[i][1]] and _tag(nodes[i][0]) in CONTAINERS:
+            heir[nodes[i][1]] = i
+    chain, i = [], 0
+    while i in heir:
+        i = heir[i]
+        tag, _, classes = _names(nodes[i][0])
+        chain.append(tag if tag in ("html", "body") or not classes else f"{tag}.{classes[0]}")
+        if tag in ("article", "main"):
+            break
+    return _hash("/".join(chain))
 
 
-def template(nodes: dict[int, list]) -> int:
-    """The set of a page's containers, as a hash."""
-    return _hash(" ".join(map(str, sorted(i for i, x in nodes.items() if _tag(x[4]) in CONTAINERS))))
+def _tag(sig: str) -> str:
+    return re.match(r"[^#.]*", sig)[0]
 
 
-def _tag(last: str) -> str:
-    return re.match(r"[^#.]*", last)[0]
+@lru_cache(100_000)
+def _names(sig: str) -> tuple[str, str, tuple[str, ...]]:
+    """Tag, id and classes of a signature."""
+    tag, own, classes = re.fullmatch(r"([^#.]*)(?:#([^.]*))?(?:\.(.*))?", sig, re.S).groups()
+    return tag, own or "", tuple((classes or "").split())
 
 
 def _hash(text: str) -> int:
@@ -234,66 +260,314 @@ def _hash(text: str) -> int:
 
 # -- inference ------------------------------------------------------------------------------------
 
+RUN = "~"
+
+
+class Part:
+    """A part of a wrapper, of one page or of many: an element, or (RUN) a run of text blocks. It has the pages that hold
+    it, its most times on a page, whether it may lack where its parent stands, its repeated group among its siblings (0: none
+    but itself), the characters right in it, the least and greatest hash a page has of them, and its children: in order (0),
+    or as optional members told by signature (1) or tag (2). On a page, `members` are the numbers of its elements."""
+
+    __slots__ = ("sig", "pages", "most", "optional", "group", "chars", "lo", "hi", "loose", "kids", "members")
+
+    def __init__(self, sig, pages=1, most=1, optional=False, group=0, chars=0, lo=0, hi=0, loose=0, members=()):
+        self.sig, self.pages, self.most, self.optional, self.group = sig, pages, most, optional, group
+        self.chars, self.lo, self.hi, self.loose, self.kids, self.members = chars, lo, hi, loose, [], list(members)
+
+
+@lru_cache(200_000)
+def likeness(a: str, b: str) -> int:
+    """How well two elements go together, from 0 (not at all) to 4 (the same)."""
+    if a == b:
+        return 4
+    (tag, own, classes), (other, own2, classes2) = _names(a), _names(b)
+    if tag != other:
+        return 0
+    if tag in ("html", "body", "main"):
+        return 3
+    if classes or classes2:
+        if set(classes) & set(classes2):
+            return 3 if classes == classes2 else 2
+        return 1 if tag == "article" and not (classes and classes2) else 0
+    if tag == "article":
+        return 3
+    return int("*" in (own, own2) or bool(own and own2) and _words(own)[:1] == _words(own2)[:1])
+
+
+@lru_cache(200_000)
+def common(a: str, b: str) -> str:
+    """The signature of both elements: `*` is an id that differs."""
+    if a == b:
+        return a
+    (tag, own, classes), (_, own2, classes2) = _names(a), _names(b)
+    shared = [x for x in classes if x in classes2]
+    own = own if own == own2 else "*"
+    return tag + (f"#{own}" if own or not shared else "") + (f".{' '.join(shared)}" if shared else "")
+
+
+def pairs(a: list[Part], b: list[Part]) -> list[tuple[Part | None, Part | None]]:
+    """Two lists aligned in order for the greatest sum of likeness; None stands for no partner. Ties: the partner
+    that comes first."""
+    lo, n, m = 0, len(a), len(b)
+    while lo < n and lo < m and a[lo].sig == b[lo].sig:
+        lo += 1
+    while n > lo and m > lo and a[n - 1].sig == b[m - 1].sig:
+        n, m = n - 1, m - 1
+    x, y = a[lo:n], b[lo:m]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        below, row = best[i + 1], best[i]
+        for j in range(len(y) - 1, -1, -1):
+            fit = likeness(x[i].sig, y[j].sig)
+            row[j] = max(below[j], row[j + 1], below[j + 1] + fit if fit else 0)
+    out: list[tuple] = list(zip(a[:lo], b[:lo]))
+    i = j = 0
+    while i < len(x) or j < len(y):
+        fit = likeness(x[i].sig, y[j].sig) if i < len(x) and j < len(y) else 0
+        if fit and best[i][j] == best[i + 1][j + 1] + fit:
+            out.append((x[i], y[j]))
+            i, j = i + 1, j + 1
+        elif j == len(y) or i < len(x) and best[i][j] == best[i + 1][j]:
+            out.append((x[i], None))
+            i += 1
+        else:
+            out.append((None, y[j]))
+            j += 1
+    return out + list(zip(a[n:], b[m:]))
+
 
-class Wrapper:
-    """A union-free expression: for each node [pages that hold it, most times on a page, characters of text right
-    there, least and greatest hash of that text, parent, last, depth]."""
-
-    def __init__(self, first=None):
-        self.pages = 0
-        self.at: dict[int, list] = {}
-        if first is not None:
-            self.align(first)
-
-    def align(self, s) -> None:
-        """Generalise the wrapper so that it fits a further page, given as its stream."""
-        self.pages += 1
-        for i, times, chars, h, *rest in s:
-            held, most, all_chars, lo, hi, *_ = self.at.get(i, (0, 0, 0, h, h))
-            self.at[i] = [held + 1, max(most, times), all_chars + chars, min(lo, h), max(hi, h), *rest]
-
-    def slot(self, i: int) -> bool:
-        """Whether the text right there differs between pages; one page alone is all slots."""
-        held, _, _, lo, hi, *_ = self.at[i]
-        return self.pages == 1 or lo != hi or held < self.pages
-
-    @property
-    def nodes(self) -> list[tuple[str, int, str]]:
-        """(tag, id, kind) with kind "" (once), "?" (optional) or "+" (repeated)."""
-        out = []
-        for i, (held, most, _, _, _, parent, last, _) in self.at.items():
-            above = self.at.get(parent)
-            kind = "+" if most > (max(above[1], 1) if above else 1) else "?" if held < self.pages else ""
-            out.append((_tag(last), i, kind))
-        return out
-
-    def article(self) -> list[int]:
-        """Ids of the article's container: the deepest one that has nearly all of the slots' text of the best
-        candidates. Several if containers alike share the article; none if no container stands out. Ties: the
-        deepest, then the greatest id."""
-        slots = {i: self.at[i][2] for i in self.at if self.slot(i)}
-        if not any(slots.values()):  # all pages are equal
-            slots = {i: x[2] for i, x in self.at.items()}
-        text: Counter = Counter(slots)
-        for i in sorted(self.at, key=lambda i: -self.at[i][7]):  # children before parents
-            if i and self.at[i][5] in self.at:
-                text[self.at[i][5]] += text[i]
-        total = max(text.values(), default=0)
-        named, plain = [], []
-        for i, n in text.items():
-            held, *_, last, depth = self.at[i]
-            if not i or 2 * held < self.pages or not n:
-                continue
-            tag = _tag(last)
-            if tag in ("article", "main") or tag in ("div", "section", "td") and is_article(last[len(tag) :]):
-                named.append((tag == "article", n, depth, i))
-            elif tag in ("div", "section", "td", "body") and n >= 0.7 * total:
-                plain.append((depth, n, i))
-        good = [x for x in named if x[1] >= 0.3 * total]
-        if good:
-            last = self.at[max(good)[3]][6]
-            return sorted(x[3] for x in good if self.at[x[3]][6] == last)
-        return [max(plain)[2]] if plain else []
+def _key(sig: str, loose: int) -> str:
+    return sig if loose < 2 else _tag(sig)
+
+
+def _members(part: Part, loose: int) -> None:
+    """The children of a part as optional members, each once."""
+    if part.loose >= loose:
+        return
+    part.loose, kids, part.kids = loose, part.kids, []
+    at: dict[str, Part] = {}
+    for x in kids:
+        key = _key(x.sig, loose)
+        if key in at:
+            align(at[key], x, True)
+        else:
+            at[key] = x
+            part.kids.append(x)
+        at[key].group = 0
+
+
+def partners(a: Part, b: Part) -> list[tuple[Part | None, Part | None]]:
+    """The children of two parts, aligned."""
+    if not a.loose and not b.loose and len(a.kids) * len(b.kids) > CELLS and [x.sig for x in a.kids] != [x.sig for x in b.kids]:
+        _members(a, 1)
+    loose = max(a.loose, b.loose)
+    if not loose:
+        return pairs(a.kids, b.kids)
+    _members(a, loose)
+    _members(b, loose)
+    at = {_key(x.sig, loose): x for x in b.kids}
+    out = [(x, at.pop(_key(x.sig, loose), None)) for x in a.kids]
+    return out + [(None, y) for y in b.kids if _key(y.sig, loose) in at]
+
+
+def align(a: Part, b: Part, same: bool = False) -> Part:
+    """Generalise a, so that it fits what b fits, too; `same` if both stand on the same page. b is used up."""
+    work = [(a, b)]
+    while work:
+        a_, b_ = work.pop()
+        a_.sig = common(a_.sig, b_.sig)
+        a_.optional |= b_.optional
+        a_.chars += b_.chars
+        if same:
+            a_.pages, a_.most = max(a_.pages, b_.pages), a_.most + b_.most
+            a_.lo = a_.hi = (31 * a_.lo + b_.lo) % (1 << 61)
+        else:
+            a_.pages, a_.most = a_.pages + b_.pages, max(a_.most, b_.most)
+            a_.lo, a_.hi = min(a_.lo, b_.lo), max(a_.hi, b_.hi)
+        a_.members += b_.members
+        beyond = max((x.group for x in a_.kids), default=0)
+        kids = []
+        for x, y in partners(a_, b_):
+            if y is not None and y.group:
+                y.group += beyond
+            if x is None or y is None:
+                kids.append(x or y)
+                kids[-1].optional = True
+            else:
+                x.group = x.group or y.group
+                kids.append(x)
+                work.append((x, y))
+        a_.kids = kids
+        if len(kids) > WIDE:
+            # pairs of this part first: its children are united by tag when all are aligned
+            mine = [w for w in work if any(w[0] is x for x in kids)]
+            work = [w for w in work if w not in mine]
+            for x, y in mine:
+                align(x, y, same)
+            _members(a_, 2)
+    return a
+
+
+def _runs(kids: list[Part]) -> list[Part]:
+    """Text blocks that follow each other as members of a run."""
+    out: list[Part] = []
+    for x in kids:
+        if _tag(x.sig) in CONTAINERS:
+            out.append(x)
+            continue
+        if not out or out[-1].sig != RUN:
+            out.append(Part(RUN, loose=1))
+        for have in out[-1].kids:
+            if have.sig == x.sig:
+                align(have, x, True)
+                break
+        else:
+            out[-1].kids.append(x)
+    return out
+
+
+def _fold(kids: list[Part]) -> list[Part]:
+    """Siblings that repeat, alone or in turns, once."""
+    out: list[Part] = []
+    for x in kids:
+        out.append(x)
+        again = True
+        while again:
+            again = False
+            for p in range(1, PERIOD + 1):
+                if len(out) >= 2 * p and all(out[i - 2 * p].sig == out[i - p].sig for i in range(p)):
+                    group = out[-2 * p].group or 1 + max(y.group for y in out)
+                    for i in range(p):
+                        align(out[i - 2 * p], out[i - p], True)
+                        if p > 1:
+                            out[i - 2 * p].group = group
+                    del out[-p:]
+                    again = True
+                    break
+    return out
+
+
+def build(sigs, parents, chars=None, hashes=None) -> Part:
+    """A page as a wrapper of its own."""
+    parts = [Part(s, members=[i]) for i, s in enumerate(sigs)]
+    if chars is not None:
+        for x, n, h in zip(parts, chars, hashes):
+            x.chars, x.lo, x.hi = n, h, h
+    for x, parent in zip(parts[1:], parents[1:]):
+        parts[parent].kids.append(x)
+    for x in reversed(parts):  # children before parents
+        if x.kids:
+            x.kids = _fold(_runs(x.kids))
+    return parts[0]
+
+
+def stream(page: str) -> tuple[list, list, list, list]:
+    """Signatures, parents, characters and hashes of the elements of a page."""
+    return columns(read(page)[0])
+
+
+def columns(nodes: list[list]) -> tuple[list, list, list, list]:
+    return [x[0] for x in nodes], [x[1] for x in nodes], [sum(map(len, x[2])) for x in nodes], [_hash(" ".join(" ".join(x[2]).split())) % (1 << 61) if x[2] else 0 for x in nodes]
+
+
+def infer(pages) -> Part:
+    """The wrapper of pages given as texts."""
+    first, *rest = [build(*stream(p)) for p in pages]
+    for x in rest:
+        align(first, x)
+    return first
+
+
+def preorder(root: Part) -> list[tuple[Part, int]]:
+    """Parts with the number of their parent."""
+    out, work = [], [(root, -1)]
+    while work:
+        x, parent = work.pop()
+        out.append((x, parent))
+        work += [(k, len(out) - 1) for k in reversed(x.kids)]
+    return out
+
+
+def dump(root: Part) -> str:
+    return json.dumps([[parent, x.sig, x.pages, x.most, int(x.optional), x.group, x.chars, x.lo, x.hi, x.loose] for x, parent in preorder(root)])
+
+
+def load(text: str) -> list[Part]:
+    """The parts of a wrapper in the order of `preorder`; the first is the whole."""
+    out: list[Part] = []
+    for parent, sig, pages, most, optional, *rest in json.loads(text):
+        out.append(Part(sig, pages, most, bool(optional), *rest))
+        if parent >= 0:
+            out[parent].kids.append(out[-1])
+    return out
+
+
+def expression(root: Part) -> str:
+    """The wrapper as a regular expression over elements: `+` repeated, `?` optional, `*` both, ( ) groups, [ ] children,
+    $ a slot of text."""
+    out, work = [], [root]
+    while work:
+        x = work.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        slot = "$" if x.chars and (x.lo != x.hi or x.pages < root.pages or root.pages == 1) else ""
+        inner: list = []
+        kids = sorted(x.kids, key=lambda k: k.sig) if x.loose else x.kids
+        for i, k in enumerate(kids):
+            before, after = (kids[j].group if 0 <= j < len(kids) else 0 for j in (i - 1, i + 1))
+            repeated = k.most > max(x.most, 1) and not k.group
+            inner += ["(" if k.group and before != k.group else "", k, ("*" if k.optional else "+") if repeated else "?" if k.optional else ""]
+            inner += [")+" if k.group and after != k.group else "", " " if i + 1 < len(kids) else ""]
+        opens, closes = ("(", ")+") if x.sig == RUN else (f"{x.sig}[", "]")
+        out.append(opens + slot + (" " if slot and inner else ""))
+        work += [closes, *reversed(inner)]
+    return "".join(out)
+
+
+def article(parts: list[tuple[Part, int]]) -> list[int]:
+    """Numbers of the article's container in a wrapper's preorder: the deepest one that has nearly all of the slots'
+    text of the best candidates. Several if containers alike share the article; none if no container stands out. Ties: the
+    deepest, then the last."""
+    total_pages = parts[0][0].pages
+    # one page alone is all slots; so are equal pages
+    text = [x.chars if total_pages == 1 or x.lo != x.hi or x.pages < total_pages else 0 for x, _ in parts]
+    if not any(text):
+        text = [x.chars for x, _ in parts]
+    depth = [0] * len(parts)
+    for i, (_, parent) in enumerate(parts):
+        depth[i] = depth[parent] + 1 if i else 0
+    for i in range(len(parts) - 1, 0, -1):
+        text[parts[i][1]] += text[i]
+    total = text[0]
+    named, plain = [], []
+    for i, (x, _) in enumerate(parts):
+        n = text[i]
+        if not i or 2 * x.pages < total_pages or not n:
+            continue
+        tag = _tag(x.sig)
+        if tag in ("article", "main") or tag in ("div", "section", "td") and is_article(x.sig[len(tag) :]):
+            named.append((tag == "article", n, depth[i], i))
+        elif tag in ("div", "section", "td", "body") and n >= 0.7 * total:
+            plain.append((depth[i], n, i))
+    good = [x for x in named if x[1] >= 0.3 * total]
+    if good:
+        sig = parts[max(good)[3]][0].sig
+        return sorted(x[3] for x in good if parts[x[3]][0].sig == sig)
+    return [max(plain)[2]] if plain else []
+
+
+def parse(wrapper: Part, page: Part, chosen: set[int]) -> list[int]:
+    """Numbers of the page's elements that meet the chosen parts (by id()) of the wrapper."""
+    found, work = [], [(wrapper, page)]
+    while work:
+        w, p = work.pop()
+        if id(w) in chosen:
+            found += p.members
+        else:
+            work += [(x, y) for x, y in partners(w, p) if x is not None and y is not None]
+    return found
 
 
 def is_article(marks: str) -> bool:
@@ -321,13 +595,13 @@ def render(parts, inside: set[int] | None) -> str:
     return "\n\n".join(out)
 
 
-def within(ids, parents, containers) -> set[int] | None:
-    """The nodes (parents first) in the containers; None if there are no containers."""
+def within(parents, containers) -> set[int] | None:
+    """The elements in the containers; None if there are no containers."""
     if not containers:
         return None
     found = set(containers)
-    for i, parent in zip(ids, parents):
-        if parent in found and i:
+    for i, parent in enumerate(parents):
+        if parent in found:
             found.add(i)
     return found
 
@@ -338,42 +612,69 @@ def extract(page: str | None, container: str | None) -> str:
     if not page:
         return ""
     nodes, parts = read(page)
-    return render(parts, within(nodes, [x[3] for x in nodes.values()], [i for i, x in nodes.items() if x[4] == container]))
+    return render(parts, within([x[1] for x in nodes], [i for i, x in enumerate(nodes) if x[0] == container]))
 
 
 PAGES = (
-    "page_id long, url string, host string, template long, ids array<long>, times array<int>, chars array<long>, hashes array<long>, parents array<long>, "
-    "lasts array<string>, depths array<int>, blocks array<int>, places array<long>, texts array<string>"
+    "page_id long, url string, site string, template long, sigs array<string>, parents array<int>, chars array<long>, hashes array<long>, "
+    "blocks array<int>, places array<int>, texts array<string>"
 )
+WRAPPERS = "site string, template long, wrapper string"
 
 
 def _read(batches):
     for whole in batches:
         for lo in range(0, whole.num_rows, ROWS):
             batch = whole.slice(lo, ROWS)
-            out: list[list] = [[] for _ in range(11)]
+            out: list[list] = [[] for _ in range(8)]
             for page in batch.column("html"):
                 nodes, parts = read(page.as_py() or "")
-                x = list(nodes.values())
-                hashes = [_hash(" ".join(" ".join(n[2]).split())) for n in x]
-                columns = [list(nodes), [n[0] for n in x], [n[1] for n in x], hashes, *([n[k] for n in x] for k in (3, 4, 5)), *([p[k] for p in parts] for k in range(3))]
-                for column, value in zip(out, [template(nodes), *columns]):
+                for column, value in zip(out, [template(nodes), *columns(nodes), *([p[k] for p in parts] for k in range(3))]):
                     column.append(value)
             ints, longs, strings = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
-            kinds = (pa.int64(), longs, ints, longs, longs, longs, strings, ints, ints, longs, strings)
-            columns = [batch.column(c) for c in ("page_id", "url", "host")] + [pa.array(v, k) for v, k in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PAGES.split(", ")])
+            kinds = (pa.int64(), strings, ints, longs, longs, ints, ints, strings)
+            done = [batch.column(c) for c in ("page_id", "url", "site")] + [pa.array(v, k) for v, k in zip(out, kinds)]
+            yield pa.RecordBatch.from_arrays(done, names=[c.split()[0] for c in PAGES.split(", ")])
 
 
-def _infer(batches):
+def _batch(held: dict) -> pa.RecordBatch:
+    sites, templates = (pa.array([k[i] for k in held], kind) for i, kind in ((0, pa.string()), (1, pa.int64())))
+    return pa.RecordBatch.from_arrays([sites, templates, pa.array([dump(x) for x in held.values()], pa.string())], names=["site", "template", "wrapper"])
+
+
+def _start(batches):
+    """One wrapper per template from the pages of a task; more if the task meets more than `HELD` templates."""
+    held: dict = {}
+    for batch in batches:
+        for row in zip(*(batch.column(c) for c in ("site", "template", "sigs", "parents", "chars", "hashes"))):
+            site, kind, *page = (x.as_py() for x in row)
+            page = build(*page)
+            have = held.setdefault((site, kind), page)
+            if have is not page:
+                align(have, page)
+        if len(held) > HELD:
+            yield _batch(held)
+            held = {}
+    if held:
+        yield _batch(held)
+
+
+def _unite(group: pd.DataFrame) -> pd.DataFrame:
+    first, *rest = [load(w)[0] for w in sorted(group["wrapper"])]
+    for x in rest:
+        align(first, x)
+    return group.iloc[:1][["site", "template"]].assign(wrapper=dump(first))
+
+
+def _choose(batches):
     for batch in batches:
-        found = []
-        for pages, nodes in zip(batch.column("pages").to_pylist(), batch.column("nodes").to_pylist()):
-            w = Wrapper()
-            w.pages = pages
-            w.at = {x["id"]: [x[c] for c in ("held", "most", "chars", "lo", "hi", "parent", "last", "depth")] for x in nodes}
-            found.append(w.article())
-        yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("template"), pa.array(found, pa.list_(pa.int64()))], names=["site", "template", "containers"])
+        chosen = [article(preorder(load(w)[0])) for w in batch.column("wrapper").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("site", "template", "wrapper")), pa.array(chosen, pa.list_(pa.int32()))], names=["site", "template", "wrapper", "chosen"])
+
+
+@lru_cache(256)
+def _wrapper(text: str) -> list[Part]:
+    return load(text)
 
 
 def _render(batches):
@@ -381,33 +682,39 @@ def _render(batches):
         for lo in range(0, whole.num_rows, ROWS):
             batch = whole.slice(lo, ROWS)
             texts = []
-            for row in zip(*(batch.column(c) for c in ("ids", "parents", "containers", "blocks", "places", "texts"))):
-                ids, parents, containers, *parts = (x.as_py() for x in row)
-                texts.append(render(list(zip(*parts)), within(ids, parents, containers)))
-            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
-
-
-def wrappers(pages: DataFrame) -> DataFrame:
-    """site, template, containers: the article's containers by the wrapper of each template of a host."""
-    site = F.coalesce("host", F.lit("")).alias("site")
-    node = F.explode(F.arrays_zip("ids", "times", "chars", "hashes", "parents", "lasts", "depths")).alias("x")
-    nodes = pages.select(site, "template", node).groupBy("site", "template", F.col("x.ids").alias("id")).agg(
-        F.count("*").alias("held"), F.max("x.times").alias("most"), F.sum("x.chars").alias("chars"), F.min("x.hashes").alias("lo"), F.max("x.hashes").alias("hi"),
-        F.first("x.parents").alias("parent"), F.first("x.lasts").alias("last"), F.first("x.depths").alias("depth"),
-    )
-    # a template has few nodes: its containers are the same on all of its pages
-    nodes = nodes.groupBy("site", "template").agg(F.collect_list(F.struct("id", "held", "most", "chars", "lo", "hi", "parent", "last", "depth")).alias("nodes"))
-    count = pages.groupBy(site, "template").agg(F.count("*").alias("pages"))
-    return count.join(nodes, ["site", "template"]).mapInArrow(_infer, "site string, template long, containers array<long>")
+            for row in zip(*(batch.column(c) for c in ("sigs", "parents", "wrapper", "chosen", "blocks", "places", "texts"))):
+                sigs, parents, text, chosen, *parts = (x.as_py() for x in row)
+                containers = []
+                if chosen:
+                    w = _wrapper(text)
+                    containers = parse(w[0], build(sigs, parents), {id(w[i]) for i in chosen})
+                texts.append(render(list(zip(*parts)), within(parents, containers)))
+            done = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(done, names=["page_id", "url", "text", "n_chars"])
+
+
+def wrappers(scratch: Scratch, pages: DataFrame, fan: int = FAN) -> DataFrame:
+    """site, template, wrapper, chosen: the wrapper of each template of a host, and the numbers of its parts that hold
+    the article. pages as of _read, written."""
+    site = ["site", "template"]
+    w = scratch.save(pages.select(*site, "sigs", "parents", "chars", "hashes").mapInArrow(_start, WRAPPERS).withColumn("row", F.monotonically_increasing_id()), "wrappers")
+    while (most := w.groupBy(site).count().agg(F.max("count")).first()[0] or 0) > 1:
+        # as many groups a template as its wrappers need; rows of the written table keep their number
+        groups = -(-most // fan)
+        last, turn = w, F.pmod(F.xxhash64("row"), F.lit(groups)) if groups > 1 else F.lit(0)
+        done = w.groupBy(*site, turn.alias("turn")).applyInPandas(_unite, WRAPPERS)
+        w = scratch.save(done.withColumn("row", F.monotonically_increasing_id()), "wrappers")
+        scratch.drop(last)
+    return w.select(*site, "wrapper").mapInArrow(_choose, WRAPPERS + ", chosen array<int>")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages(page_id, url, html, ...)."""
     scratch = Scratch(pages.sparkSession, "wrappers")
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("site"))
     done = scratch.save(p.mapInArrow(_read, PAGES), "pages")
-    # one short row per template; pages stay where they are, so a host with a third of them is no hot spot
-    found = small(scratch, wrappers(done), "templates")
-    joined = done.withColumn("site", F.coalesce("host", F.lit(""))).join(found, ["site", "template"], "left")
-    return joined.select("page_id", "url", "ids", "parents", "blocks", "places", "texts", "containers").mapInArrow(_render, "page_id long, url string, text string, n_chars long")
+    # one row per template; if they are few, pages stay where they are, so a host with a third of them is no hot spot
+    found = small(scratch, wrappers(scratch, done), "templates", TEMPLATES)
+    joined = done.join(found, ["site", "template"], "left")
+    kept = ("page_id", "url", "sigs", "parents", "wrapper", "chosen", "blocks", "places", "texts")
+    return joined.select(*kept).mapInArrow(_render, "page_id long, url string, text string, n_chars long")

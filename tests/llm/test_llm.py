@@ -539,21 +539,6 @@ def test_html(spark):
     assert wrapper.main_texts(d.limit(0)).count() == 0
 
 
-def test_wrapper_groups():
-    w = wrapper.Wrapper(wrapper.stream("<body><div><p>a</p><p>b</p><p>c</p></div></body>"))
-    w.align(wrapper.stream("<body><div><h2>x</h2><p>d</p></div></body>"))
-    kinds = {(tag, kind) for tag, _, kind in w.nodes}
-    assert ("p", "+") in kinds and ("h2", "?") in kinds
-
-
-def test_wrapper_slots_choose_the_container():
-    # the longer text is the same on all pages, so it is the template's, not an article
-    page = "<body><div class='content'><p>{}</p></div><div class='story'><p>News {}</p></div></body>"
-    w = wrapper.Wrapper(wrapper.stream(page.format("About us. " * 20, 1)))
-    w.align(wrapper.stream(page.format("About us. " * 20, "2, and more")))
-    assert [w.at[i][6] for i in w.article()] == ["div.story"]
-
-
 def test_every_template_of_a_host_has_a_wrapper(spark):
     # 60 pages hold div.content as the article; three of another template hold it as a teaser
     usual = "<body><div class='content'><p>Usual article number {}, long enough.</p></div></body>"
@@ -593,8 +578,8 @@ def test_deep_and_broken_markup_takes_linear_time():
     import time
 
     began = time.time()
-    w = wrapper.Wrapper(wrapper.stream("<div>" * 5000 + "<p>text</p>" + "</div>" * 5000))
-    w.article()
+    w = wrapper.infer(["<div>" * 5000 + "<p>text</p>" + "</div>" * 5000])
+    wrapper.article(wrapper.preorder(w))
     wrapper.read("<a b " * 50_000)
     assert time.time() - began < 5
 
