@@ -308,33 +308,51 @@ def kernel_ridge(spark, sf):
     return _ridge(spark, sf, _kernel_features)
 
 
-@add()
-def pooled_ml_regressors(spark, sf):
-    """One fit of each regressor over all splits' training rows, on scores standardised per split."""
+_POOLED = [*X.METHODS, "additive"]
+
+
+def pooled_rows(spark, sf):
+    """(training rows: features, label; held-out rows: y_a, the mean to add, and features): scores and additive
+    predictions standardised per split, and the order."""
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
     rows, test = heldout(spark, sf)
-    names = [*X.METHODS, "additive"]
     with_additive = lambda d: additive_scores(d, rows, KEYS, few=True).withColumnRenamed("score", "additive")
     train = written(with_additive(rows), "training")
-    s = train.groupBy(*KEYS).agg(*[f(m).alias(f"{m}_{n}") for m in names for n, f in (("a", F.avg), ("s", F.stddev_pop))], F.avg("dms_score").alias("y_a"))
+    s = train.groupBy(*KEYS).agg(*[f(m).alias(f"{m}_{n}") for m in _POOLED for n, f in (("a", F.avg), ("s", F.stddev_pop))], F.avg("dms_score").alias("y_a"))
 
     def ready(d):
         d = d.join(s, KEYS)
-        z = {f"z_{m}": (F.col(m) - F.col(f"{m}_a")) / F.when(F.col(f"{m}_s") == 0, 1.0).otherwise(F.col(f"{m}_s")) for m in names}
+        z = {f"z_{m}": (F.col(m) - F.col(f"{m}_a")) / F.when(F.col(f"{m}_s") == 0, 1.0).otherwise(F.col(f"{m}_s")) for m in _POOLED}
         d = d.withColumns(z | {"label": F.col("dms_score") - F.col("y_a"), "order": F.col("ord").cast("double")})
         return VectorAssembler(inputCols=[*z, "order"], outputCol="features").transform(d)
 
-    # every round of the fits reads these rows
-    fit = written(ready(train).select("features", "label"), "pooled")
-    held = ready(with_additive(test)).select(*KEYS, "mutant", "y_a", "features")
-    out = None
-    for name, est in (
-        ("ridge", LinearRegression(regParam=1.0, elasticNetParam=0.0)), ("lasso", LinearRegression(regParam=0.001, elasticNetParam=1.0)), ("elastic_net", LinearRegression(regParam=0.001, elasticNetParam=0.5)),
-        ("forest", RandomForestRegressor(numTrees=24, maxDepth=5, minInstancesPerNode=2, seed=7)), ("boosting", GBTRegressor(maxIter=30, maxDepth=4, stepSize=0.05, seed=7)),
-        ("sampled_boosting", GBTRegressor(maxIter=40, maxDepth=2, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.9", seed=7)),
-    ):
-        p = est.fit(fit).transform(held).select(*KEYS, "mutant", F.lit(name).alias("model"), F.round(F.col("prediction") + F.col("y_a"), 4).alias("score"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    # every round of the fits reads the training rows, and every model the held-out ones
+    return written(ready(train).select("features", "label"), "pooled"), written(ready(with_additive(test)).select(*KEYS, "mutant", "y_a", "features"), "held")
+
+
+def zoo():
+    """Name and estimator of each pooled regressor."""
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+
+    return {
+        "ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0), "lasso": LinearRegression(regParam=0.001, elasticNetParam=1.0), "elastic_net": LinearRegression(regParam=0.001, elasticNetParam=0.5),
+        "forest": RandomForestRegressor(numTrees=24, maxDepth=5, minInstancesPerNode=2, seed=7), "boosting": GBTRegressor(maxIter=30, maxDepth=4, stepSize=0.05, seed=7),
+        "sampled_boosting": GBTRegressor(maxIter=40, maxDepth=2, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.9", seed=7),
+    }
+
+
+def pooled_predictions(fit, held, models):
+    """One row per held-out row and model. All models look at a held-out row in one scan."""
+    out = held
+    for name, est in models.items():
+        est = est.setPredictionCol(f"p_{name}")
+        out = est.fit(fit).transform(out)
+    p = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), F.round(F.col(f"p_{name}") + F.col("y_a"), 4).alias("score")) for name in models]))
+    return out.select(*KEYS, "mutant", p.alias("p")).select(*KEYS, "mutant", "p.model", "p.score")
+
+
+@add()
+def pooled_ml_regressors(spark, sf):
+    """One fit of each regressor over all splits' training rows, on scores standardised per split."""
+    return pooled_predictions(*pooled_rows(spark, sf), zoo())
