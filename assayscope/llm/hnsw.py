@@ -9,8 +9,10 @@ ends). A query descends to the base layer with a beam, then floods along the gra
 above the threshold, so that a large group of near copies is found whole whatever the beam. The beam is
 widened until an audit against brute force, on fixed vectors of both shards of the pair, finds AUDIT_RECALL
 of the links of each of them, so that vectors with few links count as much as those of a large group. If
-WIDEST isn't enough, the pair of shards is compared by brute force. A task returns counts of links and the
-edges of a spanning forest, never all pairs.
+WIDEST isn't enough, the pair of shards is compared by brute force. Queries run in blocks of BLOCK: the links of
+a block are counted and thinned to a spanning forest before the next one; within one shard, where a link counts if
+either end finds it, a bit per pair stays. A task returns counts of links and the edges of that forest, never all
+pairs.
 
 Null, zero or non-finite vectors, vectors of a minority length within their shard pair, and null labels
 link with nothing and are kept. Rows that share an id are separate vectors.
@@ -26,13 +28,16 @@ from pyspark.sql import functions as F
 from assayscope.llm.common import Scratch, components
 
 THRESHOLD = 0.93
-SHARD = 2_048
+#: Vectors of a shard, and numbers in it where vectors are long (but SHORTEST vectors in any case).
+SHARD, NUMBERS, SHORTEST = 16_384, 1 << 22, 2_048
+#: Queries that run at once; a multiple of eight.
+BLOCK = 256
 DEGREE = 12
 BEAM = 16
 #: The widest beam tried; beyond it all pairs of two bounded shards cost less than the search.
 WIDEST = 256
 #: Vectors of each shard that are audited.
-AUDIT = 256
+AUDIT = 1_024
 AUDIT_RECALL = 0.98
 
 
@@ -152,25 +157,24 @@ class HNSW:
                 out[layer] = (ids[want], sims[want])
         return out
 
-    def within(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) of all pairs found with a similarity of at least the threshold; a beam as wide
-        as the graph is brute force."""
-        out_q, out_v = [], []
-        for lo in range(0, len(q), 256):
-            part = q[lo : lo + 256]
+    def found(self, q: np.ndarray, threshold: float, beam: int):
+        """(first query, query, vector) by block of queries: all pairs found with a similarity of at least the
+        threshold; a beam as wide as the graph is brute force."""
+        for lo in range(0, len(q), BLOCK):
+            part = q[lo : lo + BLOCK]
             if beam >= len(self.x):
                 a, v = np.nonzero(part @ self.x.T >= threshold)
-                out_q.append(a + lo)
-                out_v.append(v)
-                continue
-            start = np.full((len(part), 1), self.entry, np.int64)
-            for layer in reversed(range(1, len(self.links))):
-                start, _ = self._beam(layer, part, start, min(beam, 8))
-            ids, sims = self._beam(0, part, start, beam)
-            a, v = self._flood(part, ids, sims, threshold)
-            out_q.append(a + lo)
-            out_v.append(v)
-        return (np.concatenate(out_q), np.concatenate(out_v)) if out_q else (np.zeros(0, int), np.zeros(0, int))
+            else:
+                start = np.full((len(part), 1), self.entry, np.int64)
+                for layer in reversed(range(1, len(self.links))):
+                    start, _ = self._beam(layer, part, start, min(beam, 8))
+                a, v = self._flood(part, *self._beam(0, part, start, beam), threshold)
+            yield lo, a + lo, v
+
+    def within(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) of all blocks."""
+        blocks = [(np.zeros(0, int), np.zeros(0, int)), *((a, v) for _, a, v in self.found(q, threshold, beam))]
+        return np.concatenate([a for a, _ in blocks]), np.concatenate([v for _, v in blocks])
 
     def _flood(self, q, ids, sims, threshold):
         """From the beam's hits through all neighbours above the threshold."""
@@ -234,64 +238,94 @@ def _unit(x):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _forest(a, b, n):
-    """Edges of a spanning forest of the pairs (a, b) over n vectors."""
-    root = np.arange(n)
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    keep = []
-    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
-        i, j = find(i), find(j)
-        if i != j:
-            root[max(i, j)] = min(i, j)
-            keep.append(k)
-    return np.array(keep, int)
+class Forest:
+    """Trees that edges unite; root[i] is the least vector of the tree of i."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of those edges (a, b) that unite trees."""
+        lo, hi = np.minimum(self.root[a], self.root[b]), np.maximum(self.root[a], self.root[b])
+        apart = np.flatnonzero(lo != hi)
+        _, first = np.unique(lo[apart].astype(np.int64) * len(self.root) + hi[apart], return_index=True)
+        above: dict[int, int] = {}
+
+        def find(i):
+            while i in above:
+                i = above[i]
+            return i
+
+        keep = []
+        for k in apart[first].tolist():
+            i, j = find(int(lo[k])), find(int(hi[k]))
+            if i != j:
+                above[max(i, j)] = min(i, j)
+                keep.append(k)
+        to = np.arange(len(self.root))
+        for i in sorted(above):  # a tree goes to a smaller one, whose own root is known by then
+            to[i] = to[above[i]]
+        self.root = to[self.root]
+        return np.array(keep, int)
+
+
+def _verified(blocks, x, y, threshold):
+    """Blocks of pairs whose cosine, in double precision, is at least the threshold."""
+    for lo, q, v in blocks:
+        good = np.zeros(len(q), bool)
+        for i in range(0, len(q), 65536):
+            good[i : i + 65536] = np.einsum("ij,ij->i", x[q[i : i + 65536]], y[v[i : i + 65536]]) >= threshold
+        yield lo, q[good], v[good]
+
+
+def _either(blocks, n: int):
+    """Blocks of pairs of one shard, each pair from both ends if either end has it; a bit per pair is held."""
+    bits = np.zeros((n, -(-n // 8)), np.uint8)
+    for lo, q, v in blocks:
+        rows = np.zeros((min(BLOCK, n - lo), n), bool)
+        rows[q - lo, v] = True
+        bits[lo : lo + len(rows)] = np.packbits(rows, axis=1)
+    for lo in range(0, n, BLOCK):
+        rows = np.unpackbits(bits[lo : lo + BLOCK], axis=1, count=n)
+        ends = np.unpackbits(bits[:, lo // 8 : (lo + BLOCK) // 8], axis=1)[:, : len(rows)].T
+        q, v = np.nonzero(rows | ends)
+        q += lo
+        yield lo, q[q != v], v[q != v]
 
 
 def _search_pair(threshold: float):
     """Two shards of one label: queries of the first against the graph of the second."""
 
     def run(both: pa.Table) -> pa.Table:
-        rows = []
+        node, other, links = [], [], []
         shard = np.asarray(both.column("shard"))
         left, right = (both.filter(pa.array(shard == both.column(c)[0].as_py())) for c in ("a", "b"))
         if left.num_rows and right.num_rows:
-            x, y = _matrix(left.column("vector")), _matrix(right.column("vector"))
-            if x.shape[1] == y.shape[1]:
-                x, y = _unit(x), _unit(y)
-                same = left.column("a")[0].as_py() == left.column("b")[0].as_py()
-                slack = threshold - 1e-5
-                graph = HNSW(y.astype(np.float32))
-                queries = x.astype(np.float32)
-                beam = graph.audited_beam(slack, others=None if same else queries)
-                q, v = graph.within(queries, slack, beam)
-                na, nb = np.asarray(left.column("node")), np.asarray(right.column("node"))
-                ca, cb = np.asarray(left.column("count")), np.asarray(right.column("count"))
-                if same:  # a pair found from either end is one link
-                    order = {int(n): i for i, n in enumerate(na)}
-                    back = np.array([order[int(n)] for n in nb])
-                    v = back[v]
-                    nb, cb, y = na, ca, x
-                    lo, hi = np.minimum(q, v), np.maximum(q, v)
-                    key = np.unique((lo.astype(np.int64) * len(x) + hi)[lo != hi])
-                    q, v = key // len(x), key % len(x)
-                good = np.zeros(len(q), bool)
-                for i in range(0, len(q), 65536):
-                    good[i : i + 65536] = np.einsum("ij,ij->i", x[q[i : i + 65536]], y[v[i : i + 65536]]) >= threshold
-                q, v = q[good], v[good]
-                links: dict[int, int] = {}
-                for node, total in ((na, np.bincount(q, cb[v], minlength=len(x))), (nb, np.bincount(v, ca[q], minlength=len(y)))):
-                    for n, c in zip(node[total > 0].tolist(), total[total > 0].astype(int).tolist()):
-                        links[n] = links.get(n, 0) + c
-                keep = _forest(q, v if same else v + len(x), len(x) + len(y))
-                rows = [(n, None, c) for n, c in links.items()] + [(int(na[i]), int(nb[j]), 0) for i, j in zip(q[keep], v[keep])]
-        a, b, c = zip(*rows) if rows else ((), (), ())
-        return pa.table({"node": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "links": pa.array(c, pa.int64())})
+            same = both.column("a")[0].as_py() == both.column("b")[0].as_py()
+            x = _unit(_matrix(left.column("vector")))
+            y = x if same else _unit(_matrix(right.column("vector")))
+            slack = threshold - 1e-5
+            graph, queries = HNSW(y.astype(np.float32)), x.astype(np.float32)
+            beam = graph.audited_beam(slack, others=None if same else queries)
+            blocks = _verified(graph.found(queries, slack, beam), x, y, threshold)
+            (na, ca), (nb, cb) = ([np.asarray(side.column(c)) for c in ("node", "count")] for side in (left, right))
+            total, back = np.zeros(len(x)), np.zeros(len(y))
+            forest = Forest(len(x) if same else len(x) + len(y))
+            for _, q, v in _either(blocks, len(x)) if same else blocks:
+                total += np.bincount(q, cb[v], minlength=len(x))
+                if not same:
+                    back += np.bincount(v, ca[q], minlength=len(y))
+                keep = forest.add(q, v if same else v + len(x))
+                node.append(na[q[keep]])
+                other.append(nb[v[keep]])
+            edges = sum(map(len, node))
+            links = [0] * edges
+            for names, n in ((na, total), (nb, back)):
+                node.append(names[n > 0])
+                links += n[n > 0].astype(int).tolist()
+            other = [*np.concatenate(other).tolist(), *[None] * (len(links) - edges)] if edges else [None] * len(links)
+        node = np.concatenate(node) if node else np.zeros(0, np.int64)
+        return pa.table({"node": pa.array(node, pa.int64()), "other": pa.array(other, pa.int64()), "links": pa.array(links, pa.int64())})
 
     return run
 
@@ -317,7 +351,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard: int =
     nodes = good.groupBy("key", "check", "label", F.size("vector").alias("dims")).agg(F.min("vec_id").alias("vec"), F.count("*").alias("count"), F.first("vector").alias("vector"))
     # numbered as they are written, once; two vectors of one key are two nodes
     nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    sizes = nodes.groupBy("label", "dims").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / shard).cast("int"))
+    room = F.least(F.lit(shard), F.greatest(F.lit(SHORTEST), F.floor(F.lit(NUMBERS) / F.col("dims"))))
+    sizes = nodes.groupBy("label", "dims").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / room).cast("int"))
     # key hashes spread a label's vectors evenly over its shards
     placed = nodes.join(sizes, ["label", "dims"]).withColumn("shard", F.pmod("key", "shards").cast("int"))
     every = F.sequence(F.lit(0), F.col("shards") - 1)

@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,37 @@ def test_five_megabytes_of_quality_and_benchmark(spark):
     assert (1_050_000, 1.0) in {(r.start, r.similarity) for r in out.collect()}
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.classify(docs, labels).count() == 3
+
+
+def test_links_of_one_shard_count_from_either_end():
+    pick = np.random.default_rng(4)
+    n = 2 * hnsw.BLOCK + 37
+    far = pick.random((n, n)) < 0.01
+    blocks = [(lo, *(a + b for a, b in zip(np.nonzero(far[lo : lo + hnsw.BLOCK]), (lo, 0)))) for lo in range(0, n, hnsw.BLOCK)]
+    got = np.zeros((n, n), bool)
+    for _, q, v in hnsw._either(iter(blocks), n):
+        assert not got[q, v].any()
+        got[q, v] = True
+    want = far | far.T
+    np.fill_diagonal(want, False)
+    assert (got == want).all()
+
+
+def test_forest_of_blocks_unites_what_edges_unite():
+    pick = np.random.default_rng(9)
+    for n, m in ((1, 0), (50, 20), (300, 280), (300, 900)):
+        a, b = pick.integers(0, n, m), pick.integers(0, n, m)
+        forest, kept = hnsw.Forest(n), []
+        for lo in range(0, m, 64):
+            kept += [lo + k for k in forest.add(a[lo : lo + 64], b[lo : lo + 64])]
+        for edges in (range(m), kept):
+            root = list(range(n))
+            changed = True
+            while changed:
+                changed = False
+                for k in edges:
+                    least = min(root[a[k]], root[b[k]])
+                    changed |= root[a[k]] != least or root[b[k]] != least
+                    root[a[k]] = root[b[k]] = least
+            assert root == forest.root.tolist()
+        assert len(kept) == n - len(set(root))
