@@ -1,13 +1,17 @@
-"""Spatial features on residue coordinates. Neighbours are found by an equi-join on grid cells of the
-radius's size (27 cells around each point), then an exact distance filter."""
+"""Spatial features on residue coordinates. Neighbours are looked for in grid cells of the radius's size (27 cells around
+each point), then counted by their exact distance."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayscope.sources.ingest import written
+
 
 def _distance2(a: list[Column], b: list[Column]) -> Column:
     d = [(x - y) * (x - y) for x, y in zip(a, b)]
@@ -18,22 +22,62 @@ def _cell(x: str, size: float) -> Column:
     return F.floor(F.col(x) / F.lit(size)).cast("int")
 
 
-def neighbours(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
-    """Pairs (structure, p, residue) of a point p of `points` (structure, p, x, y, z) and a residue of
-    `others` (structure, residue, x, y, z) at most `radius` apart."""
+#: Points, and other residues, that one task compares at once.
+POINTS, OTHERS = 32_768, 131_072
+
+
+def near_counts(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+    """structure, owner, i, n: of each point of `points` (structure, owner, i, x, y, z) with any, the residues of `others`
+    (structure, residue, x, y, z) but its owner that are at most `radius` away.
+
+    Pairs are counted inside tasks and never become rows. Points meet the residues of the 27 cells around theirs; full
+    cells are split, so that no task holds more than POINTS and OTHERS rows of them.
+    """
+    cells = {c: _cell(x, radius) for c, x in (("cx", "x"), ("cy", "y"), ("cz", "z"))}
+    key = ["structure", *cells]
+    a, b = points.withColumns(cells), others.select("structure", "residue", "x", "y", "z").withColumns(cells)
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    a = points.withColumn("step", near)
-    a = a.withColumns({c: _cell(x, radius) + F.col(f"step.{s}") for c, x, s in (("cx", "x", "i"), ("cy", "y", "j"), ("cz", "z", "k"))}).drop("step")
-    b = others.select("structure", "residue", *[F.col(x).alias(f"o{x}") for x in "xyz"], *[_cell(x, radius).alias(c) for c, x in (("cx", "x"), ("cy", "y"), ("cz", "z"))])
-    joined = a.join(b, ["structure", "cx", "cy", "cz"])
-    return joined.where(_distance2([F.col(x) for x in "xyz"], [F.col(f"o{x}") for x in "xyz"]) <= F.lit(radius * radius))
+    b = b.withColumn("step", near).withColumns({c: F.col(c) + F.col(f"step.{s}") for c, s in (("cx", "i"), ("cy", "j"), ("cz", "k"))}).drop("step")
+    # one row per cell that holds points
+    parts = a.groupBy(*key).agg(F.ceil(F.count("*") / POINTS).cast("int").alias("rows")).join(b.groupBy(*key).agg(F.ceil(F.count("*") / OTHERS).cast("int").alias("cols")), key)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    a = a.join(parts, key).withColumn("row", mine("rows", "owner", "i")).withColumn("col", each("cols")).drop("rows", "cols")
+    b = b.join(parts, key).withColumn("col", mine("cols", "residue")).withColumn("row", each("rows")).drop("rows", "cols")
+    kinds = dict(points.dtypes)
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("o_x")
+        ox, oy, oz, residue = (right[f"o_{c}"].to_numpy() for c in ("x", "y", "z", "residue"))
+        left = left.sort_values("x")
+        n = np.zeros(len(left), dtype=np.int64)
+        lx, ly, lz, owner = (left[c].to_numpy() for c in ("x", "y", "z", "owner"))
+        for k in range(0, len(left), 64):
+            at = slice(k, k + 64)
+            # a little wider than the radius: the exact distance decides
+            lo, hi = np.searchsorted(ox, (lx[at].min() - radius * 1.001, lx[at].max() + radius * 1.001))
+            for j in range(lo, hi, 4096):
+                to = slice(j, min(hi, j + 4096))
+                d = np.square(lx[at, None] - ox[to])
+                d += np.square(ly[at, None] - oy[to])
+                d += np.square(lz[at, None] - oz[to])
+                n[at] += ((d <= radius * radius) & (owner[at, None] != residue[to])).sum(axis=1)
+        out = left[["structure", "owner", "i"]].assign(n=n)
+        return out[out.n > 0]
+
+    deal = [*key, "row", "col"]
+    # names of their own, as both sides may come from one table
+    b = b.select(*[F.col(c).alias(f"o_{c}") for c in (*deal, "residue", "x", "y", "z")])
+    found = a.select(*deal, "owner", "i", "x", "y", "z").groupBy(*deal).cogroup(b.groupBy(*[f"o_{c}" for c in deal])).applyInPandas(count, f"structure {kinds['structure']}, owner {kinds['owner']}, i int, n long")
+    return found.groupBy("structure", "owner", "i").agg(F.sum("n").alias("n"))
 
 
 def radius_counts(coords: DataFrame, radius: float = 10.0) -> DataFrame:
     """structure, residue, neighbours: other residues within the radius."""
-    n = neighbours(coords.withColumnRenamed("residue", "p"), coords, radius).where("p <> residue")
-    n = n.groupBy("structure", F.col("p").alias("residue")).agg(F.count("*").alias("neighbours"))
-    return coords.select("structure", "residue").join(n, ["structure", "residue"], "left").fillna(0, ["neighbours"])
+    c = written(coords, "coords")
+    n = near_counts(c.withColumnRenamed("residue", "owner").withColumn("i", F.lit(0)), c, radius)
+    n = n.select("structure", F.col("owner").alias("residue"), F.col("n").alias("neighbours"))
+    return c.select("structure", "residue").join(n, ["structure", "residue"], "left").fillna(0, ["neighbours"])
 
 
 def sphere_points(n: int = 32) -> list[tuple[int, float, float, float]]:
@@ -49,13 +93,13 @@ def sphere_points(n: int = 32) -> list[tuple[int, float, float, float]]:
 
 def residue_sasa(coords: DataFrame, radius: float = 4.0, points: int = 32) -> DataFrame:
     """structure, residue, sasa: area of the residue's sphere that no other sphere covers."""
+    coords = written(coords, "coords")
     ball = coords.sparkSession.createDataFrame(sphere_points(points), "i int, ux double, uy double, uz double")
     # a literal table of `points` rows
     p = coords.crossJoin(F.broadcast(ball)).select(
         "structure", F.col("residue").alias("owner"), "i", *[(F.col(x) + F.lit(radius) * F.col(f"u{x}")).alias(x) for x in "xyz"]
     )
-    p = p.withColumn("p", F.struct("owner", "i"))
-    hit = neighbours(p, coords, radius).where("owner <> residue").select("structure", "owner", "i").distinct()
+    hit = near_counts(p, coords, radius)
     covered = hit.groupBy("structure", F.col("owner").alias("residue")).agg(F.count("*").alias("covered"))
     out = coords.select("structure", "residue").join(covered, ["structure", "residue"], "left").fillna(0, ["covered"])
     return out.withColumn("sasa", F.lit(4 * math.pi * radius * radius) * (F.lit(points) - F.col("covered")) / points)
