@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from decimal import Context, Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,28 +48,70 @@ def _poisson_steps(most: int = 12) -> list[int]:
 
 
 POISSON_STEPS = _poisson_steps()
+_WIDE = Context(prec=60)
+
+
+#: Parts of a group that are resampled apart, and rows whose counts of all draws are held at once.
+LANES, ROWS = 64, 256
+_LIMB = 10**8  # in which values are added up: a limb's sums over ROWS counts stay whole in doubles
+
+
+def poisson_counts(r: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """How often each draw (a column) takes each row: two squarings modulo PRIME stir the row's number and the draw's."""
+
+    def squared(x, plus):
+        x = x * x + plus
+        # PRIME is 2**31 - 1: the digits above it count once
+        x = (x & PRIME) + (x >> 31)
+        return np.where(x >= PRIME, x - PRIME, x)
+
+    r, b = r[:, None], draws[None, :]
+    x = squared(squared((r + b * STRIDE) % PRIME, r), b).astype(np.int32)
+    counts = np.zeros(x.shape)
+    for t in POISSON_STEPS[:4]:
+        counts += x >= t
+    # one number in fifty
+    far = np.nonzero(x >= POISSON_STEPS[3])
+    if len(far[0]):
+        counts[far] = np.searchsorted(np.array(POISSON_STEPS), x[far], side="right")
+    return counts
 
 
 def bootstrap_weights_ci(df: DataFrame, by: list[str], item: str, value: str, draws: int = 1000) -> DataFrame:
     """by, n, mean, lo, hi like bootstrap_mean_ci(), for groups of any size: instead of drawing n rows, each
     row says by hash how often each draw takes it (counts of mean 1), so a draw is two sums over the rows.
 
-    One aggregation: every task adds up its rows' weights and weighted values for all draws, and sends on
-    one row per group and draw. A draw that takes no row at all (in tiny groups) is left out.
+    Rows are dealt out once. Each task adds up its rows' weights and weighted values for all draws, a few rows at a
+    time, as matrix products of whole numbers, and sends on one row per group, lane and draw. A draw that takes no row
+    at all (in tiny groups) is left out.
     """
-    d = df.where(F.col(value).isNotNull()).select(*by, item, F.col(value).cast("decimal(28,10)").alias("__v"))
-    # few rows make many: dealt out first
-    d = d.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, item)
-    d = d.select(*by, "__v", (hash_int(F.lit("boot"), *by, item) % PRIME).alias("__r"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    # two squarings modulo a prime stir the row's number and the draw's
-    r, b, steps = F.col("__r"), F.col("b"), F.array(*[F.lit(t).cast("long") for t in POISSON_STEPS])
-    x = F.array((r + b * F.lit(STRIDE).cast("long")) % PRIME)
-    x = F.transform(F.transform(x, lambda x: (x * x + r) % PRIME), lambda x: (x * x + b) % PRIME)
-    weight = F.get(F.transform(x, lambda x: F.size(F.filter(steps, lambda t: x >= t))), 0)
-    d = d.select(*by, "__v", "b", weight.alias("__w"))
-    means = d.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("__v") * F.col("__w")).cast("double"), F.sum("__w")).alias("m"))
+    there = df.where(F.col(value).isNotNull())
+    lane = F.pmod(F.xxhash64(item), F.lit(LANES)).alias("__lane")
+    d = there.select(*by, F.col(value).cast("decimal(28,10)").alias("__v"), (hash_int(F.lit("boot"), *by, item) % PRIME).alias("__r"), lane)
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in by) + ", b int, __sum decimal(38,10), __w long"
+
+    def added(table: pa.Table) -> pa.Table:
+        units = np.array([int(v.scaleb(10, _WIDE)) for v in table["__v"].to_pylist()], dtype=object)
+        limbs = []
+        while len(limbs) < 3:
+            units, low = units // _LIMB, units % _LIMB
+            limbs.append(low)
+        terms = np.column_stack([np.ones(len(units)), *limbs, units]).astype(float)
+        r, of = table["__r"].to_numpy().astype(np.int64), np.arange(draws, dtype=np.int64)
+        total = np.zeros((draws, terms.shape[1]), dtype=np.int64)
+        for at in range(0, len(r), ROWS):
+            total += (poisson_counts(r[at : at + ROWS], of).T @ terms[at : at + ROWS]).astype(np.int64)
+        sums = [sum(int(x) * _LIMB**k for k, x in enumerate(row[1:])) for row in total]
+        first = table.slice(0, 1)
+        keys = {c: pa.concat_arrays(first[c].chunks).take(np.zeros(draws, dtype=np.int64)) for c in by}
+        exact = pa.array([Decimal(x).scaleb(-10, _WIDE) for x in sums], pa.decimal128(38, 10))
+        return pa.table({**keys, "b": pa.array(of, pa.int32()), "__sum": exact, "__w": total[:, 0]})
+
+    drawn = d.groupBy(*by, "__lane").applyInArrow(added, schema)
+    means = drawn.groupBy(*by, "b").agg(F.try_divide(F.sum("__sum").cast("double"), F.sum("__w")).alias("m"))
     ci = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(ci, by)
+    return there.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(ci, by)
 
 
 def _sign_sums(values: Column) -> Column:
