@@ -131,9 +131,13 @@ def _qc_sql() -> str:
 
 @add(_qc_sql())
 def qc_range_check(spark, sf):
+    """Summaries of the same rows share them, and each is written, as numbering its rows looks at it twice."""
     from assayscope.plans.registry import _QUERIES
 
-    found = [I.out_of_range(_QUERIES[s](spark, sf), *c).select(F.lit(s).alias("summary"), "row_no", "field", "value") for s, c in CHECKED.items()]
+    v, t = written(X.variants(spark, sf), "variants"), written(X.trajectories(spark, sf), "trajectories")
+    shared = {"zero_shot_summary": [], "hit_time_summary": [t], "active_curve": [t]}
+    tables = {s: written(_QUERIES[s](spark, sf, *shared.get(s, [v])), s) for s in CHECKED}
+    found = [I.out_of_range(tables[s], *c).select(F.lit(s).alias("summary"), "row_no", "field", "value") for s, c in CHECKED.items()]
     return reduce(DataFrame.unionByName, found)
 
 
