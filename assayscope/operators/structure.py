@@ -26,12 +26,13 @@ def _cell(x: str, size: float) -> Column:
 POINTS, OTHERS = 32_768, 131_072
 
 
-def near_counts(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+def near_counts(points: DataFrame, others: DataFrame, radius: float, found_only: bool = False) -> DataFrame:
     """structure, owner, i, n: of each point of `points` (structure, owner, i, x, y, z) with any, the residues of `others`
     (structure, residue, x, y, z) but its owner that are at most `radius` away.
 
     Pairs are counted inside tasks and never become rows. Points meet the residues of the 27 cells around theirs; full
-    cells are split, so that no task holds more than POINTS and OTHERS rows of them.
+    cells are split, so that no task holds more than POINTS and OTHERS rows of them. With found_only, n is only told to
+    be above 0: a point is done with its first residue.
     """
     cells = {c: _cell(x, radius) for c, x in (("cx", "x"), ("cy", "y"), ("cz", "z"))}
     key = ["structure", *cells]
@@ -56,12 +57,20 @@ def near_counts(points: DataFrame, others: DataFrame, radius: float) -> DataFram
             at = slice(k, k + 64)
             # a little wider than the radius: the exact distance decides
             lo, hi = np.searchsorted(ox, (lx[at].min() - radius * 1.001, lx[at].max() + radius * 1.001))
-            for j in range(lo, hi, 4096):
-                to = slice(j, min(hi, j + 4096))
+            steps = [slice(j, min(hi, j + 4096)) for j in range(lo, hi, 4096)]
+            if found_only:
+                # a few from all over the range, which most points of a full cell are done with, then all for the rest
+                at = np.arange(k, min(k + 64, len(left)))
+                steps = [slice(lo, hi, max(1, (hi - lo) // 256)), *steps]
+            for to in steps:
                 d = np.square(lx[at, None] - ox[to])
                 d += np.square(ly[at, None] - oy[to])
                 d += np.square(lz[at, None] - oz[to])
                 n[at] += ((d <= radius * radius) & (owner[at, None] != residue[to])).sum(axis=1)
+                if found_only:
+                    at = at[n[at] == 0]
+                    if len(at) == 0:
+                        break
         out = left[["structure", "owner", "i"]].assign(n=n)
         return out[out.n > 0]
 
@@ -99,7 +108,7 @@ def residue_sasa(coords: DataFrame, radius: float = 4.0, points: int = 32) -> Da
     p = coords.crossJoin(F.broadcast(ball)).select(
         "structure", F.col("residue").alias("owner"), "i", *[(F.col(x) + F.lit(radius) * F.col(f"u{x}")).alias(x) for x in "xyz"]
     )
-    hit = near_counts(p, coords, radius)
+    hit = near_counts(p, coords, radius, found_only=True)
     covered = hit.groupBy("structure", F.col("owner").alias("residue")).agg(F.count("*").alias("covered"))
     out = coords.select("structure", "residue").join(covered, ["structure", "residue"], "left").fillna(0, ["covered"])
     return out.withColumn("sasa", F.lit(4 * math.pi * radius * radius) * (F.lit(points) - F.col("covered")) / points)

@@ -89,6 +89,7 @@ SELECT structure, kind, count(*) AS n, {r('avg(mean_value)')} AS mean_value, {r(
 
 def by_tertile(spark, sf, residues, value: str, exposed_low: bool):
     low, high = ("exposed", "buried") if exposed_low else ("buried", "exposed")
+    residues = written(residues, "residues")
     cuts = K.at_indexes(residues, ["structure"], value, lo=F.floor(F.col("n") / 3), hi=F.floor(F.col("n") * 2 / 3))
     d = mutated(spark, sf).join(residues, ["structure", "residue"]).join(cuts, "structure")
     v = F.col(value)
