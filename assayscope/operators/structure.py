@@ -6,9 +6,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from assayscope.sources.ingest import written
 
@@ -24,6 +26,42 @@ def _cell(x: str, size: float) -> Column:
 
 #: Points, and other residues, that one task compares at once.
 POINTS, OTHERS = 32_768, 131_072
+#: Pairs that a task is dealt, about, and cells, if they are small: there are as many tasks as these ask for.
+PAIRS, CELLS = 1 << 28, 100
+
+
+def counts_within(x: np.ndarray, near: np.ndarray, radius: float) -> np.ndarray:
+    """How many rows of `near` are at most radius away from each row of x, both sorted by their first column.
+
+    Distances are told in single precision by one product of matrices, from the middle of x, as long as they are not
+    within its error of the radius; such pairs are told in doubles.
+    """
+    limit, n = radius * radius, np.zeros(len(x), dtype=np.int64)
+    middle = (x.min(axis=0) + x.max(axis=0)) / 2
+    a, b = x - middle, near - middle
+    # 2**-24 for each of 5 products, their factors and sums, which are 2 (a**2 + b**2) + limit at most: thrice that
+    slack = 3e-6 * (np.square(a).sum(axis=1).max() + np.square(b).sum(axis=1).max() + limit)
+    a = np.column_stack([a, np.square(a).sum(axis=1) - limit, np.ones(len(a))]).astype(np.float32)
+    b = np.column_stack([-2 * b, np.ones(len(b)), np.square(b).sum(axis=1)]).astype(np.float32).T.copy()
+    for k in range(0, len(x), 64):
+        at = slice(k, k + 64)
+        # a little wider than the radius: the exact distance decides
+        lo, hi = np.searchsorted(near[:, 0], (x[at, 0].min() - radius * 1.001, x[at, 0].max() + radius * 1.001))
+        for j in range(lo, hi, 2048):
+            to = slice(j, min(hi, j + 2048))
+            over = a[at] @ b[:, to]
+            sure, may = (np.array([np.count_nonzero(row) for row in over <= d]) for d in (-slack, slack))
+            n[at] += sure
+            for i in np.flatnonzero(sure != may):
+                close = np.flatnonzero((over[i] > -slack) & (over[i] <= slack))
+                n[k + i] += np.count_nonzero(_squares(x[k + i], near[j + close]) <= limit)
+    return n
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, added up as _distance2() does."""
+    d = np.square(a - b)
+    return d[..., 0] + d[..., 1] + d[..., 2]
 
 
 def near_counts(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
@@ -31,44 +69,49 @@ def near_counts(points: DataFrame, others: DataFrame, radius: float) -> DataFram
     (structure, residue, x, y, z) but its owner that are at most `radius` away.
 
     Pairs are counted inside tasks and never become rows. Points meet the residues of the 27 cells around theirs; full
-    cells are split, so that no task holds more than POINTS and OTHERS rows of them.
+    cells are split, so that no task holds more than POINTS and OTHERS rows of them, and cells are dealt to as many tasks
+    as their pairs and numbers ask for. Rows without a finite place are near to nothing.
     """
     cells = {c: _cell(x, radius) for c, x in (("cx", "x"), ("cy", "y"), ("cz", "z"))}
     key = ["structure", *cells]
-    a, b = points.withColumns(cells), others.select("structure", "residue", "x", "y", "z").withColumns(cells)
+    placed = lambda d: d.where(" and ".join(f"abs({c}) < double('infinity')" for c in "xyz")).withColumns(cells)
+    a, b = placed(points), placed(others.select("structure", "residue", "x", "y", "z"))
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
     b = b.withColumn("step", near).withColumns({c: F.col(c) + F.col(f"step.{s}") for c, s in (("cx", "i"), ("cy", "j"), ("cz", "k"))}).drop("step")
     # one row per cell that holds points
-    parts = a.groupBy(*key).agg(F.ceil(F.count("*") / POINTS).cast("int").alias("rows")).join(b.groupBy(*key).agg(F.ceil(F.count("*") / OTHERS).cast("int").alias("cols")), key)
+    parts = written(a.groupBy(*key).agg(F.count("*").alias("rows")).join(b.groupBy(*key).agg(F.count("*").alias("cols")), key), "cells")
+    tasks = parts.agg(F.ceil(F.sum(F.col("rows").cast("double") * F.col("cols") / PAIRS + F.lit(1 / CELLS)))).first()[0] or 1
+    parts = parts.withColumns({"rows": F.ceil(F.col("rows") / POINTS).cast("int"), "cols": F.ceil(F.col("cols") / OTHERS).cast("int")})
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
     a = a.join(parts, key).withColumn("row", mine("rows", "owner", "i")).withColumn("col", each("cols")).drop("rows", "cols")
     b = b.join(parts, key).withColumn("col", mine("cols", "residue")).withColumn("row", each("rows")).drop("rows", "cols")
     kinds = dict(points.dtypes)
 
-    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("o_x")
-        ox, oy, oz, residue = (right[f"o_{c}"].to_numpy() for c in ("x", "y", "z", "residue"))
-        left = left.sort_values("x")
-        n = np.zeros(len(left), dtype=np.int64)
-        lx, ly, lz, owner = (left[c].to_numpy() for c in ("x", "y", "z", "owner"))
-        for k in range(0, len(left), 64):
-            at = slice(k, k + 64)
-            # a little wider than the radius: the exact distance decides
-            lo, hi = np.searchsorted(ox, (lx[at].min() - radius * 1.001, lx[at].max() + radius * 1.001))
-            for j in range(lo, hi, 4096):
-                to = slice(j, min(hi, j + 4096))
-                d = np.square(lx[at, None] - ox[to])
-                d += np.square(ly[at, None] - oy[to])
-                d += np.square(lz[at, None] - oz[to])
-                n[at] += ((d <= radius * radius) & (owner[at, None] != residue[to])).sum(axis=1)
-        out = left[["structure", "owner", "i"]].assign(n=n)
-        return out[out.n > 0]
+    schema = f"structure {kinds['structure']}, owner {kinds['owner']}, i int, n long"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        left, right = left.sort_by("x"), right.sort_by("o_x")
+        x, near = (np.column_stack([t[c].to_numpy() for c in names]) for t, names in ((left, ("x", "y", "z")), (right, ("o_x", "o_y", "o_z"))))
+        n = counts_within(x, near, radius)
+        # owners are no neighbours of their own points
+        residue = right["o_residue"].to_numpy()
+        order = np.argsort(residue, kind="stable")
+        first, last = (np.searchsorted(residue, left["owner"].to_numpy(), side=s, sorter=order) for s in ("left", "right"))
+        while (there := np.flatnonzero(first < last)).size:
+            n[there] -= _squares(x[there], near[order[first[there]]]) <= radius * radius
+            first[there] += 1
+        some = np.flatnonzero(n)
+        return left.select(["structure", "owner", "i"]).take(some).append_column("n", pa.array(n[some])).cast(arrow)
 
     deal = [*key, "row", "col"]
     # names of their own, as both sides may come from one table
     b = b.select(*[F.col(c).alias(f"o_{c}") for c in (*deal, "residue", "x", "y", "z")])
-    found = a.select(*deal, "owner", "i", "x", "y", "z").groupBy(*deal).cogroup(b.groupBy(*[f"o_{c}" for c in deal])).applyInPandas(count, f"structure {kinds['structure']}, owner {kinds['owner']}, i int, n long")
+    a, b = a.select(*deal, "owner", "i", "x", "y", "z").repartition(tasks, *deal), b.repartition(tasks, *[f"o_{c}" for c in deal])
+    found = a.groupBy(*deal).cogroup(b.groupBy(*[f"o_{c}" for c in deal])).applyInArrow(count, schema)
     return found.groupBy("structure", "owner", "i").agg(F.sum("n").alias("n"))
 
 
