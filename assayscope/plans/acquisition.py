@@ -133,12 +133,18 @@ def acquire_rank_combo(spark, sf):
         return named(A.best_batch(e, ["split"], "mutant", 2 * F.col("a") + F.col("b"), BATCH), keys)
 
     def ranked(rows, m):
-        held = np.flatnonzero(rows.held(m))
-        total = np.zeros(len(held), dtype=np.int64)
-        for weight, x in zip((2, 1), spread({c: x[held] for c, x in predicted(rows, m).items()})):
-            total[np.argsort(x, kind="stable")] += weight * np.arange(1, len(held) + 1)
-        at = H.best(total.astype(float), BATCH)
-        yield pa.table({"split": np.full(len(at), m["split"]), "item": rows.item[held[at]], "rank": np.arange(1, len(at) + 1)})
+        held, mean, std = rows.held(m), np.empty(len(rows)), np.empty(len(rows))
+        for at in rows.chunks():
+            mean[at], std[at] = spread(predicted(rows, m, at=at))
+        total = np.zeros(len(rows), dtype=H.narrow(3 * len(rows)))
+        for weight, x in ((2, mean), (1, std)):
+            at = np.argsort(x, kind="stable")
+            at = at[held[at]]
+            total[at] += weight * np.arange(1, len(at) + 1, dtype=total.dtype)
+        # rows that aren't held out have nothing and come last
+        at = H.best(total, BATCH)
+        at = at[held[at]]
+        yield pa.table({"split": np.full(len(at), m["split"]), "item": rows.item[at], "rank": np.arange(1, len(at) + 1)})
 
     found = H.by_seed(v, linear_models(keys, train), X.METHODS, ranked, "split int, item long, rank int")
     return with_names(found, v, keys)
@@ -158,7 +164,7 @@ def acquire_diverse(spark, sf):
         return named(A.acquire_diverse(written(p.select("split", "mutant", "additive"), "pool"), ["split"], "mutant", "additive", BATCH), keys)
 
     def diverse(rows, m):
-        held = np.flatnonzero(rows.held(m))
+        held = np.flatnonzero(rows.held(m)).astype(H.narrow(len(rows)))
         s = rows.additive(m)[held]
         if len(s) == 0:
             return
@@ -166,7 +172,7 @@ def acquire_diverse(spark, sf):
         # the highest scores, more of them where the choice among these can't be told to be that among all
         while True:
             at = H.best(s, head + 1)
-            names = [sites(p) for p in rows.table["parts"].take(held[at]).to_pylist()]
+            names = [sites(p) for p in rows.parts(held[at])]
             left_out = (float(s[at[head]]), int(rows.item[held[at[head]]])) if len(at) > head else None
             got, sure = A.greedy([(int(rows.item[held[i]]), float(s[i]), t) for i, t in zip(at[:head], names)], BATCH, width, left_out)
             if sure:
